@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, token_files
+from graphloom.llm import packing, simhash, substrings, token_files
 from graphloom.llm.common import shared_dir, table, written
 
 
@@ -25,5 +25,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-QUERIES = {"op2_packing": op2_packing, "op6_token_files": op6_token_files}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op2_packing": op2_packing, "op6_token_files": op6_token_files, "op7_substring_dedup": op7_substring_dedup, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}
