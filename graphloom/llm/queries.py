@@ -7,10 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, simhash, substrings, token_files
+from graphloom.llm import fingerprints, packing, quality, simhash, substrings, token_files
 from graphloom.llm.common import shared_dir, table, written
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"))
     return packing.pack(written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
@@ -30,10 +34,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_packing": op2_packing, "op6_token_files": op6_token_files, "op7_substring_dedup": op7_substring_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op9_quality_rules": op9_quality_rules, "op2_packing": op2_packing, "op6_token_files": op6_token_files, "op7_substring_dedup": op7_substring_dedup, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}
