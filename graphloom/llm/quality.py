@@ -39,15 +39,19 @@ def _scores() -> dict[str, Column]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every row, and base_failed. All counts come from arrays within the row."""
+    """doc_id, tag (tells apart rows that repeat an id), stratum and the counts of every row, and base_failed.
+
+    All counts come from arrays within the row.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col), F.lit("und")).alias("stratum"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("tag"), F.coalesce(F.col(stratum_col), F.lit("und")).alias("stratum"), text.alias("text"))
     rows = rows.select("*", F.array_remove(F.split("text", WORD_GAP), "").alias("words"), F.split("text", "\n").alias("lines"))
     rows = rows.select("*", F.size("words").alias("n"), F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("full"))
     word = lambda i: F.get("words", i)
     hashes = F.when(F.col("n") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))))
     rows = rows.select(
         "doc_id",
+        "tag",
         "stratum",
         F.col("n").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -116,3 +120,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     for name, score in _scores().items():
         over = over | F.coalesce(score > F.col(f"most_{name}"), F.lit(False))
     return found.join(rules, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows of docs that judge() keeps, as they are."""
+    judged = judge(docs, labels, risk, delta, id_col, text_col, stratum_col)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_doc")) & (F.hash(docs[text_col]) == F.col("_tag")), "left_anti")

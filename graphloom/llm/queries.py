@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, packing, quality, simhash, substrings, token_files
+from graphloom.llm import fingerprints, language, lines, mixing, packing, quality, simhash, substrings, token_files, urls
 from graphloom.llm.common import shared_dir, table, written
 
 
@@ -20,6 +20,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+#: Targets of the mix: shares of what has the same parent; a source that isn't named weighs 1.
+MIX = {"domain": {"web": 3.0, "reference": 2.0}, "lang": {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}, "source": {"src0": 9.0}}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_domain(table(spark, sf_dir, "documents")).withColumn("tokens", mixing.n_tokens())
+    mixed = mixing.mix(docs.select("doc_id", "domain", "lang", "source", "tokens"), weights=MIX)
+    return mixed.select("doc_id", "domain", "lang", "source", "tokens", "budget", "copies")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path)
@@ -34,6 +53,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_fuzzy_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -44,5 +68,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op9_quality_rules": op9_quality_rules, "op2_packing": op2_packing, "op6_token_files": op6_token_files, "op7_substring_dedup": op7_substring_dedup, "op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_language_id": op3_language_id, "op5_mixing": op5_mixing, "op8_fuzzy_lines": op8_fuzzy_lines, "op4_url_filters": op4_url_filters, "op9_quality_rules": op9_quality_rules, "op2_packing": op2_packing, "op6_token_files": op6_token_files, "op7_substring_dedup": op7_substring_dedup, "op10_simhash": op10_simhash}
+
+#: op5: the tree's budgets level by level (a child is full if its capacity for a unit of weight lies under the water line),
+#: then the prefix of each leaf in the order seeded for its epoch.
+_LEVEL = """
+  {name}_nodes AS (SELECT {path}, sum(capacity) AS capacity, {weight} AS weight FROM leaves GROUP BY {path}),
+  {name}_given AS (SELECT n.*, {given} AS given FROM {name}_nodes n {parent}),
+  {name}_lines AS (SELECT *, (given - coalesce(sum(capacity) OVER (PARTITION BY {siblings} ORDER BY capacity / weight, {level} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (PARTITION BY {siblings} ORDER BY capacity / weight, {level} NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS line FROM {name}_given),
+  {name}_open AS (SELECT *, max(CASE WHEN capacity / weight > line THEN line END) OVER (PARTITION BY {siblings}) AS open_line FROM {name}_lines),
+  {name} AS (SELECT {path}, least(capacity, coalesce(open_line * weight, capacity)) AS given FROM {name}_open),"""
+
+
+def _weight_sql(level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX.get(level, {}).items()) + " ELSE 1.0 END::DOUBLE"
+
+
+def _op5_sql() -> str:
+    parts, above = [], None
+    for i, level in enumerate(mixing.LEVELS):
+        path = ", ".join(mixing.LEVELS[: i + 1])
+        parent = f"JOIN {above} p ON " + " AND ".join(f"n.{c} IS NOT DISTINCT FROM p.{c}" for c in mixing.LEVELS[:i]) if above else ""
+        given = "p.given" if above else "(SELECT least(sum(tokens)::DOUBLE, sum(capacity)) FROM leaves)"
+        parts.append(_LEVEL.format(name=f"l{i}", path=path, weight=_weight_sql(level), given=given, parent=parent, siblings=", ".join(mixing.LEVELS[:i]) or "1", level=level))
+        above = f"l{i}"
+    same = " AND ".join(f"d.{c} IS NOT DISTINCT FROM p.{c}" for c in mixing.LEVELS)
+    return f"""
+WITH docs AS (SELECT doc_id, CASE WHEN try_cast(regexp_extract(source, '[0-9]+') AS INTEGER) < 10 THEN 'web' ELSE 'reference' END AS domain, lang, source,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS tokens FROM documents),
+  leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, (sum(tokens) * {mixing.MAX_EPOCHS})::DOUBLE AS capacity FROM docs GROUP BY ALL),{"".join(parts)}
+  plan AS (SELECT d.domain, d.lang, d.source, d.tokens AS n, floor(p.given + 1e-6)::BIGINT AS budget FROM leaves d JOIN {above} p ON {same}),
+  placed AS (SELECT d.*, p.budget, p.n, CASE WHEN p.n > 0 THEN least(p.budget // greatest(p.n, 1), {mixing.MAX_EPOCHS}) ELSE 1 END AS epochs FROM docs d JOIN plan p ON {same}),
+  ordered AS (SELECT *, md5('{mixing.SEED}:' || epochs || ':' || doc_id) AS place FROM placed),
+  summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM ordered)
+SELECT doc_id, domain, lang, source, tokens, budget, (epochs + CASE WHEN epochs < {mixing.MAX_EPOCHS} AND upto <= budget - epochs * n THEN 1 ELSE 0 END)::BIGINT AS copies FROM summed"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_mixing": _op5_sql()}

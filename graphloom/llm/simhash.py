@@ -22,7 +22,7 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import flat, written
@@ -56,17 +56,17 @@ def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, tag (tells apart rows that repeat an id) and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, begins = flat(batch.column(1))
+            raw, begins = flat(batch.column(2))
             data, at = raw.tobytes(), begins.tolist()
             found = np.array([text_fingerprint(data[a:b], shingle) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, tag int, fp bigint")
 
 
 def block_masks(blocks: int = 2) -> list[int]:
@@ -133,9 +133,21 @@ def links(distinct: DataFrame, most: int = MOST, tile: int = TILE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """doc_id, fp and component_id (the smallest document id reachable) of every row."""
+    """doc_id, tag, fp and component_id (the smallest document id reachable) of every row."""
     found = written(fingerprints(docs, id_col, text_col), "fingerprints")
     first = written(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct-fingerprints")
     joined = components(links(first.where("id is not null"), most))
     named = written(first.join(joined, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "named-fingerprints")
     return found.join(named, "fp")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+    """One row of docs for each group of near duplicates, the one with the smallest id (then the smallest hash of its text)."""
+    found = near_duplicates(docs, id_col, text_col, most)
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")]
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))
+    best = found.groupBy(*group).agg(F.min(F.coalesce(named, F.struct(F.lit(None).cast("bigint").alias("doc_id"), F.col("tag")))).alias("x"), F.min(named).alias("y"))
+    kept = best.select(F.coalesce("y", "x").alias("z")).select(F.col("z.doc_id").alias("_doc"), F.col("z.tag").alias("_tag"))
+    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_doc")) & (F.hash(docs[text_col]) == F.col("_tag")))
+    once = F.row_number().over(Window.partitionBy("_doc", "_tag").orderBy("_tag"))
+    return rows.withColumn("_once", once).where("_once = 1").select(*docs.columns)
