@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import flat, slices, written
 
-WINDOW, NODE = 50, 12
+WINDOW, NODE = 50, 20
 #: Bytes of text that are hashed at once.
 STEP = 1 << 20
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
