@@ -212,16 +212,17 @@ def line_components(rows: DataFrame, least: float = LEAST, tile: int = TILE) ->
 
 
 def drop_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of docs with the text that is left and `n_removed`, the number of lines that went. All columns are kept."""
+    """The rows of docs with the text that is left and `n_removed`, the number of lines that went. All columns are kept (an input column n_removed is replaced)."""
     rows = _documents(docs, id_col, text_col)
     joined = line_components(rows, least)
     found = written(_occurrences(rows), "lines")
     named = written(found.join(joined, "line", "left").select("doc", "tag", "number", F.coalesce("component", "line").alias("component")), "named-lines")
     first = written(named.groupBy("component").agg(F.min(F.struct("doc", "tag", "number")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first"), "first-lines")
     later = named.join(first, "component").where(F.struct("doc", "tag", "number") > F.col("first"))
-    gone = later.groupBy("doc", "tag").agg(F.collect_set("number").alias("_gone"))
-    keys = {"doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(_FAR)), "tag": F.hash(text_col)}
-    whole = docs.withColumns({f"_{k}": v for k, v in keys.items()}).join(gone.withColumnsRenamed({"doc": "_doc", "tag": "_tag"}), ["_doc", "_tag"], "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return whole.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = later.groupBy("doc", "tag").agg(F.collect_set("number").alias("__gone")).withColumnsRenamed({"doc": "__doc", "tag": "__tag"})
+    keys = {"__doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(_FAR)), "__tag": F.hash(text_col)}
+    whole = docs.withColumns(keys).join(gone.hint("merge"), ["__doc", "__tag"], "left")  # lines that go have no size bound
+    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("__gone", i))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")
+    return whole.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "n_removed"), n_removed)

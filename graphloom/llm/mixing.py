@@ -10,7 +10,7 @@ only documents of a range meet.
 
 Defined results: null texts have no tokens and are taken with their epoch; null levels are a value of their own; ties of the
 order (repeated ids) are taken or left together; a leaf without tokens takes one epoch; an empty table gives no rows;
-columns of the input are kept.
+columns of the input are kept, but for `budget` and `copies`, which are made anew.
 """
 
 from __future__ import annotations
@@ -81,22 +81,22 @@ def mix(
     """The rows of docs with `budget` (of the leaf, in tokens) and `copies`: how many epochs take the document."""
     leaves = written(docs.groupBy(*levels).agg(F.sum(tokens_col).alias("tokens")), "leaves")
     plan = written(budgets(leaves, levels, weights or {}, total, max_epochs), "plan")
-    named = plan.select(*(F.col(c).alias(f"_leaf_{c}") for c in levels), F.col("tokens").alias("_all"), F.col("budget").alias("_budget"))
-    whole = F.when(F.col("_all") > 0, F.least(F.floor(F.col("_budget") / F.greatest("_all", F.lit(1))), F.lit(max_epochs))).otherwise(F.lit(1))
-    rows = docs.join(named, [docs[c].eqNullSafe(named[f"_leaf_{c}"]) for c in levels])
-    rows = rows.withColumn("_whole", whole.cast("long")).withColumn("_rest", F.col("_budget") - F.col("_whole") * F.col("_all"))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    leaf = [f"_leaf_{c}" for c in levels]
-    rows = rows.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, 3))
-    ranges = rows.groupBy(*leaf, "_range").agg(F.sum(tokens_col).alias("_n"))
-    earlier = Window.partitionBy(*leaf).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*(F.col(c).alias(f"_r{c}") for c in leaf), F.col("_range").alias("_r_range"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    same = [rows[c].eqNullSafe(ranges[f"_r{c}"]) for c in leaf] + [rows["_range"] == ranges["_r_range"]]
-    within = F.sum(tokens_col).over(Window.partitionBy(*leaf, "_range").orderBy("_order").rangeBetween(Window.unboundedPreceding, 0))
-    rows = rows.join(ranges, same).withColumn("_upto", F.col("_before") + within)
-    copies = F.col("_whole") + (F.col("_upto") <= F.col("_rest")).cast("long")
-    capped = F.when(F.col("_whole") < max_epochs, copies).otherwise(F.col("_whole"))
-    return rows.select(*docs.columns, F.col("_budget").alias("budget"), capped.alias("copies"))
+    named = plan.select(*(F.col(c).alias(f"__leaf_{c}") for c in levels), F.col("tokens").alias("__all"), F.col("budget").alias("__budget"))
+    whole = F.when(F.col("__all") > 0, F.least(F.floor(F.col("__budget") / F.greatest("__all", F.lit(1))), F.lit(max_epochs))).otherwise(F.lit(1))
+    rows = docs.join(named, [docs[c].eqNullSafe(named[f"__leaf_{c}"]) for c in levels])
+    rows = rows.withColumn("__whole", whole.cast("long")).withColumn("__rest", F.col("__budget") - F.col("__whole") * F.col("__all"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    leaf = [f"__leaf_{c}" for c in levels]
+    rows = rows.withColumn("__order", order).withColumn("__range", F.substring("__order", 1, 3))
+    ranges = rows.groupBy(*leaf, "__range").agg(F.sum(tokens_col).alias("__n"))
+    earlier = Window.partitionBy(*leaf).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*(F.col(c).alias(f"__r{c}") for c in leaf), F.col("__range").alias("__r_range"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = [rows[c].eqNullSafe(ranges[f"__r{c}"]) for c in leaf] + [rows["__range"] == ranges["__r_range"]]
+    within = F.sum(tokens_col).over(Window.partitionBy(*leaf, "__range").orderBy("__order").rangeBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(ranges, same).withColumn("__upto", F.col("__before") + within)
+    copies = F.col("__whole") + (F.col("__upto") <= F.col("__rest")).cast("long")
+    capped = F.when(F.col("__whole") < max_epochs, copies).otherwise(F.col("__whole"))
+    return rows.select(*(c for c in docs.columns if c not in ("budget", "copies")), F.col("__budget").alias("budget"), capped.alias("copies"))
 
 
 def with_domain(docs: DataFrame, source: str = "source") -> DataFrame:
@@ -109,7 +109,7 @@ def apply_mix(docs: DataFrame, levels: tuple[str, ...] = LEVELS, weights: Mappin
     """The rows of docs, each as often as the mix takes it. Budgets come from narrow rows; texts are shuffled once."""
     tagged = with_domain(docs) if "domain" in levels and "domain" not in docs.columns else docs
     narrow = tagged.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("tag"), *levels, n_tokens(text_col).alias("tokens"))
-    taken = mix(written(narrow, "narrow"), levels, weights).groupBy("doc_id", "tag").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = taken.withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"})
-    rows = docs.join(taken, docs[id_col].eqNullSafe(F.col("_doc")) & (F.hash(docs[text_col]) == F.col("_tag")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken = mix(written(narrow, "narrow"), levels, weights).groupBy("doc_id", "tag").agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    taken = taken.withColumnsRenamed({"doc_id": "__doc", "tag": "__tag"})
+    rows = docs.join(taken, docs[id_col].eqNullSafe(taken["__doc"]) & (F.hash(docs[text_col]) == taken["__tag"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -125,5 +125,5 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of docs that judge() keeps, as they are."""
     judged = judge(docs, labels, risk, delta, id_col, text_col, stratum_col)
-    gone = judged.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_doc")) & (F.hash(docs[text_col]) == F.col("_tag")), "left_anti")
+    gone = judged.where("not kept").select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["__doc"]) & (F.hash(docs[text_col]) == gone["__tag"]), "left_anti")

@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")]
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tag"))
     best = found.groupBy(*group).agg(F.min(F.coalesce(named, F.struct(F.lit(None).cast("bigint").alias("doc_id"), F.col("tag")))).alias("x"), F.min(named).alias("y"))
-    kept = best.select(F.coalesce("y", "x").alias("z")).select(F.col("z.doc_id").alias("_doc"), F.col("z.tag").alias("_tag"))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_doc")) & (F.hash(docs[text_col]) == F.col("_tag")))
-    once = F.row_number().over(Window.partitionBy("_doc", "_tag").orderBy("_tag"))
-    return rows.withColumn("_once", once).where("_once = 1").select(*docs.columns)
+    kept = best.select(F.coalesce("y", "x").alias("z")).select(F.col("z.doc_id").alias("__doc"), F.col("z.tag").alias("__tag"))
+    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["__doc"]) & (F.hash(docs[text_col]) == kept["__tag"]))
+    once = F.row_number().over(Window.partitionBy("__doc", "__tag").orderBy("__tag"))
+    return rows.withColumn("__once", once).where("__once = 1").select(*docs.columns)
