@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Endings of component names and the kinds they tell, the first that fits wins.
-KIND_SUFFIXES = ("Page", "Screen", "View", "Modal", "Dialog", "Drawer", "Sheet", "Card", "List", "Item", "Form", "Button", "Input", "Panel", "Bar", "Layout", "Provider", "Icon", "Chart", "Table")
+# Endings of component names and the kinds they tell; the first that fits wins.
+KIND_SUFFIXES = {
+    "Page": "page", "Modal": "modal", "Dialog": "dialog", "Card": "card", "Chart": "chart", "Form": "form", "Detail": "detail",
+    "Details": "detail", "Panel": "panel", "Section": "section", "List": "list", "Item": "item", "Button": "button",
+    "Widget": "widget", "View": "view", "Provider": "provider", "Overlay": "overlay", "Tab": "tab", "Picker": "picker",
+    "Badge": "badge",
+}
 
 
 def pascal_case(name: Column) -> Column:
@@ -24,10 +29,10 @@ def normal_name(name: Column) -> Column:
     return F.translate(F.lower(name), "-_.", "")
 
 
-def kind_of(name: Column, suffixes: tuple[str, ...] = KIND_SUFFIXES, other: str = "component") -> Column:
-    out = F.lit(other)
-    for s in reversed(suffixes):
-        out = F.when(F.endswith(F.lower(name), F.lit(s.lower())), F.lit(s.lower())).otherwise(out)
+def kind_of(name: Column) -> Column:
+    out = F.lit("common")
+    for suffix, kind in reversed(KIND_SUFFIXES.items()):
+        out = F.when(F.endswith(name, F.lit(suffix)), F.lit(kind)).otherwise(out)
     return out
 
 

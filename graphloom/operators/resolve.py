@@ -52,14 +52,14 @@ def match_routes(calls: DataFrame, routes: DataFrame, path: str = "path", patter
     """
     segments = lambda c: F.filter(F.split(normal_route(F.col(c)), "/"), lambda x: x != "")
     asked = calls.withColumn("_have", segments(path)).withColumn("_n", F.size("_have"))
-    offered = routes.withColumn("_want", segments(pattern)).withColumn("_open", F.coalesce(F.startswith(F.try_element_at("_want", F.lit(-1)), F.lit("*")), F.lit(False)))
+    offered = routes.select(pattern, F.col("ord").alias("_ord")).withColumn("_want", segments(pattern)).withColumn("_open", F.coalesce(F.startswith(F.try_element_at("_want", F.lit(-1)), F.lit("*")), F.lit(False)))
     deepest = asked.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first().n
     least = F.size("_want")
     counts = F.when(F.col("_open"), F.sequence(least, F.greatest(least, F.lit(deepest)))).otherwise(F.array(least))
     offered = offered.withColumn("_n", F.explode(counts))
     fits = F.forall(F.zip_with("_want", F.slice("_have", F.lit(1), F.size("_want")), lambda w, h: w.rlike(ROUTE) | (w == h)), lambda x: x)
     found = asked.join(offered, "_n").where(fits)
-    best = found.groupBy(*calls.columns).agg(F.min_by(pattern, "ord").alias(pattern))
+    best = found.groupBy(*calls.columns).agg(F.min_by(pattern, "_ord").alias(pattern))
     return calls.join(best, calls.columns, "left")
 
 

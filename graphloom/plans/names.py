@@ -25,9 +25,12 @@ def normalize_name(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", T.normal_name(raw).alias("key"))
 
 
-@C.add("SELECT p_partkey, CASE WHEN ends_with(p_name, 'widget') THEN 'widget' WHEN ends_with(p_name, 'ring') THEN 'ring' ELSE 'component' END AS kind FROM part")
+_KIND = "CASE " + " ".join(f"WHEN ends_with(n, '{k}') THEN '{v}'" for k, v in T.KIND_SUFFIXES.items()) + " ELSE 'common' END"
+
+
+@C.add(f"SELECT p_partkey, {_KIND} AS kind FROM (SELECT p_partkey, {_CAMEL.format(x='p_name')} AS n FROM part)")
 def kind_suffix(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select("p_partkey", T.kind_of(F.col("p_name"), ("Widget", "Ring")).alias("kind"))
+    return read(spark, d, "part").select("p_partkey", T.kind_of(T.pascal_case(F.col("p_name"))).alias("kind"))
 
 
 @C.add("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain FROM pages")
