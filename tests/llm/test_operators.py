@@ -513,7 +513,9 @@ def test_simhash_links_lose_nothing(spark):
         assert {i: found.get(i, i) for i in by_id} == want
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("together", [1 << 20, 20])
+def test_components_of_long_chains(spark, monkeypatch, together):
+    monkeypatch.setattr("graphloom.llm.components.TOGETHER", together)
     r = random.Random(6)
     order = list(range(300))
     r.shuffle(order)
