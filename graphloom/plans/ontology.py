@@ -145,13 +145,30 @@ def build(sources: DataFrame, declared: DataFrame | None = None, aliases: dict[s
     served = X.go_routes(code)
     routes = pages.select(F.concat(F.lit("route:"), "route").alias("base"), "route", "kind", "path", F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("handler"), F.lit(0).alias("ord"))
     routes = routes.unionByName(served.select(F.concat(F.lit("route:"), "method", F.lit(" "), "route").alias("base"), "route", F.lit("http").alias("kind"), "path", "method", "handler", "ord"))
+    written = X.router_routes(code)
+    routes = routes.unionByName(written.select(F.concat(F.lit("route:"), "route").alias("base"), "route", "kind", "path", F.lit(None).cast("string").alias("method"), F.col("component").alias("handler"), "ord"))
+    chains = command_chains(*X.commands(code))
+    routes = routes.unionByName(chains.select(F.concat(F.lit("route:go-cli:"), "chain").alias("base"), F.col("chain").alias("route"), F.lit("command").alias("kind"), "path", F.lit(None).cast("string").alias("method"), F.col("command").alias("handler"), F.lit(0).alias("ord")))
     order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path", "ord", "route"))
     routes = cut(L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", order).withColumn("domain", T.route_domain(F.col("route"))))
     calls = X.http_calls(code).select("path", "method", F.regexp_replace(F.col("url"), r"^https?://[^/]+", "").alias("url"), "ord").where("url <> ''")
-    matched = cut(R.match_routes(calls, routes.where("kind <> 'page'").select("ord", F.col("route").alias("pattern")), "url", "pattern"))
-    called = matched.where("pattern is not null").join(routes.where("kind <> 'page'").select(F.col("route").alias("pattern"), "id"), "pattern")
+    matched = cut(R.match_routes(calls, routes.where("kind in ('api', 'http')").select("ord", F.col("route").alias("pattern")), "url", "pattern"))
+    called = matched.where("pattern is not null").join(routes.where("kind in ('api', 'http')").select(F.col("route").alias("pattern"), "id"), "pattern")
     edges.append(L.edges(called, "requestsTo", file_id("path"), "id", F.lit(0)).distinct())
-    edges.append(L.edges(routes, "registers", "id", file_id("path"), F.lit(0)))
+    edges.append(L.edges(routes, "registers", "id", file_id("path"), F.lit(1)))
+    wanted = routes.select("id", "path", F.col("handler").alias("name")).where("name is not null").join(by_name, "name").join(reach, ["path", "there"])
+    edges.append(L.edges(wanted, "registers", "id", "dst_id", F.lit(0)).distinct())
+    seen = routes.where("kind not in ('api', 'http', 'command')")
+    led = R.match_routes(X.navigations(code), seen.select("ord", F.col("route").alias("pattern")), "target", "pattern").where("pattern is not null")
+    shows = seen.select(F.col("id").alias("src_id"), "path").unionByName(wanted.join(by_name.select("dst_id", F.col("there").alias("shown")), "dst_id").select(F.col("id").alias("src_id"), F.col("shown").alias("path"))).distinct()
+    led = led.join(seen.select(F.col("route").alias("pattern"), F.col("id").alias("dst_id")), "pattern").join(shows, "path").where("src_id <> dst_id")
+    edges.append(L.edges(led, "navigatesTo", "src_id", "dst_id", F.lit(0)).distinct())
+
+    # props: for each pair of components and prop the strongest source of its sites
+    sites = X.prop_sites(code).join(first, "path").withColumnRenamed("tag", "tag_name")
+    given = sites.join(by_name.withColumnRenamed("name", "tag_name"), "tag_name").join(reach, ["path", "there"]).where("src_id <> dst_id").withColumn("ord", F.col("site") * 1000 + F.col("ord"))
+    props = cut(A.priority_merge(given, ["src_id", "dst_id", "name"], "source", X.PROP_RANKS, "ord"))
+    edges.append(L.edges(props, "passesProps", "src_id", "dst_id", F.lit(0)).distinct())
 
     # containment, in the order: modules, files, units
     edges.append(L.edges(modules.where("parent_id is not null"), "contains", "parent_id", "id", F.lit(0)))
@@ -170,7 +187,8 @@ def build(sources: DataFrame, declared: DataFrame | None = None, aliases: dict[s
     out = {
         "SourceFile": files, "Module": modules, "Dependency": packages, "Component": components, "Hook": hooks, "Store": stores,
         "Interface": entities.where("entity = 'interface'"), "Class": entities.where("entity = 'class'"), "Method": methods,
-        "Route": routes, "UserScript": user_scripts, "GmApiUsage": gm, "NetworkEndpoint": net, "edges": edges,
+        "Route": routes, "UserScript": user_scripts, "GmApiUsage": gm, "NetworkEndpoint": net,
+        "PropEdge": props.groupBy("src_id", "dst_id").agg(F.sort_array(F.collect_list(F.struct("name", "source"))).alias("props")).withColumn("id", F.concat(F.lit("prop:"), "src_id", F.lit("→"), "dst_id")), "edges": edges,
         "unmatched": matched.where("pattern is null").select("path", "method", "url"),
     }
     between = edges.where("link_type = 'imports'").where(F.startswith("dst_id", F.lit("file:"))).select("src_id", "dst_id").distinct()
@@ -183,6 +201,22 @@ def build(sources: DataFrame, declared: DataFrame | None = None, aliases: dict[s
     return out
 
 
+def command_chains(made: DataFrame, children: DataFrame, depth: int = 8) -> DataFrame:
+    """path, command, chain: the words that lead to each command from a root, which is one that no other adds."""
+    names = made.select("path", "command", "use")
+    tops = names.join(children.select("command").distinct(), "command", "left_anti").select("path", "command", F.col("use").alias("chain"))
+    level, out = cut(tops), tops
+    # a command may be added in another file than the one that makes it
+    steps = children.select("parent", "command").distinct().join(names.withColumnRenamed("path", "at"), "command")
+    for _ in range(depth - 1):
+        level = level.select(F.col("command").alias("parent"), "chain").join(steps, "parent").select(F.col("at").alias("path"), "command", F.concat_ws(" ", "chain", "use").alias("chain"))
+        level = cut(level)
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
+
+
 def orphans(files: DataFrame, imports: DataFrame, routes: DataFrame) -> DataFrame:
     """Files under src/ or lib/ that no file imports, no route shows and no rule exempts."""
     rows = files.where(F.col("path").rlike("^(src|lib)/") & ~F.col("is_test") & ~F.col("is_entry") & ~F.col("is_script"))

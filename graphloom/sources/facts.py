@@ -150,3 +150,54 @@ def script_endpoints(sources: DataFrame) -> DataFrame:
         F.coalesce(F.exists("connects", lambda c: (c == "*") | (F.col("domain") == c) | F.endswith("domain", F.concat(F.lit("."), c))), F.lit(False))
     )
     return counted.join(connects, "path", "left").select("path", F.coalesce("domain", F.lit("(dynamic)")).alias("domain"), "n", allowed.alias("allowed"))
+
+
+def router_routes(sources: DataFrame) -> DataFrame:
+    """path, ord, route, component of routes that are written as markup, as records or as constructor calls."""
+    markup = found(sources, ("tsx", "jsx", "js", "ts"), r"""<Route\s+[^>]*?path=\{?['"]([^'"]+)['"]\}?[^>]*?(?:element=\{\s*<|component=\{)\s*([A-Z]\w*)""", route=1, component=2)
+    records = found(sources, SCRIPT, r"""\bpath:\s*['"]([^'"]*)['"]\s*,[^{}]*?\b(?:component|element|Component):\s*<?\s*([A-Z]\w*)""", route=1, component=2)
+    dart = found(sources, ("dart",), r"""\bGoRoute\(\s*path:\s*['"]([^'"]+)['"][^;]*?(?:=>|return)\s*(?:const\s+)?([A-Z]\w*)""", route=1, component=2)
+    rows = markup.withColumn("kind", F.lit("jsx")).unionByName(records.withColumn("kind", F.lit("record"))).unionByName(dart.withColumn("kind", F.lit("dart")))
+    whole = F.when(F.startswith("route", F.lit("/")), F.col("route")).otherwise(F.concat(F.lit("/"), F.coalesce("route", F.lit(""))))
+    return rows.select("path", "ord", whole.alias("route"), "component", "kind")
+
+
+def navigations(sources: DataFrame) -> DataFrame:
+    """path, target: where the code of a file leads to."""
+    script = found(sources, SCRIPT, r"""(?:\bnavigate\(|\brouter\.(?:push|replace)\(|<(?:Link|NavLink|Navigate|router-link)\s[^>]*?\b(?:to|href)=\{?)\s*['"](/[^'"]*)['"]""", target=1)
+    dart = found(sources, ("dart",), r"""\bcontext\.(?:go|push)\(\s*['"](/[^'"]*)['"]""", target=1)
+    return script.unionByName(dart).select("path", "target").distinct()
+
+
+# Where a prop's value may come from; of several sites the highest counts.
+PROP_RANKS = {"forward": 6, "state": 5, "store": 4, "handler": 3, "computed": 2, "literal": 1, "spread": 0}
+
+
+def prop_sites(sources: DataFrame) -> DataFrame:
+    """path, tag, ord, name, source of each prop that a component's tag is given."""
+    sites = found(sources, ("tsx", "jsx"), r"(?s)<([A-Z]\w*)((?:\s+(?:[\w-]+(?:=(?:\{(?:[^{}]|\{[^{}]*\})*\}|\"[^\"]*\"|'[^']*'))?|\{\.\.\.\w+\}))+)\s*/?>", tag=1, attributes=2)
+    one = r"([\w-]+)(?:=(\{(?:[^{}]|\{[^{}]*\})*\}|\"[^\"]*\"|'[^']*'))?|\{\.\.\.(\w+)\}"
+    lists = [F.regexp_extract_all("attributes", F.lit(one), i).alias(n) for i, n in enumerate(("name", "value", "rest"), 1)]
+    props = sites.select("path", "tag", F.col("ord").alias("site"), *lists).select("path", "tag", "site", F.posexplode(F.arrays_zip("name", "value", "rest")).alias("ord", "x")).select("path", "tag", "site", "ord", "x.*")
+    bare = F.trim(F.regexp_replace("value", r"^\{|\}$", ""))
+    props = props.withColumn("bare", bare).withColumn("root", F.regexp_extract("bare", r"^([A-Za-z_$][\w$]*)", 1))
+    states = found(sources, SCRIPT, r"const\s*\[\s*(\w+)\s*,\s*\w*\s*\]\s*=\s*(?:React\.)?useState", root=1).select("path", "root", F.lit(True).alias("state")).distinct()
+    held = found(sources, SCRIPT, r"const\s+\{?\s*(\w+)[\w,\s]*\}?\s*=\s*use\w*Store\b", root=1).select("path", "root", F.lit(True).alias("store")).distinct()
+    given = found(sources, ("tsx", "jsx"), r"(?:function\s+[A-Z]\w*|const\s+[A-Z]\w*\s*=)\s*\(\s*\{([^}]*)\}", list=1)
+    given = given.select("path", F.explode(F.split("list", r"\s*,\s*")).alias("root")).select("path", F.regexp_extract("root", r"(\w+)", 1).alias("root"), F.lit(True).alias("given")).distinct()
+    for df in (states, held, given):
+        props = props.join(df, ["path", "root"], "left")
+    plain = F.col("value").rlike("^[\"']") | F.col("bare").rlike(r"^(true|false|null|-?[0-9.]+|'[^']*'|\"[^\"]*\"|`[^`$]*`)$") | (F.col("value") == "")
+    source = (
+        F.when(F.col("rest") != "", "spread").when(plain, "literal").when(F.col("name").rlike("^on[A-Z]") | F.contains("bare", F.lit("=>")), "handler")
+        .when((F.col("root") == "props") | (F.col("given") & (F.col("bare") == F.col("root"))), "forward").when(F.col("state") & (F.col("bare") == F.col("root")), "state").when(F.col("store"), "store").otherwise("computed")
+    )
+    return props.select("path", "tag", "site", "ord", F.when(F.col("rest") != "", F.concat(F.lit("..."), "rest")).otherwise(F.col("name")).alias("name"), source.alias("source"))
+
+
+def commands(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Go command-line commands: (path, command, use) and (path, parent, command) edges between their variables."""
+    made = found(sources, ("go",), r"(?s)(\w+)\s*:?=\s*&cobra\.Command\{[^{}]*?Use:\s*\"([^\" ]+)", command=1, use=2).select("path", "command", "use")
+    added = found(sources, ("go",), r"(\w+)\.AddCommand\(([^)]*)\)", parent=1, list=2)
+    edges = added.select("path", "parent", F.explode(F.split("list", r"\s*,\s*")).alias("command")).select("path", "parent", F.regexp_extract("command", r"(\w+)(?:\(\))?$", 1).alias("command"))
+    return made, edges

@@ -18,6 +18,10 @@ FILES = {
     "src/hooks/useThing.ts": "import type { Storage } from '../types/storage';\nexport function useThing(s: Storage) { return s; }\n",
     "src/types/storage.ts": "export interface Storage {\n  get(key: string): string;\n}\nexport class Memory implements Storage {\n  get(key: string): string { return key; }\n}\nexport class Cache extends Memory {\n  get(key: string): string { return key; }\n}\n",
     "src/stores/cart.ts": "import { create } from 'zustand';\nexport const useCart = create((set) => ({}));\n",
+    "src/App.jsx": "import { HomePage } from './pages/HomePage';\nimport { Shop } from './Shop';\nexport const Routes = () => <><Route path='/' element={<HomePage/>} /><Route path=\"shop/:id\" element={<Shop/>} /></>;\n",
+    "src/Shop.tsx": "import { Badge } from './Badge';\nexport function Shop({ title, id }) {\n  const [count, setCount] = useState(0);\n  const items = useCartStore();\n  const go = () => navigate('/');\n  return <div><Badge title={title} count={count} items={items} onClick={go} max={3} label=\"x\" sum={count + 1} {...rest} /><Badge title=\"fixed\" disabled /></div>;\n}\n",
+    "src/Badge.tsx": "export const Badge = (p) => <b/>;\n",
+    "cmd/root.go": "package main\n\nvar rootCmd = &cobra.Command{\n\tUse: \"app\",\n}\nvar serveCmd = &cobra.Command{\n\tUse: \"serve [port]\",\n}\nvar fastCmd = &cobra.Command{Use: \"fast\"}\n\nfunc init() {\n\trootCmd.AddCommand(serveCmd)\n\tserveCmd.AddCommand(fastCmd)\n}\n",
     "src/a.ts": "import { b } from './b';\nexport const a = () => b;\n",
     "src/b.ts": "import { a } from './a.js';\nexport const b = () => a;\n",
     "src/utils/lonely.ts": "export function neverUsed() { return 1; }\n",
@@ -54,8 +58,8 @@ def pairs(graph, link):
 
 def test_scan_skips_folders(spark, root):
     paths = {r.path for r in read_sources(spark, root).collect()}
-    assert paths == {p for p in FILES if p.rsplit(".", 1)[-1] in ("ts", "tsx", "js", "go", "rs", "dart") and not p.startswith("node_modules")}
-    assert {r.path for r in read_sources(spark, root, ("router", "cmd")).collect()} == {"router/router.go", "cmd/main.go"}
+    assert paths == {p for p in FILES if p.rsplit(".", 1)[-1] in ("ts", "tsx", "js", "jsx", "go", "rs", "dart") and not p.startswith("node_modules")}
+    assert {r.path for r in read_sources(spark, root, ("router", "cmd")).collect()} == {"router/router.go", "cmd/main.go", "cmd/root.go"}
 
 
 def test_manifests(spark, root):
@@ -68,7 +72,7 @@ def test_imports_resolve(graph):
     want = {
         f("src/main.tsx", "src/pages/HomePage.tsx"), f("src/main.tsx", "src/a.ts"), f("src/pages/HomePage.tsx", "src/components/Card.tsx"),
         f("src/pages/HomePage.tsx", "src/hooks/useThing.ts"), f("src/hooks/useThing.ts", "src/types/storage.ts"), f("src/a.ts", "src/b.ts"),
-        f("src/b.ts", "src/a.ts"), f("cmd/main.go", "router/router.go"),
+        f("src/b.ts", "src/a.ts"), f("cmd/main.go", "router/router.go"), f("src/App.jsx", "src/pages/HomePage.tsx"), f("src/App.jsx", "src/Shop.tsx"), f("src/Shop.tsx", "src/Badge.tsx"),
     }
     found = pairs(graph, "imports")
     assert {p for p in found if p[1].startswith("file:")} == want
@@ -91,21 +95,30 @@ def test_units_and_layers(graph):
     assert {r.name: r.kind for r in graph["Component"].collect()}["HomePage"] == "page"
     assert ("comp:HomePage", "comp:Card") in pairs(graph, "renders")
     assert {r.name for r in graph["Store"].collect()} == {"useCart"} and "hook:useThing" in {r.id for r in graph["Hook"].collect()}
-    assert {r.id: r.n_files for r in graph["Module"].collect()}["mod:src"] == 10
+    assert {r.id: r.n_files for r in graph["Module"].collect()}["mod:src"] == 13
 
 
 def test_routes_and_calls(graph):
     routes = {r.id: (r.kind, r.domain) for r in graph["Route"].collect()}
-    assert routes == {"route:/cart/:id": ("page", "cart"), "route:/api/items": ("api", "items"), "route:GET /api/user/:id": ("http", "user")}
+    written = {"route:/": ("jsx", "root"), "route:/shop/:id": ("jsx", "shop")}
+    assert {k: v for k, v in routes.items() if v[0] != "command"} == {"route:/cart/:id": ("page", "cart"), "route:/api/items": ("api", "items"), "route:GET /api/user/:id": ("http", "user"), **written}
+    assert {k for k, v in routes.items() if v[0] == "command"} == {"route:go-cli:app", "route:go-cli:app serve", "route:go-cli:app serve fast"}
+    assert ("route:/shop/:id", "comp:Shop") in pairs(graph, "registers") and pairs(graph, "navigatesTo") == {("route:/shop/:id", "route:/")}
     assert pairs(graph, "requestsTo") == {("file:src/pages/HomePage.tsx", "route:GET /api/user/:id")}
     assert "/nowhere/at/all" in {r.url for r in graph["unmatched"].collect()}
 
 
+def test_prop_edges(graph):
+    got = {(r.src_id, r.dst_id): {p.name: p.source for p in r.props} for r in graph["PropEdge"].collect()}
+    want = {"title": "forward", "count": "state", "items": "store", "onClick": "handler", "max": "literal", "label": "literal", "sum": "computed", "...rest": "spread", "disabled": "literal"}
+    assert got[("comp:Shop", "comp:Badge")] == want
+
+
 def test_analytics(graph):
     assert [r.members for r in graph["cycles"].collect()] == [["file:src/a.ts", "file:src/b.ts"]]
     assert "src/utils/lonely.ts" in {r.path for r in graph["orphans"].collect()}
     assert "method:src/utils/lonely.ts#neverUsed" in {r.id for r in graph["dead"].collect()}
-    assert {(r.id, r.level) for r in ontology.impact(graph["edges"], "file:src/types/storage.ts").collect()} == {("file:src/hooks/useThing.ts", 1), ("file:src/pages/HomePage.tsx", 2), ("file:src/main.tsx", 3)}
+    assert {(r.id, r.level) for r in ontology.impact(graph["edges"], "file:src/types/storage.ts").collect()} == {("file:src/hooks/useThing.ts", 1), ("file:src/pages/HomePage.tsx", 2), ("file:src/main.tsx", 3), ("file:src/App.jsx", 3)}
     assert [r.dst_id for r in L.follow(graph["edges"], "contains", "mod:src/hooks").collect()] == ["file:src/hooks/useThing.ts"]
     with pytest.raises(ValueError, match="unknown link type"):
         L.follow(graph["edges"], "nothing", "x")
