@@ -21,7 +21,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
@@ -101,23 +101,32 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc bigint, tag int, number int, line bigint")
 
 
+#: Lines that a task remembers so as not to hash them again.
+REMEMBERED = 1 << 20
+
+
 def _buckets(rows: DataFrame) -> DataFrame:
-    """bucket, line of every line, once for each slice of texts."""
+    """bucket, line of every line; a task leaves out most repetitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             texts, at = batch.column(0).to_pylist(), 0
             while at < len(texts):
-                held: dict[str, None] = {}
+                held: dict[int, str] = {}
                 size = 0
                 while at < len(texts) and size < STEP:
-                    size += len(texts[at] or "")
-                    held |= dict.fromkeys(x for x in line_list(texts[at]) if x)
+                    for line in line_list(texts[at]):
+                        if line and (key := _id(line)) not in seen:
+                            held[key] = line
+                            size += len(line)
                     at += 1
                 if held:
-                    lines = list(held)
-                    bands = band_hashes(lines)
-                    yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(np.array([_id(x) for x in lines]), bands.shape[1]))], ["bucket", "line"])
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    seen |= held.keys()
+                    bands = band_hashes(list(held.values()))
+                    yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(np.array(list(held)), bands.shape[1]))], ["bucket", "line"])
 
     return rows.select("text").mapInArrow(run, "bucket bigint, line bigint")
 
@@ -194,17 +203,21 @@ def _within(rows: DataFrame, least: float) -> DataFrame:
 
 def line_components(rows: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
     """line, component of every line that is similar to a lesser one. rows: _documents()."""
-    buckets = _buckets(rows).distinct()
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("line").alias("first")).where("n > 1")
-    shared = written(buckets.join(sizes, "bucket"), "line-buckets")
+    # one shuffle by bucket serves the distinct lines of a bucket, their number and the least of them
+    whole = Window.partitionBy("bucket")
+    buckets = _buckets(rows).repartition("bucket").dropDuplicates(["bucket", "line"])
+    shared = written(buckets.withColumns({"n": F.count("*").over(whole), "first": F.min("line").over(whole)}).where("n > 1"), "line-buckets")
     pairs = shared.where("line <> first").select(F.col("line").alias("a"), F.col("first").alias("b")).distinct()
     texts = written(_texts(rows, shared.select("line").distinct()), "line-texts")
     star = written(_similar(pairs, texts, least), "line-links")
     joined = components(star).select(F.col("id").alias("line"), "component")
-    placed = written(shared.select("bucket", "line", "n").join(joined, "line", "left").withColumn("component", F.coalesce("component", "line")), "placed-lines")
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    placed = written(shared.join(joined, "line", "left").withColumn("component", F.coalesce("component", "line")), "placed-lines")
+    # all lines were compared with the first of their bucket; of buckets with the same lines one is enough
+    others = placed.where("n > 2 and line <> first")
+    open_ = others.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("line")).alias("lines"), F.count("*").alias("k")).where("low <> high")
+    split = open_.groupBy("lines", "k").agg(F.min("bucket").alias("bucket")).select("bucket")
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    rest = placed.join(split, "bucket", "left_semi").join(texts, "line").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("line"), "tiles").cast("int"))
+    rest = others.join(split, "bucket", "left_semi").join(texts, "line").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("line"), "tiles").cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell")
     dealt = rest.select(cell, "line", "component", "string").repartition("cell").sortWithinPartitions("cell")
