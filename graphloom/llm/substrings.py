@@ -159,7 +159,7 @@ def _windows(rows: DataFrame, spans: DataFrame, window: int) -> DataFrame:
                 columns += [pa.array(x.hashes(place, place + window).view(np.int64)) for x in (one, two)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "at", "one", "two"])
 
-    joined = rows.join(spans, ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
+    joined = rows.join(spans.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")  # spans have no size bound
     return joined.mapInArrow(run, "doc_id bigint, tag int, at int, one bigint, two bigint")
 
 
@@ -212,7 +212,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if removed[-1] else b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
