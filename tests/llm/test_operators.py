@@ -11,13 +11,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import fingerprints, language, lines, mixing, packing, quality, simhash, substrings, token_files, urls
 from graphloom.llm.components import components
 from graphloom.llm.tokens import PieceEncoder, encoded
+from tests_llm_brute import brute_components, brute_fingerprint, crc, ids_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -29,14 +29,6 @@ def tokenizer():
     return found
 
 
-def ids_of(tokenizer, text):
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
-
-
-def crc(ids):
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
-
-
 def test_piece_encoder_gives_the_tokenizer_s_ids(tokenizer):
     r = random.Random(3)
     marks = ["a", "Zeta", "é", "ß", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "\u2003", "\x1c", "\x7f", ".", ",", "'s", "'", "1", "42", "😀", "<|endoftext|>", "日本", "\r\n", "-", "\u0085"]
@@ -461,29 +453,6 @@ def test_quality_cutoffs_keep_the_good(spark):
 # op10
 
 
-def brute_fingerprint(text):
-    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    parts = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
-    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def brute_components(fps):
-    """fps: {id: fingerprint}; the smallest id reachable over at most three differing bits."""
-    ids, label = sorted(fps), {}
-    for i in ids:
-        if i in label:
-            continue
-        stack, label[i] = [i], i
-        while stack:
-            x = stack.pop()
-            for y in ids:
-                if y not in label and (fps[x] ^ fps[y]).bit_count() <= 3:
-                    label[y] = i
-                    stack.append(y)
-    return label
-
-
 def test_simhash(unique, unique_docs, docs, rows, empty):
     fps = {r[0]: brute_fingerprint(r[1]) for r in unique}
     want = brute_components(fps)
