@@ -105,4 +105,46 @@ WITH docs AS (SELECT doc_id, CASE WHEN try_cast(regexp_extract(source, '[0-9]+')
 SELECT doc_id, domain, lang, source, tokens, budget, (epochs + CASE WHEN epochs < {mixing.MAX_EPOCHS} AND upto <= budget - epochs * n THEN 1 ELSE 0 END)::BIGINT AS copies FROM summed"""
 
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": _op5_sql()}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: op7: every window by its words, and the least document that has it.
+_OP7 = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+  starts AS (SELECT doc_id, words, unnest(range(1, len(words) - {substrings.WINDOW} + 2)) AS i FROM docs),
+  windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + {substrings.WINDOW} - 1], ' ')) AS h FROM starts),
+  firsts AS (SELECT h, min(doc_id) AS source FROM windows GROUP BY h),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substrings.WINDOW})) AS p FROM windows JOIN firsts USING (h) WHERE source < doc_id),
+  lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN words ELSE list_filter(words, lambda x, k: NOT list_contains(ps, k)) END, ' ')) AS kept_sha256
+FROM docs LEFT JOIN lists USING (doc_id)"""
+
+#: op9: counts, then for each stratum and rule the cutoff that its labelled documents allow.
+_OP9 = f"""
+WITH texts AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+  starts AS (SELECT doc_id, i, words[i:i + 2] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM texts)),
+  often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM starts),
+  covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM often WHERE n > 1) GROUP BY doc_id),
+  full_lines AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS filled FROM texts),
+  counts AS (SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      len(filled)::BIGINT AS n_lines, (len(filled) - len(list_distinct(filled)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM full_lines LEFT JOIN covered USING (doc_id)),
+  judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+  scores AS (SELECT doc_id, stratum, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'long_words', 'short_words']) AS rule, unnest([floor(1000 * n_symbols / greatest(word_chars, 1)),
+      floor(1000 * n_dup_lines / greatest(n_lines, 1)), floor(1000 * n_repeat_words / greatest(n_words, 1)), least(floor(100 * word_chars / greatest(n_words, 1)), 5000), -least(floor(100 * word_chars / greatest(n_words, 1)), 5000)]) AS score FROM judged),
+  marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+  held AS (SELECT unnest([stratum, '*']) AS stratum, rule, score, (quality > 0)::BIGINT AS good FROM scores JOIN marks USING (doc_id) WHERE NOT base_failed),
+  tallies AS (SELECT stratum, rule, score, sum(good) AS good, sum(1 - good) AS bad FROM held GROUP BY ALL),
+  sizes AS (SELECT stratum, sum(good) AS n_good, sum(bad) AS n_bad FROM tallies WHERE rule = 'symbols' GROUP BY stratum),
+  terms AS (SELECT stratum, n_good, unnest(range(0, (floor(n_good * {quality.RISK / 5!r}) + 1)::BIGINT)) AS k FROM sizes),
+  chances AS (SELECT stratum, k, sum(exp(log_chance)) OVER (PARTITION BY stratum ORDER BY k) AS below FROM (SELECT stratum, k, sum(CASE WHEN k = 0 THEN n_good * ln(1 - {quality.RISK / 5!r})
+      ELSE ln((n_good - k + 1)::DOUBLE / greatest(k, 1)) + ln({quality.RISK / 5!r} / (1 - {quality.RISK / 5!r})) END) OVER (PARTITION BY stratum ORDER BY k) AS log_chance FROM terms)),
+  allowed AS (SELECT stratum, max(k) AS most FROM chances WHERE below <= {quality.DELTA!r} / (5 * (SELECT count(*) FROM sizes)) GROUP BY stratum),
+  tried AS (SELECT stratum, rule, score, coalesce(sum(good) OVER above, 0) AS good, coalesce(sum(bad) OVER above, 0) AS bad FROM tallies WINDOW above AS (PARTITION BY stratum, rule ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  gains AS (SELECT stratum, rule, score, bad::DOUBLE / greatest(n_bad, 1) - good::DOUBLE / greatest(n_good, 1) AS gain FROM tried JOIN sizes USING (stratum) JOIN allowed USING (stratum) WHERE good <= most),
+  best AS (SELECT stratum, rule, score AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, score DESC) AS r FROM gains WHERE gain > 0) WHERE r = 1),
+  named AS (SELECT s.stratum, CASE WHEN a.stratum IS NULL THEN '*' ELSE s.stratum END AS source FROM (SELECT DISTINCT stratum FROM judged) s LEFT JOIN allowed a USING (stratum)),
+  rejected AS (SELECT DISTINCT doc_id FROM scores JOIN named USING (stratum) JOIN best ON best.stratum = named.source AND best.rule = scores.rule WHERE score > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.doc_id IS NULL AS kept FROM judged LEFT JOIN rejected r USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_mixing": _op5_sql(), "op7_substring_dedup": _OP7, "op9_quality_rules": _OP9}

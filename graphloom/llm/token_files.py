@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import flat  # noqa: F401  (re-exported for readers of the format)
 from graphloom.llm.tokens import VOCABULARY, PieceEncoder, encoded
 
 MAGIC, BLOCK = b"DAC1", 512
