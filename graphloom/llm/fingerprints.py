@@ -45,26 +45,32 @@ def fingerprint_columns(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
 
     The shingles are exploded and summed again before anything is shuffled, two lanes to a long.
     """
-    kept = rows.columns
     names = list(texts.values())
+    carried = [c for c in rows.columns if c not in texts]
     wide = rows.withColumns({f"_lines_{n}": F.split(F.coalesce(F.col(t), F.lit("")), "\n") for t, n in texts.items()})
-    exact = {f"_exact_{n}": F.array(*(_exact_lane(f"_lines_{n}", k) for k in range(EXACT))) for n in names}
+    # two lanes to a long here too: what is shuffled stays narrow, and becomes text at the end
+    both = lambda n, k: F.shiftleft(_exact_lane(f"_lines_{n}", k), 32).bitwiseOR(_exact_lane(f"_lines_{n}", k + 1))
+    exact = {f"_exact{k}_{n}": both(n, k) for n in names for k in range(0, EXACT, 2)}
     wide = wide.withColumns(exact | {f"_soft_{n}": _shingles(f"_lines_{n}") for n in names})
-    carried = [c for c in kept if c not in texts]
-    exacts = [F.array_join(F.transform(f"_exact_{n}", lambda x: F.lpad(F.hex(x), 8, "0")), "").alias(f"_exact_{n}") for n in names]
-    sides = F.array(*(F.named_struct(F.lit("side"), F.lit(n), F.lit("hashes"), F.col(f"_soft_{n}")) for n in names)).alias("sides")
+    sides = F.array(*(F.named_struct(F.lit("side"), F.lit(i), F.lit("hashes"), F.col(f"_soft_{n}")) for i, n in enumerate(names))).alias("sides")
     # the number is given before the rows are multiplied; all rows of a text leave the task that numbered it
-    rows = wide.select(*carried, *exacts, F.monotonically_increasing_id().alias("_row"), sides)
-    rows = rows.select(*(c for c in rows.columns if c != "sides"), F.explode("sides").alias("x"))
-    keys = [*carried, *(f"_exact_{n}" for n in names), "_row"]
+    rows = wide.select(*carried, *exact, F.monotonically_increasing_id().alias("_row"), sides)
+    keys = [*carried, *exact, "_row"]
+    rows = rows.select(*keys, F.explode("sides").alias("x"))
     each = rows.select(*keys, F.col("x.side").alias("_side"), F.explode("x.hashes").alias("_h"))
     pair = F.lit((1 << 32) + 1)
     sums = [F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(pair)).alias(f"_s{k}") for k in range(SOFT // 2)]
     summed = each.groupBy(*keys, "_side").agg(F.count("*").alias("_n"), *sums)
-    soft = F.lower(F.concat(F.lpad(F.hex(F.col("_n").bitwiseAND(F.lit(_LOW))), 8, "0"), *(F.lpad(F.hex(f"_s{k}"), 16, "0") for k in range(SOFT // 2))))
-    sided = summed.select(*keys, "_side", soft.alias("_soft"))
-    whole = sided.groupBy(*keys).agg(*(F.max(F.when(F.col("_side") == n, F.col("_soft"))).alias(f"_soft_{n}") for n in names))
-    return whole.select(*carried, *(F.concat(F.lower(f"_exact_{n}"), f"_soft_{n}").alias(n) for n in names))
+    sided = summed.select(*keys, "_side", F.array("_n", *(f"_s{k}" for k in range(SOFT // 2))).alias("_soft"))
+    whole = sided.groupBy(*keys).agg(*(F.max(F.when(F.col("_side") == i, F.col("_soft"))).alias(f"_soft_{n}") for i, n in enumerate(names)))
+    hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
+
+    def text(n: str) -> Column:
+        soft = F.array_join(F.transform(F.slice(f"_soft_{n}", 2, SOFT // 2), lambda x: hexed(x, 16)), "")
+        count = hexed(F.get(f"_soft_{n}", F.lit(0)).bitwiseAND(F.lit(_LOW)), 8)
+        return F.lower(F.concat(*(hexed(F.col(f"_exact{k}_{n}"), 16) for k in range(0, EXACT, 2)), count, soft)).alias(n)
+
+    return whole.select(*carried, *(text(n) for n in names))
 
 
 def _lanes(fingerprint: Column | str) -> Column:
@@ -123,21 +129,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of every text and of its edited text: the last floor(n/3) code points give way to the first ones of the
     next document in descending order of ids.
 
-    A null id counts as the smallest. Where rows repeat an id, the next document is the row with the least text.
+    A null id counts as the smallest (as -2**63 does, which comes back as null). Where rows repeat an id, the next document is the row with the least text.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("key"), text.alias("text"))
+    least = F.lit(-(1 << 63))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), least).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pairs = written(successors(rows.select("key")), "successors")
     third = F.floor(F.char_length("text") / 3).cast("int")
-    takes = rows.groupBy("key").agg(F.max(third).alias("take")).join(pairs, "key").select(F.col("next_key"), F.col("key").alias("to"), "take")
-    lent = rows.select(F.col("key").alias("next_key"), "text").join(takes, "next_key").select(F.col("to").alias("key"), F.expr("left(text, take)").alias("lent"))
+    takes = rows.groupBy("key").agg(F.max(third).alias("take")).join(pairs, "key").select("next_key", F.col("key").alias("to"), "take")
+    # both joins shuffle the same rows by the same key, so the texts move once; neither other side has a size bound
+    lent = rows.join(takes.hint("merge"), rows["key"] == takes["next_key"]).select(F.col("to").alias("key"), F.expr("left(text, take)").alias("lent"))
     lent = lent.groupBy("key").agg(F.min("lent").alias("lent"))
-    joined = rows.join(lent, "key").select("doc_id", "key", "text", "lent", F.char_length("text").alias("n"))
+    joined = rows.join(lent.hint("merge"), "key").select("key", "text", "lent", F.char_length("text").alias("n"))
     edited = F.concat(F.expr("left(text, n - cast(floor(n / 3) as int))"), F.expr("left(lent, cast(floor(n / 3) as int))"))
-    joined = joined.select("doc_id", "key", F.col("n").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    found = fingerprint_columns(joined.withColumn("edited_sha256", F.sha2("edited", 256)), {"text": "fingerprint", "edited": "edited_fingerprint"})
+    joined = joined.select("key", F.col("n").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    found = fingerprint_columns(joined.withColumn("_sha", F.unhex(F.sha2("edited", 256))), {"text": "fingerprint", "edited": "edited_fingerprint"})
     found = written(found, "fingerprints")
     following = found.groupBy("key").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("key", "next_key")
     rows = found.join(pairs, "key").join(following, "next_key")
     rows = with_likeness(rows, {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    doc_id = F.when(F.col("key") != least, F.col("key")).alias("doc_id")
+    return rows.select(doc_id, "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
