@@ -35,7 +35,7 @@ def condition(df: DataFrame, key: str, operator: str, value: str) -> Column:
             return F.coalesce(member, F.lit(False))
         text = (lambda x: F.lit(OBJECT_TEXT)) if isinstance(kind.elementType, StructType) else (lambda x: x.cast("string"))
         return F.coalesce(F.exists(column, lambda x: F.contains(F.lower(F.coalesce(text(x), F.lit(""))), F.lit(value.lower()))), F.lit(False))
-    text = F.lit(OBJECT_TEXT) if isinstance(kind, StructType | MapType) else column.cast("string")
+    text = F.when(column.isNotNull(), OBJECT_TEXT) if isinstance(kind, StructType | MapType) else column.cast("string")
     if operator == "=":
         return F.coalesce(text, F.lit("null")) == value
     return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(value.lower()))
