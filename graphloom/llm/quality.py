@@ -23,6 +23,7 @@ from graphloom.llm.common import WORD_GAP, written
 RISK, DELTA = 0.05, 0.05
 SYMBOLS = r"[#*$%&|<>]"
 POOLED = "*"
+SALTS = 64
 
 
 def _scores() -> dict[str, Column]:
@@ -119,7 +120,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     over = F.lit(False)
     for name, score in _scores().items():
         over = over | F.coalesce(score > F.col(f"most_{name}"), F.lit(False))
-    return found.join(rules, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over)
+    # a language may hold most documents, so each stratum's row meets them in SALTS parts
+    rules = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SALTS)).cast("int"))
+    return salted.join(rules, ["stratum", "_salt"], "left").drop("_salt").withColumn("kept", ~F.col("base_failed") & ~over)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
