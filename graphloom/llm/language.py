@@ -1,7 +1,7 @@
 """Hierarchical language identification: first the family, then one-versus-one linear support vector machines within it.
 
 Texts are hashed histograms of byte trigrams (letters lower-cased in ASCII, other ASCII characters as spaces). The machines
-are fitted on the driver to at most SAMPLE labelled texts, equal shares of the languages, chosen by a hash of the text; all
+are fitted on the driver to about SAMPLE labelled texts (never over a quarter more), equal shares of the languages, chosen by a hash of the text; all
 else happens in the tasks that read the texts. A family is predicted by one-versus-rest machines; within it every pair of
 languages votes, and the margins break ties.
 
@@ -108,9 +108,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Identifier | None:
-    """Fit to at most `sample` rows that aren't held out. Languages of which there are more rows than their share are thinned by a hash of the text."""
+    """Fit to about `sample` texts of rows that aren't held out. Languages of which there are more distinct texts than their
+    share are thinned by a hash of the text; copies teach once, so that a large group of them can't fill the sample.
+    """
     rows = _rows(docs, id_col, text_col).where(~F.col("_held") & F.col("_letter") & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col("_text").alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 2).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 2).collect()}
     if not counts:
         return None
     share = sample // len(counts)
@@ -127,7 +129,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 x = histograms(raw[own[0] : own[-1]], own - own[0]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    chosen = rows.where(place < limits).mapInArrow(features, "lang string, x binary").limit(sample + sample // 4).collect()
+    chosen = rows.where(place < limits).dropDuplicates().mapInArrow(features, "lang string, x binary").limit(sample + sample // 4).collect()
     if not chosen:
         return None
     return Identifier(np.array([np.frombuffer(bytes(r.x), np.float16) for r in chosen], np.float32), [r.lang for r in chosen])

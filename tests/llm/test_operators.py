@@ -151,6 +151,16 @@ def test_language(docs, rows, empty, spark):
     assert language.learn(empty) is None and language.identify(empty, None).count() == 0
 
 
+def test_language_copies_do_not_fill_the_sample(spark, rows):
+    texts = [(r[0], r[1], r[2]) for r in rows if r[0] is not None and r[0] < 60 and r[0] != 6]
+    many = [t for t in texts for _ in range(200 if t[2] == "en" else 1)]
+    docs = spark.createDataFrame(many, "doc_id bigint, text string, lang string").repartition(3)
+    found = language.learn(docs, sample=64)
+    assert sorted(x for members in found.members.values() for x in members) == ["de", "en", "es", "fr"]
+    got = {(r.doc_id, r.lang_pred) for r in language.identify(docs, found).collect()}
+    assert sum((i, lang) in got for i, _, lang in texts) >= 0.8 * len(texts)
+
+
 # op4
 
 
