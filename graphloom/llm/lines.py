@@ -77,8 +77,8 @@ def band_hashes(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: in
         filled[take] = source[take] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64))
         empty &= ~take
     mixed = np.zeros((len(lines), bands), np.uint64)
-    for r in range(rows):  # a band's bins lie far apart, so that in short lines they don't all hold one borrowed value
-        mixed = (mixed ^ filled[:, r * bands : (r + 1) * bands]) * np.uint64(0xFF51AFD7ED558CCD)
+    for r in range(rows):  # a band's bins are adjacent: a shingle that differs spoils a run of bins, so in short lines few bands
+        mixed = (mixed ^ filled[:, r::rows]) * np.uint64(0xFF51AFD7ED558CCD)
         mixed ^= mixed >> np.uint64(32)
     return mixed + np.arange(bands, dtype=np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
 

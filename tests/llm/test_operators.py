@@ -398,6 +398,21 @@ def test_lines(docs, rows, empty, spark):
     assert lines.drop_fuzzy_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [9, 12, 18, 27, 45, 60])
+def test_similar_lines_share_a_bucket_at_any_length(n):
+    r = random.Random(n)
+    lines_, pairs = [], 0
+    while pairs < 300:  # lines of n shingles and an edit at either end or inside, 0.8 to 0.9 similar by brute force
+        a = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n + 7))
+        extra, at = "".join(r.choice("ABCDEF") for _ in range(r.randint(1, max(1, n // 4)))), r.randrange(n + 7)
+        b = r.choice((a + extra, extra + a, a[:at] + extra[0] + a[at + 1 :]))
+        if 0.8 <= lines.jaccard(lines.shingles(a), lines.shingles(b)) <= 0.9:
+            lines_ += [a, b]
+            pairs += 1
+    bands = lines.band_hashes(lines_)
+    assert (bands[0::2] == bands[1::2]).any(axis=1).mean() >= 0.99
+
+
 def test_large_line_buckets_are_tiled(spark):
     r = random.Random(2)
     base = [r.choice("abcdefgh") for _ in range(200)]
