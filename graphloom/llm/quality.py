@@ -6,7 +6,8 @@ rate at which good documents of the stratum are rejected exceeds `risk` with no
 bound on the order statistic). `RISK` is divided among the rules, so that their union keeps it, and `DELTA` among all
 (stratum, rule) pairs (Bonferroni). Among the cutoffs allowed, the one with the best difference between the shares of bad and
 good documents rejected is used, and none where no cutoff gains; higher cutoffs only reject less, so the bound holds for the
-choice too. A stratum with too few labels takes the cutoffs of all strata together.
+choice too. A stratum whose own labels are too few for any cutoff has none: there the base rules alone reject, as cutoffs of
+other strata would bound nothing for its documents.
 
 Defined results: null text has no words and fails the base rules; null language is the stratum `und`; a document labelled
 twice counts as bad if any label says so; labels without a document or with null quality are ignored; with no labels only the
@@ -22,7 +23,6 @@ from graphloom.llm.common import WORD_GAP, written
 
 RISK, DELTA = 0.05, 0.05
 SYMBOLS = r"[#*$%&|<>]"
-POOLED = "*"
 SALTS = 64
 
 
@@ -82,34 +82,29 @@ def most_rejections(strata: DataFrame, risk: float, share: Column) -> DataFrame:
 
 
 def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff: scores above it are rejected. `found` is features()."""
+    """stratum, rule, cutoff: scores above it are rejected. Strata without a bound of their own have no rows. `found` is features()."""
     scores = _scores()
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = found.where("not base_failed").join(marks, "doc_id")
     good = (F.col("quality") > 0).cast("long")
     pairs = F.array(*(F.named_struct(F.lit("rule"), F.lit(k), F.lit("score"), v.cast("long")) for k, v in scores.items()))
     counted = (
-        held.select(F.explode(F.array("stratum", F.lit(POOLED))).alias("stratum"), good.alias("good"), pairs.alias("pairs"))
+        held.select("stratum", good.alias("good"), pairs.alias("pairs"))
         .select("stratum", "good", F.explode("pairs").alias("x"))
         .groupBy("stratum", "x.rule", "x.score")
         .agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     )
     counted = written(counted, "labelled-scores")
     sizes = counted.where(F.col("rule") == next(iter(scores))).groupBy("stratum").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
-    tests = len(scores) * F.count("*").over(Window.partitionBy(F.lit(0)))
+    # DELTA is shared among one stratum more than there are, as in the SQL, where all together count as one
+    tests = len(scores) * (F.count("*").over(Window.partitionBy(F.lit(0))) + 1)
     allowed = most_rejections(sizes, risk / len(scores), F.lit(delta) / tests)
     above = Window.partitionBy("stratum", "rule").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     tried = counted.select("stratum", "rule", "score", *(F.coalesce(F.sum(x).over(above), F.lit(0)).alias(x) for x in ("good", "bad")))
     gain = F.col("bad") / F.greatest("n_bad", F.lit(1)) - F.col("good") / F.greatest("n_good", F.lit(1))
     fit = tried.join(sizes, "stratum").join(allowed, "stratum").where("good <= most").withColumn("gain", gain).where("gain > 0")
     best = fit.groupBy("stratum", "rule").agg(F.max_by("score", F.struct("gain", "score")).alias("cutoff"))
-    # every allowed stratum keeps its own rules, also where it has none
-    ruled = allowed.select("stratum").join(best, "stratum", "left")
-    strata = found.select("stratum").distinct()
-    own = strata.join(ruled, "stratum")
-    rest = strata.join(allowed, "stratum", "left_anti").withColumn("pooled", F.lit(POOLED))
-    pooled = rest.join(ruled.withColumnRenamed("stratum", "pooled"), "pooled").select("stratum", "rule", "cutoff")
-    return own.select("stratum", "rule", "cutoff").union(pooled)
+    return best
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:

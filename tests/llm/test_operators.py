@@ -475,6 +475,17 @@ def test_quality_cutoffs_keep_the_good(spark):
     assert not any(x.kept for x in bad) and sum(x.kept for x in good) >= 0.98 * len(good)
 
 
+def test_quality_strata_without_a_bound_reject_by_the_base_rules_alone(spark):
+    """Bad English documents have long words, as all documents of a rare language have: a cutoff over all would reject these."""
+    r = random.Random(10)
+    text = lambda n: " ".join("w" * (n - 6) + "%06d" % r.randrange(10**6) for _ in range(60))
+    rows = [(i, text(20 if i % 5 == 0 else 8), "en") for i in range(3000)] + [(3000 + i, text(20), "de") for i in range(60)]
+    labels = [(i, int(i % 5 > 0)) for i in range(3000)] + [(3000 + i, 1) for i in range(5)]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    assert all(x.kept for x in judged if x.doc_id >= 3000)
+    assert not any(x.kept for x in judged if x.doc_id < 3000 and x.doc_id % 5 == 0)
+
+
 # op10
 
 
