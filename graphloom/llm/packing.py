@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, seen = TaskContext.get().partitionId(), PieceEncoder(vocabulary), np.zeros(capacity + 1, np.int64)
+        part, encoder, seen = TaskContext.get().partitionId(), PieceEncoder(vocabulary, specials_as_text=False), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for low, ids, counts in encoded(batch.column(1), encoder):
                 pieces = -(-counts // capacity)

@@ -102,7 +102,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, segment, encoder = TaskContext.get().partitionId(), 0, PieceEncoder(vocabulary)
+        part, segment, encoder = TaskContext.get().partitionId(), 0, PieceEncoder(vocabulary, specials_as_text=False)
         for batch in batches:
             keys = batch.column(0)
             for low, ids, counts in encoded(batch.column(1), encoder):

@@ -2,11 +2,13 @@
 
 The tokenizers library gives every id. Its merges never cross the cuts of the vocabulary's pre-tokenizer, so a text may be
 cut at some of these and each distinct piece encoded once for a task: a text's ids are the ids of its pieces in a row.
+Strings of added tokens are found first, as the library does: each is a piece of its own, and no other piece holds one.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import public_tokenizers
@@ -35,9 +37,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 class PieceEncoder:
     """Encodes texts; remembers the ids of pieces. One for a task; its memory is bounded by REMEMBERED."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED):
+    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED, specials_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        self._added = {t.content: i for i, t in added if not (specials_as_text and t.special)}
+        longest = sorted(self._added, key=len, reverse=True)
+        self._adds = re.compile(b"|".join(re.escape(x.encode()) for x in longest)) if longest else None
         self.remembered = remembered
         self._power, self._inverse = _powers(_BASE, 1), _powers(_BASE, 1)
         self._forget()
@@ -51,9 +57,15 @@ class PieceEncoder:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
+    def _added_at(self, raw: np.ndarray, begins: np.ndarray) -> list[tuple[int, int]]:
+        """Where added tokens' strings begin and end, each within one text."""
+        if self._adds is None or not self._adds.search(whole := raw.tobytes()):
+            return []
+        return [m.span() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True) for m in self._adds.finditer(whole, a, b)]
+
     @staticmethod
-    def _cuts(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Where pieces begin: at each text; at a space or newline after a visible character; after a single newline;
+    def _cuts(raw: np.ndarray, begins: np.ndarray, added: list[tuple[int, int]]) -> np.ndarray:
+        """Where pieces begin: at each text; at both ends of added tokens' strings and nowhere inside; at a space or newline after a visible character; after a single newline;
         at ASCII punctuation after an ASCII letter. The pre-tokenizer cuts at all of these. Characters whose first byte
         may belong to a white space outside ASCII don't count as visible."""
         cut = np.zeros(len(raw) + 1, bool)
@@ -68,6 +80,9 @@ class PieceEncoder:
             letter = (low >= 97) & (low <= 122)
             mark = (raw > 32) & (raw < 127) & ~letter & ~((raw >= 48) & (raw <= 57)) & (raw != 39)
             cut[1:-1] |= mark[1:] & letter[:-1]
+        for a, b in added:
+            cut[a + 1 : b] = False
+            cut[[a, b]] = True
         cut[begins[:-1][begins[:-1] < begins[1:]]] = True
         cut[-1] = False
         return np.flatnonzero(cut)
@@ -81,7 +96,7 @@ class PieceEncoder:
 
     def _learn(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: list[int]) -> None:
         texts = [raw[a:b].tobytes().decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        found: list = [self._merged(x) for x in texts]
+        found: list = [[self._added[x]] if x in self._added else self._merged(x) for x in texts]
         rest = [i for i, x in enumerate(found) if x is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             found[i] = e.ids
@@ -102,7 +117,7 @@ class PieceEncoder:
         if len(self._power) <= len(raw):
             self._power = _powers(_BASE, len(raw) + 1)
             self._inverse = _powers(pow(_BASE, -1, 1 << 64), len(raw) + 1)
-        begin = self._cuts(raw, begins)
+        begin = self._cuts(raw, begins, self._added_at(raw, begins))
         if not len(begin):
             return np.empty(0, np.uint32), np.zeros(len(begins) - 1, np.int64)
         end = np.append(begin[1:], len(raw))

@@ -41,6 +41,22 @@ def test_piece_encoder_gives_the_tokenizer_s_ids(tokenizer):
     assert got == [ids_of(tokenizer, t) for t in texts]
 
 
+def test_special_strings_get_the_ids_of_a_plain_call(spark, tmp_path):
+    """op2 and op6 against encode(add_special_tokens=False) of the tokenizer as it is loaded."""
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(4)
+    marks = ["a", "Zeta", "é", " ", "  ", "\n", "\n\n", "\t", "\u00a0", ".", "'s", "1", "日本", "<|endoftext|>", "<|endoftext|>", "<|", "endoftext", "|>", "-"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endof", "text|>", "a<|endoftext|><|endoftext|>b"] + ["".join(r.choice(marks) for _ in range(r.randint(0, 30))) for _ in range(500)]
+    want = {i: ids_of(plain, x) for i, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    pieces = packing.token_pieces(df).collect()
+    assert {p.doc_id: np.frombuffer(bytes(p.ids), "<u4").tolist() for p in pieces} == want
+    token_files.write_token_files(df, str(tmp_path / "t"))
+    rows = token_files.decode_segments(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert {x.doc_id: np.frombuffer(bytes(x.ids), "<u4").tolist() for x in rows} == want
+
+
 # op1
 
 
