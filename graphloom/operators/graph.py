@@ -5,6 +5,8 @@ Loops stop when nothing new is found, each round is checkpointed, and only count
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +16,20 @@ from graphloom.operators.lineage import cut
 def levels(links: DataFrame, sources: DataFrame, longest: bool = False, most: int = 1000) -> DataFrame:
     """id, level: the fewest (or, on a graph without cycles, most) steps from a source. links: src_id, dst_id; sources: id.
 
-    Only the last round's frontier is joined again. `most` bounds the rounds where `longest` meets a cycle.
+    Only the last round's frontier is joined again. Fewest steps end by themselves however far a node is; where `longest`
+    goes on for more than `most` steps, as on a cycle, that is an error.
     """
     pairs = links.select("src_id", "dst_id").distinct()
     found = cut(sources.select("id").distinct().withColumn("level", F.lit(0).cast("long")))
     frontier = found
-    for step in range(1, most + 1):
+    for step in count(1):
         reached = frontier.join(pairs, F.col("id") == F.col("src_id")).select(F.col("dst_id").alias("id")).distinct()
         new = reached if longest else reached.join(found, "id", "left_anti")
         frontier = cut(new.withColumn("level", F.lit(step).cast("long")))
         if frontier.isEmpty():
             break
+        if longest and step > most:
+            raise ValueError(f"longest levels: a path of more than {most} steps, so a cycle or `most` too low")
         found = cut(found.unionByName(frontier).groupBy("id").agg((F.max if longest else F.min)("level").alias("level")))
     return found
 
@@ -41,7 +46,7 @@ def closure(links: DataFrame) -> DataFrame:
     return found
 
 
-def strong_components(links: DataFrame, rounds: int = 1000) -> DataFrame:
+def strong_components(links: DataFrame) -> DataFrame:
     """id, component (the least id) of every node on a cycle of two nodes or more; loops to itself don't count.
 
     Forward and backward colouring: nodes take the least colour that reaches them; those that also reach their colour's root
@@ -49,7 +54,7 @@ def strong_components(links: DataFrame, rounds: int = 1000) -> DataFrame:
     """
     left = cut(links.where("src_id <> dst_id").select("src_id", "dst_id").distinct())
     done = None
-    for _ in range(rounds):
+    while True:  # each round takes a component or more away
         while True:  # trim nodes without a way in or out
             kept = left.join(left.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi")
             kept = cut(kept.join(left.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi"))

@@ -32,6 +32,23 @@ def test_strong_components_and_closure(spark, seed):
     assert {(x.src_id, x.dst_id) for x in G.closure(df).collect()} == {(a, b) for a in far for b in far[a]}
 
 
+def test_far_nodes_and_long_cycles_are_not_lost(spark, monkeypatch):
+    monkeypatch.setattr(G.levels, "__defaults__", (False, 3))
+    chain = [(i, i + 1) for i in range(7)]
+    far = G.levels(spark.createDataFrame(chain, "src_id int, dst_id int"), spark.createDataFrame([(0,)], "id int"))
+    assert {r.id: r.level for r in far.collect()} == {i: i for i in range(8)}
+    ring = G.strong_components(spark.createDataFrame([*chain, (7, 0)], "src_id int, dst_id int"))
+    assert {r.id: r.component for r in ring.collect()} == dict.fromkeys(range(8), 0)
+
+
+def test_longest_levels_that_run_out_of_rounds_raise(spark):
+    one = spark.createDataFrame([(0,)], "id int")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(3)], "src_id int, dst_id int")
+    assert {r.id: r.level for r in G.levels(chain, one, longest=True, most=3).collect()} == {i: i for i in range(4)}
+    with pytest.raises(ValueError, match="more than 3 steps"):
+        G.levels(spark.createDataFrame([(0, 1), (1, 0)], "src_id int, dst_id int"), one, longest=True, most=3)
+
+
 def test_empty_graph(spark):
     none = spark.createDataFrame([], "src_id int, dst_id int")
     assert G.strong_components(none).count() == G.closure(none).count() == 0
