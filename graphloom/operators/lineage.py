@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into spark.checkpoint.dir; a temporary folder stands in only where the session names none."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir; a temporary folder stands in only where the session names none."""
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="graphloom-"))
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

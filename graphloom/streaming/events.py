@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import shared_folder
 from graphloom.plans.registry import Catalogue
 
 C = Catalogue()
@@ -23,10 +24,17 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(rows: DataFrame, mode: str) -> DataFrame:
-    """The rows of a stream once all input is read."""
-    spark, name = rows.sparkSession, f"stream_{uuid.uuid4().hex}"
-    rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The rows of a stream once all input is read, as a table in the session's shared folder; none pass the driver."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], rows.schema).write.parquet(f"{path}/rows")  # a stream without input writes nothing
+    sink = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "append":
+        sink = sink.format("parquet").option("path", f"{path}/rows")
+    else:  # complete: each batch holds all rows
+        sink = sink.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows"))
+    sink.start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
 @C.add("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -37,3 +37,18 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["id", "component"]
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["stream_dedupe", "stream_session", "stream_tumbling"])
+def test_stream_results_are_files_not_driver_rows(spark, name):
+    assert entry.queries()[name](spark, DATA).inputFiles()
+
+
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_stream_without_input_has_no_rows(spark, tmp_path, mode):
+    from graphloom.streaming.events import drained
+
+    spark.createDataFrame([], "k int").write.parquet(str(tmp_path / "none"))
+    rows = spark.readStream.schema("k int").parquet(str(tmp_path / "none"))
+    assert drained(rows if mode == "append" else rows.groupBy("k").count(), mode).count() == 0
