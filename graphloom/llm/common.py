@@ -46,13 +46,48 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[begins[0] : begins[-1]], begins - begins[0]
 
 
-def slices(begins: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about `most` bytes each (a longer text stands alone), so that memory stays bounded."""
+def slices(begins: np.ndarray, most: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `rows` texts that hold about `most` bytes each (a longer text stands alone), so that memory stays bounded."""
     low, n = 0, len(begins) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(begins, begins[low] + most, "right")) - 1)
-        yield low, min(high, n)
-        low = min(high, n)
+        high = min(high, low + rows, n)
+        yield low, high
+        low = high
+
+
+#: Two random numbers for each byte at each place in a piece of text.
+PLACES = 64
+_NUMBERS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, (2, PLACES * 256), np.uint64)
+
+
+def sums_by_place(raw: np.ndarray, begin: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each piece: sums of random numbers that stand for its bytes at their places.
+
+    A piece ends where the next begins; bytes marked in `skip` don't count.
+    """
+    if not len(begin):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    raw, begin, skip = raw[begin[0] :], begin - begin[0], None if skip is None else skip[begin[0] :]
+    place = np.arange(len(raw)) - np.repeat(begin, np.diff(np.append(begin, len(raw))))
+    far = np.flatnonzero(place >= PLACES)
+    turn = (place[far] // PLACES).astype(np.uint64)
+    index = (place % PLACES << 8) | raw
+    out = []
+    for numbers in _NUMBERS:
+        value = numbers[index]
+        if len(far):  # places beyond the table: its numbers mixed with how often it was passed
+            value[far] = mix(value[far] + turn * np.uint64(0x9E3779B97F4A7C15))
+        if skip is not None:
+            value[skip] = 0
+        out.append(np.add.reduceat(value, begin))
+    return out[0], out[1]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
 def ragged(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public byte-level BPE tokenizer, inside Spark tasks.
 
 The tokenizers library gives every id. Its merges never cross the cuts of the vocabulary's pre-tokenizer, so a text may be
-cut at some of these and each distinct piece encoded once for a task: a text's ids are the ids of its pieces in a row.
+cut at some of these and each distinct piece (told apart by two 64-bit hashes) encoded once for a task: a text's ids are the ids
+of its pieces in a row.
 Strings of added tokens are found first, as the library does: each is a piece of its own, and no other piece holds one.
 """
 
@@ -15,7 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from graphloom.llm.common import flat, ragged, slices
+from graphloom.llm.common import flat, ragged, slices, sums_by_place
 
 #: Spark's tasks are the parallel units; the library's own threads would only contend with them.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -23,35 +24,30 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of text that are encoded at once, and distinct pieces a task remembers.
-STEP, REMEMBERED = 1 << 20, 1 << 20
-
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+STEP, REMEMBERED = 1 << 21, 1 << 20
+#: The characters by which byte-level vocabularies write bytes that aren't printable (the others stand for themselves).
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_WRITTEN = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+_HIGH = str.maketrans({chr(b): c for b, c in _WRITTEN.items()})
+#: Letters below U+0250 that aren't in the range of Latin letters.
+_SIGNS = {"\u00aa", "\u00b5", "\u00ba"}
 
 
 class PieceEncoder:
     """Encodes texts; remembers the ids of pieces. One for a task; its memory is bounded by REMEMBERED."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED, specials_as_text: bool = True):
+    def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = specials_as_text
-        added = self.tokenizer.get_added_tokens_decoder().items()
-        self._added = {t.content: i for i, t in added if not (specials_as_text and t.special)}
-        longest = sorted(self._added, key=len, reverse=True)
+        longest = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self._adds = re.compile(b"|".join(re.escape(x.encode()) for x in longest)) if longest else None
         self.remembered = remembered
-        self._power, self._inverse = _powers(_BASE, 1), _powers(_BASE, 1)
         self._forget()
 
     def _forget(self) -> None:
         self._slot: dict[int, int] = {}
+        self._check = np.zeros(1 << 12, np.uint64)
         self._begin, self._length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self._ids, self._used = np.zeros(1 << 14, np.uint32), 0
+        self._ids, self._used, self._slots = np.zeros(1 << 14, np.uint32), 0, 0
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -66,7 +62,7 @@ class PieceEncoder:
     @staticmethod
     def _cuts(raw: np.ndarray, begins: np.ndarray, added: list[tuple[int, int]]) -> np.ndarray:
         """Where pieces begin: at each text; at both ends of added tokens' strings and nowhere inside; at a space or newline after a visible character; after a single newline;
-        at ASCII punctuation after an ASCII letter. The pre-tokenizer cuts at all of these. Characters whose first byte
+        at ASCII punctuation after a letter of ASCII or Latin-1. The pre-tokenizer cuts at all of these. Characters whose first byte
         may belong to a white space outside ASCII don't count as visible."""
         cut = np.zeros(len(raw) + 1, bool)
         if len(raw) > 3:
@@ -79,6 +75,7 @@ class PieceEncoder:
             low = raw | 32
             letter = (low >= 97) & (low <= 122)
             mark = (raw > 32) & (raw < 127) & ~letter & ~((raw >= 48) & (raw <= 57)) & (raw != 39)
+            letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
             cut[1:-1] |= mark[1:] & letter[:-1]
         for a, b in added:
             cut[a + 1 : b] = False
@@ -88,49 +85,56 @@ class PieceEncoder:
         return np.flatnonzero(cut)
 
     def _merged(self, piece: str) -> list[int] | None:
-        """The ids of ASCII letters with or without a space before them: one pre-token, which the model takes as it is."""
+        """The ids of Latin letters with or without a space before them: one pre-token, which the model takes as it is."""
         word = piece[1:] if piece[0] == " " else piece
-        if not (word.isascii() and word.isalpha()):
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            written = piece.replace(" ", _WRITTEN[32])
+        elif max(word) < "\u0250" and not _SIGNS & set(word):
+            written = piece.encode().decode("latin-1").translate(_HIGH)
+        else:
             return None
-        return [t.id for t in self.tokenizer.model.tokenize(piece.replace(" ", "\u0120"))]
+        return [t.id for t in self.tokenizer.model.tokenize(written)]
 
-    def _learn(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: list[int]) -> None:
-        texts = [raw[a:b].tobytes().decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        found: list = [[self._added[x]] if x in self._added else self._merged(x) for x in texts]
+    def _learn(self, pieces: list[bytes], keys: list[int], checks: np.ndarray) -> np.ndarray:
+        """The slots of new pieces; those without a key get a slot too, but aren't found again."""
+        texts = [x.decode() for x in pieces]
+        found: list = [self._merged(x) for x in texts]
         rest = [i for i, x in enumerate(found) if x is None]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             found[i] = e.ids
-        first, lengths = len(self._slot), np.fromiter(map(len, found), np.int64, len(found))
+        first, lengths = self._slots, np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        self._begin, self._length = self._room(self._begin, first + len(found)), self._room(self._length, first + len(found))
+        end = self._slots = first + len(found)
+        self._begin, self._length, self._check = (self._room(x, end) for x in (self._begin, self._length, self._check))
         self._ids = self._room(self._ids, self._used + len(ids))
-        self._begin[first : first + len(found)] = self._used + np.cumsum(lengths) - lengths
-        self._length[first : first + len(found)] = lengths
+        self._begin[first:end] = self._used + np.cumsum(lengths) - lengths
+        self._length[first:end] = lengths
+        self._check[first : first + len(checks)] = checks
         self._ids[self._used : self._used + len(ids)] = ids
         self._used += len(ids)
-        self._slot.update(zip(keys, range(first, first + len(found)), strict=True))
+        self._slot.update(zip(keys, range(first, first + len(keys)), strict=True))
+        return np.arange(first, end)
 
     def encode_flat(self, raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if len(self._slot) > self.remembered:
+        if self._slots > self.remembered:
             self._forget()
-        if len(self._power) <= len(raw):
-            self._power = _powers(_BASE, len(raw) + 1)
-            self._inverse = _powers(pow(_BASE, -1, 1 << 64), len(raw) + 1)
         begin = self._cuts(raw, begins, self._added_at(raw, begins))
         if not len(begin):
             return np.empty(0, np.uint32), np.zeros(len(begins) - 1, np.int64)
         end = np.append(begin[1:], len(raw))
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self._power[: len(raw)], out=total[1:])
-        key = (total[end] - total[begin]) * self._inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        distinct, at, which = np.unique(key, return_index=True, return_inverse=True)
+        one, two = sums_by_place(raw, begin)
+        texts = lambda which: [raw[a:b].tobytes() for a, b in zip(begin[which].tolist(), end[which].tolist(), strict=True)]
+        distinct, at, which = np.unique(one, return_index=True, return_inverse=True)
         keys = distinct.tolist()
         slots = np.fromiter((self._slot.get(k, -1) for k in keys), np.int64, len(keys))
         if len(new := np.flatnonzero(slots < 0)):
-            self._learn(raw, begin[at[new]], end[at[new]], [keys[i] for i in new.tolist()])
-            slots[new] = np.arange(len(self._slot) - len(new), len(self._slot))
+            slots[new] = self._learn(texts(at[new]), [keys[i] for i in new.tolist()], two[at[new]])
         slot = slots[which]
+        if len(other := np.flatnonzero(self._check[slot] != two)):  # another piece has the same first hash
+            slot[other] = self._learn(texts(other), [], np.empty(0, np.uint64))
         lengths = self._length[slot]
         before = np.concatenate([[0], np.cumsum(lengths)])
         counts = np.diff(before[np.searchsorted(begin, begins)])
