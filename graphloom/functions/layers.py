@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Layers in their order of display; folder names that tell a layer.
 LAYERS = ("entry", "presentation", "state", "service", "tauri", "electron", "integration", "shared", "types", "config", "script", "test", "mixed")
 FOLDERS = {
-    "presentation": r"^(routes?|pages?|views|screens|layouts?|components|ui|widgets|overlays?|templates|presentation)$",
-    "state": r"^(stores?|state|redux|zustand|pinia|globals?|providers?)$",
-    "service": r"^(services?|domains?|business|usecases?|use-?cases?|engines?)$",
-    "integration": r"^(api|apis|clients?|http|network|gateways?|adapters?|repositories)$",
-    "shared": r"^(hooks|composables|utils|lib|libs|helpers|shared|common|tools|kit|core)$",
-    "types": r"^(types?|models|interfaces|schemas?|typings|dts)$",
-    "config": r"^(config|configs|constants|envs?|settings|options)$",
-    "test": r"^(tests?|__tests__|e2e|spec|specs|mocks?|fixtures?|testing)$",
-    "script": r"^(scripts?|userscripts?|monkey|tampermonkey)$",
-    "entry": r"^(entry|entries|bootstrap|startup|app|main)$",
+    "presentation": ("route", "routes", "page", "pages", "views", "screens", "layout", "layouts", "components", "ui", "widgets", "overlay", "overlays", "templates", "presentation"),
+    "state": ("store", "stores", "state", "redux", "zustand", "pinia", "global", "globals", "provider", "providers"),
+    "service": ("service", "services", "domain", "domains", "business", "usecase", "usecases", "use-case", "use-cases", "engine", "engines"),
+    "integration": ("api", "apis", "client", "clients", "http", "network", "gateway", "gateways", "adapter", "adapters", "repositories"),
+    "shared": ("hooks", "composables", "utils", "helpers", "lib", "libs", "shared", "common", "tools", "kit", "core"),
+    "types": ("type", "types", "models", "interfaces", "schema", "schemas", "typings", "dts"),
+    "config": ("config", "configs", "constants", "env", "envs", "settings", "options"),
+    "test": ("test", "tests", "__tests__", "e2e", "spec", "specs", "mock", "mocks", "fixture", "fixtures", "testing"),
+    "script": ("script", "scripts", "userscript", "userscripts", "monkey", "tampermonkey"),
+    "entry": ("entry", "entries", "bootstrap", "startup", "app", "main"),
+}
+# Folders that tell a layer of Go files, and endings of service files.
+GO_FOLDERS = {
+    "entry": ("cmd",),
+    "presentation": ("router", "routers", "controller", "controllers", "middleware", "middlewares", "handler", "handlers", "api", "apis"),
+    "service": ("model", "models", "dal", "dao", "repository", "repositories", "relay", "service", "services", "monitor", "biz", "domain"),
 }
+SERVICE_ENDINGS = ("Service", "Engine", "Manager", "Repository", "Factory")
 ENTRIES = ("App.tsx", "index.tsx", "main.tsx", "index.ts", "main.ts", "main.js", "App.vue", "main.dart", "main.go")
 
 
@@ -28,13 +37,19 @@ def folder_layer(path: Column) -> Column:
 
     def named(x: Column) -> Column:
         out = F.lit(None).cast("string")
-        for layer, pattern in reversed(FOLDERS.items()):
-            out = F.when(x.rlike(pattern), layer).otherwise(out)
+        for layer, names in reversed(FOLDERS.items()):
+            out = F.when(x.isin(*names), layer).otherwise(out)
         return out
 
     return F.try_element_at(F.array_compact(F.transform(folders, named)), F.lit(1))
 
 
+def _within(path: Column, names: tuple[str, ...]) -> Column:
+    """Whether one of a path's folders has one of the names."""
+    folders = F.split(path, "/")
+    return F.arrays_overlap(F.slice(folders, F.lit(1), F.size(folders) - 1), F.array(*map(F.lit, names)))
+
+
 def is_entry(path: Column, roots: tuple[str, ...] = (".", "src", "lib")) -> Column:
     folder = F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(".")
     return F.substring_index(path, "/", -1).isin(*ENTRIES) & (F.endswith(path, F.lit(".go")) | folder.isin(*roots))
@@ -45,21 +60,9 @@ def file_layer(path: Column, *, script: Column, test: Column, entry: Column, com
     go = F.endswith(path, F.lit(".go"))
     stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.(user\.js|mjs|cjs|tsx?|jsx?)$", "")
     bare = (components == 0) & (stores == 0)
-    return (
-        F.when(script, "script")
-        .when(test, "test")
-        .when(F.endswith(path, F.lit(".rs")) | F.contains(path, F.lit("/src-tauri/")), "tauri")
-        .when(path.rlike(r"(^|/)electron/"), "electron")
-        .when(go & (entry | path.rlike(r"(^|/)cmd/")), "entry")
-        .when(go & path.rlike(r"(^|/)(routers?|controllers?|middlewares?|handlers?|apis?)/"), "presentation")
-        .when(go & path.rlike(r"(^|/)(models?|dal|dao|repositories?|relay|services?|monitor|biz|domain)/"), "service")
-        .when(go, "shared")
-        .when(F.endswith(path, F.lit(".d.ts")), "types")
-        .when(entry, "entry")
-        .when((stores > 0) & (components == 0), "state")
-        .when(bare & path.rlike(r"/(api|apis|clients?|http|network|gateways?|adapters?|repositories)/"), "integration")
-        .when(bare & (stem.rlike(r"(Service|Engine|Manager|Repository|Factory)$") | F.contains(path, F.lit("/services/"))), "service")
-        .when(components > 0, "presentation")
-        .when(hooks > 0, "shared")
-        .otherwise(F.coalesce(folder_layer(path), F.lit("shared")))
-    )
+    rules = [(script, "script"), (test, "test"), (F.endswith(path, F.lit(".rs")) | _within(path, ("src-tauri",)), "tauri"), (_within(path, ("electron",)), "electron")]
+    rules += [(go & ((entry if layer == "entry" else F.lit(False)) | _within(path, names)), layer) for layer, names in GO_FOLDERS.items()]
+    rules += [(go, "shared"), (F.endswith(path, F.lit(".d.ts")), "types"), (entry, "entry"), ((stores > 0) & (components == 0), "state")]
+    ends = reduce(Column.__or__, (F.endswith(stem, F.lit(x)) for x in SERVICE_ENDINGS))
+    rules += [(bare & _within(path, FOLDERS["integration"]), "integration"), (bare & (ends | _within(path, ("services",))), "service"), (components > 0, "presentation"), (hooks > 0, "shared")]
+    return F.coalesce(*(F.when(test, layer) for test, layer in rules), folder_layer(path), F.lit("shared"))

@@ -1,8 +1,9 @@
-"""Cutting lineage in loops: reliable checkpoints in the folder that the session names."""
+"""Cutting lineage in loops: tables written to the folder that the session names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,11 +12,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder spark.checkpoint.dir; a temporary folder stands in only where the session names none."""
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="graphloom-"))
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return spark.conf.get("spark.checkpoint.dir")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows into the shared folder and read them back; unlike a checkpoint this computes them once."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

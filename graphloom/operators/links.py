@@ -16,7 +16,9 @@ INVERSE = {
     "overrides": "overriddenBy",
     "calls": "calledBy",
 }
-LINK_TYPES = (*INVERSE, *INVERSE.values(), "contains", "passesProps", "navigatesTo", "registers", "usesStore", "usesHook", "usesGmApi", "injectsInto", "requestsTo", "belongsTo")
+#: Links that `ontology.build` holds in both directions under one name.
+TWO_WAY = ("registers", "usesStore", "usesHook", "usesGmApi", "injectsInto", "requestsTo", "belongsTo")
+LINK_TYPES = (*INVERSE, *INVERSE.values(), "contains", "passesProps", "navigatesTo", *TWO_WAY)
 
 
 def edges(df: DataFrame, link_type: str, src: Column | str, dst: Column | str, order: Column | str) -> DataFrame:
@@ -25,8 +27,9 @@ def edges(df: DataFrame, link_type: str, src: Column | str, dst: Column | str, o
 
 
 def with_inverse(links: DataFrame) -> DataFrame:
-    """The edges and, for types that have an inverse, the edges read backwards."""
-    back = reduce(lambda c, kv: c.when(F.col("link_type") == kv[0], kv[1]), INVERSE.items(), F.when(F.lit(False), "")).otherwise(None)
+    """The edges and, for types that have an inverse or go both ways, the edges read backwards."""
+    names = INVERSE | {x: x for x in TWO_WAY}
+    back = reduce(lambda c, kv: c.when(F.col("link_type") == kv[0], kv[1]), names.items(), F.when(F.lit(False), "")).otherwise(None)
     turned = links.select(back.alias("link_type"), F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"), "ord")
     return links.unionByName(turned.where("link_type is not null"))
 
@@ -60,3 +63,11 @@ def unique_ids(df: DataFrame, base: str, *order: str) -> DataFrame:
     """Add `id`: the base, then base@2, base@3 for later rows with the same base."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
     return df.withColumn("id", F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("@"), n.cast("string"))))
+
+
+def neighbours(links: DataFrame, id_: str, most: int = 20) -> DataFrame:
+    """link_type, other of all links from an object; of each type that reads links backwards the first `most`. For a page on one object."""
+    found = links.where(F.col("src_id") == id_).select("link_type", F.col("dst_id").alias("other"), "ord").distinct()
+    place = F.row_number().over(Window.partitionBy("link_type").orderBy("ord", "other"))
+    back = F.col("link_type").isin(*INVERSE.values())
+    return found.withColumn("_n", place).where(~back | (F.col("_n") <= most)).select("link_type", "other")

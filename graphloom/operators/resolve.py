@@ -25,14 +25,43 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame, path: str, prefix: str
     return found.groupBy(path, *keep).agg(F.max_by("_hit", F.when(F.col("_hit").isNotNull(), F.length("_hit"))).alias(prefix))
 
 
-def innermost(points: DataFrame, spans: DataFrame, by: str, at: str = "pos", low: str = "low", high: str = "high", name: str = "span") -> DataFrame:
-    """Each point with the span of its group that begins last among those around it (null if none).
+#: Positions are cut into blocks of 1, 8, 64, ... positions.
+_RADIX, _SIZES = 8, tuple(8**k for k in range(11))
+
+
+def _blocks(low: Column, high: Column, size: int, last: bool) -> Column:
+    """The blocks of one size that a span [low, high) is made of: those inside it whose larger block isn't."""
+    first, end = F.floor((low + size - 1) / size).cast("long"), F.floor(high / size).cast("long")
+    if last:
+        return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<bigint>"))
+    up, down = F.ceil(first / _RADIX) * _RADIX, F.floor(end / _RADIX) * _RADIX
+    middle = F.least(end, up)
+    rest = F.greatest(down, middle)
+    some = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(some(first, middle), some(rest, end))
+
 
-    Points and spans meet on the group, so a group is the unit of work; within it the range decides.
+def around(points: DataFrame, spans: DataFrame, by: str, at: str = "pos", low: str = "low", high: str = "high") -> DataFrame:
+    """Each point with each span [low, high) of its group that holds it.
+
+    A span is made of few aligned blocks of sizes that are powers of eight, at most fourteen of a size, and a point lies in
+    one block of each size; so points and spans meet on equal blocks, each pair once, and a large group is many keys.
     """
-    inside = points.join(spans, [by]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
-    best = inside.groupBy(*points.columns).agg(F.max_by(name, low).alias(name))
-    return points.join(best, points.columns, "left")
+    sized = lambda k: lambda x: F.struct(F.lit(k).alias("size"), x.alias("block"))
+    sizes = [F.transform(_blocks(F.col(low).cast("long"), F.col(high).cast("long"), n, k == len(_SIZES) - 1), sized(k)) for k, n in enumerate(_SIZES)]
+    cut = spans.withColumn("_b", F.explode(F.concat(*sizes))).withColumns({"_size": F.col("_b.size"), "_block": F.col("_b.block")}).drop("_b")
+    # only sizes that spans are made of matter to points; there are eleven at most
+    used = [r[0] for r in cut.select("_size").distinct().collect()]
+    own = F.array(*(F.struct(F.lit(k).alias("size"), F.floor(F.col(at) / _SIZES[k]).cast("long").alias("block")) for k in used)) if used else F.array().cast("array<struct<size:int,block:bigint>>")
+    asked = points.withColumn("_b", F.explode(own)).withColumns({"_size": F.col("_b.size"), "_block": F.col("_b.block")}).drop("_b")
+    return asked.join(cut, [by, "_size", "_block"]).drop("_size", "_block")
+
+
+def innermost(points: DataFrame, spans: DataFrame, by: str, at: str = "pos", low: str = "low", high: str = "high", name: str = "span") -> DataFrame:
+    """Each point with the span of its group that begins last among those around it (null if none)."""
+    found = around(points.select(by, at).distinct(), spans, by, at, low, high)
+    best = found.groupBy(by, at).agg(F.max_by(name, low).alias(name))
+    return points.join(best, [by, at], "left").select(*points.columns, name)
 
 
 ROUTE = r"^[:*]"
@@ -47,20 +76,24 @@ def normal_route(path: Column) -> Column:
 def match_routes(calls: DataFrame, routes: DataFrame, path: str = "path", pattern: str = "pattern") -> DataFrame:
     """Each call with the first route (by ord) that fits: `:x` and `*x` stand for one segment, a last `*x` for the rest.
 
-    Patterns are grouped by what they have in common with paths, so that calls join on equal keys: by segment count, or, for
-    those that end in a star, by each count from theirs up.
+    Patterns are grouped by what they have in common with paths, so that distinct paths join on equal keys: by first segment
+    and segment count, or, for those that end in a star, by each count from theirs up.
     """
     segments = lambda c: F.filter(F.split(normal_route(F.col(c)), "/"), lambda x: x != "")
-    asked = calls.withColumn("_have", segments(path)).withColumn("_n", F.size("_have"))
+    head = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    asked = calls.select(path).distinct().withColumn("_have", segments(path)).withColumn("_n", F.size("_have"))
     offered = routes.select(pattern, F.col("ord").alias("_ord")).withColumn("_want", segments(pattern)).withColumn("_open", F.coalesce(F.startswith(F.try_element_at("_want", F.lit(-1)), F.lit("*")), F.lit(False)))
     deepest = asked.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first().n
     least = F.size("_want")
     counts = F.when(F.col("_open"), F.sequence(least, F.greatest(least, F.lit(deepest)))).otherwise(F.array(least))
-    offered = offered.withColumn("_n", F.explode(counts))
+    # a pattern's first segment is part of the key, or `:` where any will do; a path asks for both
+    first = F.when(head("_want").rlike(ROUTE), ":").otherwise(head("_want"))
+    offered = offered.withColumn("_n", F.explode(counts)).withColumn("_first", first)
+    asked = asked.withColumn("_first", F.explode(F.array_distinct(F.array(head("_have"), F.lit(":")))))
     fits = F.forall(F.zip_with("_want", F.slice("_have", F.lit(1), F.size("_want")), lambda w, h: w.rlike(ROUTE) | (w == h)), lambda x: x)
-    found = asked.join(offered, "_n").where(fits)
-    best = found.groupBy(*calls.columns).agg(F.min_by(pattern, "_ord").alias(pattern))
-    return calls.join(best, calls.columns, "left")
+    found = asked.join(offered, ["_n", "_first"]).where(fits)
+    best = found.groupBy(path).agg(F.min_by(pattern, "_ord").alias(pattern))
+    return calls.join(best, path, "left").select(*calls.columns, pattern)
 
 
 def glob_regex(glob: str) -> str:
@@ -69,6 +102,13 @@ def glob_regex(glob: str) -> str:
     return "^" + "".join(marks.get(x, re.escape(x)) for x in re.split(r"(\*\*/|\*\*|\*)", glob)) + "$"
 
 
+def regex_of_glob(glob: Column) -> Column:
+    """glob_regex() of a column."""
+    plain = F.regexp_replace(glob, r"([.+?^${}()|\[\]\\])", r"\\$1")
+    stars = F.replace(F.replace(F.replace(plain, F.lit("**/"), F.lit("\x01")), F.lit("**"), F.lit("\x02")), F.lit("*"), F.lit("[^/]*"))
+    return F.concat(F.lit("^"), F.replace(F.replace(stars, F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("\x02"), F.lit(".*")), F.lit("$"))
+
+
 def glob_match(df: DataFrame, path: str, include: list[str], exclude: list[str] = ()) -> DataFrame:
     hit = lambda globs: F.col(path).rlike("|".join(map(glob_regex, globs))) if globs else F.lit(False)
     return df.where(hit(include) & ~hit(exclude))
@@ -78,3 +118,18 @@ def carry_forward(df: DataFrame, value: Column, by: list[str], order: str, name:
     """The last value that isn't null so far: sections of line-based formats."""
     up_to = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(up_to))
+
+
+def layout_chain(paths: DataFrame, layouts: DataFrame, path: str = "path", folder: str = "folder", name: str = "layout") -> DataFrame:
+    """Each path with the layouts of all folders above it, the outermost first. layouts: a folder (`` for the root) and a name."""
+    above = F.transform(F.array_insert(ancestors(F.regexp_replace(path, "/?[^/]*$", "")), 1, F.lit("")), lambda x: x)
+    tried = paths.select(path).distinct().select(path, F.posexplode(above).alias("_depth", folder))
+    chain = F.transform(F.array_sort(F.collect_list(F.struct("_depth", name))), lambda x: x[name])
+    found = tried.join(layouts, folder).groupBy(path).agg(chain.alias("chain"))
+    return paths.join(found, path, "left").withColumn("chain", F.coalesce("chain", F.array().cast("array<string>")))
+
+
+def backfill(df: DataFrame, value: str, key: str, constants: DataFrame, order: str = "ord") -> DataFrame:
+    """Where `value` is null, the constant that `key` names; of several declarations the first counts. constants: key, value, order."""
+    first = constants.groupBy(key).agg(F.min_by(value, order).alias("_constant"))
+    return df.join(first, key, "left").withColumn(value, F.coalesce(value, "_constant")).drop("_constant")

@@ -34,12 +34,14 @@ def scc_cycles(spark: SparkSession, d: str) -> DataFrame:
     return G.strong_components(_trade(spark, d))
 
 
-@C.add(_TRADE + """back AS (SELECT dst_id AS src_id, src_id AS dst_id FROM trade), reach AS (SELECT dst_id FROM back WHERE src_id = 3 UNION SELECT e.dst_id FROM reach r JOIN back e ON r.dst_id = e.src_id)
-SELECT dst_id AS id FROM reach WHERE dst_id <> 3""")
+@C.add(_TRADE + """back AS (SELECT dst_id AS src_id, src_id AS dst_id FROM trade), top AS (SELECT dst_id AS id FROM trade GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+  reach AS (SELECT dst_id FROM back JOIN top ON src_id = id UNION SELECT e.dst_id FROM reach r JOIN back e ON r.dst_id = e.src_id)
+SELECT dst_id AS id FROM reach WHERE dst_id NOT IN (SELECT id FROM top)""")
 def transitive_impact(spark: SparkSession, d: str) -> DataFrame:
-    """All that depends on nation 3, step by step backwards."""
+    """All that depends on the nation that most others lead to, step by step backwards."""
     back = _trade(spark, d).select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))
-    return G.levels(back, spark.createDataFrame([(3,)], "id int")).where("id <> 3").select("id")
+    top = back.groupBy(F.col("src_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
+    return G.levels(back, top).where("level > 0").select("id")
 
 
 @C.add(_TRADE + """walk AS (SELECT 0 AS id, 0::BIGINT AS level UNION SELECT t.dst_id, w.level + 1 FROM walk w JOIN trade t ON w.id = t.src_id WHERE w.level < 25)

@@ -79,9 +79,9 @@ def glob_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return glob_match(read(spark, d, "pages"), "url", INCLUDE, EXCLUDE).select("page_id")
 
 
-@C.add("SELECT page_id, replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+@C.add("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
 def html_escape(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", T.html_escape(F.left("html", F.lit(300))).alias("escaped"))
+    return read(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
 
 
 @C.add("SELECT conv_id, turn, CASE WHEN length(t) > 60 THEN left(t, 57) || '...' ELSE t END AS shown FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS t FROM conversations)")
@@ -89,9 +89,11 @@ def signature_cap(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", T.capped(F.col("text"), 60).alias("shown"))
 
 
-@C.add("SELECT conv_id, turn, (length(left(text, 200)) - length(replace(left(text, 200), chr(10), '')) + 1)::INTEGER AS line FROM conversations")
+@C.add("SELECT page_id, (length(left(html, strpos(html, '<body') - 1)) - length(replace(left(html, strpos(html, '<body') - 1), chr(10), '')) + 1)::INTEGER AS line FROM pages WHERE strpos(html, '<body') > 0")
 def line_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").select("conv_id", "turn", T.line_of(F.col("text"), F.lit(200)).alias("line"))
+    """The line on which a page's body begins."""
+    at = F.instr("html", "<body")
+    return read(spark, d, "pages").where(at > 0).select("page_id", T.line_of(F.col("html"), at - 1).alias("line"))
 
 
 @C.add("SELECT p_partkey, CASE WHEN starts_with(spec, '@') THEN string_split(spec, '/')[1] || '/' || string_split(spec, '/')[2] ELSE string_split(spec, '/')[1] END AS package FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '@' ELSE '' END || lower(p_type) || '/' || replace(p_name, ' ', '/') AS spec FROM part)")

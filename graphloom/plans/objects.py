@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators import annotations as N
 from graphloom.operators import links as L
 from graphloom.operators.where import query, where
 from graphloom.plans.registry import Catalogue, read
@@ -30,10 +31,10 @@ def where_and_mixed(spark: SparkSession, d: str) -> DataFrame:
     return where(read(spark, d, "part"), "p_brand:Brand#2,p_name~Red,p_size~1").select("p_partkey", "p_name", "p_size")
 
 
-@C.add("SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE coalesce(CAST(o_orderkey AS VARCHAR), 'null') = 'null'")
+@C.add("SELECT c_custkey FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey WHERE coalesce(CAST(s_name AS VARCHAR), 'null') = 'null'")
 def where_null_text(spark: SparkSession, d: str) -> DataFrame:
-    customers, orders = read(spark, d, "customer"), read(spark, d, "orders")
-    return where(customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left"), "o_orderkey=null").select("c_custkey")
+    customers, suppliers = read(spark, d, "customer"), read(spark, d, "supplier")
+    return where(customers.join(suppliers, F.col("c_custkey") == F.col("s_suppkey"), "left"), "s_name=null").select("c_custkey")
 
 
 def _worded(spark: SparkSession, d: str) -> DataFrame:
@@ -182,24 +183,19 @@ def link_overrides(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").where("p_size < 20").groupBy(F.col("p_brand").alias("base_id"), F.col("p_type").alias("target")).agg(F.max_by("p_partkey", "p_partkey").alias("overrides_id"), F.countDistinct("p_partkey").alias("n_overridden"))
 
 
-NOTES = [("part:1", 1, "checked", True), ("part:1", 2, "see part 7", False), ("part:2", 3, "old", True), ("part:2", 4, "new", True), ("part:3", 5, "lone", False)]
-_NOTES = "(VALUES " + ", ".join(f"('{a}', {b}, '{c}', {str(e).lower()})" for a, b, c, e in NOTES) + ") t(object_id, seq, note, reviewed)"
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as notes on them; an answer reviews."""
+    return read(spark, d, "conversations").select(F.concat(F.lit("conv:"), F.col("conv_id").cast("string")).alias("object_id"), F.col("turn").cast("bigint").alias("seq"), F.col("text").alias("note"), (F.col("role") == "assistant").alias("reviewed"))
 
 
-def _notes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTES, "object_id string, seq int, note string, reviewed boolean")
-
-
-@C.add(f"SELECT object_id, arg_max(note, seq) AS note, bool_or(reviewed) AS reviewed FROM {_NOTES} GROUP BY 1")
+@C.add("SELECT 'conv:' || conv_id AS object_id, arg_max(text, turn) AS note, bool_or(role = 'assistant') AS reviewed FROM conversations GROUP BY 1")
 def annotations_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Annotations are rows of their own, so a rebuild keeps them: the latest note, and whether it was ever reviewed."""
-    return _notes(spark).groupBy("object_id").agg(F.max_by("note", "seq").alias("note"), F.bool_or("reviewed").alias("reviewed"))
+    return N.latest(_notes(spark, d))
 
 
-@C.add(f"SELECT object_id, string_agg(note, chr(10) ORDER BY seq) AS notes FROM {_NOTES} GROUP BY 1")
+@C.add("SELECT 'conv:' || conv_id AS object_id, string_agg(text, chr(10) ORDER BY turn) AS notes FROM conversations GROUP BY 1")
 def notes_append(spark: SparkSession, d: str) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "note"))), lambda x: x["note"])
-    return _notes(spark).groupBy("object_id").agg(F.array_join(ordered, "\n").alias("notes"))
+    return N.whole(_notes(spark, d))
 
 
 QUERIES, ORACLE_SQL = C.queries, C.sql

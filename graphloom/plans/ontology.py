@@ -17,20 +17,36 @@ from graphloom.operators import graph as G
 from graphloom.operators import links as L
 from graphloom.operators import resolve as R
 from graphloom.operators.lineage import cut
+from graphloom.plans import calls as K
+from graphloom.plans import semantics as S
 from graphloom.sources import facts as X
+from graphloom.sources import projects as P
+from graphloom.sources import scripts as U
+from graphloom.sources.scan import everything, read_manifests, read_sources
 
 # Endings that an import may leave out, in the order they are tried.
 PROBES = ("", ".ts", ".tsx", ".js", ".jsx", ".vue", ".dart", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.vue", "/index.dart")
 
 
-def normal_path(path: Column) -> Column:
-    """`.` and `..` folded away."""
-    step = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
-    return F.array_join(F.aggregate(F.filter(F.split(path, "/"), lambda x: x != ""), F.array().cast("array<string>"), step), "/")
+def rust_uses(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """path, spec, target: the file of the longest part of a Rust `use` path that is one, as `a/b.rs` or `a/b/mod.rs`.
+
+    `crate` is the folder of the crate's sources, `self` and `super` go from the file's own module.
+    """
+    rows = imports.where(F.endswith("path", F.lit(".rs"))).select("path", "spec").distinct()
+    root = F.coalesce(*(F.nullif(F.regexp_extract("path", p, 1), F.lit("")) for p in (r"^(.*?src-tauri/src/)", r"^(.*?/src/)", r"^(src/)")))
+    own = F.split(F.regexp_replace(F.regexp_replace(F.substr("path", F.length("root") + 1), r"\.rs$", ""), r"(^|/)(mod|lib|main)$", ""), "/")
+    parts = F.filter(F.transform(F.split(F.regexp_replace("spec", r"\s+as\s+\w+", ""), "::"), F.trim), lambda x: x != "")
+    rows = rows.withColumn("root", root).where("root is not null").withColumns({"own": F.filter(own, lambda x: x != ""), "parts": parts}).where(F.get("parts", F.lit(0)).isin("crate", "super", "self"))
+    step = lambda acc, s: F.when(s == "super", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == "self", acc).otherwise(F.concat(acc, F.array(s)))
+    whole = F.when(F.get("parts", F.lit(0)) == "crate", F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))).otherwise(F.aggregate("parts", F.col("own"), step))
+    tried = rows.withColumn("whole", whole).where(F.size("whole") > 0).select("path", "spec", "root", "whole", F.explode(F.sequence(F.lit(1), F.size("whole"))).alias("n"))
+    tried = tried.select("path", "spec", "n", F.explode(F.transform(F.array(F.lit(".rs"), F.lit("/mod.rs")), lambda e: F.concat("root", F.array_join(F.slice("whole", F.lit(1), F.col("n")), "/"), e))).alias("target"))
+    return tried.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "spec").agg(F.max_by("target", F.struct("n", "target")).alias("target"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str], go_module: str = "", dart_package: str = "") -> DataFrame:
-    """path, spec, target (a file, or null), package (of what lies outside, or null).
+    """path, spec, target (a file, or null), package (of what lies outside, or null), package_folder (of Go packages of the tree).
 
     An import becomes the paths it may mean, each with every ending; the first that is a file wins. A Go import means all files of a folder.
     """
@@ -42,7 +58,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
         base = F.when(F.startswith("spec", F.lit(own)), F.concat(F.lit("lib/"), F.substr("spec", F.lit(len(own) + 1)))).otherwise(base)
     dart_near = F.endswith("path", F.lit(".dart")) & ~F.contains("spec", F.lit(":"))
     base = F.coalesce(base, F.when(dart_near, F.concat(T.dir_name(F.col("path")), F.lit("/"), "spec")))
-    rows = imports.select("path", "spec").distinct().withColumn("base", normal_path(base))
+    rows = imports.select("path", "spec").distinct().withColumn("base", T.normal_path(base))
     tried = rows.where("base is not null").select("path", "spec", F.posexplode(F.array(*(F.concat("base", F.lit(p)) for p in PROBES))).alias("rank", "target"))
     # a `.js` in an import may stand for a `.ts` or `.tsx` file
     swapped = rows.where(F.endswith("base", F.lit(".js"))).select("path", "spec", F.posexplode(F.array(*(F.regexp_replace("base", r"\.js$", e) for e in (".ts", ".tsx")))).alias("rank", "target"))
@@ -52,10 +68,11 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
     go = rows.where(F.endswith("path", F.lit(".go")) & F.startswith("spec", F.lit(f"{go_module}/"))) if go_module else rows.limit(0)
     packages = go.select("path", "spec", F.substr("spec", F.lit(len(go_module) + 2)).alias("folder"))
     inside = packages.join(files.where("ext = 'go'").select(F.col("path").alias("target"), T.dir_name(F.col("path")).alias("folder")), "folder").select("path", "spec", "target")
-    found = near.select("path", "spec", "target").unionByName(inside)
+    found = near.select("path", "spec", "target").unionByName(inside).unionByName(rust_uses(imports, files))
     outside = F.when(F.col("base").isNull() & ~F.startswith("spec", F.lit("virtual:")), T.package_name(F.col("spec")))
-    package = F.when(F.endswith("path", F.lit(".go")) & F.contains("spec", F.lit(".")), F.col("spec")).when(F.endswith("path", F.lit(".rs")), F.lit(None)).when(F.startswith("spec", F.lit("package:")), F.regexp_extract("spec", "^package:([^/]+)", 1)).otherwise(outside)
-    return rows.join(found, ["path", "spec"], "left").select("path", "spec", "target", F.when(F.col("target").isNull(), package).alias("package"), F.col("base").isNotNull().alias("inside"))
+    package = F.when(F.endswith("path", F.lit(".go")) & F.contains("spec", F.lit(".")), F.col("spec")).when(F.endswith("path", F.lit(".rs")), F.nullif(F.nullif(F.nullif(F.regexp_extract("spec", r"^(\w+)", 1), F.lit("crate")), F.lit("self")), F.lit("super"))).when(F.startswith("spec", F.lit("package:")), F.regexp_extract("spec", "^package:([^/]+)", 1)).otherwise(outside)
+    whole = rows.join(found, ["path", "spec"], "left").join(packages, ["path", "spec"], "left")
+    return whole.select("path", "spec", "target", F.when(F.col("target").isNull(), package).alias("package"), F.col("base").isNotNull().alias("inside"), F.col("folder").alias("package_folder"))
 
 
 def next_routes(files: DataFrame) -> DataFrame:
@@ -68,13 +85,19 @@ def next_routes(files: DataFrame) -> DataFrame:
     return rows.where(~hidden).select("path", F.concat(F.lit("/"), F.array_join(shown, "/")).alias("route"), kind.alias("kind"))
 
 
-def build(sources: DataFrame, declared: DataFrame | None = None, aliases: dict[str, str] | None = None, go_module: str = "", dart_package: str = "") -> dict[str, DataFrame]:
-    """Object tables, `edges`, `cycles`, `unmatched` and `counts`.
+def build(
+    sources: DataFrame, declared: DataFrame | None = None, aliases: dict[str, str] | None = None, go_module: str = "", dart_package: str = "",
+    project: str = "project", paths: DataFrame | None = None, entries: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Object tables, `edges` (in both directions), `cycles`, `unmatched`, `orphans`, `dead`, `unused_exports`, `failed` and `counts`.
 
-    sources: read_sources(); declared: read_manifests().
+    sources: read_sources(); declared: read_manifests(); paths: all paths of the tree where they tell a framework; entries:
+    html_entries(). `scan_project` finds all of these.
     """
     spark = sources.sparkSession
-    raw = cut(sources)
+    raw = cut(sources.where("content is not null"))
+    # files that aren't text in UTF-8 have nothing to find facts in
+    failed = cut(raw.where(F.contains("content", F.lit("\ufffd"))).select("path", F.lit("not UTF-8").alias("error")))
     code = cut(X.without_comments(raw))
     lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
     scripts = X.user_scripts(raw).select("path", F.lit(True).alias("is_script"))
@@ -87,12 +110,16 @@ def build(sources: DataFrame, declared: DataFrame | None = None, aliases: dict[s
     hooks = L.unique_ids(functions.where(F.col("exported") & F.col("name").rlike("^use[A-Z]")).withColumn("base", F.concat(F.lit("hook:"), "name")), "base", "path", "ord").select("id", "name", "path")
     stores = L.unique_ids(X.stores(code).withColumn("base", F.concat(F.lit("store:"), "name")), "base", "path", "ord").select("id", "name", "path", "provider")
 
+    services = L.unique_ids(X.services(code).withColumn("base", F.concat(F.lit("svc:"), "name")), "base", "path", "ord").select("id", "name", "path", "pattern")
+
     # files, modules, layers
     per_file = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
     files = raw.select("path", "ext", lines.cast("int").alias("line_count"))
     for df, name in ((components, "n_components"), (stores, "n_stores"), (hooks, "n_hooks")):
         files = files.join(per_file(df, name), "path", "left")
     files = files.join(scripts, "path", "left").na.fill(0).na.fill(False).withColumns({"is_test": T.is_test(F.col("path")), "is_entry": is_entry(F.col("path"))})
+    if entries is not None:
+        files = files.join(entries.withColumn("_e", F.lit(True)), "path", "left").withColumn("is_entry", F.col("is_entry") | F.coalesce("_e", F.lit(False))).drop("_e")
     layer = file_layer(F.col("path"), script=F.col("is_script"), test=F.col("is_test"), entry=F.col("is_entry"), components=F.col("n_components"), stores=F.col("n_stores"), hooks=F.col("n_hooks"))
     files = cut(files.select(F.concat(F.lit("file:"), "path").alias("id"), T.base_name(F.col("path")).alias("name"), "*", layer.alias("layer"), T.dir_name(F.col("path")).alias("folder")))
     above = files.select("path", "layer", F.explode(G.ancestors(F.col("folder"))).alias("module"))
@@ -125,11 +152,21 @@ def build(sources: DataFrame, declared: DataFrame | None = None, aliases: dict[s
     edges.append(L.edges(inherits.where("link = 'implements'"), "implements", "id", "dst_id", F.lit(0)))
     owned = X.members(code).unionByName(functions.where("owner is not null").select("path", "owner", "ord", "name"))
     method_id = F.concat(F.lit("method:"), "path", F.lit("#"), "owner", F.lit("#"), "name")
-    methods = L.unique_ids(owned.withColumn("base", method_id), "base", "ord").select("id", "name", "path", F.col("owner"), F.lit("class").alias("owner_kind"))
-    loose = functions.where("owner is null").select(F.concat(F.lit("method:"), "path", F.lit("#"), "name").alias("id"), "name", "path", F.lit(None).cast("string").alias("owner"), F.lit("module").alias("owner_kind"))
-    methods = cut(methods.unionByName(loose).dropDuplicates(["id"]))
-    own = entities.select(F.col("id").alias("owner_id"), "path", F.col("name").alias("owner"))
-    member_of = cut(methods.where("owner is not null").join(own, ["path", "owner"]).select("id", "name", "owner_id"))
+    methods = L.unique_ids(owned.withColumn("base", method_id), "base", "ord").select("id", "name", "path", F.col("owner"), F.lit("class").alias("owner_kind"), F.col("name").rlike("^[A-Z]").alias("exported"))
+    loose = functions.where("owner is null").select(F.concat(F.lit("method:"), "path", F.lit("#"), "name").alias("id"), "name", "path", F.lit(None).cast("string").alias("owner"), F.lit("module").alias("owner_kind"), "exported")
+    methods = methods.unionByName(loose).dropDuplicates(["id"])
+    # a Go method may stand in another file of its type's folder
+    folder = T.dir_name(F.col("path")).alias("folder")
+    own = entities.select(F.col("id").alias("owner_id"), F.col("path").alias("there"), F.col("name").alias("owner"), folder, F.when(F.col("entity") == "interface", "interface").otherwise("class").alias("owner_is"))
+    near = methods.where("owner is not null").select("id", "path", "owner", folder).join(own, ["folder", "owner"]).where((F.col("path") == F.col("there")) | F.endswith("path", F.lit(".go")))
+    near = near.groupBy("id").agg(F.min_by(F.struct("owner_id", "owner_is"), F.struct(F.col("path") != F.col("there"), "owner_id")).alias("x")).select("id", "x.owner_id", "x.owner_is")
+    methods = cut(methods.join(near, "id", "left").withColumn("owner_kind", F.coalesce("owner_is", "owner_kind")).drop("owner_is"))
+    member_of = methods.where("owner_id is not null").select("id", "name", "owner_id")
+    found, body_lines = K.bodies(code)
+    last = F.regexp_extract("spec", r"([^/]+?)(?:/v[0-9]+)?$", 1).alias("name")
+    called = K.resolve(K.sites(body_lines, cut(found)), methods, resolved.select("path", "target", "package_folder", last), components)
+    edges.append(L.edges(called, "calls", "src_id", "dst_id", F.lit(0)))
+    edges.append(L.edges(methods.where("owner_id is not null"), "contains", "owner_id", "id", F.lit(0)))
     parents = member_of.select(F.col("id").alias("dst_id"), "name", F.col("owner_id").alias("parent"))
     overriding = member_of.join(inherits.select(F.col("id").alias("owner_id"), F.col("dst_id").alias("parent")), "owner_id").join(parents, ["parent", "name"])
     edges.append(L.edges(overriding, "overrides", "id", "dst_id", F.lit(0)))
@@ -149,12 +186,14 @@ def build(sources: DataFrame, declared: DataFrame | None = None, aliases: dict[s
     routes = routes.unionByName(written.select(F.concat(F.lit("route:"), "route").alias("base"), "route", "kind", "path", F.lit(None).cast("string").alias("method"), F.col("component").alias("handler"), "ord"))
     chains = command_chains(*X.commands(code))
     routes = routes.unionByName(chains.select(F.concat(F.lit("route:go-cli:"), "chain").alias("base"), F.col("chain").alias("route"), F.lit("command").alias("kind"), "path", F.lit(None).cast("string").alias("method"), F.col("command").alias("handler"), F.lit(0).alias("ord")))
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("path", "ord", "route"))
-    routes = cut(L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", order).withColumn("domain", T.route_domain(F.col("route"))))
+    shown = F.concat(F.lit("route:"), "route").alias("base"), "route", F.lit("vue-file").alias("kind"), "path", F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("handler"), F.lit(0).alias("ord")
+    routes = routes.unionByName(vue_file_routes(raw).join(written.select("path").distinct(), "path", "left_anti").select(*shown))
+    routes = L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", F.struct("path", "ord", "route"))
+    told = X.titles(raw).groupBy("path").agg(F.min_by("title", "ord").alias("description"))
+    routes = cut(routes.withColumn("domain", T.route_domain(F.col("route"))).join(told, "path", "left"))
     calls = X.http_calls(code).select("path", "method", F.regexp_replace(F.col("url"), r"^https?://[^/]+", "").alias("url"), "ord").where("url <> ''")
     matched = cut(R.match_routes(calls, routes.where("kind in ('api', 'http')").select("ord", F.col("route").alias("pattern")), "url", "pattern"))
-    called = matched.where("pattern is not null").join(routes.where("kind in ('api', 'http')").select(F.col("route").alias("pattern"), "id"), "pattern")
-    edges.append(L.edges(called, "requestsTo", file_id("path"), "id", F.lit(0)).distinct())
+    asked = matched.where("pattern is not null").join(routes.where("kind in ('api', 'http')").select(F.col("route").alias("pattern"), F.col("id").alias("route_id")), "pattern").select("path", "method", "url", "route_id").distinct()
     edges.append(L.edges(routes, "registers", "id", file_id("path"), F.lit(1)))
     wanted = routes.select("id", "path", F.col("handler").alias("name")).where("name is not null").join(by_name, "name").join(reach, ["path", "there"])
     edges.append(L.edges(wanted, "registers", "id", "dst_id", F.lit(0)).distinct())
@@ -170,37 +209,96 @@ def build(sources: DataFrame, declared: DataFrame | None = None, aliases: dict[s
     props = cut(A.priority_merge(given, ["src_id", "dst_id", "name"], "source", X.PROP_RANKS, "ord"))
     edges.append(L.edges(props, "passesProps", "src_id", "dst_id", F.lit(0)).distinct())
 
-    # containment, in the order: modules, files, units
+    # what files use of stores and hooks they import, and with them the file's first component
+    reads = resolved.where("target is not null").select("path", F.col("target").alias("there")).distinct()
+    for link, df in (("usesStore", stores), ("usesHook", hooks)):
+        held = reads.join(df.select(F.col("id").alias("dst_id"), F.col("path").alias("there")), "there")
+        edges.append(L.edges(held, link, file_id("path"), "dst_id", F.lit(0)))
+        edges.append(L.edges(held.join(components.select("id", "path"), "path"), link, "id", "dst_id", F.lit(0)))
+
+    # user scripts: what they call, inject and reach, and their own functions
+    script_lines = cut(U.lines(raw))
+    meta, spans = X.script_meta(raw), cut(U.spans(script_lines))
+    events = cut(U.events(script_lines, spans))
+    api = X.script_api_calls(raw)
+    injected, net = cut(U.injections(events, U.anchors(script_lines))), cut(U.endpoints(events, meta))
+    script_edges = cut(U.call_edges(events, spans))
+    names = cut(X.name_counts(code))
+    functions_of = cut(U.script_functions(spans, events, script_edges, names))
+    risks = cut(U.risks(events, api, injected, net, meta))
+    us = F.concat(F.lit("us:"), "path")
+    titled = meta.groupBy("path").agg(F.min_by("value", F.when(F.col("key") == "name", F.col("ord"))).alias("title"), F.collect_list(F.when(F.col("key").isin("match", "include"), F.col("value"))).alias("matches"))
+    user_scripts = files.where("is_script").join(titled, "path", "left").join(U.risk_levels(risks), "path", "left").join(U.host_frameworks(events), "path", "left").select(
+        us.alias("id"), F.coalesce("title", "name").alias("name"), "path", "matches", "line_count", F.coalesce("risk_level", F.lit("none")).alias("risk_level"), F.coalesce("n_risks", F.lit(0)).alias("n_risks"), F.coalesce("host", F.lit("unknown")).alias("host")
+    )
+    gm = api.select(F.concat(F.lit("gm:"), "path", F.lit("#"), "name").alias("id"), "*")
+    user_scripts = cut(user_scripts)
+    for n, (link, df) in enumerate((("", functions_of), ("usesGmApi", gm), ("injectsInto", injected), ("requestsTo", net))):
+        if link:
+            edges.append(L.edges(df, link, us, "id", F.lit(0)))
+        edges.append(L.edges(df, "contains", us, "id", F.lit(n)))
+    fn_id = lambda c: F.concat(F.lit("fn:"), "path", F.lit("#"), c)
+    edges.append(L.edges(script_edges.where("src is not null"), "calls", fn_id("src"), fn_id("dst"), F.lit(0)))
+
+    # domains
+    kinds_of = {"component": components, "store": stores, "hook": hooks, "service": services, "script": user_scripts}
+    units = cut(reduce(DataFrame.unionByName, (df.select("id", "path", F.lit(k).alias("kind")) for k, df in kinds_of.items())))
+    shows_file = shows.select(F.col("src_id").alias("id"), "path")
+    domain_names = cut(S.domain_names(routes.where("kind <> 'command'").select("domain", "ord"), modules))
+    members = cut(S.memberships(domain_names, routes.where("kind <> 'command'").select("id", "domain"), modules.select("id", "path"), files.select("id", "path"), shows_file, units))
+    domains = cut(S.domains(domain_names, members, files, routes))
+    edges.append(L.edges(members.where("kind <> 'file'"), "belongsTo", "id", "domain_id", F.lit(0)))
+    edges.append(L.edges(members.where("kind = 'script'").join(functions_of.select(us.alias("id"), F.col("id").alias("fn")), "id"), "belongsTo", "fn", "domain_id", F.lit(0)))
+
+    # containment, in the order: domains and modules, files, units
+    proj = F.lit(f"proj:{project}")
+    edges.append(L.edges(domains, "contains", proj, "id", F.lit(0)))
+    edges.append(L.edges(modules.where("parent_id is null"), "contains", proj, "id", F.lit(1)))
     edges.append(L.edges(modules.where("parent_id is not null"), "contains", "parent_id", "id", F.lit(0)))
     edges.append(L.edges(files.where("folder <> ''"), "contains", F.concat(F.lit("mod:"), "folder"), "id", F.lit(1)))
-    for n, df in enumerate((components, hooks, stores, entities, methods), 2):
+    for n, df in enumerate((components, hooks, stores, services, entities, methods, user_scripts), 2):
         edges.append(L.edges(df, "contains", file_id("path"), "id", F.lit(n)))
-    edges = cut(reduce(DataFrame.unionByName, edges))
-    api, endpoints = X.script_api_calls(raw), X.script_endpoints(raw)
-    meta = X.script_meta(raw)
-    user_scripts = files.where("is_script").join(meta.groupBy("path").agg(F.min_by("value", F.when(F.col("key") == "name", F.col("ord"))).alias("title"), F.collect_list(F.when(F.col("key").isin("match", "include"), F.col("value"))).alias("matches")), "path", "left").select(
-        F.concat(F.lit("us:"), "path").alias("id"), F.coalesce("title", "name").alias("name"), "path", "matches", "line_count"
-    )
-    gm = api.select(F.concat(F.lit("gm:"), "path", F.lit("#"), "name").alias("id"), "*")
-    net = endpoints.select(F.concat(F.lit("net:"), "path", F.lit("#"), "domain").alias("id"), "*")
+    edges = cut(L.with_inverse(reduce(DataFrame.unionByName, edges).distinct()))
+    between = cut(edges.where("link_type = 'imports'").where(F.startswith("dst_id", F.lit("file:"))).select("src_id", "dst_id").distinct())
+    dead_there = dead_types(entities, methods, names, imports, files).unionByName(K.dead_go(entities.select("id", "name", "path", "exported").unionByName(methods.where("owner_kind <> 'interface'").select("id", "name", "path", "exported")), names))
 
     out = {
-        "SourceFile": files, "Module": modules, "Dependency": packages, "Component": components, "Hook": hooks, "Store": stores,
+        "SourceFile": files, "Module": cut(S.module_profiles(modules, files, units, routes, between)), "Domain": domains, "Dependency": cut(packages), "Component": components, "Hook": hooks, "Store": stores, "Service": services,
         "Interface": entities.where("entity = 'interface'"), "Class": entities.where("entity = 'class'"), "Method": methods,
-        "Route": routes, "UserScript": user_scripts, "GmApiUsage": gm, "NetworkEndpoint": net,
+        "Route": routes, "UserScript": user_scripts, "ScriptFunction": functions_of, "GmApiUsage": gm, "InjectionPoint": injected, "NetworkEndpoint": net,
         "PropEdge": props.groupBy("src_id", "dst_id").agg(F.sort_array(F.collect_list(F.struct("name", "source"))).alias("props")).withColumn("id", F.concat(F.lit("prop:"), "src_id", F.lit("→"), "dst_id")), "edges": edges,
-        "unmatched": matched.where("pattern is null").select("path", "method", "url"),
+        "unmatched": matched.where("pattern is null").select("path", "method", "url"), "frontend_calls": asked, "risks": risks, "failed": failed,
     }
-    between = edges.where("link_type = 'imports'").where(F.startswith("dst_id", F.lit("file:"))).select("src_id", "dst_id").distinct()
-    cycles = G.strong_components(between)
+    cycles = cut(G.strong_components(between))
     out["cycles"] = cycles.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    out["orphans"] = orphans(files, between, routes)
-    out["dead"] = dead_types(entities, methods, X.name_counts(code), imports, files)
+    out["orphans"] = cut(orphans(files, between, routes, imports, raw))
+    out["dead"] = cut(dead_there.dropDuplicates(["id"]).unionByName(functions_of.where("dead").select("id", F.lit("nothing calls it").alias("reason"))))
+    out["unused_exports"] = cut(unused_exports(functions, entities, imports, files, between, names))
+    kind = P.framework(paths if paths is not None else raw.select("path"), declared)
+    out["Project"] = cut(S.project(project, kind, out))
     counted = [v.agg(F.count("*").alias("n")).select(F.lit(k).alias("type"), "n") for k, v in out.items() if k[0].isupper()]
-    out["counts"] = reduce(DataFrame.unionAll, counted)
+    out["counts"] = cut(reduce(DataFrame.unionAll, counted))
     return out
 
 
+def scan_project(spark, root: str, roots: tuple[str, ...] = (".",), name: str | None = None) -> dict[str, DataFrame]:
+    """build() over a tree with all that it says about itself: manifests, path aliases, the main Go module, the Dart package, pages' entry scripts."""
+    found = {r.prefix: r.target for r in P.aliases(spark, root).collect()}  # a line for each alias that configurations name
+    go = P.go_modules(spark, root).where("main").select("module").first()
+    paths = everything(spark, root).select("path")
+    dart = everything(spark, root).where("path = 'pubspec.yaml'").select(F.regexp_extract("content", r"(?m)^name:\s*(\w+)", 1).alias("name")).first()
+    own = name or root.rstrip("/").rsplit("/", 1)[-1]
+    return build(read_sources(spark, root, roots), read_manifests(spark, root), found or None, go.module if go else "", dart.name if dart else "", own, paths, P.html_entries(spark, root))
+
+
+def vue_file_routes(files: DataFrame) -> DataFrame:
+    """path, route: single-file pages under src/views and src/pages; `index` stands for its folder, `[x]` for a parameter."""
+    rows = files.where(F.col("path").rlike(r"^src/(views|pages)/.*\.vue$"))
+    segments = F.split(F.regexp_replace("path", r"^src/(views|pages)/|(/?index)?\.vue$", ""), "/")
+    shown = F.filter(F.transform(segments, T.next_segment), lambda x: x != "")
+    return rows.select("path", F.concat(F.lit("/"), F.array_join(shown, "/")).alias("route"))
+
+
 def command_chains(made: DataFrame, children: DataFrame, depth: int = 8) -> DataFrame:
     """path, command, chain: the words that lead to each command from a root, which is one that no other adds."""
     names = made.select("path", "command", "use")
@@ -217,15 +315,29 @@ def command_chains(made: DataFrame, children: DataFrame, depth: int = 8) -> Data
     return out
 
 
-def orphans(files: DataFrame, imports: DataFrame, routes: DataFrame) -> DataFrame:
-    """Files under src/ or lib/ that no file imports, no route shows and no rule exempts."""
-    rows = files.where(F.col("path").rlike("^(src|lib)/") & ~F.col("is_test") & ~F.col("is_entry") & ~F.col("is_script"))
-    return rows.join(imports.select(F.col("dst_id").alias("id")), "id", "left_anti").join(routes.select("path"), "path", "left_anti").select("id", "path")
+def orphans(files: DataFrame, imports: DataFrame, routes: DataFrame, spelled: DataFrame, raw: DataFrame) -> DataFrame:
+    """Files under src/ or lib/ that no file imports, no route shows and no rule exempts: tests, entries, scripts, declarations, and what a glob import takes in."""
+    rows = files.where(F.col("path").rlike("^(src|lib)/") & ~F.col("is_test") & ~F.col("is_entry") & ~F.col("is_script") & ~F.endswith("path", F.lit(".d.ts")))
+    left = rows.join(imports.select(F.col("dst_id").alias("id")), "id", "left_anti").join(routes.select("path"), "path", "left_anti")
+    return left.join(X.globbed(raw), "path", "left_anti").select("id", "path")
+
+
+def unused_exports(functions: DataFrame, entities: DataFrame, imports: DataFrame, files: DataFrame, between: DataFrame, names: DataFrame) -> DataFrame:
+    """id (of the file), path, name: exported names of files that others import, though none imports the name and the file itself names it once.
+
+    Files that others take whole (`*`, or dynamically) are left out, as are entries, tests and Go files.
+    """
+    exported = functions.where("exported and not is_default and owner is null").select("path", "name").unionByName(entities.where("exported").select("path", "name")).distinct()
+    used = files.where("not is_entry and not is_test and ext <> 'go'").join(between.select(F.col("dst_id").alias("id")).distinct(), "id", "left_semi")
+    taken = imports.select(F.explode(F.regexp_extract_all(F.coalesce("names", F.lit("")), F.lit(r"[A-Za-z_$][\w$]*"), 0)).alias("name")).distinct()
+    whole = imports.where(F.contains("names", F.lit("*")) | (F.col("kind") == "dynamic")).select(T.stem(F.col("spec")).alias("stem")).distinct()
+    rows = exported.join(used.select("id", "path"), "path").withColumn("stem", T.stem(F.col("path"))).join(whole, "stem", "left_anti").join(taken, "name", "left_anti")
+    return rows.join(names, ["path", "name"]).where("n <= 1").select("id", "path", "name")
 
 
 def dead_types(entities: DataFrame, methods: DataFrame, names: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
     """id, reason of types and module functions that nothing names: where they stand once, or, if they may be seen outside, in no other file either."""
-    units = entities.select("id", "name", "path", "exported").unionByName(methods.where("owner is null").select("id", "name", "path", F.lit(True).alias("exported")))
+    units = entities.select("id", "name", "path", "exported").unionByName(methods.where("owner is null").select("id", "name", "path", F.lit(True).alias("exported"))).where(~F.endswith("path", F.lit(".go")))
     totals = names.groupBy("name").agg(F.sum("n").alias("total"))
     starred = imports.where(F.col("names").rlike(r"\*") | (F.col("kind") == "dynamic")).select("spec").distinct()
     exempt = files.where("is_entry or is_test").select("path")

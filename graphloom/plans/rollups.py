@@ -107,7 +107,7 @@ def interval_innermost(spark: SparkSession, d: str) -> DataFrame:
 @C.add(f"SELECT s.span, count(e.event_id) AS n_events, count(e.event_id) FILTER (e.event_type = 'error') AS n_errors FROM {_SPANS} s LEFT JOIN events e ON s.user_id = e.user_id AND e.event_id >= s.low AND e.event_id < s.high GROUP BY 1")
 def interval_counts(spark: SparkSession, d: str) -> DataFrame:
     events = read(spark, d, "events").select("user_id", "event_id", "event_type")
-    inside = _spans(spark, d).join(events, "user_id").where("event_id >= low and event_id < high")
+    inside = R.around(events, _spans(spark, d), "user_id", "event_id")
     return inside.groupBy("span").agg(F.count("*").alias("n_events"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
 
 
@@ -123,17 +123,17 @@ def prefix_longest_join(spark: SparkSession, d: str) -> DataFrame:
     return R.longest_prefix(paths, spark.createDataFrame([(p,) for p in PREFIXES], "prefix string"), "path", "prefix", "page_id")
 
 
-@C.add("""SELECT o_orderkey, arg_min(p_partkey, rank * 100000000 + p_partkey) AS p_partkey, arg_min(p_name, rank * 100000000 + p_partkey) AS p_name FROM (SELECT o_orderkey, unnest([o_orderkey + 1000000, o_orderkey, o_custkey]) AS k, unnest([0, 1, 2]) AS rank FROM orders WHERE o_orderkey % 10 = 0) JOIN part ON p_partkey = k GROUP BY 1""")
+@C.add("""SELECT o_orderkey, arg_min(p_partkey, rank * 100000000 + p_partkey) AS p_partkey, arg_min(p_name, rank * 100000000 + p_partkey) AS p_name FROM (SELECT o_orderkey, unnest([o_orderkey + 1000000, o_orderkey, o_custkey]) AS k, unnest([0, 1, 2]) AS rank FROM orders) JOIN part ON p_partkey = k GROUP BY 1""")
 def ranked_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Probes in order; the first that names a part wins."""
-    orders = read(spark, d, "orders").where("o_orderkey % 10 = 0")
+    orders = read(spark, d, "orders")
     probes = orders.select("o_orderkey", F.posexplode(F.array(F.col("o_orderkey") + 1_000_000, F.col("o_orderkey"), F.col("o_custkey"))).alias("rank", "p_partkey"))
     return R.ranked_lookup(probes, read(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", "o_orderkey")
 
 
 PATTERNS = ((0, "/en/:id"), (1, "/:lang/:id"), (2, "/blog/*rest"), (3, "/fr/*rest"))
 _ROUTES = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in PATTERNS) + ") r(ord, pattern)"
-_CALLS = f"(SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS have FROM (SELECT page_id, {_PATH} AS path FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT -page_id - 1, '/fr/a/' || page_id || '/x' FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT -page_id - 1000000, '/none/' || page_id || '/y' FROM pages WHERE page_id % 7 = 0))"
+_CALLS = f"(SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS have FROM (SELECT page_id, {_PATH} AS path FROM pages UNION ALL SELECT -page_id - 1, '/fr/a/' || page_id || '/x' FROM pages UNION ALL SELECT -page_id - 1000000000, '/none/' || page_id || '/y' FROM pages))"
 _MATCHED = f"""(SELECT c.page_id, c.path, arg_min(r.pattern, r.ord) AS pattern FROM {_CALLS} c LEFT JOIN (SELECT ord, pattern, list_filter(string_split(pattern, '/'), lambda x: x <> '') AS want FROM {_ROUTES}) r
 ON (len(c.have) = len(r.want) OR (starts_with(r.want[-1], '*') AND len(c.have) >= len(r.want)))
 AND len(list_filter(range(1, len(r.want) + 1), lambda i: NOT (r.want[i][1] IN (':', '*') OR r.want[i] = c.have[i]))) = 0 GROUP BY ALL)"""
@@ -141,9 +141,10 @@ AND len(list_filter(range(1, len(r.want) + 1), lambda i: NOT (r.want[i][1] IN ('
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
     pages, own = read(spark, d, "pages"), F.col("page_id")
-    calls = pages.where("page_id % 3 <> 0").select(own, url_path(F.col("url")).alias("path"))
-    calls = calls.unionAll(pages.where("page_id % 3 = 0").select(-own - 1, F.concat(F.lit("/fr/a/"), own.cast("string"), F.lit("/x"))))
-    calls = calls.unionAll(pages.where("page_id % 7 = 0").select(-own - 1_000_000, F.concat(F.lit("/none/"), own.cast("string"), F.lit("/y"))))
+    calls = pages.select(own, url_path(F.col("url")).alias("path"))
+    # beside each page's own path two more calls, one that a deep pattern fits and one that none does
+    calls = calls.unionAll(pages.select(-own - 1, F.concat(F.lit("/fr/a/"), own.cast("string"), F.lit("/x"))))
+    calls = calls.unionAll(pages.select(-own - 1_000_000_000, F.concat(F.lit("/none/"), own.cast("string"), F.lit("/y"))))
     return R.match_routes(calls, spark.createDataFrame(PATTERNS, "ord int, pattern string"))
 
 

@@ -11,6 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
+from graphloom.operators import resolve as R
+from graphloom.operators.graph import ancestors
+
 SCRIPT = ("ts", "tsx", "js", "jsx", "vue")
 LANGUAGE = {"ts": "ts", "tsx": "ts", "js": "js", "jsx": "js", "vue": "vue", "rs": "rust", "dart": "dart", "go": "go"}
 
@@ -71,8 +75,11 @@ def functions(sources: DataFrame) -> DataFrame:
 def members(sources: DataFrame) -> DataFrame:
     """path, owner, name of the methods that stand in the body of a class or interface (up to a brace at the start of a line)."""
     bodies = found(sources, ("ts", "tsx", "js", "jsx", "dart"), r"(?ms)^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:interface|class)\s+(\w+)[^{\n]*\{(.*?)^\}", owner=1, body=2)
-    called = r"(?m)^[ \t]+(?:public |private |protected |static |async |override |get |set |@override\s+|[\w<>?]+ )*([A-Za-z_]\w*)\s*(?:<[^>\n]*>)?\([^\n]*\)\s*(?::[^{;\n]+)?(?:async\s*)?[{;]"
-    rows = bodies.select("path", "owner", F.posexplode(F.regexp_extract_all("body", F.lit(called), 1)).alias("ord", "name"))
+    # a body opens, a type follows, or words of a type stand before: else it is a call
+    words, name, given = r"(?:public |private |protected |static |async |override |get |set |@override\s+|[\w<>?,]+ )", r"([A-Za-z_]\w*)\s*(?:<[^>\n]*>)?", r"\([^\n]*\)\s*"
+    start = r"(?m)^[ \t]+(?!(?:return|await|throw|new|yield|else|case)\b)"
+    shapes = (f"{start}{words}*{name}{given}(?::[^{{;\n]+)?(?:async\\*?\\s*)?\\{{", f"{start}{words}*{name}{given}:[^{{;\n]+;", f"{start}{words}+{name}{given};")
+    rows = bodies.select("path", "owner", F.posexplode(F.array_distinct(F.concat(*(F.regexp_extract_all("body", F.lit(p), 1) for p in shapes)))).alias("ord", "name"))
     return rows.where(~F.col("name").isin("if", "for", "while", "switch", "catch", "return", "function"))
 
 
@@ -84,6 +91,28 @@ def stores(sources: DataFrame) -> DataFrame:
     return found(sources, SCRIPT, r"(?m)^[ \t]*export\s+const\s+(\w+)\s*=\s*(create|defineStore)\b", name=1, provider=2).select("path", "ord", "name", F.when(F.col("provider") == "create", "zustand").otherwise("pinia").alias("provider"))
 
 
+def services(sources: DataFrame) -> DataFrame:
+    """path, ord, name, pattern (singleton, class or functions) of service files: by their name or folder."""
+    rows = sources.where(F.col("path").rlike(r"(Service|Engine|Manager|Repository|Factory)\.[jt]s$|(^|/)(services?|api|apis)/[^/]+\.[jt]s$") & ~F.col("path").rlike(r"(^|/)index\.[jt]s$|\.(test|spec|d)\.[jt]s$"))
+    single = F.col("content").rlike(r"(?m)^export\s+(default|const\s+\w+\s*=)\s*new\s+\w+|getInstance\s*\(")
+    pattern = F.when(single, "singleton").when(F.col("content").rlike(r"(?m)^export\s+(default\s+)?(abstract\s+)?class\s"), "class").otherwise("functions")
+    return rows.where(F.col("content").rlike(r"(?m)^export\s")).select("path", F.lit(0).alias("ord"), F.regexp_extract("path", r"([^/]+)\.[jt]s$", 1).alias("name"), pattern.alias("pattern"))
+
+
+def titles(sources: DataFrame) -> DataFrame:
+    """path, ord, title: what pages call themselves, in route blocks, route records or metadata."""
+    return found(sources, SCRIPT, r"""(?s)(?:<route[^>]*>.{0,400}?|\bmeta\s*:\s*\{[^{}]*?|\bmetadata\b[^=]*=\s*\{[^{}]*?)\btitle["']?\s*:\s*["']([^"'\n]+)["']""", title=1).select("path", "ord", "title")
+
+
+def globbed(sources: DataFrame) -> DataFrame:
+    """path of files that an `import.meta.glob` takes in: by the folder before its first star, and its ending."""
+    spelled = found(sources, SCRIPT, r"""import\.meta\.glob(?:<[^>]*>)?\(\s*['"]([^'"]+)['"]""", glob=1).select(F.col("path").alias("at"), "glob")
+    base = F.when(F.startswith("glob", F.lit("/")), F.substr("glob", F.lit(2))).when(F.startswith("glob", F.lit("@/")), F.concat(F.lit("src/"), F.substr("glob", F.lit(3)))).otherwise(T.normal_path(F.concat(T.dir_name(F.col("at")), F.lit("/"), "glob")))
+    spelled = spelled.select(base.alias("glob")).distinct().select("glob", F.regexp_extract("glob", r"^([^*]*)/", 1).alias("folder"), R.regex_of_glob(F.col("glob")).alias("regex"))
+    below = sources.select("path", F.explode(F.concat(F.array(F.lit("")), ancestors(T.dir_name(F.col("path"))))).alias("folder"))
+    return below.join(spelled, "folder").where(F.expr("path rlike regex")).select("path").distinct()
+
+
 def http_calls(sources: DataFrame) -> DataFrame:
     """path, method, url, of calls whose target begins with / or http."""
     target = r"""['"`](/[^'"`\n]*|https?://[^'"`\n]*)['"`]"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Extensions that are read, and folders that aren't; `build` is read under src/.
@@ -14,7 +14,7 @@ SKIPPED = (
 )
 
 
-def _everything(spark: SparkSession, root: str) -> DataFrame:
+def everything(spark: SparkSession, root: str) -> DataFrame:
     """Spark lists and reads the tree, so it may lie in any store that Spark reads."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-zA-Z]+:/+", "/")
@@ -22,13 +22,20 @@ def _everything(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.substr(path, F.length(base) + 2).alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
 
 
+def plain_json(text: Column) -> Column:
+    """JSON without the comments and last commas that configuration files have; strings stay as they are."""
+    strings_or_comments = r'(?s)("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/'
+    bare = F.regexp_replace(text, strings_or_comments, "$1")
+    return F.regexp_replace(bare, r",(\s*[}\]])", "$1")
+
+
 def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
 
 
 def read_sources(spark: SparkSession, root: str, roots: tuple[str, ...] = (".",)) -> DataFrame:
     """path, ext, size, content of the source files under the roots (folders below `root`)."""
-    rows = _everything(spark, root).withColumn("ext", extension(F.col("path")))
+    rows = everything(spark, root).withColumn("ext", extension(F.col("path")))
     folders = F.filter(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), lambda x: x.isin(*SKIPPED))
     folders = F.when(F.startswith("path", F.lit("src/")), F.array_remove(folders, "build")).otherwise(folders)
     under = F.lit("." in roots)
@@ -42,17 +49,15 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
 
     package.json is read as JSON; the other two line by line, each line under the section that was opened last.
     """
-    files = _everything(spark, root).where(F.col("path").rlike(r"(^|/)(package\.json|pubspec\.yaml|go\.mod)$") & ~F.col("path").rlike(r"(^|/)node_modules/")).select("path", "content")
+    files = everything(spark, root).where(F.col("path").rlike(r"(^|/)(package\.json|pubspec\.yaml|go\.mod)$") & ~F.col("path").rlike(r"(^|/)node_modules/")).select("path", "content")
     scopes = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
     kind = "struct<" + ", ".join(f"`{s}`: map<string, string>" for s in scopes) + ">"
-    parsed = files.where(F.endswith("path", F.lit("package.json"))).select(F.from_json("content", kind).alias("j"))
+    parsed = files.where(F.endswith("path", F.lit("package.json"))).select(F.from_json(plain_json(F.col("content")), kind).alias("j"))
     npm = None
     for n, s in enumerate(scopes):
         one = parsed.select(F.explode(f"j.{s}").alias("name", "version")).select("name", "version", F.lit(s).alias("scope"), F.lit("npm").alias("source"), F.lit(n).alias("ord"))
         npm = one if npm is None else npm.unionAll(one)
     lines = files.where(~F.endswith("path", F.lit("package.json"))).select("path", F.posexplode(F.split("content", "\r?\n")).alias("n", "line"))
-    from pyspark.sql import Window
-
     so_far = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     yaml = F.endswith("path", F.lit("pubspec.yaml"))
     opened = F.when(yaml & F.col("line").rlike(r"^[A-Za-z_]+:"), F.regexp_extract("line", r"^([A-Za-z_]+):", 1)).when(~yaml & F.col("line").rlike(r"^[a-z]+\s*\("), F.regexp_extract("line", r"^([a-z]+)", 1)).when(~yaml & F.trim("line").eqNullSafe(")"), "")

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import links as L
-from graphloom.plans import ontology, report
-from graphloom.sources import facts
+from graphloom.plans import explore, ontology, report
+from graphloom.plans.types import LEVELS, TYPES
+from graphloom.sources import facts, projects
 from graphloom.sources.scan import read_manifests, read_sources
 
 FILES = {
@@ -25,6 +26,25 @@ FILES = {
     "src/a.ts": "import { b } from './b';\nexport const a = () => b;\n",
     "src/b.ts": "import { a } from './a.js';\nexport const b = () => a;\n",
     "src/utils/lonely.ts": "export function neverUsed() { return 1; }\n",
+    "tsconfig.json": '{\n  // aliases\n  "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"], "$types": ["./src/types/storage.ts"],},},\n  "references": [{"path": "./tsconfig.node.json"}]\n}',
+    "tsconfig.node.json": '{"compilerOptions": {"paths": {"~node/*": ["tools/*"], "@/*": ["wrong/*"]}}}',
+    "vite.config.ts": "export default { resolve: { alias: { '#lib': path.resolve(__dirname, './src/lib'), }, } }",
+    "index.html": '<script type="module" src="/src/boot.ts"></script>',
+    "src/boot.ts": "export const boot = 1;\n",
+    "src/features/billing/InvoicePage.tsx": "import { useCart } from '../../stores/cart';\nimport { useThing } from '@/hooks/useThing';\nexport function InvoicePage() { return <b/>; }\n",
+    "src/services/PriceService.ts": "export class PriceService {}\nexport const unusedPrice = 1;\nexport function price() { return 2; }\n",
+    "src/views/shop/Detail.vue": "<template><b/></template>\n<script>export default { meta: { title: 'Shop detail' } }</script>\n",
+    "src/plugins/one.ts": "export const one = 1;\n",
+    "src/load.ts": "const all = import.meta.glob('./plugins/*.ts');\nimport { price } from './services/PriceService';\n",
+    "model/user.go": "package model\n\ntype User struct {\n\tName string\n}\n\nfunc (u *User) Save() error {\n\treturn u.check()\n}\n",
+    "model/user_check.go": "package model\n\nfunc (u *User) check() error {\n\treturn validate(u.Name)\n}\n\nfunc validate(s string) error {\n\treturn nil\n}\n\nfunc forgotten() {\n}\n",
+    "handler/user.go": 'package handler\n\nimport "example.com/app/model"\n\nfunc Create() {\n\tmodel.NewUser("x")\n\tlocalHelp()\n}\n\nfunc localHelp() {\n}\n',
+    "model/new.go": "package model\n\nfunc NewUser(name string) *User {\n\treturn &User{Name: name}\n}\n",
+    "src-tauri/src/db/mod.rs": "pub struct Pool {}\n",
+    "src-tauri/src/cmd.rs": "use crate::db::Pool;\nuse super::lib::Dot;\nuse serde::Serialize;\npub fn run() {}\n",
+    "lib/api.dart": "class Api {\n  static void send(String x) {\n    log(x);\n  }\n}\nvoid log(String x) {\n  print(x);\n}\n",
+    "lib/caller.dart": "import 'api.dart';\nclass Caller {\n  void go() {\n    Api.send('x');\n    HomeView();\n    again();\n  }\n  void again() {\n  }\n}\n",
+    "scripts/big.user.js": "// ==UserScript==\n// @name Big\n// @grant GM_setValue\n// @connect ok.com\n// ==/UserScript==\nconst box = document.querySelector('#box');\nclass App {\n  constructor() {\n    this.draw();\n  }\n  draw() {\n    box.innerHTML = `<b>${name}</b>`;\n    load();\n  }\n}\nfunction load() {\n  GM_xmlhttpRequest({ url: 'https://bad.com/x' });\n  GM_setValue('k', 1);\n}\nfunction forgotten() {\n  return 1;\n}\nwindow.fetch = function () {};\nconst app = new App();\napp.draw();\ndocument.body.appendChild(box);\n",
     "node_modules/x/index.ts": "export const hidden = 1;\n",
     "src/views/tool/build/x.ts": "export const kept = 1;\n",
     "app/(shop)/cart/[id]/page.tsx": "export default function Page() { return null; }\n",
@@ -49,7 +69,8 @@ def root(tmp_path_factory):
 @pytest.fixture(scope="module")
 def graph(spark, root):
     sources = read_sources(spark, root)
-    return ontology.build(sources, read_manifests(spark, root), go_module="example.com/app", dart_package="app")
+    assert sources.count() > 20
+    return ontology.scan_project(spark, root, name="demo")
 
 
 def pairs(graph, link):
@@ -58,7 +79,7 @@ def pairs(graph, link):
 
 def test_scan_skips_folders(spark, root):
     paths = {r.path for r in read_sources(spark, root).collect()}
-    assert paths == {p for p in FILES if p.rsplit(".", 1)[-1] in ("ts", "tsx", "js", "jsx", "go", "rs", "dart") and not p.startswith("node_modules")}
+    assert paths == {p for p in FILES if p.rsplit(".", 1)[-1] in ("ts", "tsx", "js", "jsx", "vue", "go", "rs", "dart") and not p.startswith("node_modules")}
     assert {r.path for r in read_sources(spark, root, ("router", "cmd")).collect()} == {"router/router.go", "cmd/main.go", "cmd/root.go"}
 
 
@@ -73,6 +94,8 @@ def test_imports_resolve(graph):
         f("src/main.tsx", "src/pages/HomePage.tsx"), f("src/main.tsx", "src/a.ts"), f("src/pages/HomePage.tsx", "src/components/Card.tsx"),
         f("src/pages/HomePage.tsx", "src/hooks/useThing.ts"), f("src/hooks/useThing.ts", "src/types/storage.ts"), f("src/a.ts", "src/b.ts"),
         f("src/b.ts", "src/a.ts"), f("cmd/main.go", "router/router.go"), f("src/App.jsx", "src/pages/HomePage.tsx"), f("src/App.jsx", "src/Shop.tsx"), f("src/Shop.tsx", "src/Badge.tsx"),
+        f("src/features/billing/InvoicePage.tsx", "src/stores/cart.ts"), f("src/features/billing/InvoicePage.tsx", "src/hooks/useThing.ts"), f("src/load.ts", "src/services/PriceService.ts"),
+        f("handler/user.go", "model/user.go"), f("handler/user.go", "model/user_check.go"), f("handler/user.go", "model/new.go"), f("src-tauri/src/cmd.rs", "src-tauri/src/db/mod.rs"), f("src-tauri/src/cmd.rs", "src-tauri/src/lib.rs"), f("lib/caller.dart", "lib/api.dart"),
     }
     found = pairs(graph, "imports")
     assert {p for p in found if p[1].startswith("file:")} == want
@@ -95,16 +118,19 @@ def test_units_and_layers(graph):
     assert {r.name: r.kind for r in graph["Component"].collect()}["HomePage"] == "page"
     assert ("comp:HomePage", "comp:Card") in pairs(graph, "renders")
     assert {r.name for r in graph["Store"].collect()} == {"useCart"} and "hook:useThing" in {r.id for r in graph["Hook"].collect()}
-    assert {r.id: r.n_files for r in graph["Module"].collect()}["mod:src"] == 13
+    assert {(r.name, r.pattern) for r in graph["Service"].collect()} == {("PriceService", "class")}
+    modules = {r.id: r for r in graph["Module"].collect()}
+    assert modules["mod:src"].n_files == sum(p.startswith("src/") for p in FILES) and modules["mod:src/features/billing"].units == {"component": 1}
+    assert modules["mod:model"].n_imported == 3 and modules["mod:src/pages"].summary.startswith("presentation: 1 file")
 
 
 def test_routes_and_calls(graph):
     routes = {r.id: (r.kind, r.domain) for r in graph["Route"].collect()}
     written = {"route:/": ("jsx", "root"), "route:/shop/:id": ("jsx", "shop")}
-    assert {k: v for k, v in routes.items() if v[0] != "command"} == {"route:/cart/:id": ("page", "cart"), "route:/api/items": ("api", "items"), "route:GET /api/user/:id": ("http", "user"), **written}
+    assert {k: v for k, v in routes.items() if v[0] != "command"} == {"route:/cart/:id": ("page", "cart"), "route:/api/items": ("api", "items"), "route:GET /api/user/:id": ("http", "user"), "route:/shop/Detail": ("vue-file", "shop"), **written}
     assert {k for k, v in routes.items() if v[0] == "command"} == {"route:go-cli:app", "route:go-cli:app serve", "route:go-cli:app serve fast"}
     assert ("route:/shop/:id", "comp:Shop") in pairs(graph, "registers") and pairs(graph, "navigatesTo") == {("route:/shop/:id", "route:/")}
-    assert pairs(graph, "requestsTo") == {("file:src/pages/HomePage.tsx", "route:GET /api/user/:id")}
+    assert {(r.path, r.route_id) for r in graph["frontend_calls"].collect()} == {("src/pages/HomePage.tsx", "route:GET /api/user/:id")}
     assert "/nowhere/at/all" in {r.url for r in graph["unmatched"].collect()}
 
 
@@ -118,7 +144,7 @@ def test_analytics(graph):
     assert [r.members for r in graph["cycles"].collect()] == [["file:src/a.ts", "file:src/b.ts"]]
     assert "src/utils/lonely.ts" in {r.path for r in graph["orphans"].collect()}
     assert "method:src/utils/lonely.ts#neverUsed" in {r.id for r in graph["dead"].collect()}
-    assert {(r.id, r.level) for r in ontology.impact(graph["edges"], "file:src/types/storage.ts").collect()} == {("file:src/hooks/useThing.ts", 1), ("file:src/pages/HomePage.tsx", 2), ("file:src/main.tsx", 3), ("file:src/App.jsx", 3)}
+    assert {(r.id, r.level) for r in ontology.impact(graph["edges"], "file:src/types/storage.ts").collect()} == {("file:src/hooks/useThing.ts", 1), ("file:src/pages/HomePage.tsx", 2), ("file:src/main.tsx", 3), ("file:src/App.jsx", 3), ("file:src/features/billing/InvoicePage.tsx", 2)}
     assert [r.dst_id for r in L.follow(graph["edges"], "contains", "mod:src/hooks").collect()] == ["file:src/hooks/useThing.ts"]
     with pytest.raises(ValueError, match="unknown link type"):
         L.follow(graph["edges"], "nothing", "x")
@@ -126,17 +152,109 @@ def test_analytics(graph):
 
 def test_user_scripts(spark, root, graph):
     sources = read_sources(spark, root)
-    api = {r.name: (r.kind, r.n, r.declared) for r in facts.script_api_calls(sources).collect()}
+    api = {r.name: (r.kind, r.n, r.declared) for r in facts.script_api_calls(sources).where("path like '%demo%'").collect()}
     assert api == {"GM_getValue": ("storage", 1, True), "GM_addStyle": ("style", 1, False), "GM_setValue": ("storage", 1, False), "GM_xmlhttpRequest": ("network", 1, False)}
-    assert {r.domain: r.allowed for r in facts.script_endpoints(sources).collect()} == {"api.a.com": True, "other.com": False, "(dynamic)": None}
-    assert [(r.name, r.matches) for r in graph["UserScript"].collect()] == [("Demo", ["https://a.com/*"])]
+    assert {r.domain: r.allowed for r in facts.script_endpoints(sources).where("path like '%demo%'").collect()} == {"api.a.com": True, "other.com": False, "(dynamic)": None}
+    got = {r.name: r for r in graph["UserScript"].collect()}
+    assert got["Demo"].matches == ["https://a.com/*"] and got["Big"].risk_level == "high"
+
+
+def test_user_script_chains(graph):
+    at = "scripts/big.user.js"
+    functions = {r.name: r for r in graph["ScriptFunction"].where(F.col("path") == at).collect()}
+    assert set(functions) == {"App.constructor", "App.draw", "load", "forgotten"}
+    assert {n for n, r in functions.items() if r.dead} == {"forgotten"}
+    assert functions["load"].roles == ["data", "state"] and functions["App.draw"].roles == ["render"] and functions["forgotten"].roles == ["logic"]
+    fn = lambda a, b: (f"fn:{at}#{a}", f"fn:{at}#{b}")
+    assert {p for p in pairs(graph, "calls") if p[0].startswith("fn:")} == {fn("App.constructor", "App.draw"), fn("App.draw", "load")}
+    injected = {(r.kind, r.target): (r.interpolated, r.fns) for r in graph["InjectionPoint"].where(F.col("path") == at).collect()}
+    assert injected[("inner-html", "#box")] == (True, ["App.draw"]) and ("mount", "document.body") in injected
+    assert [(r.kind, r.domain, r.allowed) for r in graph["NetworkEndpoint"].where(F.col("path") == at).collect()] == [("gm-xhr", "bad.com", False)]
+    kinds = {(r.kind, r.severity) for r in graph["risks"].where(F.col("path") == at).collect()}
+    assert {("fetch-hijack", "high"), ("html-injection", "medium"), ("undeclared-gm-api", "medium"), ("unlisted-connect-domain", "medium")} <= kinds
+    assert {d for _, d in pairs(graph, "usesGmApi") if d.startswith("gm:scripts/big")} == {f"gm:{at}#GM_setValue", f"gm:{at}#GM_xmlhttpRequest"}
+
+
+def test_links_go_both_ways(graph):
+    for one, other in L.INVERSE.items():
+        assert pairs(graph, one) and {(b, a) for a, b in pairs(graph, one)} == pairs(graph, other), one
+    for link in L.TWO_WAY:
+        found = pairs(graph, link)
+        assert found and found == {(b, a) for a, b in found}, link
+    assert ("comp:InvoicePage", "store:useCart") in pairs(graph, "usesStore") and ("hook:useThing", "file:src/features/billing/InvoicePage.tsx") in pairs(graph, "usesHook")
+    assert {r.dst_id for r in L.follow(graph["edges"], "importedBy", "file:src/stores/cart.ts").collect()} == {"file:src/features/billing/InvoicePage.tsx"}
+
+
+def test_calls(graph):
+    m = lambda a, b: (f"method:{a}", f"method:{b}")
+    got = {p for p in pairs(graph, "calls") if p[0].startswith("method:")}
+    assert got == {
+        m("model/user.go#User#Save", "model/user_check.go#User#check"), m("model/user_check.go#User#check", "model/user_check.go#validate"), m("handler/user.go#Create", "model/new.go#NewUser"),
+        m("handler/user.go#Create", "handler/user.go#localHelp"), m("cmd/main.go#main", "router/router.go#Set"), m("lib/api.dart#Api#send", "lib/api.dart#log"), m("lib/caller.dart#Caller#go", "lib/api.dart#Api#send"),
+        m("lib/caller.dart#Caller#go", "lib/caller.dart#Caller#again"), ("method:lib/caller.dart#Caller#go", "comp:HomeView"),
+    }
+    assert ("class:model/user.go#User", "method:model/user_check.go#User#check") in pairs(graph, "contains")
+
+
+def test_domains_and_project(graph):
+    domains = {r.name: r for r in graph["Domain"].collect()}
+    assert {"billing", "shop", "cart"} <= set(domains) and not {"src", "components", "root"} & set(domains)
+    assert domains["shop"].n_route == 2 and domains["shop"].capability == "Shop detail" and domains["shop"].sources == ["route", "module"]
+    assert ("comp:InvoicePage", "dom:billing") in pairs(graph, "belongsTo") and ("dom:billing", "mod:src/features/billing") in pairs(graph, "belongsTo")
+    row = graph["Project"].first()
+    assert (row.id, row.framework, row.style, row.n_cycles) == ("proj:demo", "flutter", "layered-spa", 1) and {"vite", "gin", "provider", "tauri"} <= set(row.variants)
+    assert "1 cycle" in row.health and ("proj:demo", "dom:billing") in pairs(graph, "contains")
+
+
+def test_aliases_and_modules(spark, root):
+    assert {r.prefix: r.target for r in projects.aliases(spark, root).collect()} == {"@/": "src/", "$types": "src/types/storage.ts", "~node/": "tools/", "#lib/": "src/lib/"}
+    assert [(r.module, r.version, r.main) for r in projects.go_modules(spark, root).collect()] == [("example.com/app", "1.22", True)]
+    assert {r.path for r in projects.html_entries(spark, root).collect()} == {"src/boot.ts"}
+
+
+def test_dead_code_exemptions(graph):
+    orphans = {r.path for r in graph["orphans"].collect()}
+    assert not {"src/boot.ts", "src/plugins/one.ts"} & orphans
+    dead = {r.id for r in graph["dead"].collect()}
+    assert {"method:model/user_check.go#forgotten", "fn:scripts/big.user.js#forgotten"} <= dead and not {"method:model/user_check.go#validate", "method:model/new.go#NewUser"} & dead
+    assert {(r.path, r.name) for r in graph["unused_exports"].collect()} >= {("src/services/PriceService.ts", "PriceService")}
 
 
 def test_report(spark, graph, tmp_path):
     found = report.summary(graph)
     text = report.markdown(found)
-    assert "## Cycles" in text and "file:src/a.ts, file:src/b.ts" in text
+    assert "## Cycles" in text and "file:src/a.ts, file:src/b.ts" in text and len(found) > 30
     assert "</script><" not in report.page_json({"x": [{"y": "</script><b>"}]})
     assert report.page(found).startswith("<!DOCTYPE html>")
+    assert report.text_table([{"a": "x" * 50, "b": None}, {"a": "y", "b": 2}]).split("\n")[1].startswith("x" * 39 + "…") and report.text_table([]) == "(no rows)"
     report.save({"edges": graph["edges"]}, str(tmp_path))
     assert report.load(spark, str(tmp_path), ["edges"])["edges"].count() == graph["edges"].count()
+    with pytest.raises(report.NoSnapshot):
+        report.load(spark, str(tmp_path / "nothing"))
+
+
+def test_explore(spark, graph, tmp_path):
+    assert [r.id for r in explore.find(graph, "Component", "kind=page,name~home").collect()] == ["comp:HomePage"]
+    with pytest.raises(ValueError, match="unknown type"):
+        explore.find(graph, "Nothing")
+    assert {r.id for r in explore.by_keyword(graph["Method"], "USER", ("name",)).collect()} == {"method:model/new.go#NewUser"}
+    wanted = spark.createDataFrame([("file:src/a.ts",), ("Component:HomePage",), ("src/b.ts",), ("nothing",)], "query string")
+    got = {r.query: r.id for r in explore.look_up(explore.named(graph), wanted).collect()}
+    assert got == {"file:src/a.ts": "file:src/a.ts", "Component:HomePage": "comp:HomePage", "src/b.ts": "file:src/b.ts", "nothing": None}
+    one = explore.details(graph, "store:useCart")
+    assert one["type"] == "Store" and {"link_type": "usesStore", "other": "comp:InvoicePage"} in one["links"] and explore.details(graph, "store:none") is None
+    assert {r.kind for r in explore.dead(graph).collect()} == {"file", "export", "function", "script", "type"}
+    assert {r.type: r.level for r in explore.stats(graph).collect()}.keys() == TYPES.keys()
+    explore.annotate(spark, str(tmp_path), "store:useCart", "look at this")
+    explore.annotate(spark, str(tmp_path), "store:useCart", "again", reviewed=True)
+    row = explore.with_notes(spark, str(tmp_path), graph["Store"]).first()
+    assert row.notes == "look at this\nagain" and row.reviewed
+
+
+def test_every_type_has_one_level_and_category():
+    assert {level for _, level, _ in TYPES.values()} <= set(LEVELS) and len({p for p, *_ in TYPES.values()}) == len(TYPES) == 19
+
+
+def test_one_file_and_refresh(spark, root, tmp_path):
+    alone = explore.analyse_file(spark, root, "src/types/storage.ts")
+    assert {r.id for r in alone["SourceFile"].collect()} == {"file:src/types/storage.ts"} and alone["Class"].count() == 2
