@@ -4,9 +4,11 @@ A text's fingerprint is the bitwise majority of the XXH64 values of its word shi
 `most` bits are linked. Five bit blocks give ten block pairs, and two such fingerprints agree in at least one of them, so
 the distinct fingerprints that share a block pair are the only candidates; each such bucket gets a table of Hamming
 distances to reference fingerprints, pairs with a coordinate difference above `most` are discarded (the triangle
-inequality), and the rest are verified bit by bit. A bucket keeps a spanning forest of its links, never all pairs; buckets
-above TILE fingerprints are split into pairs of tiles that different tasks compare, so no candidate is lost and no
-task holds an unbounded bucket. Alternating star steps then join the links into components.
+inequality), and the rest are verified bit by bit. A bucket keeps a spanning forest of its links, never all pairs. Buckets
+above TILE fingerprints are blocked again by the bits that they don't agree on yet: cut into four blocks, two fingerprints
+that differ in three bits agree in at least one of these too. So a large bucket is copied four times, not by its size, until
+few bits are free; no candidate is lost and no task holds an unbounded bucket. Alternating star steps then join the
+links into components.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and are linked like any other;
 fewer words than a shingle are one shingle; repeated rows share fingerprint and component; a row whose document id is null
@@ -17,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -74,6 +77,12 @@ def block_masks(blocks: int = 2) -> list[int]:
     return [sum(x) for x in combinations(ones, blocks)]
 
 
+def quarters(mask: int, blocks: int = 4) -> list[int]:
+    """The bits that a mask lacks, cut into blocks; no blocks where these are too few to be cut."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    return [sum(free[i * len(free) // blocks : (i + 1) * len(free) // blocks]) for i in range(blocks)] if len(free) >= 2 * blocks else []
+
+
 def bucket_links(group: np.ndarray, fp: np.ndarray, most: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside each run of equal `group`."""
     pivots = np.bitwise_count(fp[:, None] ^ references).astype(np.int8)
@@ -104,16 +113,26 @@ def bucket_links(group: np.ndarray, fp: np.ndarray, most: int, references: np.nd
 
 def links(distinct: DataFrame, most: int = MOST, tile: int = TILE) -> DataFrame:
     """a, b (ids): links that join the same ids as all links between `distinct` (id, fp; each fp once) would."""
-    masks = [_signed(m) for m in block_masks()]
     if most > len(BLOCKS) - 2:
         raise ValueError("two of five blocks agree only up to three differing bits")
-    choice = F.explode(F.array(*(F.struct(F.lit(i).cast("tinyint").alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks))))
-    keyed = distinct.select("id", "fp", choice.alias("x")).select("x.m", "x.key", "id", "fp")
-    sizes = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = keyed.join(sizes, ["m", "key"]).withColumn("tiles", tiles).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    bucket = F.xxhash64("m", "key", F.least("own", "other"), F.greatest("own", "other"))
+    masks = block_masks()
+    blocks = F.array(*map(F.lit, map(_signed, masks)))
+    keyed = distinct.select("id", "fp", F.explode(blocks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    parts = []
+    while True:
+        # few buckets are large, so this table is small and meets the rows without a shuffle where Spark finds it to be
+        large = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("mask", "key"), "large-buckets")
+        if large.isEmpty() or not any(len(quarters(m)) > most for m in masks):
+            parts.append(keyed)
+            break
+        parts.append(keyed.join(large, ["mask", "key"], "left_anti"))
+        finer = {m: [m | q for q in quarters(m)] for m in masks}
+        steps = distinct.sparkSession.createDataFrame([(_signed(m), [_signed(x) for x in xs]) for m, xs in finer.items()], "mask bigint, finer array<bigint>")
+        again = keyed.join(large, ["mask", "key"]).join(steps, "mask").select("id", "fp", F.explode("finer").alias("mask"))
+        keyed = written(again.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))), "blocked-again")
+        masks = sorted({x for xs in finer.values() for x in xs})
+    bucket = F.xxhash64("mask", "key")
+    dealt = reduce(DataFrame.unionByName, parts)
     references = _references()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
