@@ -23,8 +23,8 @@ _LOW = (1 << 32) - 1
 
 
 def _exact_lane(paragraphs: str, k: int) -> Column:
-    """An exact lane: the sum over paragraphs of hashes that differ by lane."""
-    added = lambda total, p: (total + F.xxhash64(p, F.lit(k)).bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_LOW))
+    """An exact lane: the sum over paragraphs of their hash by a seed of the lane's own (that of k)."""
+    added = lambda total, p: (total + F.xxhash64(F.lit(k), p).bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_LOW))
     return F.aggregate(paragraphs, F.lit(0).cast("long"), added)
 
 
@@ -41,7 +41,9 @@ def _shingles(paragraphs: str) -> Column:
 
 
 def fingerprint_columns(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """Add a fingerprint column for each text column: {text column: name}. Rows are told apart by themselves, not by a key.
+    """Add a fingerprint column for each text column: {text column: name}. Rows are told apart by their other columns and
+    exact lanes, so a task that runs again gives the same keys; rows equal in all of these are summed together, counted, and
+    given back as often, with an equal share of the sums (which holds up to 2**32 shingles in all of them).
 
     The shingles are exploded and summed again before anything is shuffled, two lanes to a long.
     """
@@ -52,17 +54,18 @@ def fingerprint_columns(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
     both = lambda n, k: F.shiftleft(_exact_lane(f"_lines_{n}", k), 32).bitwiseOR(_exact_lane(f"_lines_{n}", k + 1))
     exact = {f"_exact{k}_{n}": both(n, k) for n in names for k in range(0, EXACT, 2)}
     wide = wide.withColumns(exact | {f"_soft_{n}": _shingles(f"_lines_{n}") for n in names})
-    sides = F.array(*(F.named_struct(F.lit("side"), F.lit(i), F.lit("hashes"), F.col(f"_soft_{n}")) for i, n in enumerate(names))).alias("sides")
-    # the number is given before the rows are multiplied; all rows of a text leave the task that numbered it
-    rows = wide.select(*carried, *exact, F.monotonically_increasing_id().alias("_row"), sides)
-    keys = [*carried, *exact, "_row"]
-    rows = rows.select(*keys, F.explode("sides").alias("x"))
-    each = rows.select(*keys, F.col("x.side").alias("_side"), F.explode("x.hashes").alias("_h"))
+    sides = F.array(*(F.named_struct(F.lit("side"), F.lit(i), F.lit("hashes"), F.col(f"_soft_{n}")) for i, n in enumerate(names)))
+    keys = [*carried, *exact]
+    rows = wide.select(*keys, F.explode(sides).alias("x"))
+    each = rows.select(*keys, F.col("x.side").alias("_side"), F.posexplode("x.hashes").alias("_at", "_h"))
     pair = F.lit((1 << 32) + 1)
     sums = [F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(pair)).alias(f"_s{k}") for k in range(SOFT // 2)]
-    summed = each.groupBy(*keys, "_side").agg(F.count("*").alias("_n"), *sums)
-    sided = summed.select(*keys, "_side", F.array("_n", *(f"_s{k}" for k in range(SOFT // 2))).alias("_soft"))
-    whole = sided.groupBy(*keys).agg(*(F.max(F.when(F.col("_side") == i, F.col("_soft"))).alias(f"_soft_{n}") for i, n in enumerate(names)))
+    summed = each.groupBy(*keys, "_side").agg(F.count_if(F.col("_at") == 0).alias("_rows"), F.count("*").alias("_n"), *sums)
+    # either lane of a sum is a multiple of the number of equal rows
+    share = lambda x: F.shiftleft((F.shiftrightunsigned(x, 32) / F.col("_rows")).cast("long"), 32).bitwiseOR((F.col(x).bitwiseAND(F.lit(_LOW)) / F.col("_rows")).cast("long"))
+    sided = summed.select(*keys, "_side", "_rows", F.array((F.col("_n") / F.col("_rows")).cast("long"), *(F.when(F.col("_rows") == 1, F.col(f"_s{k}")).otherwise(share(f"_s{k}")) for k in range(SOFT // 2))).alias("_soft"))
+    whole = sided.groupBy(*keys).agg(F.max("_rows").alias("_rows"), *(F.max(F.when(F.col("_side") == i, F.col("_soft"))).alias(f"_soft_{n}") for i, n in enumerate(names)))
+    whole = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
     hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
 
     def text(n: str) -> Column:
