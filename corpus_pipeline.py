@@ -15,24 +15,48 @@ from graphloom.llm.queries import MIX
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the rules keep, as they are.
+
+    Null and empty texts fail the base rules and go; a null language is a stratum of its own; repeated rows, null ids among them,
+    are judged alike; an empty table stays empty; columns beside those of `documents` are kept.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay, also those that lose all lines; the next stage keeps one of these."""
+    """All rows, without the lines that an earlier document has, exactly or nearly; `n_chars` is counted anew where text is left.
+
+    Documents that lose all lines stay with empty lines (the next stage keeps one of these); null texts stay null; rows that
+    repeat an id and text lose the same lines; null ids come last; an empty table stays empty; other columns are kept.
+    """
     kept = lines.drop_fuzzy_lines(docs).drop("n_removed")
     return kept.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates, the one with the smallest id, as it is.
+
+    Texts without words (null ones too) are one group; of repeated rows one stays; rows without an id stay only where their
+    group has none with one; an empty table stays empty; other columns are kept.
+    """
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix takes, each as often as epochs take it (up to four times).
+
+    Null sources and languages are values of their own; texts without words cost nothing and are taken with their
+    epoch; rows that repeat an id are taken or left together; an empty table stays empty; other columns are kept.
+    """
     return mixing.apply_mix(docs, weights=MIX)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row of docs, placed in sequences of 1024 tokens.
+
+    Null and empty texts are one piece, the end id; repeated rows (null ids among them) are packed as often as they occur; an
+    empty table gives no rows; other columns are ignored.
+    """
     pieces = packing.token_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(written(pieces, "pieces"))
 
