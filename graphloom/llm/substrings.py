@@ -1,19 +1,23 @@
-"""Substring dedup on a De Bruijn graph of sampled word k-mers.
-
-Nodes are the k-mers that are least in some window (minimizers), so every window holds a node that its words alone decide.
-Edges are the stretches of windows with the same node, named by a 128-bit hash of all their words. Joins find the nodes and
-edges that more than one document has. An edge that an earlier document has too is repeated as a whole; consecutive repeated
-edges with the same source compact into paths (a path is a span with its source's coordinates). Where only the node repeats,
-the texts part within the edge: the windows of the distinct edges at that node are then compared one by one. So a window is
-found exactly if its words start in an earlier document, while most windows never leave the task that read them.
+"""Substring dedup by compaction of a De Bruijn graph of token k-mers.
+
+The graph's edges are the k-mers of WINDOW words, its vertices the WINDOW - 1 words that two k-mers in a row share. A text is
+cut into super-k-mers, runs of k-mers with the same minimizer (the least NODE-word k-mer in it), so that a run is one edge
+whose two vertices are its first and last words and most k-mers never leave the task that read them. Joins by minimizer and by
+two independent 64-bit hashes of an edge's words find the edges that more documents have. Where only the minimizer repeats, texts part
+within the run: there every single k-mer becomes an edge. So a k-mer is found exactly if its words start in an
+earlier document. Among the repeated edges, a vertex that one word leads into and one word leads out of doesn't branch: joins
+with the degrees of their vertices tell where a path goes on, and a document's consecutive edges on one nonbranching path, with
+the same source beside them, compact to one span with its source's coordinates. The words at these coordinates are read
+and compared with the document's own (by SHA-256 of either): a span whose words differ doesn't count.
 
 Defined results: null text has no words; rows that repeat a document id are judged each by its own text and only against
-smaller ids; a row whose document id is null neither removes nor loses words; texts under a window keep all words; an empty
-table gives no rows; other columns are ignored.
+smaller ids (rows of one id with the same 32-bit hash of their text count as one); a row whose document id is null neither
+removes nor loses words; texts under a window keep all words; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import flat, slices, written
+from graphloom.llm.common import flat, mix, slices, sums_by_place, written
 
 WINDOW, NODE = 50, 20
 #: Bytes of text that are hashed at once.
 STEP = 1 << 20
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_EDGE = "doc_id bigint, tag int, at int, n int, node bigint, one bigint, two bigint, ends bigint, steps int"
 
 
 class _Powers:
@@ -47,12 +52,6 @@ class _Powers:
 _POWERS = {_A: _Powers(_A), _B: _Powers(_B)}
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
-
-
 class Stretches:
     """Hashes of any stretches of a row of numbers."""
 
@@ -62,7 +61,7 @@ class Stretches:
         np.cumsum((values + np.uint64(1)) * _POWERS[base].upto(len(values) + 1)[0][: len(values)], out=self.total[1:])
 
     def hashes(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return _mix((self.total[high] - self.total[low]) * self.inverse[low] + (high - low).astype(np.uint64) * np.uint64(_B))
+        return mix((self.total[high] - self.total[low]) * self.inverse[low] + (high - low).astype(np.uint64) * np.uint64(_B))
 
 
 class Words:
@@ -77,11 +76,12 @@ class Words:
         after = np.concatenate([gap[1:] | edge[1:], [True]])
         self.low, self.high = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
         self.first = np.searchsorted(self.low, begins)
-        self.raw = raw
+        self.raw, self.gap = raw, gap[:-1]
 
     def streams(self) -> tuple[Stretches, Stretches]:
-        value = Stretches(self.raw.astype(np.uint64), _A).hashes(self.low, self.high)
-        return Stretches(value, _A), Stretches(_mix(value ^ np.uint64(_A)), _B)
+        """Two streams of words, each from a hash of its own of the words' bytes."""
+        one, two = sums_by_place(self.raw, self.low, self.gap)
+        return Stretches(mix(one), _A), Stretches(mix(two), _B)
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -93,17 +93,19 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def edges_of(words: Words, window: int, node: int) -> tuple[np.ndarray, ...]:
-    """For each edge: the text it is in, its first window there, how many windows, its node, and two hashes of its words."""
+    """For each edge: the text it is in, its first k-mer there, how many k-mers, its minimizer, two hashes of its words, its
+    vertices (in 32 bits each) and the words that lead out of the first and into the last (in 16 bits each)."""
     one, two = words.streams()
     n = len(words.low)
+    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 4 + (np.empty(0, np.uint32),)
     if n < window:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
+        return none
     at = np.arange(n - node + 1)
     least = _least(one.hashes(at, at + node), window - node + 1)
     text = np.searchsorted(words.first, np.arange(n), "right") - 1
     start = np.flatnonzero(text[: n - window + 1] == text[window - 1 :])
     if not len(start):
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
+        return none
     least = least[start]
     fresh = np.ones(len(start), bool)
     fresh[1:] = (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1)
@@ -111,7 +113,14 @@ def edges_of(words: Words, window: int, node: int) -> tuple[np.ndarray, ...]:
     cut = np.flatnonzero(since % (window - node + 1) == 0)
     size = np.diff(np.append(cut, len(start)))
     low = start[cut]
-    return text[low], low - words.first[text[low]], size, least[cut], one.hashes(low, low + size - 1 + window), two.hashes(low, low + size - 1 + window)
+    high = low + size - 1 + window
+    return text[low], low - words.first[text[low]], size, least[cut], one.hashes(low, high), two.hashes(low, high), *_ends(one, low, high, window)
+
+
+def _ends(one: Stretches, low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    half, quarter = np.uint64(32), np.uint64(48)
+    out, into = one.hashes(low + window - 1, low + window) >> quarter, one.hashes(high - window, high - window + 1) >> quarter
+    return (one.hashes(low, low + window - 1) >> half << half) | (one.hashes(high - window + 1, high) >> half), (out << np.uint64(16) | into).astype(np.uint32)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,91 +134,143 @@ def edges(rows: DataFrame, window: int = WINDOW, node: int = NODE) -> DataFrame:
             raw, begins = flat(batch.column("text"))
             for low, high in slices(begins, STEP):
                 own = begins[low : high + 1]
-                text, at, size, node_, one, two = edges_of(Words(raw[own[0] : own[-1]], own - own[0]), window, node)
+                text, at, size, *hashes = edges_of(Words(raw[own[0] : own[-1]], own - own[0]), window, node)
                 take = pa.array(text + low)
                 columns = [batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))]
-                columns += [pa.array(x.view(np.int64)) for x in (node_, one, two)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "at", "n", "node", "one", "two"])
+                columns += [pa.array(x.view(f"i{x.itemsize}")) for x in hashes]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "at", "n", "node", "one", "two", "ends", "steps"])
 
-    return rows.where("doc_id is not null").mapInArrow(run, "doc_id bigint, tag int, at int, n int, node bigint, one bigint, two bigint")
+    return rows.where("doc_id is not null").mapInArrow(run, _EDGE)
 
 
-def _windows(rows: DataFrame, spans: DataFrame, window: int) -> DataFrame:
-    """doc_id, tag, at and both hashes of each window in the spans (doc_id, tag, spans)."""
+def _in_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows with the spans (doc_id, tag, at, n) in them, as a list. Spans have no size bound, so they never broadcast."""
+    grouped = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    return rows.join(grouped.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
+
+
+def _repeats(batch: pa.RecordBatch) -> np.ndarray:
+    """True for rows that repeat the row before them (rows come from a merge join, so equal keys lie together)."""
+    ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+    return np.append(False, (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1]))[: len(ids)]
+
+
+def _kmers(rows: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """An edge for each single k-mer in the spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, begins = flat(batch.column("text"))
+            again = _repeats(batch)
             for low, high in slices(begins, STEP):
                 own = begins[low : high + 1]
                 words = Words(raw[own[0] : own[-1]], own - own[0])
                 one, two = words.streams()
-                starts, texts = [], []
-                for i in range(low, high):
-                    for s in batch.column("spans")[i].as_py():
-                        starts.append(np.arange(s["at"], s["at"] + s["n"]))
-                        texts.append(np.full(s["n"], i))
-                if not starts:
+                found = [(i, s["at"], s["n"]) for i in range(low, high) if not again[i] for s in batch.column("spans")[i].as_py()]
+                if not found:
                     continue
-                at, text = np.concatenate(starts), np.concatenate(texts)
+                text, begin, n = (np.array(x, np.int64) for x in zip(*found, strict=True))
+                at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+                text = np.repeat(text, n)
                 place = at + words.first[text - low]
                 take = pa.array(text)
-                columns = [batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(at.astype(np.int32))]
-                columns += [pa.array(x.hashes(place, place + window).view(np.int64)) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "at", "one", "two"])
+                hashes = one.hashes(place, place + window), two.hashes(place, place + window), *_ends(one, place, place + window, window)
+                columns = [batch.column("doc_id").take(take), batch.column("tag").take(take), pa.array(at.astype(np.int32)), pa.array(np.ones(len(at), np.int32)), pa.array(np.zeros(len(at), np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.view(f"i{x.itemsize}")) for x in hashes)], ["doc_id", "tag", "at", "n", "node", "one", "two", "ends", "steps"])
+
+    return _in_spans(rows, spans).mapInArrow(run, _EDGE)
 
-    joined = rows.join(spans.hint("merge"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")  # spans have no size bound
-    return joined.mapInArrow(run, "doc_id bigint, tag int, at int, one bigint, two bigint")
 
+def _sources(found: DataFrame, *more) -> DataFrame:
+    """one, two, ends, steps, source (the least document that has the edge, and where) and last (the largest one) of each edge."""
+    place = F.min(F.struct("doc_id", "tag", "at")).alias("source")
+    return found.groupBy("one", "two").agg(place, F.max("doc_id").alias("last"), F.min("ends").alias("ends"), F.min("steps").alias("steps"), *more)
 
-def _grouped(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+
+def goes_on(graph: DataFrame) -> DataFrame:
+    """one, two, on: whether the path of each edge (one, two, ends, steps) goes on behind it: one word alone leads into its last vertex, and one out of it."""
+    named = graph.select("one", "two", F.shiftright("ends", 32).alias("first"), F.shiftright(F.shiftleft("ends", 32), 32).alias("vertex"), F.shiftright("steps", 16).alias("out"), F.shiftright(F.shiftleft("steps", 16), 16).alias("into"))
+    alone = lambda vertex, step: named.groupBy(F.col(vertex).alias("vertex")).agg(F.min(step).alias("a"), F.max(step).alias("b")).where("a = b").select("vertex")
+    plain = written(alone("vertex", "into").join(alone("first", "out"), "vertex").withColumn("on", F.lit(True)), "plain-vertices")
+    return named.join(plain, "vertex", "left").select("one", "two", F.coalesce("on", F.lit(False)).alias("on"))
 
 
 def compact(spans: DataFrame) -> DataFrame:
-    """Join spans of windows that follow each other in a document and have the same source into one path."""
+    """Join edges that follow each other in a document, on one path and with sources that follow each other too, into one span."""
     order = Window.partitionBy("doc_id", "tag").orderBy("at", "n")
-    fresh = F.when((F.lag("source").over(order) == F.col("source")) & (F.lag(F.col("at") + F.col("n")).over(order) == F.col("at")), 0).otherwise(1)
-    numbered = spans.withColumn("fresh", fresh).withColumn("path", F.sum("fresh").over(order))
-    return numbered.groupBy("doc_id", "tag", "path").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min("source").alias("source")).drop("path")
+    moved = F.struct("source.doc_id", "source.tag", (F.col("source.at") - F.col("at")).alias("by"))
+    rows = spans.select("doc_id", "tag", "at", "n", "on", moved.alias("moved")).repartition("doc_id", "tag").dropDuplicates(["doc_id", "tag", "at", "n"])
+    before = lambda c: F.lag(c).over(order)
+    fresh = F.when(before("on") & (before("moved") == F.col("moved")) & (before(F.col("at") + F.col("n")) == F.col("at")), 0).otherwise(1)
+    numbered = rows.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order))
+    joined = numbered.groupBy("doc_id", "tag", "span").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.first("moved").alias("moved"))
+    source = F.struct("moved.doc_id", "moved.tag", (F.col("at") + F.col("moved.by")).alias("at"))
+    return joined.select("doc_id", "tag", "at", "n", source.alias("source"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, node: int = NODE) -> DataFrame:
-    """doc_id, tag, at, n, source: n windows from word `at` on whose words start in smaller document ids, the least being source."""
+    """doc_id, tag, at, n, source: n k-mers from word `at` on that start in smaller document ids too, the least being source.doc_id, where they start at word source.at."""
     rows = _documents(docs, id_col, text_col)
     found = written(edges(rows, window, node), "edges")
-    shared = found.groupBy("node").agg(F.min("doc_id").alias("node_first"), F.max("doc_id").alias("node_last")).where("node_first < node_last").drop("node_last")
+    # each table that several rows of a hot key meet is written before the join, which can then split that key
+    shared = written(found.groupBy("node").agg(F.min("doc_id").alias("node_first"), F.max("doc_id").alias("node_last")).where("node_first < node_last").drop("node_last"), "shared-nodes")
     among = written(found.join(shared, "node"), "shared-edges")
-    first = among.groupBy("one", "two").agg(F.min("doc_id").alias("source"))
-    placed = written(among.join(first, ["one", "two"]), "placed-edges")
-    whole = placed.where("source < doc_id").select("doc_id", "tag", "at", "n", "source")
-    parted = placed.where("source = doc_id and node_first < doc_id").select("node").distinct()
-    single = placed.where("source = doc_id").join(parted, "node", "left_semi")
-    windows = written(_windows(rows, _grouped(single), window), "windows")
-    starts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    part = windows.join(starts, ["one", "two"]).where("source < doc_id").select("doc_id", "tag", "at", F.lit(1).alias("n"), "source")
-    return compact(whole.union(part))
+    first = written(_sources(among, F.min("node").alias("node"), F.min("node_first").alias("node_first")), "distinct-edges")
+    placed = written(among.drop("node_first").join(first.select("one", "two", "source"), ["one", "two"]), "placed-edges")
+    # an edge's first document may have its k-mers from earlier ones, where the edges at its minimizer differ
+    parted = written(first.where("node_first < source.doc_id").select("node").distinct(), "parted-nodes")
+    single = placed.where("source.doc_id = doc_id").join(parted, "node", "left_semi")
+    kmers = written(_kmers(rows, single, window), "k-mers")
+    starts = written(_sources(kmers).where("source.doc_id < last"), "distinct-k-mers")
+    graph = first.where("source.doc_id < last").select("one", "two", "ends", "steps").union(starts.select("one", "two", "ends", "steps"))
+    named = written(goes_on(graph), "path-edges")
+    columns = ["doc_id", "tag", "at", "n", "one", "two", "source"]
+    again = placed.select(*columns).union(kmers.join(starts.select("one", "two", "source"), ["one", "two"]).select(*columns)).where("source.doc_id < doc_id")
+    return compact(again.join(named, ["one", "two"]))
+
+
+def _digest(words: list[bytes], at: int, n: int, window: int) -> bytes:
+    return hashlib.sha256(b" ".join(words[at : at + n + window - 1])).digest()
+
+
+def _source_words(rows: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """doc_id, tag, at, n, words: SHA-256 of the words at each distinct source's coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in np.flatnonzero(~_repeats(batch)).tolist():
+                text, spans = (batch.column(name)[i].as_py() for name in ("text", "spans"))
+                words = text.encode().split()  # of bytes: at ASCII white space alone
+                size = len(spans)
+                columns = [pa.array([batch.column(c)[i].as_py()] * size, t) for c, t in (("doc_id", pa.int64()), ("tag", pa.int32()))] + [pa.array([s[c] for s in spans], pa.int32()) for c in ("at", "n")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([_digest(words, s["at"], s["n"], window) for s in spans], pa.binary())], ["doc_id", "tag", "at", "n", "words"])
+
+    sources = spans.select("source.doc_id", "source.tag", "source.at", "n").distinct()
+    return _in_spans(rows, sources).mapInArrow(run, "doc_id bigint, tag int, at int, n int, words binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, node: int = NODE) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the other words, joined by one space) of every row."""
     rows = _documents(docs, id_col, text_col)
-    spans = written(_grouped(repeated_spans(docs, id_col, text_col, window, node)), "spans")
+    spans = written(repeated_spans(docs, id_col, text_col, window, node), "spans")
+    sources = written(_source_words(rows, spans, window), "source-words").select(F.struct("doc_id", "tag", "at").alias("source"), "n", "words")
+    read = spans.join(sources, ["source", "n"]).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", "words")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                words = (text.as_py() or "").encode().split()  # of bytes: at ASCII white space alone
+                words = (text.as_py() or "").encode().split()
                 cover = np.zeros(len(words) + 1, np.int32)
                 for s in spans.as_py() or ():
-                    cover[s["at"]] += 1
-                    cover[s["at"] + s["n"] + window - 1] -= 1
+                    if _digest(words, s["at"], s["n"], window) == s["words"]:
+                        cover[s["at"]] += 1
+                        cover[s["at"] + s["n"] + window - 1] -= 1
                 gone = np.cumsum(cover[:-1]) > 0
                 counts.append(len(words))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g) if removed[-1] else b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(spans.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    joined = rows.join(read.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
