@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import flat, slices
 
-UNKNOWN, SAMPLE, WIDTH, FOLDS, STEP = "und", 4096, 2048, 5, 1 << 20
+UNKNOWN, SAMPLE, WIDTH, FOLDS = "und", 4096, 2048, 5
+#: Bytes and texts whose histograms are held at once.
+STEP, ROWS = 1 << 20, 1024
 #: Families of language codes. A code that isn't here is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb"),
@@ -124,7 +126,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, begins = flat(batch.column(1))
-            for low, high in slices(begins, STEP):
+            for low, high in slices(begins, STEP, ROWS):
                 own = begins[low : high + 1]
                 x = histograms(raw[own[0] : own[-1]], own - own[0]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
@@ -143,7 +145,7 @@ def identify(docs: DataFrame, identifier: Identifier | None, id_col: str = "doc_
             raw, begins = flat(batch.column(2))
             letter = batch.column(3).to_numpy(zero_copy_only=False)
             names, scores = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            for low, high in slices(begins, STEP) if identifier else ():
+            for low, high in slices(begins, STEP, ROWS) if identifier else ():
                 own = begins[low : high + 1]
                 names[low:high], scores[low:high] = identifier.predict(histograms(raw[own[0] : own[-1]], own - own[0]))
             names[~letter], scores[~letter] = UNKNOWN, 0.0

@@ -23,7 +23,6 @@ from graphloom.llm.common import WORD_GAP, written
 
 RISK, DELTA = 0.05, 0.05
 SYMBOLS = r"[#*$%&|<>]"
-SALTS = 64
 
 
 def _scores() -> dict[str, Column]:
@@ -96,8 +95,7 @@ def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: floa
     )
     counted = written(counted, "labelled-scores")
     sizes = counted.where(F.col("rule") == next(iter(scores))).groupBy("stratum").agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
-    # DELTA is shared among one stratum more than there are, as in the SQL, where all together count as one
-    tests = len(scores) * (F.count("*").over(Window.partitionBy(F.lit(0))) + 1)
+    tests = len(scores) * F.count("*").over(Window.partitionBy(F.lit(0)))
     allowed = most_rejections(sizes, risk / len(scores), F.lit(delta) / tests)
     above = Window.partitionBy("stratum", "rule").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     tried = counted.select("stratum", "rule", "score", *(F.coalesce(F.sum(x).over(above), F.lit(0)).alias(x) for x in ("good", "bad")))
@@ -115,10 +113,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     over = F.lit(False)
     for name, score in _scores().items():
         over = over | F.coalesce(score > F.col(f"most_{name}"), F.lit(False))
-    # a language may hold most documents, so each stratum's row meets them in SALTS parts
-    rules = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(SALTS)).cast("int"))
-    return salted.join(rules, ["stratum", "_salt"], "left").drop("_salt").withColumn("kept", ~F.col("base_failed") & ~over)
+    # a row for each stratum: as a written table its size is known, so Spark broadcasts it where it is small, and splits a
+    # stratum that holds most documents where it isn't
+    rules = written(rules, "cutoffs")
+    return found.join(rules, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:

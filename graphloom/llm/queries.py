@@ -132,7 +132,7 @@ WITH texts AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '
   scores AS (SELECT doc_id, stratum, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'long_words', 'short_words']) AS rule, unnest([floor(1000 * n_symbols / greatest(word_chars, 1)),
       floor(1000 * n_dup_lines / greatest(n_lines, 1)), floor(1000 * n_repeat_words / greatest(n_words, 1)), least(floor(100 * word_chars / greatest(n_words, 1)), 5000), -least(floor(100 * word_chars / greatest(n_words, 1)), 5000)]) AS score FROM judged),
   marks AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-  held AS (SELECT unnest([stratum, '*']) AS stratum, rule, score, (quality > 0)::BIGINT AS good FROM scores JOIN marks USING (doc_id) WHERE NOT base_failed),
+  held AS (SELECT stratum, rule, score, (quality > 0)::BIGINT AS good FROM scores JOIN marks USING (doc_id) WHERE NOT base_failed),
   tallies AS (SELECT stratum, rule, score, sum(good) AS good, sum(1 - good) AS bad FROM held GROUP BY ALL),
   sizes AS (SELECT stratum, sum(good) AS n_good, sum(bad) AS n_bad FROM tallies WHERE rule = 'symbols' GROUP BY stratum),
   terms AS (SELECT stratum, n_good, unnest(range(0, (floor(n_good * {quality.RISK / 5!r}) + 1)::BIGINT)) AS k FROM sizes),
@@ -142,8 +142,7 @@ WITH texts AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '
   tried AS (SELECT stratum, rule, score, coalesce(sum(good) OVER above, 0) AS good, coalesce(sum(bad) OVER above, 0) AS bad FROM tallies WINDOW above AS (PARTITION BY stratum, rule ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   gains AS (SELECT stratum, rule, score, bad::DOUBLE / greatest(n_bad, 1) - good::DOUBLE / greatest(n_good, 1) AS gain FROM tried JOIN sizes USING (stratum) JOIN allowed USING (stratum) WHERE good <= most),
   best AS (SELECT stratum, rule, score AS cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, score DESC) AS r FROM gains WHERE gain > 0) WHERE r = 1),
-  named AS (SELECT s.stratum, CASE WHEN a.stratum IS NULL THEN '*' ELSE s.stratum END AS source FROM (SELECT DISTINCT stratum FROM judged) s LEFT JOIN allowed a USING (stratum)),
-  rejected AS (SELECT DISTINCT doc_id FROM scores JOIN named USING (stratum) JOIN best ON best.stratum = named.source AND best.rule = scores.rule WHERE score > cutoff)
+  rejected AS (SELECT DISTINCT doc_id FROM scores JOIN best USING (stratum, rule) WHERE score > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.doc_id IS NULL AS kept FROM judged LEFT JOIN rejected r USING (doc_id)"""
 
 

@@ -11,28 +11,33 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import fingerprints, language, lines, mixing, packing, quality, simhash, substrings, token_files, urls
 from graphloom.llm.components import components
 from graphloom.llm.tokens import PieceEncoder, encoded
-from tests_llm_brute import brute_components, brute_fingerprint, crc, ids_of
+from tests_llm_brute import brute_components, brute_fingerprint, brute_lines, crc, ids_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @pytest.fixture(scope="session")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def thue_morse(n=2048):
+    """Two words that sums of bytes times powers of any odd number modulo 2**64 can't tell apart."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
 
 
 def test_piece_encoder_gives_the_tokenizer_s_ids(tokenizer):
     r = random.Random(3)
-    marks = ["a", "Zeta", "é", "ß", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "\u2003", "\x1c", "\x7f", ".", ",", "'s", "'", "1", "42", "😀", "<|endoftext|>", "日本", "\r\n", "-", "\u0085"]
-    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 30))) for _ in range(3000)] + [None, ""]
+    marks = ["a", "Zeta", "é", "ß", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "\u2003", "\x1c", "\x7f", ".", ",", "'s", "'", "1", "42", "😀", "<|endoftext|>", "日本", "\r\n", "-", "\u0085", "ñ", "ªµº", "×", "÷", "ŭ", "ɐ", "à.", "ö'", "Ñ9", "í" * 40, "x" * 70]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 30))) for _ in range(3000)] + [None, "", *thue_morse()]
     encoder = PieceEncoder(remembered=50)
     got = []
     for _, ids, counts in encoded(pa.array(texts), encoder, 500):
@@ -80,9 +85,42 @@ def test_fingerprints_edit_and_algebra(spark, unique, unique_docs):
     assert len({next(iter(v)) for v in by_text.values()}) == len(by_text)
 
 
+def brute_soft(text):
+    """The soft lanes of a text as sums of signs."""
+    def chained(words):
+        seed = 42
+        for w in words:
+            seed = xxhash.xxh64_intdigest(w.encode(), seed)
+        return seed
+
+    hashes = []
+    for line in (text or "").split("\n"):
+        w = re.split(r"[\x20\x09-\x0D]+", line)
+        hashes += [chained([" ".join(w)])] if len(w) <= 3 else [chained(w[i : i + 3]) for i in range(len(w) - 2)]
+    bits = np.array([[h >> b & 1 for b in range(64)] for h in hashes])
+    return 2.0 * bits.sum(axis=0) - len(hashes)
+
+
+def test_fingerprints_likeness(unique, unique_docs):
+    order = sorted((r for r in unique if len(r[1] or "") < 20_000), key=lambda r: -r[0])
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(unique_docs.where("coalesce(length(text), 0) < 20000")).collect()}
+    for i, row in enumerate(order):
+        text, following = row[1] or "", order[(i + 1) % len(order)][1] or ""
+        n = len(text) // 3
+        edited = text[: len(text) - n] + following[:n]
+        r = got[row[0]]
+        for other, near, same in ((edited, r.near_edited, r.fingerprint == r.edited_fingerprint), (following, r.near_next, None)):
+            a, b = brute_soft(text), brute_soft(other)
+            want = 1.0 if sorted(other.split("\n")) == sorted(text.split("\n")) else max(0.0, min(1.0, a @ b / np.sqrt((a @ a) * (b @ b)))) if (a @ a) * (b @ b) else 0.0
+            assert abs(near - want) < 1e-9
+
+
 def test_fingerprints_repeated_and_null_ids(docs, rows, empty):
     got = fingerprints.edited_fingerprints(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    texts = {r[1] or "" for r in rows}
+    assert len({r.fingerprint for r in got}) == len(texts)
+    assert Counter(Counter(r.fingerprint for r in got).values()) == Counter(Counter(r[1] or "" for r in rows).values())
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
@@ -177,6 +215,27 @@ def test_language_copies_do_not_fill_the_sample(spark, rows):
     assert sum((i, lang) in got for i, _, lang in texts) >= 0.8 * len(texts)
 
 
+def test_language_decision_rule():
+    """predict() against votes counted one by one."""
+    r = np.random.default_rng(3)
+    x = r.random((60, 8)).astype(np.float32)
+    names = r.choice(["en", "de", "nl", "fr", "es", "fi"], 60).tolist()
+    found = language.Identifier(x, names)
+    chance = lambda v, w: 1 / (1 + np.exp(-4 * (np.append(v, 1) @ w)))
+    got, scores = found.predict(x)
+    for v, name, score in zip(x, got, scores, strict=True):
+        margins = [np.append(v, 1) @ w for w in found.family_weights.T]
+        family = found.families[int(np.argmax(margins))]
+        members, votes, worst = found.members[family], Counter(), {}
+        for i, j, w in found.pairs[family]:
+            p = chance(v, w)
+            for side, q in ((members[i], p), (members[j], 1 - p)):
+                votes[side] += int(q >= 0.5) + q / (2 * len(members))
+                worst[side] = min(worst.get(side, 1), q)
+        want = max(members, key=lambda m: (votes[m], -members.index(m)))
+        assert name == want and abs(score - chance(v, found.family_weights[:, np.argmax(margins)]) * worst.get(want, 1)) < 1e-5
+
+
 # op4
 
 
@@ -376,44 +435,78 @@ def test_substrings_of_few_words(spark):
     r = random.Random(11)
     rows = [(i, " ".join(r.choice("ab") for _ in range(r.choice([0, 10, 49, 50, 51, 80, 300])))) for i in range(60)]
     rows += [(100 + i, "x " * r.randint(48, 140)) for i in range(6)]
+    rows += [rows[7]] * 3
     got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), window=12, node=5).collect()
     assert Counter((x.doc_id, x.n_words, x.n_removed, x.kept) for x in got) == brute_repeats(rows, 12)
 
 
+def test_words_that_weak_sums_confuse(spark):
+    a, b = thue_morse()
+    tail = " ".join(f"w{i}" for i in range(49))
+    r = random.Random(1)
+    long = ["".join(r.choice("ab") for _ in range(64)) for _ in range(2)]
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a} {tail} more"), (4, f"{long[0]}{long[1]} {tail}"), (5, f"{long[1]}{long[0]} {tail}")]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {x.doc_id: x.n_removed for x in got} == {1: 0, 2: 0, 3: 50, 4: 0, 5: 0}
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    """Edges a-b-c-d lie on one path; d forks into e and f, so these are paths of their own; g-h make a cycle."""
+    links = {"a": (1, 2), "b": (2, 3), "c": (3, 4), "d": (4, 5), "e": (5, 6), "f": (5, 7), "g": (8, 9), "h": (9, 8)}
+    rows = [(i, i, x << 32 | y, i << 16 | i) for i, (x, y) in enumerate(links.values())]
+    rows.append((8, 8, 1 << 32 | 3, 0 << 16 | 1))  # a and b in one edge: the same words lead out of 1 and into 3
+    got = substrings.goes_on(spark.createDataFrame(rows, "one bigint, two bigint, ends bigint, steps int")).collect()
+    assert {"abcdefghi"[x.one] for x in got if x.on} == set("abcghi") and len(got) == 9
+
+
+def test_spans_whose_words_differ_from_the_source_stay(spark, monkeypatch):
+    """Where hashes are wrong the words decide: a span that isn't its source's stays."""
+    df = spark.createDataFrame([(1, "a b r x y z"), (2, "p q r x y z")], "doc_id bigint, text string")
+    tags = {x.doc_id: x.tag for x in df.select("doc_id", F.hash("text").alias("tag")).collect()}
+    monkeypatch.setattr(substrings, "repeated_spans", lambda *a: spark.createDataFrame([(2, tags[2], 0, 2, (1, tags[1], 0)), (2, tags[2], 3, 1, (1, tags[1], 3))], "doc_id bigint, tag int, at int, n int, source struct<doc_id:bigint,tag:int,at:int>"))
+    got = {x.doc_id: (x.n_removed, x.kept) for x in substrings.remove_repeats(df, window=3).collect()}
+    assert got == {1: (0, "a b r x y z"), 2: (3, "p q r")}
+
+
 # op8
 
 
 def test_lines(docs, rows, empty, spark):
     got = lines.drop_fuzzy_lines(docs).collect()
-    assert len(got) == len(rows)
-    seen = {(r[0] if r[0] is not None else 1 << 62, hash(r[1]), r[1]): r for r in rows}.values()  # repeated rows count once
-    occurrences = [(r[0] if r[0] is not None else 1 << 62, r[1], n, x) for r in seen for n, x in enumerate(lines.line_list(r[1])) if x]
-    strings = sorted({x for *_, x in occurrences})
-    sets, parent = [lines.shingles(x) for x in strings], list(range(len(strings)))
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(strings)):
-        for j in range(i):
-            if top(i) != top(j) and lines.jaccard(sets[i], sets[j]) >= 0.8:
-                parent[max(top(i), top(j))] = min(top(i), top(j))
-    component = {x: top(i) for i, x in enumerate(strings)}
-    groups = defaultdict(list)
-    for o in occurrences:
-        groups[component[o[3]]].append(o)
-    removed = Counter()
-    for group in groups.values():
-        least = min((d, n) for d, _, n, _ in group)
-        for d, text, n, _ in group:
-            removed[(d, text)] += (d, n) != least
-    want = Counter(removed[(r[0] if r[0] is not None else 1 << 62, r[1])] for r in rows if r[0] not in (6,))
-    assert Counter(r.n_removed for r in got if r.doc_id not in (6,)) == want and sum(removed.values()) > 10
+    want = Counter(brute_lines(rows))
+    assert Counter((x.doc_id, x.text, x.n_removed) for x in got) == want and sum(n * k for (*_, n), k in want.items()) > 10
     assert lines.drop_fuzzy_lines(empty).count() == 0
 
 
+def test_common_shingles_counts_sets():
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(1, 60))) for _ in range(40)] + ["é" * 9, "x"]
+    sets = [lines.shingles(x) for x in texts]
+    size, both = lines.common_shingles(texts)
+    assert size.tolist() == [len(x) for x in sets]
+    assert all(both[i, j] == len(a & b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+    n, m, k = lines.pair_counts(texts[:-1], texts[1:])
+    assert [*zip(n.tolist(), m.tolist(), k.tolist(), strict=True)] == [(len(a), len(b), len(a & b)) for a, b in zip(sets, sets[1:], strict=False)]
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 20])
+def test_shared_buckets_over_any_batches(spark, monkeypatch, held):
+    r = random.Random(4)
+    rows = [(r.randrange(40), r.randrange(5)) for _ in range(120)]
+    of = defaultdict(set)
+    for bucket, line in rows:
+        of[bucket].add(line)
+    monkeypatch.setattr(lines, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    got = defaultdict(list)
+    for x in lines._shared(spark.createDataFrame(rows, "bucket bigint, line bigint")).collect():
+        got[x.bucket].append((x.line, x.first))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {b for b, xs in of.items() if len(xs) > 1}
+    for bucket, found in got.items():
+        assert len({f for _, f in found}) == 1 and sorted(x for x, _ in found) == sorted(of[bucket] - {found[0][1]})
+
+
 @pytest.mark.parametrize("n", [9, 12, 18, 27, 45, 60])
 def test_similar_lines_share_a_bucket_at_any_length(n):
     r = random.Random(n)
@@ -441,6 +534,34 @@ def test_large_line_buckets_are_tiled(spark):
     assert lines.line_components(df, tile=16).select("component").distinct().count() == 1
 
 
+@pytest.mark.parametrize("tile", [4, 512])
+def test_open_line_buckets_lose_no_link(spark, monkeypatch, tile):
+    """All lines in one bucket, many components: cells of rare shingles and tiles find the same as all pairs."""
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared, texts = word(60), []
+    for _ in range(25):
+        own = shared + word(60)
+        texts += [own, own + word(3), own[:70] + word(1) + own[71:]]
+    rows = [(i, x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = {lines._id(x): x for x in texts}
+    monkeypatch.setattr(lines, "_buckets", lambda rows: spark.createDataFrame([(1, x) for x in ids], "bucket bigint, line bigint"))
+    found = {x.line: x.component for x in lines.line_components(lines._documents(df, "doc_id", "text"), tile=tile).collect()}
+    got = defaultdict(set)
+    for x in ids:
+        got[found.get(x, x)].add(ids[x])
+    sets = {x: lines.shingles(x) for x in texts}
+    parts = {x: {x} for x in texts}
+    for a in texts:
+        for b in texts:
+            if parts[a] is not parts[b] and lines.jaccard(sets[a], sets[b]) >= 0.8:
+                parts[a] |= parts[b]
+                for x in parts[a]:
+                    parts[x] = parts[a]
+    assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in parts.values()} and len(got) > 10
+
+
 # op9
 
 
@@ -502,9 +623,48 @@ def test_quality_strata_without_a_bound_reject_by_the_base_rules_alone(spark):
     assert not any(x.kept for x in judged if x.doc_id < 3000 and x.doc_id % 5 == 0)
 
 
+def test_quality_sql_agrees_where_cutoffs_apply(spark, tmp_path):
+    """Thousands of labels in two strata and few in a third: cutoffs are certified in two of them, in SQL as in Spark."""
+    import duckdb
+
+    from graphloom.llm import queries
+
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(4000):
+        bad = r.random() < 0.25
+        n = r.randint(60, 120)
+        words = [("w%d" % r.randrange(10**6)) + ("#" * r.randint(0, 3) if bad or r.random() < 0.02 else "") for _ in range(n)]
+        text = " ".join(words) + ("\nsame line\nsame line\nsame line" if bad and r.random() < 0.5 else "")
+        rows.append((i, text, ("en", "de", "fr")[0 if i < 2200 else 1 if i < 3900 else 2], "s", len(text)))
+        labels.append((i, int(not bad), 0))
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    got = [tuple(x) for x in queries.op9_quality_rules(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.execute(queries.ORACLE_SQL["op9_quality_rules"]).fetchall())
+    rejected = Counter((rows[x[0]][2], labels[x[0]][1]) for x in got if not x[6] and not x[7])
+    assert rejected[("en", 0)] > 50 and rejected[("de", 0)] > 50 and not rejected[("fr", 0)]
+
+
 # op10
 
 
+def test_simhash_large_buckets_are_blocked_again(spark):
+    """Thousands of fingerprints that agree in 40 bits: every bucket over these is large, and rows grow by blocks, not by their square."""
+    r = random.Random(8)
+    base, ids = r.getrandbits(40) << 24, {}
+    while len(ids) < 3000:
+        ids[base | r.getrandbits(24)] = len(ids)
+    by_id = {i: x for x, i in ids.items()}
+    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in by_id.items()], "id bigint, fp bigint")
+    found = {r.id: r.component for r in components(simhash.links(df, tile=200)).collect()}
+    assert {i: found.get(i, i) for i in by_id} == brute_components(by_id)
+    assert all(sum(q) == (1 << 64) - 1 - m for m in simhash.block_masks() for q in [simhash.quarters(m)])
+
+
 def test_simhash(unique, unique_docs, docs, rows, empty):
     fps = {r[0]: brute_fingerprint(r[1]) for r in unique}
     want = brute_components(fps)

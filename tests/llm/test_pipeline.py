@@ -6,11 +6,16 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests_llm_brute import brute_components, brute_fingerprint, crc, ids_of  # noqa: I001
+from graphloom.llm import mixing, queries
+from tests_llm_brute import brute_components, brute_fingerprint, brute_lines, crc, ids_of  # noqa: I001
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def tagged(docs):
+    return mixing.with_domain(docs).withColumn("tokens", mixing.n_tokens())
+
+
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory, unique_docs, spark):
     path = tmp_path_factory.mktemp("sf")
@@ -21,7 +26,6 @@ def folder(tmp_path_factory, unique_docs, spark):
 
 def test_stages(spark, folder, tmp_path):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs, columns = spark.read.parquet(f"{folder}/documents.parquet"), ["doc_id", "text", "lang", "source", "n_chars"]
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "pack_sequences"]
@@ -45,13 +49,21 @@ def test_stages(spark, folder, tmp_path):
         elif name == "line_dedup":
             assert {r.doc_id for r in after} == {r.doc_id for r in before}
             assert all(r.n_chars == len(r.text) for r in after)
-            kept = [x.strip() for r in after for x in r.text.split("\n") if x.strip()]
-            assert len(kept) == len(set(kept)) and {x for r in after for x in r.text.split("\n")} <= {x for r in before for x in r.text.split("\n")} | {""}
+            assert Counter((r.doc_id, r.text) for r in after) == Counter((i, text) for i, text, _ in brute_lines([tuple(r) for r in before]))
         elif name == "near_dedup":
             groups = brute_components({r.doc_id: brute_fingerprint(r.text) for r in before})
             assert {r.doc_id for r in after} == set(groups.values()) and len(after) == len(set(groups.values()))
         elif name == "mix_sources":
-            assert set(after) <= set(before) and max(Counter(r.doc_id for r in after).values()) <= 4
+            copies = Counter(r.doc_id for r in after)
+            assert set(after) <= set(before) and max(copies.values()) <= 4
+            plan = {(r.domain, r.lang, r.source): r for r in mixing.mix(tagged(spark.createDataFrame(before, out.schema)), weights=queries.MIX).collect()}
+            taken, most = Counter(), {}
+            for r in tagged(spark.createDataFrame(before, out.schema)).collect():
+                leaf = (r.domain, r.lang, r.source)
+                taken[leaf] += copies[r.doc_id] * r.tokens
+                most[leaf] = max(most.get(leaf, 0), r.tokens)
+            # a leaf takes its budget but for less than one document
+            assert all(plan[k].budget - most[k] < n <= plan[k].budget for k, n in taken.items())
         else:
             places = defaultdict(list)
             for r in after:
@@ -73,3 +85,22 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "offset"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, docs, rows, folder):
+    """Rows as the operators' tests have them: null ids and texts, repeated rows and ids, columns named as inner ones."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        found = out.collect()
+        if name == "pack_sequences":
+            assert Counter(r.doc_id for r in found if not r.start) == Counter(r[0] for r in rows)
+        else:
+            assert out.columns == docs.columns and found and {r.doc_id for r in found} <= {r[0] for r in rows}
+        if name == "line_dedup":
+            assert Counter((r.doc_id, r.text) for r in found) == Counter((i, text) for i, text, _ in brute_lines(rows))
+
+
+def test_stages_on_an_empty_table(spark, empty, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, folder)
+        assert out.count() == 0 and (name == "pack_sequences" or out.columns == empty.columns)
