@@ -54,6 +54,20 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.filter(F.split(path, "/"), lambda x: x != ""), F.array().cast("array<string>"), step), "/")
 
 
+def component_name(path: Column) -> Column:
+    """The name of a single-file component: `index` has its folder's, `[x]` its parameter's, `[...x]` is All."""
+    own = stem(path)
+    folder = base_name(dir_name(path))
+    named = F.when((own == "index") & (folder != ""), folder).when(own.rlike(r"^\[\.\.\."), "All").otherwise(F.regexp_replace(own, r"[\[\]]", ""))
+    return pascal_case(named)
+
+
+def module_layer(path: Column) -> Column:
+    """The folder below `src`, else the first one."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) < 2, "").when((F.get(parts, F.lit(0)) == "src") & (F.size(parts) > 2), F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
+
+
 def is_test(path: Column) -> Column:
     return path.rlike(r"(^|/)(__tests__|tests?)/|[._](test|spec)\.[a-z]+$")
 

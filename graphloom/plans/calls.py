@@ -57,9 +57,21 @@ def resolve(calls: DataFrame, methods: DataFrame, imports: DataFrame, components
     the same file or folder; a method of the caller's own type. Dart: the own class, a class of an imported file, the only
     class of that name, a function of the same file, the only one of that name.
     """
+    own = methods.select("path", F.col("owner").alias("fn_owner"), F.col("name").alias("fn_name"), F.col("id").alias("src_id"))
+    return targets(_with_source(calls, own), methods, imports, components)
+
+
+def handlers(routes: DataFrame, methods: DataFrame, imports: DataFrame, components: DataFrame) -> DataFrame:
+    """id, handler_id: the method that serves a route of a Go router. routes: id, path, handler (as it is written)."""
+    word = F.substring_index("handler", ".", -1)
+    receiver = F.when(F.contains("handler", F.lit(".")), F.regexp_replace("handler", r"\.[^.]*$", ""))
+    rows = routes.where("handler is not null").select(F.col("id").alias("src_id"), "path", F.lit("go").alias("ext"), F.lit(0).alias("line"), receiver.alias("receiver"), word.alias("name"), F.lit(None).cast("string").alias("fn_owner"), T.dir_name(F.col("path")).alias("folder"))
+    return targets(rows, methods, imports, components).groupBy("src_id").agg(F.min("dst_id").alias("handler_id")).withColumnRenamed("src_id", "id")
+
+
+def targets(rows: DataFrame, methods: DataFrame, imports: DataFrame, components: DataFrame) -> DataFrame:
+    """src_id, dst_id of what `rows` (src_id, path, ext, line, receiver, name, fn_owner, folder) name, by the ranks of resolve()."""
     placed = methods.withColumn("folder", T.dir_name(F.col("path")))
-    own = placed.select("path", F.col("owner").alias("fn_owner"), F.col("name").alias("fn_name"), F.col("id").alias("src_id"))
-    rows = _with_source(calls, own)
     first = F.substring_index("receiver", ".", 1)
     by = ["src_id", "line", "name", "receiver"]
     go, dart = rows.where("ext = 'go'"), rows.where("ext = 'dart'")

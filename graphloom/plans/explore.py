@@ -76,6 +76,17 @@ def layers(tables: Tables) -> DataFrame:
     return shares(tables["SourceFile"], "layer")
 
 
+def tallies(tables: Tables) -> DataFrame:
+    """by, value, n: types and methods by their file's language and layer, and by their kind; calls that cross languages."""
+    files = tables["SourceFile"].select("path", "ext", "layer")
+    units = reduce(DataFrame.unionByName, (tables[k].select("path", F.lit(k).alias("kind")) for k in ("Interface", "Class", "Method"))).join(files, "path")
+    parts = [units.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("by"), "value", "n") for c in ("ext", "layer", "kind")]
+    ends = named(tables).join(files, "path").select("id", "ext")
+    calls = tables["edges"].where("link_type = 'calls'").join(ends.withColumnsRenamed({"id": "src_id", "ext": "one"}), "src_id").join(ends.withColumnsRenamed({"id": "dst_id", "ext": "two"}), "dst_id")
+    parts.append(calls.where("one <> two").agg(F.count("*").alias("n")).select(F.lit("calls").alias("by"), F.lit("other language").alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dead(tables: Tables, kind: str | None = None, limit: int = 40) -> DataFrame:
     """What nothing refers to: files, exports, types and functions, script functions; of one kind or all."""
     parts = {

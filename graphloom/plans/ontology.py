@@ -102,7 +102,7 @@ def build(
     lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
     scripts = X.user_scripts(raw).select("path", F.lit(True).alias("is_script"))
     functions, kinds = cut(X.functions(code)), cut(X.types(code))
-    vue = raw.where("ext = 'vue'").select("path", T.pascal_case(T.stem(F.col("path"))).alias("name"), F.lit(0).alias("ord"))
+    vue = raw.where("ext = 'vue'").select("path", T.component_name(F.col("path")).alias("name"), F.lit(0).alias("ord"))
     widgets = kinds.where((F.col("ext") == "dart") & F.exists("extends", lambda x: x.rlike("Widget$|^State$"))).select("path", "name", "ord")
     shown = functions.where(F.col("ext").isin("tsx", "jsx") & F.col("exported") & F.col("name").rlike("^[A-Z]")).select("path", "name", "ord")
     components = L.unique_ids(shown.unionByName(vue).unionByName(widgets).withColumn("base", F.concat(F.lit("comp:"), "name")), "base", "path", "ord")
@@ -164,7 +164,8 @@ def build(
     member_of = methods.where("owner_id is not null").select("id", "name", "owner_id")
     found, body_lines = K.bodies(code)
     last = F.regexp_extract("spec", r"([^/]+?)(?:/v[0-9]+)?$", 1).alias("name")
-    called = K.resolve(K.sites(body_lines, cut(found)), methods, resolved.select("path", "target", "package_folder", last), components)
+    spoken = resolved.select("path", "target", "package_folder", last)
+    called = K.resolve(K.sites(body_lines, cut(found)), methods, spoken, components)
     edges.append(L.edges(called, "calls", "src_id", "dst_id", F.lit(0)))
     edges.append(L.edges(methods.where("owner_id is not null"), "contains", "owner_id", "id", F.lit(0)))
     parents = member_of.select(F.col("id").alias("dst_id"), "name", F.col("owner_id").alias("parent"))
@@ -190,7 +191,10 @@ def build(
     routes = routes.unionByName(vue_file_routes(raw).join(written.select("path").distinct(), "path", "left_anti").select(*shown))
     routes = L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", F.struct("path", "ord", "route"))
     told = X.titles(raw).groupBy("path").agg(F.min_by("title", "ord").alias("description"))
-    routes = cut(routes.withColumn("domain", T.route_domain(F.col("route"))).join(told, "path", "left"))
+    served_by = K.handlers(routes.where("kind = 'http'").select("id", "path", "handler"), methods, spoken, components)
+    around = raw.where(F.col("path").rlike(r"(^|/)app/(.*/)?layout\.[jt]sx?$")).select(T.dir_name(F.col("path")).alias("folder"), F.col("path").alias("layout"))
+    routes = routes.withColumn("domain", T.route_domain(F.col("route"))).join(told, "path", "left").join(served_by, "id", "left")
+    routes = cut(R.layout_chain(routes, around).withColumnRenamed("chain", "layouts"))
     calls = X.http_calls(code).select("path", "method", F.regexp_replace(F.col("url"), r"^https?://[^/]+", "").alias("url"), "ord").where("url <> ''")
     matched = cut(R.match_routes(calls, routes.where("kind in ('api', 'http')").select("ord", F.col("route").alias("pattern")), "url", "pattern"))
     asked = matched.where("pattern is not null").join(routes.where("kind in ('api', 'http')").select(F.col("route").alias("pattern"), F.col("id").alias("route_id")), "pattern").select("path", "method", "url", "route_id").distinct()
@@ -262,12 +266,14 @@ def build(
     between = cut(edges.where("link_type = 'imports'").where(F.startswith("dst_id", F.lit("file:"))).select("src_id", "dst_id").distinct())
     dead_there = dead_types(entities, methods, names, imports, files).unionByName(K.dead_go(entities.select("id", "name", "path", "exported").unionByName(methods.where("owner_kind <> 'interface'").select("id", "name", "path", "exported")), names))
 
+    given_or_taken = L.degrees(props).select("id", F.col("n_out").alias("n_props_out"), F.col("n_in").alias("n_props_in"))
+    components = components.join(given_or_taken, "id", "left").na.fill(0, ["n_props_out", "n_props_in"])
     out = {
         "SourceFile": files, "Module": cut(S.module_profiles(modules, files, units, routes, between)), "Domain": domains, "Dependency": cut(packages), "Component": components, "Hook": hooks, "Store": stores, "Service": services,
         "Interface": entities.where("entity = 'interface'"), "Class": entities.where("entity = 'class'"), "Method": methods,
         "Route": routes, "UserScript": user_scripts, "ScriptFunction": functions_of, "GmApiUsage": gm, "InjectionPoint": injected, "NetworkEndpoint": net,
         "PropEdge": props.groupBy("src_id", "dst_id").agg(F.sort_array(F.collect_list(F.struct("name", "source"))).alias("props")).withColumn("id", F.concat(F.lit("prop:"), "src_id", F.lit("→"), "dst_id")), "edges": edges,
-        "unmatched": matched.where("pattern is null").select("path", "method", "url"), "frontend_calls": asked, "risks": risks, "failed": failed,
+        "unmatched": matched.where("pattern is null").select("path", "method", "url"), "frontend_calls": asked, "risks": risks, "failed": failed, "top_calls": U.top_level_calls(script_edges),
     }
     cycles = cut(G.strong_components(between))
     out["cycles"] = cycles.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"))

@@ -37,7 +37,7 @@ def load(spark: SparkSession, path: str, names: list[str] | None = None) -> dict
 
 
 #: Tables of a build that hold no objects.
-EXTRA = ("edges", "unmatched", "frontend_calls", "risks", "failed", "cycles", "orphans", "dead", "unused_exports", "counts")
+EXTRA = ("edges", "unmatched", "frontend_calls", "risks", "failed", "cycles", "orphans", "dead", "unused_exports", "counts", "top_calls")
 
 
 def summary(tables: dict[str, DataFrame], top: int = 15) -> dict[str, list[dict]]:

@@ -88,7 +88,10 @@ def tags(sources: DataFrame) -> DataFrame:
 
 
 def stores(sources: DataFrame) -> DataFrame:
-    return found(sources, SCRIPT, r"(?m)^[ \t]*export\s+const\s+(\w+)\s*=\s*(create|defineStore)\b", name=1, provider=2).select("path", "ord", "name", F.when(F.col("provider") == "create", "zustand").otherwise("pinia").alias("provider"))
+    """path, ord, name, provider (zustand, pinia or vuex) of stores."""
+    made = found(sources, SCRIPT, r"(?m)^[ \t]*export\s+const\s+(\w+)\s*=\s*(create|defineStore)\b", name=1, provider=2).select("path", "ord", "name", F.when(F.col("provider") == "create", "zustand").otherwise("pinia").alias("provider"))
+    vuex = found(sources, ("ts", "js"), r"\b(new\s+Vuex\.Store|createStore|new\s+Store)\s*\(\s*\{", name=1).where(F.col("path").rlike(r"(^|/)stores?/")).where("ord = 0")
+    return made.unionByName(vuex.select("path", "ord", T.base_name(T.dir_name(F.col("path"))).alias("name"), F.lit("vuex").alias("provider")))
 
 
 def services(sources: DataFrame) -> DataFrame:
@@ -186,7 +189,9 @@ def router_routes(sources: DataFrame) -> DataFrame:
     markup = found(sources, ("tsx", "jsx", "js", "ts"), r"""<Route\s+[^>]*?path=\{?['"]([^'"]+)['"]\}?[^>]*?(?:element=\{\s*<|component=\{)\s*([A-Z]\w*)""", route=1, component=2)
     records = found(sources, SCRIPT, r"""\bpath:\s*['"]([^'"]*)['"]\s*,[^{}]*?\b(?:component|element|Component):\s*<?\s*([A-Z]\w*)""", route=1, component=2)
     dart = found(sources, ("dart",), r"""\bGoRoute\(\s*path:\s*['"]([^'"]+)['"][^;]*?(?:=>|return)\s*(?:const\s+)?([A-Z]\w*)""", route=1, component=2)
-    rows = markup.withColumn("kind", F.lit("jsx")).unionByName(records.withColumn("kind", F.lit("record"))).unionByName(dart.withColumn("kind", F.lit("dart")))
+    overlay = found(sources, SCRIPT, r"""\bid:\s*['"]([\w/-]+)['"]\s*,[^{}]*?\bcomponent:\s*([A-Z]\w*)""", route=1, component=2).where(F.lower("path").contains("overlay"))
+    markup = markup.withColumn("kind", F.lit("jsx")).unionByName(overlay.withColumn("kind", F.lit("overlay")))
+    rows = markup.unionByName(records.withColumn("kind", F.lit("record"))).unionByName(dart.withColumn("kind", F.lit("dart")))
     whole = F.when(F.startswith("route", F.lit("/")), F.col("route")).otherwise(F.concat(F.lit("/"), F.coalesce("route", F.lit(""))))
     return rows.select("path", "ord", whole.alias("route"), "component", "kind")
 

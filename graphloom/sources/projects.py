@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,3 +103,19 @@ def html_entries(spark: SparkSession, root: str) -> DataFrame:
     pages = everything(spark, root).where(F.col("path").rlike(r"^[^/]+\.html?$"))
     src = r"""<script[^>]*\bsrc=["']/?([^"']+\.(?:tsx?|jsx?|vue))["']"""
     return pages.select(F.explode(F.regexp_extract_all("content", F.lit(src), 1)).alias("path")).distinct()
+
+
+def host_configs(paths: DataFrame) -> DataFrame:
+    """path of configuration files at the top of a tree."""
+    return paths.where(F.col("path").rlike(r"^([\w.-]+\.config\.[cm]?[jt]s|app\.json|electron-builder[\w.-]*|pubspec\.yaml|go\.mod|Cargo\.toml|package\.json|[jt]sconfig[\w.-]*\.json)$"))
+
+
+def git_head(spark: SparkSession, root: str) -> DataFrame:
+    """branch, commit of the checked-out state, as the files of the repository tell them (null where there is none)."""
+    try:
+        files = everything(spark, f"{root}/.git").where(F.col("path").rlike(r"^(HEAD$|refs/heads/)")).select("path", F.trim(F.regexp_replace("content", "\\s+$", "")).alias("text"))
+    except AnalysisException:  # not a repository
+        return spark.createDataFrame([], "branch string, commit string")
+    head = files.where("path = 'HEAD'").select(F.nullif(F.regexp_extract("text", r"^ref: refs/heads/(.+)$", 1), F.lit("")).alias("branch"), F.nullif(F.regexp_extract("text", r"^([0-9a-f]{40})$", 1), F.lit("")).alias("detached"))
+    refs = files.select(F.substr("path", F.lit(len("refs/heads/") + 1)).alias("branch"), F.col("text").alias("commit"))
+    return head.join(refs, "branch", "left").select("branch", F.coalesce("commit", "detached").alias("commit"))

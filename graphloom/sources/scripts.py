@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import resolve as R
+from graphloom.operators.aggregates import top_per_group
 from graphloom.sources import facts as X
 
 #: Kind of event: a pattern whose first group is what it acts on.
@@ -156,6 +157,12 @@ def call_edges(found: DataFrame, functions: DataFrame) -> DataFrame:
     return calls.where("src is null or src <> dst").groupBy("path", "src", "dst").agg(F.count("*").alias("n"))
 
 
+def top_level_calls(edges: DataFrame, most: int = 20) -> DataFrame:
+    """path, name, n: the functions that a script calls outside all functions, the `most` frequent ones."""
+    rows = edges.where("src is null").select("path", F.col("dst").alias("name"), "n")
+    return top_per_group(rows, ["path"], [F.desc("n"), F.col("name")], most)
+
+
 def script_functions(functions: DataFrame, found: DataFrame, edges: DataFrame, names: DataFrame) -> DataFrame:
     """id, path, name, kind, owner, line, line_count, counts of events, roles, calls, score, dead.
 

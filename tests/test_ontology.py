@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
 from graphloom.operators import links as L
 from graphloom.plans import explore, ontology, report
 from graphloom.plans.types import LEVELS, TYPES
@@ -45,12 +46,19 @@ FILES = {
     "lib/api.dart": "class Api {\n  static void send(String x) {\n    log(x);\n  }\n}\nvoid log(String x) {\n  print(x);\n}\n",
     "lib/caller.dart": "import 'api.dart';\nclass Caller {\n  void go() {\n    Api.send('x');\n    HomeView();\n    again();\n  }\n  void again() {\n  }\n}\n",
     "scripts/big.user.js": "// ==UserScript==\n// @name Big\n// @grant GM_setValue\n// @connect ok.com\n// ==/UserScript==\nconst box = document.querySelector('#box');\nclass App {\n  constructor() {\n    this.draw();\n  }\n  draw() {\n    box.innerHTML = `<b>${name}</b>`;\n    load();\n  }\n}\nfunction load() {\n  GM_xmlhttpRequest({ url: 'https://bad.com/x' });\n  GM_setValue('k', 1);\n}\nfunction forgotten() {\n  return 1;\n}\nwindow.fetch = function () {};\nconst app = new App();\napp.draw();\ndocument.body.appendChild(box);\n",
+    "app/layout.tsx": "export default function Layout() { return null; }\n",
+    "app/(shop)/layout.tsx": "export default function Layout() { return null; }\n",
+    "src/store/index.js": "import Vuex from 'vuex';\nexport default new Vuex.Store({ state: {} });\n",
+    "src/overlays/overlayGroups.ts": "import { Shop } from '../Shop';\nexport const groups = [{ id: 'shop-detail', component: Shop }];\n",
+    "api/users.go": "package api\n\nfunc GetUser(c *gin.Context) {\n}\n",
+    ".git/HEAD": "ref: refs/heads/main\n",
+    ".git/refs/heads/main": "0123456789abcdef0123456789abcdef01234567\n",
     "node_modules/x/index.ts": "export const hidden = 1;\n",
     "src/views/tool/build/x.ts": "export const kept = 1;\n",
     "app/(shop)/cart/[id]/page.tsx": "export default function Page() { return null; }\n",
     "app/api/items/route.ts": "export async function GET() {}\n",
     "cmd/main.go": 'package main\n\nimport (\n\t"example.com/app/router"\n\t"github.com/gin-gonic/gin"\n)\n\nfunc main() { router.Set(gin.Default()) }\n',
-    "router/router.go": 'package router\n\nimport "github.com/gin-gonic/gin"\n\nfunc Set(r *gin.Engine) {\n\tapi := r.Group("/api")\n\tuser := api.Group("/user")\n\tuser.GET("/:id", auth, GetUser)\n}\n',
+    "router/router.go": 'package router\n\nimport (\n\t"example.com/app/api"\n\t"github.com/gin-gonic/gin"\n)\n\nfunc Set(r *gin.Engine) {\n\tgroup := r.Group("/api")\n\tuser := group.Group("/user")\n\tuser.GET("/:id", auth, api.GetUser)\n}\n',
     "src-tauri/src/lib.rs": "pub trait Shape: Clone {}\npub struct Dot { x: i32 }\nimpl Shape for Dot {}\npub fn area() -> i32 { 1 }\n",
     "lib/home.dart": "import 'package:flutter/material.dart';\nclass HomeView extends StatelessWidget {\n  Widget build(BuildContext c) { return Text('x'); }\n}\n",
     "scripts/demo.user.js": "// ==UserScript==\n// @name  Demo\n// @match https://a.com/*\n// @grant GM_getValue\n// @connect api.a.com\n// ==/UserScript==\nGM_getValue('k'); GM_addStyle('x'); GM.setValue('k', 1);\nGM_xmlhttpRequest({ url: 'https://api.a.com/v1', method: 'GET' });\nfetch('https://other.com/x'); fetch(target);\n",
@@ -95,7 +103,7 @@ def test_imports_resolve(graph):
         f("src/pages/HomePage.tsx", "src/hooks/useThing.ts"), f("src/hooks/useThing.ts", "src/types/storage.ts"), f("src/a.ts", "src/b.ts"),
         f("src/b.ts", "src/a.ts"), f("cmd/main.go", "router/router.go"), f("src/App.jsx", "src/pages/HomePage.tsx"), f("src/App.jsx", "src/Shop.tsx"), f("src/Shop.tsx", "src/Badge.tsx"),
         f("src/features/billing/InvoicePage.tsx", "src/stores/cart.ts"), f("src/features/billing/InvoicePage.tsx", "src/hooks/useThing.ts"), f("src/load.ts", "src/services/PriceService.ts"),
-        f("handler/user.go", "model/user.go"), f("handler/user.go", "model/user_check.go"), f("handler/user.go", "model/new.go"), f("src-tauri/src/cmd.rs", "src-tauri/src/db/mod.rs"), f("src-tauri/src/cmd.rs", "src-tauri/src/lib.rs"), f("lib/caller.dart", "lib/api.dart"),
+        f("router/router.go", "api/users.go"), f("src/overlays/overlayGroups.ts", "src/Shop.tsx"), f("handler/user.go", "model/user.go"), f("handler/user.go", "model/user_check.go"), f("handler/user.go", "model/new.go"), f("src-tauri/src/cmd.rs", "src-tauri/src/db/mod.rs"), f("src-tauri/src/cmd.rs", "src-tauri/src/lib.rs"), f("lib/caller.dart", "lib/api.dart"),
     }
     found = pairs(graph, "imports")
     assert {p for p in found if p[1].startswith("file:")} == want
@@ -117,7 +125,7 @@ def test_units_and_layers(graph):
     assert layers["src/hooks/useThing.ts"] == "shared" and layers["src-tauri/src/lib.rs"] == "tauri" and layers["router/router.go"] == "presentation" and layers["scripts/demo.user.js"] == "script"
     assert {r.name: r.kind for r in graph["Component"].collect()}["HomePage"] == "page"
     assert ("comp:HomePage", "comp:Card") in pairs(graph, "renders")
-    assert {r.name for r in graph["Store"].collect()} == {"useCart"} and "hook:useThing" in {r.id for r in graph["Hook"].collect()}
+    assert {(r.name, r.provider) for r in graph["Store"].collect()} == {("useCart", "zustand"), ("store", "vuex")} and "hook:useThing" in {r.id for r in graph["Hook"].collect()}
     assert {(r.name, r.pattern) for r in graph["Service"].collect()} == {("PriceService", "class")}
     modules = {r.id: r for r in graph["Module"].collect()}
     assert modules["mod:src"].n_files == sum(p.startswith("src/") for p in FILES) and modules["mod:src/features/billing"].units == {"component": 1}
@@ -127,9 +135,11 @@ def test_units_and_layers(graph):
 def test_routes_and_calls(graph):
     routes = {r.id: (r.kind, r.domain) for r in graph["Route"].collect()}
     written = {"route:/": ("jsx", "root"), "route:/shop/:id": ("jsx", "shop")}
-    assert {k: v for k, v in routes.items() if v[0] != "command"} == {"route:/cart/:id": ("page", "cart"), "route:/api/items": ("api", "items"), "route:GET /api/user/:id": ("http", "user"), "route:/shop/Detail": ("vue-file", "shop"), **written}
+    assert {k: v for k, v in routes.items() if v[0] != "command"} == {"route:/cart/:id": ("page", "cart"), "route:/api/items": ("api", "items"), "route:GET /api/user/:id": ("http", "user"), "route:/shop/Detail": ("vue-file", "shop"), "route:/shop-detail": ("overlay", "shop-detail"), **written}
+    by_id = {r.id: r for r in graph["Route"].collect()}
+    assert by_id["route:/cart/:id"].layouts == ["app/layout.tsx", "app/(shop)/layout.tsx"] and by_id["route:GET /api/user/:id"].handler_id == "method:api/users.go#GetUser"
     assert {k for k, v in routes.items() if v[0] == "command"} == {"route:go-cli:app", "route:go-cli:app serve", "route:go-cli:app serve fast"}
-    assert ("route:/shop/:id", "comp:Shop") in pairs(graph, "registers") and pairs(graph, "navigatesTo") == {("route:/shop/:id", "route:/")}
+    assert ("route:/shop/:id", "comp:Shop") in pairs(graph, "registers") and pairs(graph, "navigatesTo") == {("route:/shop/:id", "route:/"), ("route:/shop-detail", "route:/")}
     assert {(r.path, r.route_id) for r in graph["frontend_calls"].collect()} == {("src/pages/HomePage.tsx", "route:GET /api/user/:id")}
     assert "/nowhere/at/all" in {r.url for r in graph["unmatched"].collect()}
 
@@ -210,6 +220,11 @@ def test_aliases_and_modules(spark, root):
     assert {r.prefix: r.target for r in projects.aliases(spark, root).collect()} == {"@/": "src/", "$types": "src/types/storage.ts", "~node/": "tools/", "#lib/": "src/lib/"}
     assert [(r.module, r.version, r.main) for r in projects.go_modules(spark, root).collect()] == [("example.com/app", "1.22", True)]
     assert {r.path for r in projects.html_entries(spark, root).collect()} == {"src/boot.ts"}
+    assert projects.git_head(spark, root).collect() == [("main", "0123456789abcdef0123456789abcdef01234567")]
+    paths = spark.createDataFrame([(p,) for p in FILES], "path string")
+    assert {r.path for r in projects.host_configs(paths).collect()} == {"package.json", "pubspec.yaml", "go.mod", "tsconfig.json", "tsconfig.node.json", "vite.config.ts"}
+    named = spark.createDataFrame([("src/views/shop/index.vue",), ("src/views/[...rest].vue",), ("src/user-card.vue",)], "path string")
+    assert [(r[0], r[1]) for r in named.select(T.component_name(F.col("path")), T.module_layer(F.col("path"))).collect()] == [("Shop", "views"), ("All", "views"), ("UserCard", "src")]
 
 
 def test_dead_code_exemptions(graph):
@@ -237,7 +252,7 @@ def test_explore(spark, graph, tmp_path):
     assert [r.id for r in explore.find(graph, "Component", "kind=page,name~home").collect()] == ["comp:HomePage"]
     with pytest.raises(ValueError, match="unknown type"):
         explore.find(graph, "Nothing")
-    assert {r.id for r in explore.by_keyword(graph["Method"], "USER", ("name",)).collect()} == {"method:model/new.go#NewUser"}
+    assert {r.id for r in explore.by_keyword(graph["Method"], "USER", ("name",)).collect()} == {"method:model/new.go#NewUser", "method:api/users.go#GetUser"}
     wanted = spark.createDataFrame([("file:src/a.ts",), ("Component:HomePage",), ("src/b.ts",), ("nothing",)], "query string")
     got = {r.query: r.id for r in explore.look_up(explore.named(graph), wanted).collect()}
     assert got == {"file:src/a.ts": "file:src/a.ts", "Component:HomePage": "comp:HomePage", "src/b.ts": "file:src/b.ts", "nothing": None}
@@ -245,9 +260,13 @@ def test_explore(spark, graph, tmp_path):
     assert one["type"] == "Store" and {"link_type": "usesStore", "other": "comp:InvoicePage"} in one["links"] and explore.details(graph, "store:none") is None
     assert {r.kind for r in explore.dead(graph).collect()} == {"file", "export", "function", "script", "type"}
     assert {r.type: r.level for r in explore.stats(graph).collect()}.keys() == TYPES.keys()
+    assert {(r.by, r.value) for r in explore.tallies(graph).collect()} >= {("ext", "go"), ("kind", "Method"), ("calls", "other language")}
+    shop = graph["Component"].where("id = 'comp:Shop'").first()
+    assert (shop.n_props_out, shop.n_props_in) == (1, 0)
+    assert {(r.name, r.n) for r in graph["top_calls"].collect()} == {("App.constructor", 1), ("App.draw", 1)}
     explore.annotate(spark, str(tmp_path), "store:useCart", "look at this")
     explore.annotate(spark, str(tmp_path), "store:useCart", "again", reviewed=True)
-    row = explore.with_notes(spark, str(tmp_path), graph["Store"]).first()
+    row = explore.with_notes(spark, str(tmp_path), graph["Store"]).where("id = 'store:useCart'").first()
     assert row.notes == "look at this\nagain" and row.reviewed
 
 
