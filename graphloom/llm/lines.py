@@ -337,13 +337,14 @@ def line_components(rows: DataFrame, least: float = LEAST, tile: int = TILE) ->
     others = shared.join(joined, "line", "left")
     placed = written(others.select(F.col("bucket").alias("cell"), "line", F.coalesce("component", "line").alias("component")), "placed-lines")
     split = _parts(placed).groupBy("lines", "n").agg(F.min(F.struct("cell", "main", "n_main")).alias("x")).select("x.cell", "n", "x.main", "x.n_main")
-    open_ = written(placed.join(split, "cell"), "open-buckets")
+    # written before it meets the rows, so that a large bucket can be split in the join
+    open_ = written(placed.join(written(split, "split-buckets"), "cell"), "open-buckets")
     cells = _dealt(open_.where(F.col("n") - F.col("n_main") <= tile), tile)
     large = open_.where(F.col("n") - F.col("n_main") > tile).select(F.col("cell").alias("bucket"), "line", "component")
     if not large.isEmpty():
         narrow = _prefixes(large.join(texts, "line").select("bucket", "line", "string"), least).join(large.select("line", "component").distinct(), "line")
         narrow = written(narrow.select("cell", "line", "component"), "line-cells")
-        cells = cells.unionByName(_dealt(narrow.join(_parts(narrow), "cell"), tile))
+        cells = cells.unionByName(_dealt(narrow.join(written(_parts(narrow), "split-cells"), "cell"), tile))
     dealt = cells.join(texts, "line").select("cell", "line", "component", "string").repartition("cell").sortWithinPartitions("cell")
     stars = joined.select(F.col("line").alias("a"), F.col("component").alias("b"))
     return components(stars.union(_within(dealt, least))).select(F.col("id").alias("line"), "component")
