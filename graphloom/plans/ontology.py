@@ -160,7 +160,16 @@ def build(
     own = entities.select(F.col("id").alias("owner_id"), F.col("path").alias("there"), F.col("name").alias("owner"), folder, F.when(F.col("entity") == "interface", "interface").otherwise("class").alias("owner_is"))
     near = methods.where("owner is not null").select("id", "path", "owner", folder).join(own, ["folder", "owner"]).where((F.col("path") == F.col("there")) | F.endswith("path", F.lit(".go")))
     near = near.groupBy("id").agg(F.min_by(F.struct("owner_id", "owner_is"), F.struct(F.col("path") != F.col("there"), "owner_id")).alias("x")).select("id", "x.owner_id", "x.owner_is")
-    methods = cut(methods.join(near, "id", "left").withColumn("owner_kind", F.coalesce("owner_is", "owner_kind")).drop("owner_is"))
+    methods = methods.join(near, "id", "left").withColumn("owner_kind", F.coalesce("owner_is", "owner_kind")).drop("owner_is")
+    # a single-file component is a class too, with its methods
+    shaped = F.regexp_replace("id", "^comp:", "vclass:").alias("id")
+    none = F.array().cast("array<string>")
+    vue_classes = components.where(F.endswith("path", F.lit(".vue"))).select(shaped, "path", F.lit("vue").alias("ext"), "name", F.lit("class").alias("entity"), F.lit("component").alias("kind"), F.lit(True).alias("exported"), none.alias("extends"), none.alias("implements"))
+    of_class = X.vue_members(code).withColumnRenamed("name", "member").join(vue_classes.select(F.col("id").alias("owner_id"), "path", "name"), "path")
+    bare = F.regexp_replace("owner_id", "^vclass:", "")
+    vue_methods = of_class.select(F.concat(F.lit("vmethod:"), bare, F.lit("."), "member").alias("id"), F.col("member").alias("name"), "path", F.col("name").alias("owner"), F.lit("class").alias("owner_kind"), F.lit(True).alias("exported"), "owner_id")
+    methods = cut(methods.where(~F.endswith("path", F.lit(".vue"))).unionByName(vue_methods))
+    edges.append(L.edges(vue_classes, "contains", F.concat(F.lit("file:"), "path"), "id", F.lit(6)))
     member_of = methods.where("owner_id is not null").select("id", "name", "owner_id")
     found, body_lines = K.bodies(code)
     last = F.regexp_extract("spec", r"([^/]+?)(?:/v[0-9]+)?$", 1).alias("name")
@@ -270,7 +279,7 @@ def build(
     components = components.join(given_or_taken, "id", "left").na.fill(0, ["n_props_out", "n_props_in"])
     out = {
         "SourceFile": files, "Module": cut(S.module_profiles(modules, files, units, routes, between)), "Domain": domains, "Dependency": cut(packages), "Component": components, "Hook": hooks, "Store": stores, "Service": services,
-        "Interface": entities.where("entity = 'interface'"), "Class": entities.where("entity = 'class'"), "Method": methods,
+        "Interface": entities.where("entity = 'interface'"), "Class": entities.where("entity = 'class'").unionByName(vue_classes), "Method": methods,
         "Route": routes, "UserScript": user_scripts, "ScriptFunction": functions_of, "GmApiUsage": gm, "InjectionPoint": injected, "NetworkEndpoint": net,
         "PropEdge": props.groupBy("src_id", "dst_id").agg(F.sort_array(F.collect_list(F.struct("name", "source"))).alias("props")).withColumn("id", F.concat(F.lit("prop:"), "src_id", F.lit("→"), "dst_id")), "edges": edges,
         "unmatched": matched.where("pattern is null").select("path", "method", "url"), "frontend_calls": asked, "risks": risks, "failed": failed, "top_calls": U.top_level_calls(script_edges),
@@ -343,7 +352,7 @@ def unused_exports(functions: DataFrame, entities: DataFrame, imports: DataFrame
 
 def dead_types(entities: DataFrame, methods: DataFrame, names: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
     """id, reason of types and module functions that nothing names: where they stand once, or, if they may be seen outside, in no other file either."""
-    units = entities.select("id", "name", "path", "exported").unionByName(methods.where("owner is null").select("id", "name", "path", F.lit(True).alias("exported"))).where(~F.endswith("path", F.lit(".go")))
+    units = entities.select("id", "name", "path", "exported").unionByName(methods.where("owner is null and path not like '%.vue'").select("id", "name", "path", F.lit(True).alias("exported"))).where(~F.endswith("path", F.lit(".go")))
     totals = names.groupBy("name").agg(F.sum("n").alias("total"))
     starred = imports.where(F.col("names").rlike(r"\*") | (F.col("kind") == "dynamic")).select("spec").distinct()
     exempt = files.where("is_entry or is_test").select("path")

@@ -83,6 +83,13 @@ def members(sources: DataFrame) -> DataFrame:
     return rows.where(~F.col("name").isin("if", "for", "while", "switch", "catch", "return", "function"))
 
 
+def vue_members(sources: DataFrame) -> DataFrame:
+    """path, ord, name of the methods of single-file components: of an options object's `methods` and `computed`, and functions of a setup script."""
+    listed = found(sources, ("vue",), r"(?ms)^([ \t]*)(?:methods|computed)\s*:\s*\{(.*?)^\1\}", body=2).select("path", F.explode(F.regexp_extract_all("body", F.lit(r"(?m)^\s+(?:async\s+)?([A-Za-z_$][\w$]*)\s*(?:\([^)\n]*\)\s*\{|:\s*(?:async\s+)?function)"), 1)).alias("name"))
+    plain = functions(sources.where("ext = 'vue'")).select("path", "name")
+    return listed.where(~F.col("name").isin("if", "for", "while", "switch", "catch")).unionByName(plain).distinct()
+
+
 def tags(sources: DataFrame) -> DataFrame:
     return found(sources, ("tsx", "jsx", "vue"), r"<([A-Z]\w*|[a-z]+(?:-[a-z0-9]+)+)", tag=1).select("path", "tag").distinct()
 

@@ -34,7 +34,7 @@ FILES = {
     "src/boot.ts": "export const boot = 1;\n",
     "src/features/billing/InvoicePage.tsx": "import { useCart } from '../../stores/cart';\nimport { useThing } from '@/hooks/useThing';\nexport function InvoicePage() { return <b/>; }\n",
     "src/services/PriceService.ts": "export class PriceService {}\nexport const unusedPrice = 1;\nexport function price() { return 2; }\n",
-    "src/views/shop/Detail.vue": "<template><b/></template>\n<script>export default { meta: { title: 'Shop detail' } }</script>\n",
+    "src/views/shop/Detail.vue": "<template><b/></template>\n<script>\nexport default {\n  meta: { title: 'Shop detail' },\n  methods: {\n    async save() {\n      if (this.x) {\n        run();\n      }\n    },\n    close() {},\n  },\n}\n</script>\n",
     "src/plugins/one.ts": "export const one = 1;\n",
     "src/load.ts": "const all = import.meta.glob('./plugins/*.ts');\nimport { price } from './services/PriceService';\n",
     "model/user.go": "package model\n\ntype User struct {\n\tName string\n}\n\nfunc (u *User) Save() error {\n\treturn u.check()\n}\n",
@@ -119,6 +119,11 @@ def test_types_and_overrides(graph):
     assert {r.name for r in graph["Interface"].collect()} == {"Storage", "Shape"}
 
 
+def test_single_file_components_are_classes(graph):
+    assert {r.id for r in graph["Class"].collect() if r.kind == "component"} == {"vclass:Detail"}
+    assert {b for a, b in pairs(graph, "contains") if a == "vclass:Detail"} == {"vmethod:Detail.save", "vmethod:Detail.close"}
+
+
 def test_units_and_layers(graph):
     layers = {r.path: r.layer for r in graph["SourceFile"].collect()}
     assert layers["src/main.tsx"] == "entry" and layers["src/stores/cart.ts"] == "state" and layers["src/pages/HomePage.tsx"] == "presentation"
