@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -286,7 +286,7 @@ def build(
     }
     cycles = cut(G.strong_components(between))
     out["cycles"] = cycles.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    out["orphans"] = cut(orphans(files, between, routes, imports, raw))
+    out["orphans"] = cut(orphans(files, between, routes, raw))
     out["dead"] = cut(dead_there.dropDuplicates(["id"]).unionByName(functions_of.where("dead").select("id", F.lit("nothing calls it").alias("reason"))))
     out["unused_exports"] = cut(unused_exports(functions, entities, imports, files, between, names))
     kind = P.framework(paths if paths is not None else raw.select("path"), declared)
@@ -296,7 +296,7 @@ def build(
     return out
 
 
-def scan_project(spark, root: str, roots: tuple[str, ...] = (".",), name: str | None = None) -> dict[str, DataFrame]:
+def scan_project(spark: SparkSession, root: str, roots: tuple[str, ...] = (".",), name: str | None = None) -> dict[str, DataFrame]:
     """build() over a tree with all that it says about itself: manifests, path aliases, the main Go module, the Dart package, pages' entry scripts."""
     found = {r.prefix: r.target for r in P.aliases(spark, root).collect()}  # a line for each alias that configurations name
     go = P.go_modules(spark, root).where("main").select("module").first()
@@ -330,7 +330,7 @@ def command_chains(made: DataFrame, children: DataFrame, depth: int = 8) -> Data
     return out
 
 
-def orphans(files: DataFrame, imports: DataFrame, routes: DataFrame, spelled: DataFrame, raw: DataFrame) -> DataFrame:
+def orphans(files: DataFrame, imports: DataFrame, routes: DataFrame, raw: DataFrame) -> DataFrame:
     """Files under src/ or lib/ that no file imports, no route shows and no rule exempts: tests, entries, scripts, declarations, and what a glob import takes in."""
     rows = files.where(F.col("path").rlike("^(src|lib)/") & ~F.col("is_test") & ~F.col("is_entry") & ~F.col("is_script") & ~F.endswith("path", F.lit(".d.ts")))
     left = rows.join(imports.select(F.col("dst_id").alias("id")), "id", "left_anti").join(routes.select("path"), "path", "left_anti")
