@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import resolve as R
 from graphloom.operators.graph import ancestors
+from graphloom.operators.lineage import cut
 
 WORDS = ("if", "for", "while", "switch", "return", "func", "catch", "make", "len", "append", "super", "assert", "await")
 
@@ -29,7 +30,8 @@ def bodies(code: DataFrame) -> tuple[DataFrame, DataFrame]:
     later = Window.partitionBy("path", "indent").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
     closes = F.when(F.ltrim("text").startswith("}"), F.col("line"))
     indent = F.length("text") - F.length(F.ltrim("text"))
-    placed = lines.withColumn("indent", indent).withColumns({"name": name, "owner": F.when(go, got(func, 1)), "cls": F.when(dart, got(r"^(?:abstract\s+)?(?:class|mixin)\s+(\w+)", 1)), "end": F.first(closes, ignorenulls=True).over(later)})
+    # narrow rows that are used twice, once for classes and once for functions, and again to find the spans' sizes
+    placed = cut(lines.withColumn("indent", indent).withColumns({"name": name, "owner": F.when(go, got(func, 1)), "cls": F.when(dart, got(r"^(?:abstract\s+)?(?:class|mixin)\s+(\w+)", 1)), "end": F.first(closes, ignorenulls=True).over(later)}).where("name is not null or cls is not null"))
     short = F.rtrim("text").rlike(r"[};]$")
     high = F.when(short, F.col("line")).otherwise(F.coalesce("end", "line")) + 1
     classes = placed.where("cls is not null").select("path", F.col("cls").alias("span"), F.col("line").alias("low"), high.alias("high"))

@@ -172,10 +172,11 @@ def build(
     edges.append(L.edges(vue_classes, "contains", F.concat(F.lit("file:"), "path"), "id", F.lit(6)))
     member_of = methods.where("owner_id is not null").select("id", "name", "owner_id")
     found, body_lines = K.bodies(code)
+    body_lines = cut(body_lines)
     last = F.regexp_extract("spec", r"([^/]+?)(?:/v[0-9]+)?$", 1).alias("name")
     spoken = resolved.select("path", "target", "package_folder", last)
     called = K.resolve(K.sites(body_lines, cut(found)), methods, spoken, components)
-    edges.append(L.edges(called, "calls", "src_id", "dst_id", F.lit(0)))
+    edges.append(L.edges(cut(called), "calls", "src_id", "dst_id", F.lit(0)))
     edges.append(L.edges(methods.where("owner_id is not null"), "contains", "owner_id", "id", F.lit(0)))
     parents = member_of.select(F.col("id").alias("dst_id"), "name", F.col("owner_id").alias("parent"))
     overriding = member_of.join(inherits.select(F.col("id").alias("owner_id"), F.col("dst_id").alias("parent")), "owner_id").join(parents, ["parent", "name"])
@@ -198,11 +199,11 @@ def build(
     routes = routes.unionByName(chains.select(F.concat(F.lit("route:go-cli:"), "chain").alias("base"), F.col("chain").alias("route"), F.lit("command").alias("kind"), "path", F.lit(None).cast("string").alias("method"), F.col("command").alias("handler"), F.lit(0).alias("ord")))
     shown = F.concat(F.lit("route:"), "route").alias("base"), "route", F.lit("vue-file").alias("kind"), "path", F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("handler"), F.lit(0).alias("ord")
     routes = routes.unionByName(vue_file_routes(raw).join(written.select("path").distinct(), "path", "left_anti").select(*shown))
-    routes = L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", F.struct("path", "ord", "route"))
+    routes = cut(L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", F.struct("path", "ord", "route")))
     told = X.titles(raw).groupBy("path").agg(F.min_by("title", "ord").alias("description"))
     served_by = K.handlers(routes.where("kind = 'http'").select("id", "path", "handler"), methods, spoken, components)
     around = raw.where(F.col("path").rlike(r"(^|/)app/(.*/)?layout\.[jt]sx?$")).select(T.dir_name(F.col("path")).alias("folder"), F.col("path").alias("layout"))
-    routes = routes.withColumn("domain", T.route_domain(F.col("route"))).join(told, "path", "left").join(served_by, "id", "left")
+    routes = cut(routes.withColumn("domain", T.route_domain(F.col("route"))).join(told, "path", "left").join(served_by, "id", "left"))
     routes = cut(R.layout_chain(routes, around).withColumnRenamed("chain", "layouts"))
     calls = X.http_calls(code).select("path", "method", F.regexp_replace(F.col("url"), r"^https?://[^/]+", "").alias("url"), "ord").where("url <> ''")
     matched = cut(R.match_routes(calls, routes.where("kind in ('api', 'http')").select("ord", F.col("route").alias("pattern")), "url", "pattern"))
