@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, language, lines, mixing, packing, quality, simhash, substrings, token_files, urls
+from graphloom.llm import fim, fingerprints, language, lines, mixing, packing, quality, simhash, substrings, token_files, toxicity, urls, vectors
 from graphloom.llm.common import shared_dir, table, written
 
 
@@ -68,7 +68,26 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op3_language_id": op3_language_id, "op5_mixing": op5_mixing, "op8_fuzzy_lines": op8_fuzzy_lines, "op4_url_filters": op4_url_filters, "op9_quality_rules": op9_quality_rules, "op2_packing": op2_packing, "op6_token_files": op6_token_files, "op7_substring_dedup": op7_substring_dedup, "op10_simhash": op10_simhash}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = F.sha2(fim.restore(), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vectors.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op11_fill_in_middle, op12_vector_codes, op13_toxicity,
+    op1_fingerprints, op3_language_id, op5_mixing, op8_fuzzy_lines, op4_url_filters, op9_quality_rules, op2_packing, op6_token_files, op7_substring_dedup, op10_simhash,
+)}
 
 #: op5: the tree's budgets level by level (a child is full if its capacity for a unit of weight lies under the water line),
 #: then the prefix of each leaf in the order seeded for its epoch.
@@ -146,4 +165,35 @@ WITH texts AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.doc_id IS NULL AS kept FROM judged LEFT JOIN rejected r USING (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": _op5_sql(), "op7_substring_dedup": _OP7, "op9_quality_rules": _OP9}
+#: op11: the lines of each text, cut at two ranks that the hash of the id gives.
+_OP11 = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+  hashed AS (SELECT *, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM texts),
+  ranked AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {fim.RATE} THEN 'plain' WHEN h4 % 100 < {fim.SPM} THEN 'spm' ELSE 'psm' END AS form FROM hashed),
+  parts AS (SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:n], '') AS s FROM ranked)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts"""
+
+
+def _op12_sql() -> str:
+    """op12: a row for each component; every round finds each part's nearest entry and moves the entries."""
+    near = """a{k} AS MATERIALIZED (SELECT row, part, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM (SELECT v.row, v.part, c.entry, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS far
+    FROM parts v JOIN c{k} c ON v.part = c.part AND v.place = c.place GROUP BY ALL) GROUP BY row, part)"""
+    move = """c{n} AS MATERIALIZED (SELECT c.part, c.entry, c.place, CASE WHEN s.n IS NULL THEN c.x ELSE (s.total - ((s.total % s.n) + s.n) % s.n) // s.n END AS x FROM c{k} c LEFT JOIN (SELECT v.part, a.entry, v.place, count(*) AS n, sum(v.x)::BIGINT AS total
+    FROM parts v JOIN a{k} a ON v.row = a.row AND v.part = a.part GROUP BY ALL) s ON c.part = s.part AND c.entry = s.entry AND c.place = s.place)"""
+    rounds = ",\n  ".join(f"{near.format(k=k)},\n  {move.format(k=k, n=k + 1)}" for k in range(vectors.ROUNDS))
+    return f"""
+WITH whole AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label, embedding, len(embedding) // {vectors.PARTS} AS width FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+  parts AS MATERIALIZED (SELECT row, vec_id, (i // width)::BIGINT AS part, (i % width)::BIGINT AS place, floor({vectors.SCALE} * embedding[i + 1]::DOUBLE)::BIGINT AS x FROM (SELECT *, unnest(range(len(embedding))) AS i FROM whole)),
+  starts AS (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM whole QUALIFY entry < {vectors.ENTRIES}),
+  c0 AS MATERIALIZED (SELECT part, entry, place, x FROM parts JOIN starts USING (row)),
+  {rounds},
+  {near.format(k=vectors.ROUNDS)},
+  books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM c{vectors.ROUNDS}),
+  codes AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a{vectors.ROUNDS} GROUP BY row)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM whole JOIN codes USING (row) CROSS JOIN books"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": _OP11, "op12_vector_codes": _op12_sql(), "op5_mixing": _op5_sql(), "op7_substring_dedup": _OP7, "op9_quality_rules": _OP9}
