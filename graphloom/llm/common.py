@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -37,6 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_one(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of docs as one struct with names of its own, so that no column can clash with what an operator adds."""
+    return F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns))).alias(name)
+
+
+def columns_of(docs: DataFrame, name: str = "row", **instead: Column) -> list[Column]:
+    """The columns of docs out of as_one(docs), under their names; `instead` gives another value for some."""
+    return [instead.get(c, F.col(f"{name}.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and where each begins (one more entry than texts). Null counts as empty."""
     texts = pa.array(texts).cast(pa.large_string()).fill_null("")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import as_one, columns_of, written
 from graphloom.llm.components import components
 
 SHINGLE, BANDS, ROWS, LEAST, TILE = 8, 12, 5, 0.8, 512
@@ -129,12 +129,12 @@ def may_reach(least: float, n: np.ndarray, m: np.ndarray, both: np.ndarray) -> n
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """none is true for rows without an id; tag tells apart rows that repeat one."""
-    return docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
+    return docs.select(*_keys(id_col, text_col), F.col(f"`{text_col}`").alias("text"))
 
 
-def _keys(id_col: str, text_col: str, prefix: str = "") -> list:
-    keys = {"none": F.col(id_col).isNull(), "doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), "tag": F.xxhash64(text_col)}
-    return [v.alias(prefix + k) for k, v in keys.items()]
+def _keys(id_col: str, text_col: str) -> list:
+    id_ = F.col(f"`{id_col}`")
+    return [id_.isNull().alias("none"), F.coalesce(id_.cast("bigint"), F.lit(0)).alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("tag")]
 
 
 def _occurrences(rows: DataFrame) -> DataFrame:
@@ -178,9 +178,16 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
-    """bucket, line, first (the line of the bucket that its task saw first) for the other lines of buckets with several lines.
+    """bucket, line, first for the other lines of buckets with several lines."""
+    return _shared_rows(buckets).dropDuplicates(["bucket", "line"])
 
-    A task holds one line of each bucket and passes the others on, so it doesn't matter how many lines a bucket has.
+
+def _shared_rows(buckets: DataFrame) -> DataFrame:
+    """bucket, line, first (the line of the bucket that its task saw first) for the other lines, repeats included.
+
+    A task holds one line of each bucket and passes the others on, so it doesn't matter how many lines a bucket has. Which line
+    is first depends on the order of arrival, so the rows are written before they are shuffled again: a bucket's rows are then
+    those of one attempt of its task, whichever executors are lost later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +205,7 @@ def _shared(buckets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[order][other]), pa.array(line[order][other]), pa.array(lead[other])], ["bucket", "line", "first"])
                 known, rows = (bucket[first], line[first]), (np.empty(0, np.int64),) * 2
 
-    found = buckets.repartition("bucket").mapInArrow(run, "bucket bigint, line bigint, first bigint")
-    return found.dropDuplicates(["bucket", "line"])
+    return written(buckets.repartition("bucket").mapInArrow(run, "bucket bigint, line bigint, first bigint"), "line-buckets")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -293,7 +299,8 @@ def _prefixes(rows: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([same(bucket), same(line), pa.array(own), same(len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1)], ["bucket", "line", "shingle", "n"])
 
     found = written(rows.mapInArrow(run, "bucket bigint, line bigint, shingle bigint, n bigint"), "line-shingles")
-    often = found.groupBy("bucket", "shingle").agg(F.count("*").alias("often"))
+    # written before it meets the rows: a shingle that all lines of a bucket have can then be split in the join
+    often = written(found.groupBy("bucket", "shingle").agg(F.count("*").alias("often")).where("often > 1"), "shared-shingles")
     rank = F.row_number().over(Window.partitionBy("bucket", "line").orderBy("often", "shingle"))
     first = found.join(often, ["bucket", "shingle"]).withColumn("rank", rank).where("rank <= n and often > 1")
     return first.select(F.xxhash64("bucket", "shingle").alias("cell"), "line")
@@ -328,13 +335,13 @@ def _dealt(rows: DataFrame, tile: int) -> DataFrame:
 
 def line_components(rows: DataFrame, least: float = LEAST, tile: int = TILE) -> DataFrame:
     """line, component of every line that is similar to a lesser one. rows: _documents()."""
-    shared = written(_shared(_buckets(rows)), "line-buckets")
+    shared = _shared_rows(_buckets(rows))
     pairs = shared.select(F.greatest("line", "first").alias("a"), F.least("line", "first").alias("b")).distinct()
     # as a written table its size is known: Spark broadcasts it where it is small, and else doesn't
     texts = written(_texts(rows, written(shared.select("line").union(shared.select("first")).distinct(), "wanted-lines")), "line-texts")
     joined = written(components(written(_similar(pairs, texts, least), "line-links")).select(F.col("id").alias("line"), "component"), "line-stars")
     # all these lines were compared with the first of their bucket; of buckets with the same other lines one is enough
-    others = shared.join(joined, "line", "left")
+    others = shared.dropDuplicates(["bucket", "line"]).join(joined, "line", "left")
     placed = written(others.select(F.col("bucket").alias("cell"), "line", F.coalesce("component", "line").alias("component")), "placed-lines")
     split = _parts(placed).groupBy("lines", "n").agg(F.min(F.struct("cell", "main", "n_main")).alias("x")).select("x.cell", "n", "x.main", "x.n_main")
     # written before it meets the rows, so that a large bucket can be split in the join
@@ -359,12 +366,13 @@ def drop_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     place = F.struct("none", "doc", "tag", "number")
     first = written(named.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first"), "first-lines")
     later = named.join(first, "component").where(place > F.col("first"))
-    gone = later.groupBy(*(F.col(c).alias(f"__{c}") for c in ("none", "doc", "tag"))).agg(F.collect_set("number").alias("__gone"))
-    keys = ["__none", "__doc", "__tag"]
-    whole = docs.select("*", *_keys(id_col, text_col, "__")).join(gone.hint("merge"), keys, "left")  # lines that go have no size bound
+    keys = ["none", "doc", "tag"]
+    gone = later.groupBy(*keys).agg(F.collect_set("number").alias("gone"))
+    text = F.col(f"`{text_col}`")
+    whole = docs.select(as_one(docs), *_keys(id_col, text_col), text.alias("text")).join(gone.hint("merge"), keys, "left")  # lines that go have no size bound
     # the lines are bound to a variable, so that they are split once
-    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
-    kept = F.transform(F.array(F.split(text_col, "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.get(kept, F.lit(0)))
-    n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")
-    return whole.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "n_removed"), n_removed)
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    kept = F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.get(kept, F.lit(0)))
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")
+    return whole.select(*(x for c, x in zip(docs.columns, columns_of(docs, **{text_col: left}), strict=True) if c != "n_removed"), n_removed)

@@ -10,7 +10,8 @@ only documents of a range meet.
 
 Defined results: null texts have no tokens and are taken with their epoch; null levels are a value of their own; ties of the
 order (repeated ids) are taken or left together; a leaf without tokens takes one epoch; an empty table gives no rows;
-columns of the input are kept, but for `budget` and `copies`, which are made anew.
+columns of the input are kept whatever their names, but for `budget` and `copies`, which are made anew; a source whose number
+isn't an int has the domain `reference`.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import as_one, columns_of, written
 
 LEVELS = ("domain", "lang", "source")
 SEED, MAX_EPOCHS = 7, 4
@@ -79,37 +80,42 @@ def mix(
     tokens_col: str = "tokens",
 ) -> DataFrame:
     """The rows of docs with `budget` (of the leaf, in tokens) and `copies`: how many epochs take the document."""
-    leaves = written(docs.groupBy(*levels).agg(F.sum(tokens_col).alias("tokens")), "leaves")
+    quoted = [F.col(f"`{c}`") for c in levels]
+    names = [f"level{i}" for i in range(len(levels))]
+    rows = docs.select(as_one(docs), *(q.alias(n) for q, n in zip(quoted, names, strict=True)), F.col(f"`{id_col}`").alias("id"), F.col(f"`{tokens_col}`").alias("tokens"))
+    leaves = written(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")).select(*(F.col(n).alias(c) for n, c in zip(names, levels, strict=True)), "tokens"), "leaves")
     plan = written(budgets(leaves, levels, weights or {}, total, max_epochs), "plan")
-    named = plan.select(*(F.col(c).alias(f"__leaf_{c}") for c in levels), F.col("tokens").alias("__all"), F.col("budget").alias("__budget"))
-    whole = F.when(F.col("__all") > 0, F.least(F.floor(F.col("__budget") / F.greatest("__all", F.lit(1))), F.lit(max_epochs))).otherwise(F.lit(1))
-    rows = docs.join(named, [docs[c].eqNullSafe(named[f"__leaf_{c}"]) for c in levels])
-    rows = rows.withColumn("__whole", whole.cast("long")).withColumn("__rest", F.col("__budget") - F.col("__whole") * F.col("__all"))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    leaf = [f"__leaf_{c}" for c in levels]
-    rows = rows.withColumn("__order", order).withColumn("__range", F.substring("__order", 1, 3))
-    ranges = rows.groupBy(*leaf, "__range").agg(F.sum(tokens_col).alias("__n"))
-    earlier = Window.partitionBy(*leaf).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*(F.col(c).alias(f"__r{c}") for c in leaf), F.col("__range").alias("__r_range"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    same = [rows[c].eqNullSafe(ranges[f"__r{c}"]) for c in leaf] + [rows["__range"] == ranges["__r_range"]]
-    within = F.sum(tokens_col).over(Window.partitionBy(*leaf, "__range").orderBy("__order").rangeBetween(Window.unboundedPreceding, 0))
-    rows = rows.join(ranges, same).withColumn("__upto", F.col("__before") + within)
-    copies = F.col("__whole") + (F.col("__upto") <= F.col("__rest")).cast("long")
-    capped = F.when(F.col("__whole") < max_epochs, copies).otherwise(F.col("__whole"))
-    return rows.select(*(c for c in docs.columns if c not in ("budget", "copies")), F.col("__budget").alias("budget"), capped.alias("copies"))
+    leaf = [f"leaf{i}" for i in range(len(levels))]
+    named = plan.select(*(F.col(c).alias(x) for c, x in zip(levels, leaf, strict=True)), F.col("tokens").alias("all"), "budget")
+    whole = F.when(F.col("all") > 0, F.least(F.floor(F.col("budget") / F.greatest("all", F.lit(1))), F.lit(max_epochs))).otherwise(F.lit(1))
+    rows = rows.join(named, [F.col(n).eqNullSafe(F.col(x)) for n, x in zip(names, leaf, strict=True)])
+    rows = rows.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("all"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    rows = rows.withColumn("order", order).withColumn("range", F.substring("order", 1, 3))
+    ranges = rows.groupBy(*leaf, "range").agg(F.sum("tokens").alias("n"))
+    earlier = Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*(F.col(x).alias(f"r{x}") for x in leaf), F.col("range").alias("r_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    same = [F.col(x).eqNullSafe(F.col(f"r{x}")) for x in leaf] + [F.col("range") == F.col("r_range")]
+    within = F.sum("tokens").over(Window.partitionBy(*leaf, "range").orderBy("order").rangeBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(ranges, same).withColumn("upto", F.col("before") + within)
+    copies = F.col("whole") + (F.col("upto") <= F.col("rest")).cast("long")
+    capped = F.when(F.col("whole") < max_epochs, copies).otherwise(F.col("whole"))
+    kept = [x for c, x in zip(docs.columns, columns_of(docs), strict=True) if c not in ("budget", "copies")]
+    return rows.select(*kept, F.col("budget").alias("budget"), capped.alias("copies"))
 
 
 def with_domain(docs: DataFrame, source: str = "source") -> DataFrame:
     """For tables without a domain: sources numbered below ten are `web`, the others `reference`."""
-    number = F.try_element_at(F.regexp_extract_all(F.col(source), F.lit("[0-9]+"), 0), F.lit(1)).cast("int")
+    number = F.try_element_at(F.regexp_extract_all(F.col(source), F.lit("[0-9]+"), 0), F.lit(1)).try_cast("int")
     return docs.withColumn("domain", F.when(number < 10, F.lit("web")).otherwise(F.lit("reference")))
 
 
 def apply_mix(docs: DataFrame, levels: tuple[str, ...] = LEVELS, weights: Mapping[str, Mapping[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Budgets come from narrow rows; texts are shuffled once."""
     tagged = with_domain(docs) if "domain" in levels and "domain" not in docs.columns else docs
-    narrow = tagged.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("tag"), *levels, n_tokens(text_col).alias("tokens"))
-    taken = mix(written(narrow, "narrow"), levels, weights).groupBy("doc_id", "tag").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    taken = taken.withColumnsRenamed({"doc_id": "__doc", "tag": "__tag"})
-    rows = docs.join(taken, docs[id_col].eqNullSafe(taken["__doc"]) & (F.hash(docs[text_col]) == taken["__tag"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    tag = F.hash(F.col(f"`{text_col}`"))
+    narrow = tagged.select(F.col(f"`{id_col}`").alias("doc_id"), tag.alias("tag"), *(F.col(f"`{c}`") for c in levels), n_tokens(f"`{text_col}`").alias("tokens"))
+    taken = mix(written(narrow, "narrow"), levels, weights).groupBy("doc_id", "tag").agg(F.max("copies").alias("copies")).where("copies > 0")
+    whole = docs.select(as_one(docs), F.col(f"`{id_col}`").alias("own"), tag.alias("own_tag"))
+    rows = whole.join(taken, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_tag") == F.col("tag")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns_of(docs))

@@ -25,6 +25,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of text that are encoded at once, and distinct pieces a task remembers.
 STEP, REMEMBERED = 1 << 21, 1 << 20
+#: Bytes of the longest piece that is remembered, and ids that are held for all of them.
+LONG, HELD_IDS = 256, 1 << 23
 #: The characters by which byte-level vocabularies write bytes that aren't printable (the others stand for themselves).
 _HIDDEN = [*range(33), *range(127, 161), 173]
 _WRITTEN = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
@@ -34,7 +36,7 @@ _SIGNS = {"\u00aa", "\u00b5", "\u00ba"}
 
 
 class PieceEncoder:
-    """Encodes texts; remembers the ids of pieces. One for a task; its memory is bounded by REMEMBERED."""
+    """Encodes texts; remembers the ids of pieces. One for a task; its memory is bounded by REMEMBERED pieces and HELD_IDS ids, and what STEP bytes of text add."""
 
     def __init__(self, vocabulary: str = VOCABULARY, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
@@ -114,12 +116,13 @@ class PieceEncoder:
         self._check[first : first + len(checks)] = checks
         self._ids[self._used : self._used + len(ids)] = ids
         self._used += len(ids)
-        self._slot.update(zip(keys, range(first, first + len(keys)), strict=True))
+        # long pieces (texts without spaces) hardly come again, and their ids would fill the memory
+        self._slot.update((k, first + i) for i, k in enumerate(keys) if len(pieces[i]) <= LONG)
         return np.arange(first, end)
 
     def encode_flat(self, raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if self._slots > self.remembered:
+        if self._slots > self.remembered or self._used > HELD_IDS:
             self._forget()
         begin = self._cuts(raw, begins, self._added_at(raw, begins))
         if not len(begin):
