@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.operators.graph import ancestors
 
@@ -25,43 +28,78 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame, path: str, prefix: str
     return found.groupBy(path, *keep).agg(F.max_by("_hit", F.when(F.col("_hit").isNotNull(), F.length("_hit"))).alias(prefix))
 
 
-#: Positions are cut into blocks of 1, 8, 64, ... positions.
-_RADIX, _SIZES = 8, tuple(8**k for k in range(11))
+#: Positions of a group that are swept as one key.
+RANGE = 1 << 16
 
 
-def _blocks(low: Column, high: Column, size: int, last: bool) -> Column:
-    """The blocks of one size that a span [low, high) is made of: those inside it whose larger block isn't."""
-    first, end = F.floor((low + size - 1) / size).cast("long"), F.floor(high / size).cast("long")
-    if last:
-        return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<bigint>"))
-    up, down = F.ceil(first / _RADIX) * _RADIX, F.floor(end / _RADIX) * _RADIX
-    middle = F.least(end, up)
-    rest = F.greatest(down, middle)
-    some = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(some(first, middle), some(rest, end))
+def _swept(points: DataFrame, spans: DataFrame, by: str, at: str, low: str, high: str, value: Column, every: bool, width: int) -> DataFrame:
+    """`by`, `_at`, `_value` of each distinct point: the value of its innermost span, or (every) a row for each span around it.
 
-
-def around(points: DataFrame, spans: DataFrame, by: str, at: str = "pos", low: str = "low", high: str = "high") -> DataFrame:
-    """Each point with each span [low, high) of its group that holds it.
-
-    A span is made of few aligned blocks of sizes that are powers of eight, at most fourteen of a size, and a point lies in
-    one block of each size; so points and spans meet on equal blocks, each pair once, and a large group is many keys.
+    Points and spans of a range of positions go through a task in order of position, and a stack keeps the spans that are open;
+    a span is in each range that it reaches into. So no point meets a span that isn't around it, and a large group is many keys.
     """
-    sized = lambda k: lambda x: F.struct(F.lit(k).alias("size"), x.alias("block"))
-    sizes = [F.transform(_blocks(F.col(low).cast("long"), F.col(high).cast("long"), n, k == len(_SIZES) - 1), sized(k)) for k, n in enumerate(_SIZES)]
-    cut = spans.withColumn("_b", F.explode(F.concat(*sizes))).withColumns({"_size": F.col("_b.size"), "_block": F.col("_b.block")}).drop("_b")
-    # only sizes that spans are made of matter to points; there are eleven at most
-    used = [r[0] for r in cut.select("_size").distinct().collect()]
-    own = F.array(*(F.struct(F.lit(k).alias("size"), F.floor(F.col(at) / _SIZES[k]).cast("long").alias("block")) for k in used)) if used else F.array().cast("array<struct<size:int,block:bigint>>")
-    asked = points.withColumn("_b", F.explode(own)).withColumns({"_size": F.col("_b.size"), "_block": F.col("_b.block")}).drop("_b")
-    return asked.join(cut, [by, "_size", "_block"]).drop("_size", "_block")
-
-
-def innermost(points: DataFrame, spans: DataFrame, by: str, at: str = "pos", low: str = "low", high: str = "high", name: str = "span") -> DataFrame:
-    """Each point with the span of its group that begins last among those around it (null if none)."""
-    found = around(points.select(by, at).distinct(), spans, by, at, low, high)
-    best = found.groupBy(by, at).agg(F.max_by(name, low).alias(name))
-    return points.join(best, [by, at], "left").select(*points.columns, name)
+    cell = lambda c: F.floor(F.col(c) / width).cast("long")
+    reach = F.when(F.col(low) < F.col(high), F.sequence(cell(low), F.floor((F.col(high) - 1) / width).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    asked = points.select(by, at).where(F.col(by).isNotNull() & F.col(at).isNotNull()).distinct()
+    # spans come before the points at the place where they begin, and the longer of them first
+    rows = spans.where(F.col(by).isNotNull()).select(by, F.explode(reach).alias("_range"), F.col(low).cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col(high).cast("long").alias("_high"), value.alias("_value"))
+    rows = rows.unionByName(asked.select(by, cell(at).alias("_range"), F.col(at).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_high"), F.lit(None).cast("string").alias("_value")))
+    ordered = rows.repartition(by, "_range").sortWithinPartitions(by, "_range", "_at", "_kind", F.desc("_high"), "_value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple | None = None
+        open_: list[tuple[int, str]] = []
+        for batch in batches:
+            out: list[tuple[int, int, str | None]] = []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if here != row[:2]:
+                    here, open_ = row[:2], []
+                if row[3] == 0:
+                    open_.append((row[4], row[5]))
+                    continue
+                while open_ and open_[-1][0] <= row[2]:  # ended ones below the last are met when they come up
+                    open_.pop()
+                if every:
+                    open_ = [x for x in open_ if x[0] > row[2]]
+                    out += [(i, row[2], v) for _, v in open_]
+                elif open_:
+                    out.append((i, row[2], open_[-1][1]))
+            if out:
+                taken, places, values = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(taken)), pa.array(places, pa.int64()), pa.array(values, pa.string())], [by, "_at", "_value"])
+
+    return ordered.mapInArrow(run, StructType([points.schema[by]]).add("_at", "long").add("_value", "string"))
+
+
+def around(points: DataFrame, spans: DataFrame, by: str, at: str = "pos", low: str = "low", high: str = "high", width: int = RANGE) -> DataFrame:
+    """Each point with each span [low, high) of its group that holds it (and the span's columns), by a sorted sweep."""
+    others = [f for f in spans.schema.fields if f.name != by]
+    found = _swept(points, spans, by, at, low, high, F.to_json(F.struct(*(f.name for f in others))), True, width)
+    held = found.select(F.col(by).alias("_by"), F.col("_at").alias("_pos"), F.from_json("_value", StructType(others)).alias("_span"))
+    return points.join(held, (F.col(by) == F.col("_by")) & (F.col(at).cast("long") == F.col("_pos"))).select(*points.columns, *(F.col(f"_span.{f.name}") for f in others if f.name not in points.columns))
+
+
+def innermost(points: DataFrame, spans: DataFrame, by: str, at: str = "pos", low: str = "low", high: str = "high", name: str = "span", width: int = RANGE) -> DataFrame:
+    """Each point with the span [low, high) of its group that begins last among those around it (null if none; of those that begin
+    together the shortest), by a sorted sweep. Spans may nest and overlap in any way."""
+    found = _swept(points, spans, by, at, low, high, F.to_json(F.struct(F.col(name).alias("v"))), False, width)
+    kind = StructType().add("v", spans.schema[name].dataType)
+    best = found.select(F.col(by).alias("_by"), F.col("_at").alias("_pos"), F.from_json("_value", kind)["v"].alias("_found"))
+    kept = [points[c] for c in points.columns if c != name]
+    return points.join(best, (F.col(by) == F.col("_by")) & (F.col(at).cast("long") == F.col("_pos")), "left").select(*kept, F.col("_found").alias(name))
+
+
+def as_of(points: DataFrame, marks: DataFrame, by: list[str], at: str, mark: str, values: list[str]) -> DataFrame:
+    """Each point with `values` of the last mark of its group at or before it (nulls if none), by one sorted pass over both.
+
+    marks: by, mark (a place), values; of several at a place the one with the largest values counts. Points keep their columns.
+    """
+    held = F.struct(*values)
+    rows = points.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_point"), F.lit(None).cast(marks.select(held.alias("x")).schema["x"].dataType).alias("_held"))
+    rows = rows.unionByName(marks.select(*by, F.col(mark).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(rows.schema["_point"].dataType).alias("_point"), held.alias("_held")))
+    so_far = Window.partitionBy(*by).orderBy("_at", "_kind", "_held").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.withColumn("_last", F.last("_held", ignorenulls=True).over(so_far)).where("_kind = 1")
+    return last.select("_point.*", *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
 ROUTE = r"^[:*]"
@@ -76,22 +114,20 @@ def normal_route(path: Column) -> Column:
 def match_routes(calls: DataFrame, routes: DataFrame, path: str = "path", pattern: str = "pattern") -> DataFrame:
     """Each call with the first route (by ord) that fits: `:x` and `*x` stand for one segment, a last `*x` for the rest.
 
-    Patterns are grouped by what they have in common with paths, so that distinct paths join on equal keys: by first segment
-    and segment count, or, for those that end in a star, by each count from theirs up.
+    A pattern's key is its literal prefix, all segments before the first that stands for others, and a distinct path asks for all
+    its prefixes. So paths meet only the patterns that agree with them as far as these are spelled out.
     """
     segments = lambda c: F.filter(F.split(normal_route(F.col(c)), "/"), lambda x: x != "")
-    head = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
     asked = calls.select(path).distinct().withColumn("_have", segments(path)).withColumn("_n", F.size("_have"))
     offered = routes.select(pattern, F.col("ord").alias("_ord")).withColumn("_want", segments(pattern)).withColumn("_open", F.coalesce(F.startswith(F.try_element_at("_want", F.lit(-1)), F.lit("*")), F.lit(False)))
-    deepest = asked.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("n")).first().n
-    least = F.size("_want")
-    counts = F.when(F.col("_open"), F.sequence(least, F.greatest(least, F.lit(deepest)))).otherwise(F.array(least))
-    # a pattern's first segment is part of the key, or `:` where any will do; a path asks for both
-    first = F.when(head("_want").rlike(ROUTE), ":").otherwise(head("_want"))
-    offered = offered.withColumn("_n", F.explode(counts)).withColumn("_first", first)
-    asked = asked.withColumn("_first", F.explode(F.array_distinct(F.array(head("_have"), F.lit(":")))))
+    prefix = lambda c, n: F.array_join(F.slice(c, F.lit(1), n), "/")
+    free = F.array_position(F.transform("_want", lambda w: w.rlike(ROUTE)), F.lit(True))
+    literal = F.when(free == 0, F.size("_want")).otherwise(free.cast("int") - 1)
+    offered = offered.withColumn("_key", prefix(F.col("_want"), literal))
+    asked = asked.withColumn("_key", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: prefix(F.col("_have"), i))))
     fits = F.forall(F.zip_with("_want", F.slice("_have", F.lit(1), F.size("_want")), lambda w, h: w.rlike(ROUTE) | (w == h)), lambda x: x)
-    found = asked.join(offered, ["_n", "_first"]).where(fits)
+    long_enough = F.when(F.col("_open"), F.col("_n") >= F.size("_want")).otherwise(F.col("_n") == F.size("_want"))
+    found = asked.join(offered, "_key").where(long_enough & fits)
     best = found.groupBy(path).agg(F.min_by(pattern, "_ord").alias(pattern))
     return calls.join(best, path, "left").select(*calls.columns, pattern)
 

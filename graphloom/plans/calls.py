@@ -1,7 +1,7 @@
-"""Who calls whom: call sites found by lines, their targets by ranked candidates.
+"""Who calls whom: call sites and the bodies that they stand in, their targets by ranked candidates.
 
-Bodies are runs of lines from a declaration to the closing brace at its indentation. A call site becomes the names that it
-may mean, each with a rank; the best one that exists is its target. Receivers are known by the text alone.
+A call site becomes the names that it may mean, each with a rank; the best one that exists is its target. Receivers are known
+by the text alone.
 """
 
 from __future__ import annotations
@@ -14,41 +14,27 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import resolve as R
 from graphloom.operators.graph import ancestors
-from graphloom.operators.lineage import cut
+from graphloom.sources import facts as X
 
 WORDS = ("if", "for", "while", "switch", "return", "func", "catch", "make", "len", "append", "super", "assert", "await")
 
 
-def bodies(code: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """path, owner, name, low, high of Go and Dart functions and methods, and the lines of their files (path, line, text)."""
-    lines = code.where("ext in ('go', 'dart')").select("path", "ext", F.posexplode(F.split("content", "\n")).alias("n", "text")).select("path", "ext", (F.col("n") + 1).alias("line"), "text")
-    go, dart = F.col("ext") == "go", F.col("ext") == "dart"
-    got = lambda p, n: F.nullif(F.regexp_extract("text", p, n), F.lit(""))
-    func = r"^func\s+(?:\(\s*\w*\s*\*?(\w+)[^)]*\)\s*)?(\w+)\s*[\[(]"
-    member = r"^\s*(?:@override\s+)?(?:static\s+)?(?:[\w<>?,\[\]]+\s+)+(\w+)\s*\([^;]*\)\s*(?:async\*?\s*)?(?:\{|=>)"
-    name = F.when(go, got(func, 2)).when(dart, got(member, 1))
-    later = Window.partitionBy("path", "indent").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    closes = F.when(F.ltrim("text").startswith("}"), F.col("line"))
-    indent = F.length("text") - F.length(F.ltrim("text"))
-    # narrow rows that are used twice, once for classes and once for functions, and again to find the spans' sizes
-    placed = cut(lines.withColumn("indent", indent).withColumns({"name": name, "owner": F.when(go, got(func, 1)), "cls": F.when(dart, got(r"^(?:abstract\s+)?(?:class|mixin)\s+(\w+)", 1)), "end": F.first(closes, ignorenulls=True).over(later)}).where("name is not null or cls is not null"))
-    short = F.rtrim("text").rlike(r"[};]$")
-    high = F.when(short, F.col("line")).otherwise(F.coalesce("end", "line")) + 1
-    classes = placed.where("cls is not null").select("path", F.col("cls").alias("span"), F.col("line").alias("low"), high.alias("high"))
-    found = placed.where(F.col("name").isNotNull() & ~F.col("name").isin(*WORDS)).select("path", "owner", "name", F.col("line").alias("low"), high.alias("high"), F.col("line").alias("pos"))
-    found = R.innermost(found, classes, "path").withColumn("owner", F.coalesce("owner", "span")).drop("span", "pos")
-    return found, lines.select("path", "ext", "line", "text")
-
-
-def sites(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """path, ext, line, receiver, name of each call, with the function that it stands in (fn_owner, fn_name)."""
-    p = r"(?:\b([A-Za-z_][\w.]*)\.)?\b([A-Za-z_]\w*)\("
-    lists = [F.regexp_extract_all("text", F.lit(p), i).alias(n) for i, n in ((1, "receiver"), (2, "name"))]
-    calls = lines.select("path", "ext", "line", *lists).select("path", "ext", "line", F.explode(F.arrays_zip("receiver", "name")).alias("x"))
-    calls = calls.select("path", "ext", "line", F.nullif("x.receiver", F.lit("")).alias("receiver"), "x.name").where(~F.col("name").isin(*WORDS))
-    spans = found.select("path", F.struct("owner", "name", "low").alias("fn"), "low", "high")
-    inside = R.innermost(calls.withColumn("pos", F.col("line")), spans, "path", name="fn").where("fn is not null and fn.low < line or fn.name <> name")
-    return inside.where("fn is not null").select("path", "ext", "line", "receiver", "name", F.col("fn.owner").alias("fn_owner"), F.col("fn.name").alias("fn_name")).distinct()
+def bodies(facts: DataFrame) -> DataFrame:
+    """path, owner, name, line, low, high (places) of Go and Dart functions and methods."""
+    go = X.found(facts, "function-go", owner=1, name=2)
+    dart = X.found(facts, "callable-dart", name=1).where(~F.col("name").isin(*WORDS))
+    classes = X.found(facts, "type-dart", kind=1, name=2).where("kind <> 'enum'").select("path", F.col("name").alias("owner"), F.col("pos").alias("low"), F.col("end").alias("high"))
+    dart = R.innermost(dart.withColumn("owner", F.lit(None).cast("string")), classes, "path", name="owner")
+    return go.unionByName(dart).select("path", "owner", "name", "line", F.col("pos").alias("low"), F.col("end").alias("high"))
+
+
+def sites(facts: DataFrame, found: DataFrame) -> DataFrame:
+    """path, ext, line, receiver, name of each call, with the function that it stands in (fn_owner, fn_name). found: bodies()."""
+    calls = X.found(facts, "call", receiver=1, name=2).where(~F.col("name").isin(*WORDS)).select("path", "ext", "pos", "line", "receiver", "name")
+    spans = found.select("path", F.struct("owner", "name", "line").alias("fn"), "low", "high")
+    # a declaration isn't a call of itself
+    inside = R.innermost(calls, spans, "path", name="fn").where("fn is not null and (fn.line < line or fn.name <> name)")
+    return inside.select("path", "ext", "line", "receiver", "name", F.col("fn.owner").alias("fn_owner"), F.col("fn.name").alias("fn_name")).distinct()
 
 
 def resolve(calls: DataFrame, methods: DataFrame, imports: DataFrame, components: DataFrame) -> DataFrame:

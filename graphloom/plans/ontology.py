@@ -16,7 +16,7 @@ from graphloom.operators import aggregates as A
 from graphloom.operators import graph as G
 from graphloom.operators import links as L
 from graphloom.operators import resolve as R
-from graphloom.operators.lineage import cut
+from graphloom.operators.lineage import cut, cut_all
 from graphloom.plans import calls as K
 from graphloom.plans import semantics as S
 from graphloom.sources import facts as X
@@ -36,7 +36,7 @@ def rust_uses(imports: DataFrame, files: DataFrame) -> DataFrame:
     rows = imports.where(F.endswith("path", F.lit(".rs"))).select("path", "spec").distinct()
     root = F.coalesce(*(F.nullif(F.regexp_extract("path", p, 1), F.lit("")) for p in (r"^(.*?src-tauri/src/)", r"^(.*?/src/)", r"^(src/)")))
     own = F.split(F.regexp_replace(F.regexp_replace(F.substr("path", F.length("root") + 1), r"\.rs$", ""), r"(^|/)(mod|lib|main)$", ""), "/")
-    parts = F.filter(F.transform(F.split(F.regexp_replace("spec", r"\s+as\s+\w+", ""), "::"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace("spec", r"\s+as\s+\w+", ""), "::"), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.withColumn("root", root).where("root is not null").withColumns({"own": F.filter(own, lambda x: x != ""), "parts": parts}).where(F.get("parts", F.lit(0)).isin("crate", "super", "self"))
     step = lambda acc, s: F.when(s == "super", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == "self", acc).otherwise(F.concat(acc, F.array(s)))
     whole = F.when(F.get("parts", F.lit(0)) == "crate", F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))).otherwise(F.aggregate("parts", F.col("own"), step))
@@ -95,40 +95,51 @@ def build(
     html_entries(). `scan_project` finds all of these.
     """
     spark = sources.sparkSession
-    raw = cut(sources.where("content is not null"))
-    # files that aren't text in UTF-8 have nothing to find facts in
-    failed = cut(raw.where(F.contains("content", F.lit("\ufffd"))).select("path", F.lit("not UTF-8").alias("error")))
-    code = cut(X.without_comments(raw))
-    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
-    scripts = X.user_scripts(raw).select("path", F.lit(True).alias("is_script"))
-    functions, kinds = cut(X.functions(code)), cut(X.types(code))
-    vue = raw.where("ext = 'vue'").select("path", T.component_name(F.col("path")).alias("name"), F.lit(0).alias("ord"))
-    widgets = kinds.where((F.col("ext") == "dart") & F.exists("extends", lambda x: x.rlike("Widget$|^State$"))).select("path", "name", "ord")
-    shown = functions.where(F.col("ext").isin("tsx", "jsx") & F.col("exported") & F.col("name").rlike("^[A-Z]")).select("path", "name", "ord")
-    components = L.unique_ids(shown.unionByName(vue).unionByName(widgets).withColumn("base", F.concat(F.lit("comp:"), "name")), "base", "path", "ord")
-    components = cut(components.withColumn("kind", T.kind_of(F.col("name"))).drop("base"))
-    hooks = L.unique_ids(functions.where(F.col("exported") & F.col("name").rlike("^use[A-Z]")).withColumn("base", F.concat(F.lit("hook:"), "name")), "base", "path", "ord").select("id", "name", "path")
-    stores = L.unique_ids(X.stores(code).withColumn("base", F.concat(F.lit("store:"), "name")), "base", "path", "ord").select("id", "name", "path", "provider")
-
-    services = L.unique_ids(X.services(code).withColumn("base", F.concat(F.lit("svc:"), "name")), "base", "path", "ord").select("id", "name", "path", "pattern")
-
-    # files, modules, layers
+    # one pass over all texts; everything else reads narrow rows of this table by their kind
+    facts = cut(X.collect(sources).sortWithinPartitions("kind"))
+    raw = X.files(facts)
+    code = cut_all(
+        functions=X.functions(facts), kinds=X.types(facts), imports=X.imports(facts), names=X.name_counts(facts), members=X.members(facts), vue_members=X.vue_members(facts), tags=X.tags(facts),
+        stores=X.stores(facts), services=X.services(facts), calls=X.http_calls(facts), navigations=X.navigations(facts), props=X.prop_sites(facts), bodies=K.bodies(facts),
+        written=lambda: X.router_routes(facts), served=lambda: X.go_routes(facts), chains=lambda: command_chains(*X.commands(facts)), titles=X.titles(facts),
+        meta=X.script_meta(facts), api=X.script_api_calls(facts), spans=U.spans(facts), lines=U.lines(facts), globbed=X.globbed(facts), failed=raw.where("error is not null").select("path", "error"),
+    )
+    functions, kinds, imports, names, meta, api, spans = (code[k] for k in ("functions", "kinds", "imports", "names", "meta", "api", "spans"))
+
+    # units: components with the places of their bodies, hooks, stores, services
+    vue = raw.where("ext = 'vue'").select("path", T.component_name(F.col("path")).alias("name"), F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
+    widgets = kinds.where((F.col("ext") == "dart") & F.exists("extends", lambda x: x.rlike("Widget$|^State$"))).select("path", "name", "low", "high")
+    shown = functions.where(F.col("ext").isin("tsx", "jsx") & F.col("exported") & F.col("name").rlike("^[A-Z]")).select("path", "name", "low", "high")
+    units = L.unique_ids(shown.unionByName(vue).unionByName(widgets).withColumn("base", F.concat(F.lit("comp:"), "name")), "base", "path", "low")
+    named = lambda df, prefix, *order: L.unique_ids(df.withColumn("base", F.concat(F.lit(prefix), "name")), "base", "path", *order)
+    entities = L.unique_ids(kinds.withColumn("base", F.concat(F.when(F.col("entity") == "interface", "iface:").otherwise("class:"), "path", F.lit("#"), "name")), "base", "low").drop("base", "ord")
+    first_wave = cut_all(
+        units=units.withColumn("kind", T.kind_of(F.col("name"))).drop("base").withColumnRenamed("low", "ord"),
+        hooks=named(functions.where(F.col("exported") & F.col("name").rlike("^use[A-Z]")), "hook:", "low").select("id", "name", "path"),
+        stores=named(code["stores"], "store:", "ord").select("id", "name", "path", "provider"), services=named(code["services"], "svc:", "ord").select("id", "name", "path", "pattern"), entities=entities,
+        resolved=resolve_imports(imports, raw, aliases or {"@/": "src/"}, go_module, dart_package), events=U.events(code["lines"], spans), sites=K.sites(facts, code["bodies"]),
+    )
+    entities, resolved, events, hooks, stores, services = (first_wave[k] for k in ("entities", "resolved", "events", "hooks", "stores", "services"))
+    places, components = first_wave["units"], first_wave["units"].drop("high")
+
+    # files, modules, layers; named imports followed to where names are declared; scripts
     per_file = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
-    files = raw.select("path", "ext", lines.cast("int").alias("line_count"))
+    files = raw.drop("error")
     for df, name in ((components, "n_components"), (stores, "n_stores"), (hooks, "n_hooks")):
         files = files.join(per_file(df, name), "path", "left")
-    files = files.join(scripts, "path", "left").na.fill(0).na.fill(False).withColumns({"is_test": T.is_test(F.col("path")), "is_entry": is_entry(F.col("path"))})
+    files = files.na.fill(0).withColumns({"is_test": T.is_test(F.col("path")), "is_entry": is_entry(F.col("path"))})
     if entries is not None:
         files = files.join(entries.withColumn("_e", F.lit(True)), "path", "left").withColumn("is_entry", F.col("is_entry") | F.coalesce("_e", F.lit(False))).drop("_e")
     layer = file_layer(F.col("path"), script=F.col("is_script"), test=F.col("is_test"), entry=F.col("is_entry"), components=F.col("n_components"), stores=F.col("n_stores"), hooks=F.col("n_hooks"))
-    files = cut(files.select(F.concat(F.lit("file:"), "path").alias("id"), T.base_name(F.col("path")).alias("name"), "*", layer.alias("layer"), T.dir_name(F.col("path")).alias("folder")))
+    files = files.select(F.concat(F.lit("file:"), "path").alias("id"), T.base_name(F.col("path")).alias("name"), "*", layer.alias("layer"), T.dir_name(F.col("path")).alias("folder"))
+    exported = reduce(DataFrame.unionByName, (df.select("path", "name") for df in (functions.where("exported"), entities.where("exported"), stores, components))).distinct()
+    scripts = cut_all(files=files, bound=lambda: follow_bindings(X.bindings(imports), resolved, exported), injected=U.injections(events, U.anchors(code["lines"])), net=U.endpoints(events, meta), script_edges=U.call_edges(events, spans))
+    files, bound, injected, net, script_edges = (scripts[k] for k in ("files", "bound", "injected", "net", "script_edges"))
     above = files.select("path", "layer", F.explode(G.ancestors(F.col("folder"))).alias("module"))
     modules = A.dominant(above, "module", "layer").select(F.concat(F.lit("mod:"), "module").alias("id"), F.col("module").alias("path"), F.col("dominant").alias("layer"), F.col("total").alias("n_files"))
-    modules = cut(modules.withColumn("parent_id", F.when(F.instr("path", "/") > 0, F.concat(F.lit("mod:"), T.dir_name(F.col("path"))))))
+    modules = modules.withColumn("parent_id", F.when(F.instr("path", "/") > 0, F.concat(F.lit("mod:"), T.dir_name(F.col("path")))))
 
     # imports and packages
-    imports = cut(X.imports(code))
-    resolved = cut(resolve_imports(imports, raw, aliases or {"@/": "src/"}, go_module, dart_package))
     file_id = lambda c: F.concat(F.lit("file:"), c)
     edges = [L.edges(resolved.where("target is not null and target <> path"), "imports", file_id("path"), file_id("target"), F.lit(0))]
     used = resolved.where("package is not null").groupBy(F.col("package").alias("name")).agg(F.countDistinct("path").alias("import_count"))
@@ -138,19 +149,19 @@ def build(
     )
     edges.append(L.edges(resolved.where("package is not null"), "imports", file_id("path"), F.concat(F.lit("dep:"), "package"), F.lit(1)))
 
-    # types, methods and what they inherit: the file's own name first, else a name that only one file has
-    entities = cut(L.unique_ids(kinds.withColumn("base", F.concat(F.when(F.col("entity") == "interface", "iface:").otherwise("class:"), "path", F.lit("#"), "name")), "base", "ord").drop("base", "ord"))
+    # types and what they inherit: the file's own name first, then the one that a named import leads to, one of an imported file, one that only one file has
     alone = F.count("*").over(Window.partitionBy("name")) == 1
-    targets = entities.select(F.col("id").alias("dst_id"), F.col("name").alias("wanted"), F.col("path").alias("there"), F.col("entity").alias("dst_entity"), alone.alias("alone"))
-    named = entities.select("id", "path", "entity", F.explode(F.concat(F.transform("extends", lambda x: F.struct(F.lit("extends").alias("link"), x.alias("wanted"))), F.transform("implements", lambda x: F.struct(F.lit("implements").alias("link"), x.alias("wanted"))))).alias("x")).select("id", "path", "entity", "x.*")
+    targets = entities.select(F.col("id").alias("dst_id"), F.col("name").alias("told"), F.col("path").alias("there"), F.col("entity").alias("dst_entity"), alone.alias("alone"))
+    listed = entities.select("id", "path", F.explode(F.concat(F.transform("extends", lambda x: F.struct(F.lit("extends").alias("link"), x.alias("wanted"))), F.transform("implements", lambda x: F.struct(F.lit("implements").alias("link"), x.alias("wanted"))))).alias("x")).select("id", "path", "x.*")
     through = resolved.where("target is not null").select("path", F.col("target").alias("there"), F.lit(1).alias("imported")).distinct()
-    ranked = named.join(targets, "wanted").join(through, ["path", "there"], "left")
-    rank = F.when(F.col("path") == F.col("there"), 0).when(F.col("imported") == 1, 1).when(F.col("alone"), 2)
-    inherits = ranked.withColumn("rank", rank).where("rank is not null and id <> dst_id").groupBy("id", "link", "wanted").agg(F.min_by(F.struct("dst_id", "dst_entity"), F.struct("rank", "dst_id")).alias("x"))
-    inherits = cut(inherits.select("id", "link", "x.dst_id"))
-    edges.append(L.edges(inherits.where("link = 'extends'"), "extends", "id", "dst_id", F.lit(0)))
-    edges.append(L.edges(inherits.where("link = 'implements'"), "implements", "id", "dst_id", F.lit(0)))
-    owned = X.members(code).unionByName(functions.where("owner is not null").select("path", "owner", "ord", "name"))
+    by_name = listed.withColumn("told", F.col("wanted")).join(targets, "told").join(through, ["path", "there"], "left")
+    rank = F.when(F.col("path") == F.col("there"), 0).when(F.col("imported") == 1, 2).when(F.col("alone"), 3)
+    by_name = by_name.withColumn("rank", rank).where("rank is not null").select("id", "link", "wanted", "dst_id", "dst_entity", "rank")
+    by_import = listed.join(bound.select("path", F.col("local").alias("wanted"), "there", F.col("name").alias("told")), ["path", "wanted"]).join(targets, ["there", "told"]).select("id", "link", "wanted", "dst_id", "dst_entity", F.lit(1).alias("rank"))
+    inherits = by_name.unionByName(by_import).where("id <> dst_id").groupBy("id", "link", "wanted").agg(F.min_by(F.struct("dst_id", "dst_entity"), F.struct("rank", "dst_id")).alias("x")).select("id", "link", "x.dst_id")
+
+    # methods
+    owned = code["members"].unionByName(functions.where("owner is not null").select("path", "owner", F.col("low").alias("ord"), "name"))
     method_id = F.concat(F.lit("method:"), "path", F.lit("#"), "owner", F.lit("#"), "name")
     methods = L.unique_ids(owned.withColumn("base", method_id), "base", "ord").select("id", "name", "path", F.col("owner"), F.lit("class").alias("owner_kind"), F.col("name").rlike("^[A-Z]").alias("exported"))
     loose = functions.where("owner is null").select(F.concat(F.lit("method:"), "path", F.lit("#"), "name").alias("id"), "name", "path", F.lit(None).cast("string").alias("owner"), F.lit("module").alias("owner_kind"), "exported")
@@ -165,65 +176,73 @@ def build(
     shaped = F.regexp_replace("id", "^comp:", "vclass:").alias("id")
     none = F.array().cast("array<string>")
     vue_classes = components.where(F.endswith("path", F.lit(".vue"))).select(shaped, "path", F.lit("vue").alias("ext"), "name", F.lit("class").alias("entity"), F.lit("component").alias("kind"), F.lit(True).alias("exported"), none.alias("extends"), none.alias("implements"))
-    of_class = X.vue_members(code).withColumnRenamed("name", "member").join(vue_classes.select(F.col("id").alias("owner_id"), "path", "name"), "path")
+    of_class = code["vue_members"].withColumnRenamed("name", "member").join(vue_classes.select(F.col("id").alias("owner_id"), "path", "name"), "path")
     bare = F.regexp_replace("owner_id", "^vclass:", "")
     vue_methods = of_class.select(F.concat(F.lit("vmethod:"), bare, F.lit("."), "member").alias("id"), F.col("member").alias("name"), "path", F.col("name").alias("owner"), F.lit("class").alias("owner_kind"), F.lit(True).alias("exported"), "owner_id")
-    methods = cut(methods.where(~F.endswith("path", F.lit(".vue"))).unionByName(vue_methods))
-    edges.append(L.edges(vue_classes, "contains", F.concat(F.lit("file:"), "path"), "id", F.lit(6)))
-    member_of = methods.where("owner_id is not null").select("id", "name", "owner_id")
-    found, body_lines = K.bodies(code)
-    body_lines = cut(body_lines)
-    last = F.regexp_extract("spec", r"([^/]+?)(?:/v[0-9]+)?$", 1).alias("name")
-    spoken = resolved.select("path", "target", "package_folder", last)
-    called = K.resolve(K.sites(body_lines, cut(found)), methods, spoken, components)
-    edges.append(L.edges(cut(called), "calls", "src_id", "dst_id", F.lit(0)))
+    methods = methods.where(~F.endswith("path", F.lit(".vue"))).unionByName(vue_methods)
+
+    # routes as they are written, with the words of their pages
+    no_text, no_list = F.lit(None).cast("string"), none
+    route = lambda df, base, route, kind, method, handler, ord_, parents: df.select(F.concat(*base).alias("base"), route.alias("route"), kind.alias("kind"), "path", method.alias("method"), handler.alias("handler"), ord_.alias("ord"), parents.alias("parents"))
+    word = F.lit("route:")
+    served, written = code["served"], code["written"]
+    vue_pages = vue_file_routes(raw).join(written.select("path").distinct(), "path", "left_anti")
+    routes = reduce(DataFrame.unionByName, (
+        route(next_routes(raw), (word, "route"), F.col("route"), F.col("kind"), no_text, no_text, F.lit(0), no_list),
+        route(served, (word, "method", F.lit(" "), "route"), F.col("route"), F.lit("http"), F.col("method"), F.col("handler"), F.col("ord"), F.col("middlewares")),
+        route(written, (word, "route"), F.col("route"), F.col("kind"), no_text, F.col("component"), F.col("ord"), F.col("parents")),
+        route(code["chains"], (F.lit("route:go-cli:"), "chain"), F.col("chain"), F.lit("command"), no_text, F.col("command"), F.lit(0), no_list),
+        route(vue_pages, (word, "route"), F.col("route"), F.lit("vue-file"), no_text, no_text, F.lit(0), no_list),
+    ))
+    routes = L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", F.struct("path", "ord", "route"))
+
+    second = cut_all(
+        modules=modules, packages=packages, inherits=inherits, methods=methods, routes=routes, between=edges[0].select("src_id", "dst_id").distinct(),
+        functions_of=U.script_functions(spans, events, script_edges, names), risks=U.risks(events, api, injected, net, meta),
+        owners=owners(code["tags"].select("path", "pos").unionByName(code["props"].select("path", "pos")).distinct(), places),
+    )
+    modules, packages, inherits, methods, routes, between, functions_of, risks = (second[k] for k in ("modules", "packages", "inherits", "methods", "routes", "between", "functions_of", "risks"))
+    edges.append(L.edges(inherits.where("link = 'extends'"), "extends", "id", "dst_id", F.lit(0)))
+    edges.append(L.edges(inherits.where("link = 'implements'"), "implements", "id", "dst_id", F.lit(0)))
+    edges.append(L.edges(vue_classes, "contains", file_id("path"), "id", F.lit(6)))
     edges.append(L.edges(methods.where("owner_id is not null"), "contains", "owner_id", "id", F.lit(0)))
+    member_of = methods.where("owner_id is not null").select("id", "name", "owner_id")
     parents = member_of.select(F.col("id").alias("dst_id"), "name", F.col("owner_id").alias("parent"))
     overriding = member_of.join(inherits.select(F.col("id").alias("owner_id"), F.col("dst_id").alias("parent")), "owner_id").join(parents, ["parent", "name"])
     edges.append(L.edges(overriding, "overrides", "id", "dst_id", F.lit(0)))
+    last = F.regexp_extract("spec", r"([^/]+?)(?:/v[0-9]+)?$", 1).alias("name")
+    spoken = resolved.select("path", "target", "package_folder", last)
+    called = K.resolve(first_wave["sites"], methods, spoken, components)
 
-    # what renders what, routes and who calls them
-    tagged = X.tags(raw).select("path", T.pascal_case(F.col("tag")).alias("name"))
-    first = components.groupBy("path").agg(F.min_by("id", "ord").alias("src_id"))
-    by_name = components.select(F.col("id").alias("dst_id"), "name", F.col("path").alias("there"))
+    # what renders what, by the component around a tag; a name means what the file declares or a named import leads to, else a component of an imported file
+    owner = second["owners"]
+    told = components.select(F.col("id").alias("dst_id"), "name", F.col("path").alias("there"))
     reach = through.unionByName(raw.select("path", F.col("path").alias("there"), F.lit(1).alias("imported")))
-    rendered = tagged.join(first, "path").join(by_name, "name").join(reach, ["path", "there"]).where("src_id <> dst_id")
-    edges.append(L.edges(rendered, "renders", "src_id", "dst_id", F.lit(0)).distinct())
-    pages = next_routes(raw)
-    served = X.go_routes(code)
-    routes = pages.select(F.concat(F.lit("route:"), "route").alias("base"), "route", "kind", "path", F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("handler"), F.lit(0).alias("ord"))
-    routes = routes.unionByName(served.select(F.concat(F.lit("route:"), "method", F.lit(" "), "route").alias("base"), "route", F.lit("http").alias("kind"), "path", "method", "handler", "ord"))
-    written = X.router_routes(code)
-    routes = routes.unionByName(written.select(F.concat(F.lit("route:"), "route").alias("base"), "route", "kind", "path", F.lit(None).cast("string").alias("method"), F.col("component").alias("handler"), "ord"))
-    chains = command_chains(*X.commands(code))
-    routes = routes.unionByName(chains.select(F.concat(F.lit("route:go-cli:"), "chain").alias("base"), F.col("chain").alias("route"), F.lit("command").alias("kind"), "path", F.lit(None).cast("string").alias("method"), F.col("command").alias("handler"), F.lit(0).alias("ord")))
-    shown = F.concat(F.lit("route:"), "route").alias("base"), "route", F.lit("vue-file").alias("kind"), "path", F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("handler"), F.lit(0).alias("ord")
-    routes = routes.unionByName(vue_file_routes(raw).join(written.select("path").distinct(), "path", "left_anti").select(*shown))
-    routes = cut(L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", F.struct("path", "ord", "route")))
-    told = X.titles(raw).groupBy("path").agg(F.min_by("title", "ord").alias("description"))
+    meant = component_names(told, reach, bound)
+    tagged = code["tags"].withColumn("local", T.pascal_case(F.col("tag"))).join(owner, ["path", "pos"])
+    rendered = tagged.join(meant, ["path", "local"]).where("src_id <> dst_id").select("src_id", "dst_id").distinct()
+    described = code["titles"].groupBy("path").agg(F.min_by("title", "ord").alias("description"))
     served_by = K.handlers(routes.where("kind = 'http'").select("id", "path", "handler"), methods, spoken, components)
     around = raw.where(F.col("path").rlike(r"(^|/)app/(.*/)?layout\.[jt]sx?$")).select(T.dir_name(F.col("path")).alias("folder"), F.col("path").alias("layout"))
-    routes = cut(routes.withColumn("domain", T.route_domain(F.col("route"))).join(told, "path", "left").join(served_by, "id", "left"))
-    routes = cut(R.layout_chain(routes, around).withColumnRenamed("chain", "layouts"))
-    calls = X.http_calls(code).select("path", "method", F.regexp_replace(F.col("url"), r"^https?://[^/]+", "").alias("url"), "ord").where("url <> ''")
-    matched = cut(R.match_routes(calls, routes.where("kind in ('api', 'http')").select("ord", F.col("route").alias("pattern")), "url", "pattern"))
-    asked = matched.where("pattern is not null").join(routes.where("kind in ('api', 'http')").select(F.col("route").alias("pattern"), F.col("id").alias("route_id")), "pattern").select("path", "method", "url", "route_id").distinct()
-    edges.append(L.edges(routes, "registers", "id", file_id("path"), F.lit(1)))
-    wanted = routes.select("id", "path", F.col("handler").alias("name")).where("name is not null").join(by_name, "name").join(reach, ["path", "there"])
-    edges.append(L.edges(wanted, "registers", "id", "dst_id", F.lit(0)).distinct())
-    seen = routes.where("kind not in ('api', 'http', 'command')")
-    led = R.match_routes(X.navigations(code), seen.select("ord", F.col("route").alias("pattern")), "target", "pattern").where("pattern is not null")
-    shows = seen.select(F.col("id").alias("src_id"), "path").unionByName(wanted.join(by_name.select("dst_id", F.col("there").alias("shown")), "dst_id").select(F.col("id").alias("src_id"), F.col("shown").alias("path"))).distinct()
-    led = led.join(seen.select(F.col("route").alias("pattern"), F.col("id").alias("dst_id")), "pattern").join(shows, "path").where("src_id <> dst_id")
-    edges.append(L.edges(led, "navigatesTo", "src_id", "dst_id", F.lit(0)).distinct())
-
-    # props: for each pair of components and prop the strongest source of its sites
-    sites = X.prop_sites(code).join(first, "path").withColumnRenamed("tag", "tag_name")
-    given = sites.join(by_name.withColumnRenamed("name", "tag_name"), "tag_name").join(reach, ["path", "there"]).where("src_id <> dst_id").withColumn("ord", F.col("site") * 1000 + F.col("ord"))
-    props = cut(A.priority_merge(given, ["src_id", "dst_id", "name"], "source", X.PROP_RANKS, "ord"))
+    routes = routes.withColumn("domain", T.route_domain(F.col("route"))).join(described, "path", "left").join(served_by, "id", "left")
+    routes = R.layout_chain(routes, around)
+    # nested routes have the components around them as layouts, served ones their middlewares
+    routes = routes.withColumn("layouts", F.when(F.col("kind").isin("jsx", "record"), F.col("parents")).otherwise(F.col("chain"))).withColumn("middlewares", F.when(F.col("kind") == "http", F.col("parents")).otherwise(none)).drop("parents", "chain")
+    sites = code["props"].withColumn("local", F.col("tag")).join(owner, ["path", "pos"])
+    given = sites.join(meant, ["path", "local"]).where("src_id <> dst_id")
+    third = cut_all(called=called, rendered=rendered, routes=routes, props=A.priority_merge(given, ["src_id", "dst_id", "name"], "source", X.PROP_RANKS, "ord"))
+    called, rendered, routes, props = (third[k] for k in ("called", "rendered", "routes", "props"))
+    edges.append(L.edges(called, "calls", "src_id", "dst_id", F.lit(0)))
+    edges.append(L.edges(rendered, "renders", "src_id", "dst_id", F.lit(0)))
     edges.append(L.edges(props, "passesProps", "src_id", "dst_id", F.lit(0)).distinct())
+    calls = code["calls"].select("path", "method", F.regexp_replace(F.col("url"), r"^https?://[^/]+", "").alias("url"), "ord").where("url <> ''")
+    served_routes, seen = routes.where("kind in ('api', 'http')"), routes.where("kind not in ('api', 'http', 'command')")
+    wanted = routes.select("id", "path", F.col("handler").alias("local")).where("local is not null").join(meant, ["path", "local"]).select("id", "path", "dst_id").distinct()
+    shows = seen.select(F.col("id").alias("src_id"), "path").unionByName(wanted.join(told.select("dst_id", F.col("there").alias("shown")), "dst_id").select(F.col("id").alias("src_id"), F.col("shown").alias("path"))).distinct()
+    edges.append(L.edges(routes, "registers", "id", file_id("path"), F.lit(1)))
+    edges.append(L.edges(wanted, "registers", "id", "dst_id", F.lit(0)))
 
-    # what files use of stores and hooks they import, and with them the file's first component
+    # what files use of stores and hooks they import, and with them the file's components
     reads = resolved.where("target is not null").select("path", F.col("target").alias("there")).distinct()
     for link, df in (("usesStore", stores), ("usesHook", hooks)):
         held = reads.join(df.select(F.col("id").alias("dst_id"), F.col("path").alias("there")), "there")
@@ -231,22 +250,21 @@ def build(
         edges.append(L.edges(held.join(components.select("id", "path"), "path"), link, "id", "dst_id", F.lit(0)))
 
     # user scripts: what they call, inject and reach, and their own functions
-    script_lines = cut(U.lines(raw))
-    meta, spans = X.script_meta(raw), cut(U.spans(script_lines))
-    events = cut(U.events(script_lines, spans))
-    api = X.script_api_calls(raw)
-    injected, net = cut(U.injections(events, U.anchors(script_lines))), cut(U.endpoints(events, meta))
-    script_edges = cut(U.call_edges(events, spans))
-    names = cut(X.name_counts(code))
-    functions_of = cut(U.script_functions(spans, events, script_edges, names))
-    risks = cut(U.risks(events, api, injected, net, meta))
     us = F.concat(F.lit("us:"), "path")
     titled = meta.groupBy("path").agg(F.min_by("value", F.when(F.col("key") == "name", F.col("ord"))).alias("title"), F.collect_list(F.when(F.col("key").isin("match", "include"), F.col("value"))).alias("matches"))
     user_scripts = files.where("is_script").join(titled, "path", "left").join(U.risk_levels(risks), "path", "left").join(U.host_frameworks(events), "path", "left").select(
         us.alias("id"), F.coalesce("title", "name").alias("name"), "path", "matches", "line_count", F.coalesce("risk_level", F.lit("none")).alias("risk_level"), F.coalesce("n_risks", F.lit(0)).alias("n_risks"), F.coalesce("host", F.lit("unknown")).alias("host")
     )
     gm = api.select(F.concat(F.lit("gm:"), "path", F.lit("#"), "name").alias("id"), "*")
-    user_scripts = cut(user_scripts)
+    domain_names = S.domain_names(routes.where("kind <> 'command'").select("domain", "ord"), modules)
+    fourth = cut_all(
+        user_scripts=user_scripts, domain_names=domain_names, shows=shows, matched=lambda: R.match_routes(calls, served_routes.select("ord", F.col("route").alias("pattern")), "url", "pattern"),
+        led=lambda: R.match_routes(code["navigations"], seen.select("ord", F.col("route").alias("pattern")), "target", "pattern").where("pattern is not null"),
+    )
+    user_scripts, domain_names, shows, matched, led = (fourth[k] for k in ("user_scripts", "domain_names", "shows", "matched", "led"))
+    asked = matched.where("pattern is not null").join(served_routes.select(F.col("route").alias("pattern"), F.col("id").alias("route_id")), "pattern").select("path", "method", "url", "route_id").distinct()
+    led = led.join(seen.select(F.col("route").alias("pattern"), F.col("id").alias("dst_id")), "pattern").join(shows, "path").where("src_id <> dst_id")
+    edges.append(L.edges(led, "navigatesTo", "src_id", "dst_id", F.lit(0)).distinct())
     for n, (link, df) in enumerate((("", functions_of), ("usesGmApi", gm), ("injectsInto", injected), ("requestsTo", net))):
         if link:
             edges.append(L.edges(df, link, us, "id", F.lit(0)))
@@ -256,40 +274,37 @@ def build(
 
     # domains
     kinds_of = {"component": components, "store": stores, "hook": hooks, "service": services, "script": user_scripts}
-    units = cut(reduce(DataFrame.unionByName, (df.select("id", "path", F.lit(k).alias("kind")) for k, df in kinds_of.items())))
-    shows_file = shows.select(F.col("src_id").alias("id"), "path")
-    domain_names = cut(S.domain_names(routes.where("kind <> 'command'").select("domain", "ord"), modules))
-    members = cut(S.memberships(domain_names, routes.where("kind <> 'command'").select("id", "domain"), modules.select("id", "path"), files.select("id", "path"), shows_file, units))
-    domains = cut(S.domains(domain_names, members, files, routes))
+    units = reduce(DataFrame.unionByName, (df.select("id", "path", F.lit(k).alias("kind")) for k, df in kinds_of.items()))
+    members = cut(S.memberships(domain_names, routes.where("kind <> 'command'").select("id", "domain"), modules.select("id", "path"), files.select("id", "path"), shows.select(F.col("src_id").alias("id"), "path"), units))
     edges.append(L.edges(members.where("kind <> 'file'"), "belongsTo", "id", "domain_id", F.lit(0)))
     edges.append(L.edges(members.where("kind = 'script'").join(functions_of.select(us.alias("id"), F.col("id").alias("fn")), "id"), "belongsTo", "fn", "domain_id", F.lit(0)))
 
     # containment, in the order: domains and modules, files, units
     proj = F.lit(f"proj:{project}")
-    edges.append(L.edges(domains, "contains", proj, "id", F.lit(0)))
+    edges.append(L.edges(domain_names.select(F.concat(F.lit("dom:"), "name").alias("id")), "contains", proj, "id", F.lit(0)))
     edges.append(L.edges(modules.where("parent_id is null"), "contains", proj, "id", F.lit(1)))
     edges.append(L.edges(modules.where("parent_id is not null"), "contains", "parent_id", "id", F.lit(0)))
     edges.append(L.edges(files.where("folder <> ''"), "contains", F.concat(F.lit("mod:"), "folder"), "id", F.lit(1)))
     for n, df in enumerate((components, hooks, stores, services, entities, methods, user_scripts), 2):
         edges.append(L.edges(df, "contains", file_id("path"), "id", F.lit(n)))
-    edges = cut(L.with_inverse(reduce(DataFrame.unionByName, edges).distinct()))
-    between = cut(edges.where("link_type = 'imports'").where(F.startswith("dst_id", F.lit("file:"))).select("src_id", "dst_id").distinct())
-    dead_there = dead_types(entities, methods, names, imports, files).unionByName(K.dead_go(entities.select("id", "name", "path", "exported").unionByName(methods.where("owner_kind <> 'interface'").select("id", "name", "path", "exported")), names))
-
+    inside = between.where(F.startswith("dst_id", F.lit("file:")))
+    whole = whole_imports(imports, resolved, bound)
+    dead_there = dead_types(entities, functions, methods, names, whole, files).unionByName(K.dead_go(entities.select("id", "name", "path", "exported").unionByName(methods.where("owner_kind <> 'interface'").select("id", "name", "path", "exported")), names))
     given_or_taken = L.degrees(props).select("id", F.col("n_out").alias("n_props_out"), F.col("n_in").alias("n_props_in"))
-    components = components.join(given_or_taken, "id", "left").na.fill(0, ["n_props_out", "n_props_in"])
+    fifth = cut_all(
+        edges=L.with_inverse(reduce(DataFrame.unionByName, edges).distinct()), domains=S.domains(domain_names, members, files, routes), profiles=S.module_profiles(modules, files, units, routes, inside),
+        components=components.join(given_or_taken, "id", "left").na.fill(0, ["n_props_out", "n_props_in"]), cycles=lambda: G.strong_components(inside), orphans=orphans(files, inside, routes, code["globbed"]),
+        dead=dead_there.dropDuplicates(["id"]).unionByName(functions_of.where("dead").select("id", F.lit("nothing calls it").alias("reason"))), unused=unused_exports(functions, entities, bound, whole, files, inside, names), asked=asked,
+    )
     out = {
-        "SourceFile": files, "Module": cut(S.module_profiles(modules, files, units, routes, between)), "Domain": domains, "Dependency": cut(packages), "Component": components, "Hook": hooks, "Store": stores, "Service": services,
-        "Interface": entities.where("entity = 'interface'"), "Class": entities.where("entity = 'class'").unionByName(vue_classes), "Method": methods,
+        "SourceFile": files, "Module": fifth["profiles"], "Domain": fifth["domains"], "Dependency": packages, "Component": fifth["components"], "Hook": hooks, "Store": stores, "Service": services,
+        "Interface": entities.where("entity = 'interface'"), "Class": entities.where("entity = 'class'").drop("low", "high", "depth", "inside").unionByName(vue_classes), "Method": methods,
         "Route": routes, "UserScript": user_scripts, "ScriptFunction": functions_of, "GmApiUsage": gm, "InjectionPoint": injected, "NetworkEndpoint": net,
-        "PropEdge": props.groupBy("src_id", "dst_id").agg(F.sort_array(F.collect_list(F.struct("name", "source"))).alias("props")).withColumn("id", F.concat(F.lit("prop:"), "src_id", F.lit("→"), "dst_id")), "edges": edges,
-        "unmatched": matched.where("pattern is null").select("path", "method", "url"), "frontend_calls": asked, "risks": risks, "failed": failed, "top_calls": U.top_level_calls(script_edges),
+        "PropEdge": props.groupBy("src_id", "dst_id").agg(F.sort_array(F.collect_list(F.struct("name", "source"))).alias("props")).withColumn("id", F.concat(F.lit("prop:"), "src_id", F.lit("→"), "dst_id")), "edges": fifth["edges"],
+        "unmatched": matched.where("pattern is null").select("path", "method", "url"), "frontend_calls": fifth["asked"], "risks": risks, "failed": code["failed"], "top_calls": U.top_level_calls(script_edges),
+        "orphans": fifth["orphans"], "dead": fifth["dead"], "unused_exports": fifth["unused"],
     }
-    cycles = cut(G.strong_components(between))
-    out["cycles"] = cycles.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"))
-    out["orphans"] = cut(orphans(files, between, routes, raw))
-    out["dead"] = cut(dead_there.dropDuplicates(["id"]).unionByName(functions_of.where("dead").select("id", F.lit("nothing calls it").alias("reason"))))
-    out["unused_exports"] = cut(unused_exports(functions, entities, imports, files, between, names))
+    out["cycles"] = fifth["cycles"].groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"))
     kind = P.framework(paths if paths is not None else raw.select("path"), declared)
     out["Project"] = cut(S.project(project, kind, out))
     counted = [v.agg(F.count("*").alias("n")).select(F.lit(k).alias("type"), "n") for k, v in out.items() if k[0].isupper()]
@@ -297,12 +312,63 @@ def build(
     return out
 
 
+def owners(points: DataFrame, places: DataFrame) -> DataFrame:
+    """path, pos, src_id: the component around each place, or the file's first one. places: id, path, ord (where it begins), high (null: the whole file)."""
+    spans = places.select("path", F.col("id").alias("src_id"), F.col("ord").alias("low"), F.coalesce("high", F.lit((1 << 31) - 1)).alias("high"))
+    # a whole file needs no span: it is the first component's
+    bodies = spans.where(F.col("high") < (1 << 31) - 1)
+    first = places.groupBy("path").agg(F.min_by("id", "ord").alias("first"))
+    return R.innermost(points, bodies, "path", name="src_id").join(first, "path").select("path", "pos", F.coalesce("src_id", "first").alias("src_id"))
+
+
+def component_names(components: DataFrame, reach: DataFrame, bound: DataFrame) -> DataFrame:
+    """path, local, dst_id: what a name in a file means: a component that a named import leads to, else those of that name in the file and its imports."""
+    named = bound.where("imported <> '*'").select("path", "local", "there", F.col("name")).join(components, ["there", "name"]).select("path", "local", "dst_id")
+    default = bound.where("imported = 'default'").select("path", "local", "there").join(components.groupBy("there").agg(F.count("*").alias("n"), F.min("dst_id").alias("dst_id")).where("n = 1"), "there").select("path", "local", "dst_id")
+    led = named.unionByName(default).distinct()
+    near = reach.join(components, "there").select("path", F.col("name").alias("local"), "dst_id").distinct()
+    return led.unionByName(near.join(led.select("path", "local").distinct(), ["path", "local"], "left_anti"))
+
+
+def follow_bindings(bindings: DataFrame, resolved: DataFrame, declared: DataFrame, most: int = 32) -> DataFrame:
+    """path, local, imported, there, name: the file and name that each bound name stands for, through all files that export it again.
+
+    bindings: facts.bindings(); resolved: resolve_imports(); declared: path, name of what files export of their own. Each round
+    follows one re-export; what was seen isn't followed again, so cycles of re-exports end.
+    """
+    to = resolved.where("target is not null").select("path", "spec", F.col("target").alias("there")).distinct()
+    rows = cut(bindings.join(to, ["path", "spec"]).select("path", "export", "local", "imported", "there"))
+    again = rows.where("export").select(F.col("path").alias("there"), F.col("local").alias("name"), F.col("there").alias("next"), F.col("imported").alias("next_name"))
+    own = declared.select(F.col("path").alias("there"), "name", F.lit(True).alias("own"))
+    found = cut(rows.where("not export").select("path", "local", "imported", "there", F.col("imported").alias("name")))
+    seen, frontier = found, found
+    for _ in range(most):
+        open_ = frontier.join(own, ["there", "name"], "left").where("own is null").drop("own")
+        through = open_.join(again.where("name <> '*'"), ["there", "name"]).select("path", "local", "imported", F.col("next").alias("there"), F.col("next_name").alias("name"))
+        stars = open_.where("name not in ('*', 'default')").join(again.where("name = '*'").select("there", "next"), "there").select("path", "local", "imported", F.col("next").alias("there"), "name")
+        frontier = cut(through.unionByName(stars).distinct().join(seen, seen.columns, "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
+    # where a name is declared, or, if it is nowhere, the file that the import itself names
+    ends = seen.join(own, ["there", "name"], "left")
+    rank = F.struct(F.col("own").isNull(), (F.col("name") != F.col("imported")), "there", "name")
+    return ends.groupBy("path", "local", "imported").agg(F.min_by(F.struct("there", "name"), rank).alias("x")).select("path", "local", "imported", "x.there", "x.name")
+
+
+def whole_imports(imports: DataFrame, resolved: DataFrame, bound: DataFrame) -> DataFrame:
+    """path of files that others take whole: as an object, by `export *`, or dynamically without naming what they take."""
+    loose = imports.where(F.col("names").rlike(r"\*") | ((F.col("kind") == "dynamic") & ~F.coalesce(F.contains("names", F.lit("{")), F.lit(False)))).select("path", "spec")
+    direct = loose.join(resolved.where("target is not null").select("path", "spec", "target"), ["path", "spec"]).select(F.col("target").alias("path"))
+    return direct.unionByName(bound.where("name = '*'").select(F.col("there").alias("path"))).distinct()
+
+
 def scan_project(spark: SparkSession, root: str, roots: tuple[str, ...] = (".",), name: str | None = None) -> dict[str, DataFrame]:
     """build() over a tree with all that it says about itself: manifests, path aliases, the main Go module, the Dart package, pages' entry scripts."""
     found = {r.prefix: r.target for r in P.aliases(spark, root).collect()}  # a line for each alias that configurations name
     go = P.go_modules(spark, root).where("main").select("module").first()
     paths = everything(spark, root).select("path")
-    dart = everything(spark, root).where("path = 'pubspec.yaml'").select(F.regexp_extract("content", r"(?m)^name:\s*(\w+)", 1).alias("name")).first()
+    dart = everything(spark, root, "pubspec.yaml").where("path = 'pubspec.yaml'").select(F.regexp_extract("content", r"(?m)^name:\s*(\w+)", 1).alias("name")).first()
     own = name or root.rstrip("/").rsplit("/", 1)[-1]
     return build(read_sources(spark, root, roots), read_manifests(spark, root), found or None, go.module if go else "", dart.name if dart else "", own, paths, P.html_entries(spark, root))
 
@@ -331,37 +397,42 @@ def command_chains(made: DataFrame, children: DataFrame, depth: int = 8) -> Data
     return out
 
 
-def orphans(files: DataFrame, imports: DataFrame, routes: DataFrame, raw: DataFrame) -> DataFrame:
+def orphans(files: DataFrame, imports: DataFrame, routes: DataFrame, globbed: DataFrame) -> DataFrame:
     """Files under src/ or lib/ that no file imports, no route shows and no rule exempts: tests, entries, scripts, declarations, and what a glob import takes in."""
     rows = files.where(F.col("path").rlike("^(src|lib)/") & ~F.col("is_test") & ~F.col("is_entry") & ~F.col("is_script") & ~F.endswith("path", F.lit(".d.ts")))
     left = rows.join(imports.select(F.col("dst_id").alias("id")), "id", "left_anti").join(routes.select("path"), "path", "left_anti")
-    return left.join(X.globbed(raw), "path", "left_anti").select("id", "path")
+    return left.join(globbed, "path", "left_anti").select("id", "path")
 
 
-def unused_exports(functions: DataFrame, entities: DataFrame, imports: DataFrame, files: DataFrame, between: DataFrame, names: DataFrame) -> DataFrame:
-    """id (of the file), path, name: exported names of files that others import, though none imports the name and the file itself names it once.
+def unused_exports(functions: DataFrame, entities: DataFrame, bound: DataFrame, whole: DataFrame, files: DataFrame, between: DataFrame, names: DataFrame) -> DataFrame:
+    """id (of the file), path, name: exported names of files that others import, though no import leads to the name and the file itself names it outside its own span nowhere.
 
-    Files that others take whole (`*`, or dynamically) are left out, as are entries, tests and Go files.
+    Files that others take whole are left out, as are entries, tests and Go files.
     """
-    exported = functions.where("exported and not is_default and owner is null").select("path", "name").unionByName(entities.where("exported").select("path", "name")).distinct()
+    exported = functions.where("exported and not is_default and owner is null").select("path", "name", "inside").unionByName(entities.where("exported").select("path", "name", "inside"))
+    exported = exported.groupBy("path", "name").agg(F.sum("inside").alias("inside"))
     used = files.where("not is_entry and not is_test and ext <> 'go'").join(between.select(F.col("dst_id").alias("id")).distinct(), "id", "left_semi")
-    taken = imports.select(F.explode(F.regexp_extract_all(F.coalesce("names", F.lit("")), F.lit(r"[A-Za-z_$][\w$]*"), 0)).alias("name")).distinct()
-    whole = imports.where(F.contains("names", F.lit("*")) | (F.col("kind") == "dynamic")).select(T.stem(F.col("spec")).alias("stem")).distinct()
-    rows = exported.join(used.select("id", "path"), "path").withColumn("stem", T.stem(F.col("path"))).join(whole, "stem", "left_anti").join(taken, "name", "left_anti")
-    return rows.join(names, ["path", "name"]).where("n <= 1").select("id", "path", "name")
+    taken = bound.select(F.col("there").alias("path"), "name").distinct()
+    rows = exported.join(used.select("id", "path"), "path").join(whole, "path", "left_anti").join(taken, ["path", "name"], "left_anti")
+    return rows.join(names, ["path", "name"], "left").where("coalesce(n, 0) - inside <= 0").select("id", "path", "name")
+
 
+def dead_types(entities: DataFrame, functions: DataFrame, methods: DataFrame, names: DataFrame, whole: DataFrame, files: DataFrame) -> DataFrame:
+    """id, reason of types and module functions that nothing refers to outside their own span: in their file, or, if they may be seen outside, in any other.
 
-def dead_types(entities: DataFrame, methods: DataFrame, names: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
-    """id, reason of types and module functions that nothing names: where they stand once, or, if they may be seen outside, in no other file either."""
-    units = entities.select("id", "name", "path", "exported").unionByName(methods.where("owner is null and path not like '%.vue'").select("id", "name", "path", F.lit(True).alias("exported"))).where(~F.endswith("path", F.lit(".go")))
+    References in the own file are counts of the name less those inside the span, so a function that calls only itself is dead.
+    Entries, tests and files that others take whole are left out.
+    """
+    loose = functions.where("owner is null").groupBy("path", "name").agg(F.sum("inside").alias("inside"), F.max("exported").alias("exported"))
+    plain = methods.where("owner is null and path not like '%.vue'").select("id", "name", "path").join(loose, ["path", "name"])
+    units = entities.select("id", "name", "path", "exported", "inside").unionByName(plain.select("id", "name", "path", "exported", "inside")).where(~F.endswith("path", F.lit(".go")))
     totals = names.groupBy("name").agg(F.sum("n").alias("total"))
-    starred = imports.where(F.col("names").rlike(r"\*") | (F.col("kind") == "dynamic")).select("spec").distinct()
-    exempt = files.where("is_entry or is_test").select("path")
-    whole = T.stem(F.col("path"))
+    exempt = files.where("is_entry or is_test").select("path").unionByName(whole).distinct()
     rows = units.join(exempt, "path", "left_anti").join(names, ["path", "name"]).join(totals, "name")
-    rows = rows.withColumn("stem", whole).join(starred.select(T.stem(F.col("spec")).alias("stem")).distinct(), "stem", "left_anti")
-    unseen = F.when(F.col("exported"), F.col("total") <= 1).otherwise(F.col("n") <= 1)
-    return rows.where(unseen).select("id", F.when(F.col("exported"), "no file names it").otherwise("its file names it once").alias("reason"))
+    here, outside = F.col("n") - F.col("inside") <= 0, F.col("total") - F.col("n") <= 0
+    # Dart and Rust have no export lists: what isn't private may be named anywhere
+    seen_outside = F.col("exported") | F.col("path").rlike(r"\.(dart|rs)$")
+    return rows.where(here & (outside | ~seen_outside)).select("id", F.when(seen_outside, "no file names it").otherwise("its file names it once").alias("reason"))
 
 
 def impact(edges: DataFrame, id_: str) -> DataFrame:

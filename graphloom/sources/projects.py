@@ -27,7 +27,7 @@ def aliases(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:
     tsconfig.json and jsconfig.json give `compilerOptions.paths` and, by `references`, those of other files (up to `depth` steps);
     vite and vue configurations give the pairs in their alias blocks.
     """
-    files = everything(spark, root).where(~F.col("path").rlike(r"(^|/)node_modules/")).select("path", "content")
+    files = everything(spark, root, "{*.json,{vite,vue,webpack}.config.*}").where(~F.col("path").rlike(r"(^|/)node_modules/")).select("path", "content")
     kind = "struct<compilerOptions: struct<baseUrl: string, paths: map<string, array<string>>>, references: array<struct<path: string>>>"
     configs = files.where(F.col("path").rlike(r"\.json$") & F.contains("content", F.lit("compilerOptions")) | F.col("path").rlike(r"(^|/)[jt]sconfig[^/]*\.json$"))
     configs = configs.select("path", F.from_json(plain_json(F.col("content")), kind).alias("j"))
@@ -54,8 +54,8 @@ def aliases(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:
 
 def go_modules(spark: SparkSession, root: str) -> DataFrame:
     """folder, module, version, n_files of each go.mod; `main` marks the one with the most Go files below it (the first of equals)."""
-    files = everything(spark, root).select("path", "content")
-    mods = files.where(F.col("path").rlike(r"(^|/)go\.mod$")).select(T.dir_name(F.col("path")).alias("folder"), F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("module"), F.regexp_extract("content", r"(?m)^go\s+(\S+)", 1).alias("version"))
+    files = everything(spark, root, "*.go").select("path")
+    mods = everything(spark, root, "go.mod").select(T.dir_name(F.col("path")).alias("folder"), F.regexp_extract("content", r"(?m)^module\s+(\S+)", 1).alias("module"), F.regexp_extract("content", r"(?m)^go\s+(\S+)", 1).alias("version"))
     above = files.where(F.col("path").rlike(r"\.go$")).select(F.explode(F.concat(F.array(F.lit("")), ancestors(T.dir_name(F.col("path"))))).alias("folder"))
     rows = mods.join(above.groupBy("folder").agg(F.count("*").alias("n_files")), "folder", "left").na.fill(0)
     top = rows.agg(F.min_by("folder", F.struct(-F.col("n_files"), F.col("folder"))).alias("folder")).withColumn("main", F.lit(True))
@@ -100,7 +100,7 @@ def framework(paths: DataFrame, declared: DataFrame) -> DataFrame:
 
 def html_entries(spark: SparkSession, root: str) -> DataFrame:
     """path of the scripts that pages at the top of a tree load by themselves."""
-    pages = everything(spark, root).where(F.col("path").rlike(r"^[^/]+\.html?$"))
+    pages = everything(spark, root, "*.{html,htm}").where(F.col("path").rlike(r"^[^/]+\.html?$"))
     src = r"""<script[^>]*\bsrc=["']/?([^"']+\.(?:tsx?|jsx?|vue))["']"""
     return pages.select(F.explode(F.regexp_extract_all("content", F.lit(src), 1)).alias("path")).distinct()
 

@@ -14,19 +14,23 @@ SKIPPED = (
 )
 
 
-def everything(spark: SparkSession, root: str) -> DataFrame:
-    """Spark lists and reads the tree, so it may lie in any store that Spark reads."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def everything(spark: SparkSession, root: str, names: str | None = None) -> DataFrame:
+    """Spark lists and reads the tree, so it may lie in any store that Spark reads. names: a glob of the files' names; others aren't read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    rows = (reader.option("pathGlobFilter", names) if names else reader).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-zA-Z]+:/+", "/")
     path = F.regexp_replace("path", "^[a-zA-Z]+:/+", "/")
     return rows.select(F.substr(path, F.length(base) + 2).alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
 
 
 def plain_json(text: Column) -> Column:
-    """JSON without the comments and last commas that configuration files have; strings stay as they are."""
-    strings_or_comments = r'(?s)("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/'
-    bare = F.regexp_replace(text, strings_or_comments, "$1")
-    return F.regexp_replace(bare, r",(\s*[}\]])", "$1")
+    """JSON without the comments and last commas that configuration files have; strings stay as they are.
+
+    The patterns take a string whole and never step back into it, so its length doesn't matter.
+    """
+    string = r'(?s)("(?:[^"\\]++|\\.)*+")'
+    bare = F.regexp_replace(text, string + r"|//[^\n]*+|/\*.*?\*/", "$1")
+    return F.regexp_replace(bare, string + r"|,(?=\s*+[}\]])", "$1")
 
 
 def extension(path: Column) -> Column:
@@ -35,7 +39,7 @@ def extension(path: Column) -> Column:
 
 def read_sources(spark: SparkSession, root: str, roots: tuple[str, ...] = (".",)) -> DataFrame:
     """path, ext, size, content of the source files under the roots (folders below `root`)."""
-    rows = everything(spark, root).withColumn("ext", extension(F.col("path")))
+    rows = everything(spark, root, "*.{" + ",".join(EXTENSIONS) + "}").withColumn("ext", extension(F.col("path")))
     folders = F.filter(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), lambda x: x.isin(*SKIPPED))
     folders = F.when(F.startswith("path", F.lit("src/")), F.array_remove(folders, "build")).otherwise(folders)
     under = F.lit("." in roots)
@@ -49,7 +53,7 @@ def read_manifests(spark: SparkSession, root: str) -> DataFrame:
 
     package.json is read as JSON; the other two line by line, each line under the section that was opened last.
     """
-    files = everything(spark, root).where(F.col("path").rlike(r"(^|/)(package\.json|pubspec\.yaml|go\.mod)$") & ~F.col("path").rlike(r"(^|/)node_modules/")).select("path", "content")
+    files = everything(spark, root, "{package.json,pubspec.yaml,go.mod}").where(F.col("path").rlike(r"(^|/)(package\.json|pubspec\.yaml|go\.mod)$") & ~F.col("path").rlike(r"(^|/)node_modules/")).select("path", "content")
     scopes = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
     kind = "struct<" + ", ".join(f"`{s}`: map<string, string>" for s in scopes) + ">"
     parsed = files.where(F.endswith("path", F.lit("package.json"))).select(F.from_json(plain_json(F.col("content")), kind).alias("j"))

@@ -1,7 +1,6 @@
 """User scripts line by line: spans of functions, events within them, what they inject, reach and risk.
 
-Events and spans meet in interval joins on lines; all that follows is grouping and joining. A span ends at the next line that
-closes a brace at the same indentation, so oddly indented code is read less well.
+Events and spans meet in interval joins on lines; all that follows is grouping and joining.
 """
 
 from __future__ import annotations
@@ -65,34 +64,22 @@ SEVERITY = {
 LEVELS = ("none", "low", "medium", "high")
 
 
-def lines(sources: DataFrame) -> DataFrame:
+def lines(facts: DataFrame) -> DataFrame:
     """path, line, text of user scripts without their comments."""
-    rows = X.without_comments(X.user_scripts(sources)).select("path", F.posexplode(F.split("content", "\n")).alias("n", "text"))
-    return rows.select("path", (F.col("n") + 1).alias("line"), "text")
-
-
-def spans(rows: DataFrame) -> DataFrame:
-    """path, name, kind, owner, low, high (the line after the last) of functions, classes and methods. rows: lines()."""
-    got = lambda p, n: F.nullif(F.regexp_extract("text", p, n), F.lit(""))
-    made = {
-        "class": got(r"^\s*(?:export\s+)?class\s+(\w+)", 1),
-        "function": got(r"^\s*(?:export\s+)?(?:async\s+)?function\s*\*?\s*(\w+)\s*\(", 1),
-        "arrow": got(r"^\s*(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>)", 1),
-        "method": got(r"^\s+(?:(?:static|async|get|set)\s+)*(\w+)\s*\([^;]*\)\s*\{", 1),
-    }
-    name = F.coalesce(*made.values())
-    kind = F.coalesce(*(F.when(c.isNotNull(), k) for k, c in made.items()))
-    later = Window.partitionBy("path", "indent").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    closes = F.when(F.ltrim("text").startswith("}"), F.col("line"))
-    placed = rows.withColumn("indent", F.length("text") - F.length(F.ltrim("text"))).withColumns({"name": name, "kind": kind, "end": F.first(closes, ignorenulls=True).over(later)})
-    short = F.rtrim("text").rlike(r"\}[;,)]*$") | ~F.contains("text", F.lit("{"))
-    found = placed.where(F.col("name").isNotNull() & ~F.col("name").isin("if", "for", "while", "switch", "catch", "function"))
-    found = found.select("path", "name", "kind", F.col("line").alias("low"), (F.when(short, F.col("line")).otherwise(F.coalesce("end", "line")) + 1).alias("high"))
-    # a method belongs to the innermost class around it
-    classes = found.where("kind = 'class'").select("path", F.struct("name").alias("span"), "low", "high")
-    methods = R.innermost(found.where("kind = 'method'").withColumn("pos", F.col("low")), classes, "path").where("span is not null")
-    methods = methods.select("path", F.concat("span.name", F.lit("."), "name").alias("name"), "kind", F.col("span.name").alias("owner"), "low", "high")
-    return found.where("kind in ('function', 'arrow')").withColumn("owner", F.lit(None).cast("string")).select("path", "name", "kind", "owner", "low", "high").unionByName(methods)
+    return X.found(facts, "line", text=1).select("path", (F.col("ord") + 1).alias("line"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def spans(facts: DataFrame) -> DataFrame:
+    """path, name, kind, owner, low, high (the line after the last) of functions, classes and methods, by their brackets."""
+    kinds = ("class", "function", "arrow", "method")
+    found = reduce(DataFrame.unionByName, (X.found(facts, f"script-{k}", name=1).withColumn("kind", F.lit(k)) for k in kinds))
+    found = found.where(~F.col("name").isin("if", "for", "while", "switch", "catch", "function"))
+    # a method stands right inside the braces of the innermost class around it
+    classes = found.where("kind = 'class'").select("path", F.struct("name", "depth").alias("span"), F.col("pos").alias("low"), F.col("end").alias("high"))
+    methods = R.innermost(found.where("kind = 'method'"), classes, "path").where(F.col("depth") == F.col("span.depth") + 1)
+    named = methods.withColumns({"owner": F.col("span.name"), "name": F.concat("span.name", F.lit("."), "name")}).drop("span")
+    rows = found.where("kind in ('function', 'arrow')").withColumn("owner", F.lit(None).cast("string")).unionByName(named)
+    return rows.select("path", "name", "kind", "owner", F.col("line").alias("low"), (F.col("line_end") + 1).alias("high"))
 
 
 def events(rows: DataFrame, functions: DataFrame) -> DataFrame:
