@@ -38,9 +38,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def as_one(docs: DataFrame, name: str = "row") -> Column:
-    """All columns of docs as one struct with names of its own, so that no column can clash with what an operator adds."""
-    return F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns))).alias(name)
+def as_one(docs: DataFrame, name: str = "row", leave: tuple[str, ...] = ()) -> Column:
+    """All columns of docs (but for those to leave out) as one struct with names of its own, so that no column can clash with what an operator adds."""
+    kept = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in leave]
+    return F.struct(*kept or [F.lit(0).alias("none")]).alias(name)
 
 
 def columns_of(docs: DataFrame, name: str = "row", **instead: Column) -> list[Column]:

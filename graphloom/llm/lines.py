@@ -369,7 +369,7 @@ def drop_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = ["none", "doc", "tag"]
     gone = later.groupBy(*keys).agg(F.collect_set("number").alias("gone"))
     text = F.col(f"`{text_col}`")
-    whole = docs.select(as_one(docs), *_keys(id_col, text_col), text.alias("text")).join(gone.hint("merge"), keys, "left")  # lines that go have no size bound
+    whole = docs.select(as_one(docs, leave=(text_col,)), *_keys(id_col, text_col), text.alias("text")).join(gone.hint("merge"), keys, "left")  # lines that go have no size bound
     # the lines are bound to a variable, so that they are split once
     stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     kept = F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))

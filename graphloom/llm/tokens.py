@@ -117,7 +117,10 @@ class PieceEncoder:
         self._ids[self._used : self._used + len(ids)] = ids
         self._used += len(ids)
         # long pieces (texts without spaces) hardly come again, and their ids would fill the memory
-        self._slot.update((k, first + i) for i, k in enumerate(keys) if len(pieces[i]) <= LONG)
+        if max(map(len, pieces), default=0) > LONG:
+            self._slot.update((k, first + i) for i, k in enumerate(keys) if len(pieces[i]) <= LONG)
+        else:
+            self._slot.update(zip(keys, range(first, first + len(keys)), strict=True))
         return np.arange(first, end)
 
     def encode_flat(self, raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
