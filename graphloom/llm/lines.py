@@ -302,7 +302,9 @@ def _prefixes(rows: DataFrame, least: float) -> DataFrame:
     # written before it meets the rows: a shingle that all lines of a bucket have can then be split in the join
     often = written(found.groupBy("bucket", "shingle").agg(F.count("*").alias("often")).where("often > 1"), "shared-shingles")
     rank = F.row_number().over(Window.partitionBy("bucket", "line").orderBy("often", "shingle"))
-    first = found.join(often, ["bucket", "shingle"]).withColumn("rank", rank).where("rank <= n and often > 1")
+    # shingles that no other line has count for the rank too, and come first
+    each = found.join(often, ["bucket", "shingle"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    first = each.withColumn("rank", rank).where("rank <= n and often > 1")
     return first.select(F.xxhash64("bucket", "shingle").alias("cell"), "line")
 
 
