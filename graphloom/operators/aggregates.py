@@ -70,3 +70,11 @@ def first_names(value: str, order: str, most: int, separator: str = "、") -> Co
     """The first distinct values of a group, joined."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
     return F.array_join(F.slice(F.array_distinct(ordered), 1, most), separator)
+
+
+def top_lists(df: DataFrame, by: list[str], order: list[Column], value: str, most: int, name: str = "top") -> DataFrame:
+    """by, n (rows of the group), and the first `most` values in order as an array: only these are ever gathered."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    firsts = df.withColumn("_place", place).where(F.col("_place") <= most)
+    lists = firsts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", value))), lambda x: x[value]).alias(name))
+    return df.groupBy(*by).agg(F.count("*").alias("n")).join(lists, by)

@@ -102,6 +102,26 @@ def as_of(points: DataFrame, marks: DataFrame, by: list[str], at: str, mark: str
     return last.select("_point.*", *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
+def outside_counts(positions: DataFrame, spans: DataFrame, by: str, at: str = "pos", low: str = "low", high: str = "high") -> DataFrame:
+    """The spans with n_inside and n_outside: positions of their group in [low, high), and all others of the group.
+
+    Positions and the two ends of spans are sorted together once; a span holds what was counted up to its end less what was counted
+    up to its beginning. No position meets a span.
+    """
+    numbered = spans.withColumn("_span", F.struct(*spans.columns))
+    ends = lambda c: numbered.select(by, F.col(c).cast("long").alias("_at"), F.lit(0).alias("_kind"), F.lit(c == high).alias("_end"), "_span")
+    plain = positions.select(by, F.col(at).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(False).alias("_end"), F.lit(None).cast(numbered.schema["_span"].dataType).alias("_span"))
+    # an end stands before the positions at its place: they are at or behind it
+    group = Window.partitionBy(by)
+    so_far = F.sum("_kind").over(group.orderBy("_at", "_kind").rangeBetween(Window.unboundedPreceding, 0))
+    counted = plain.unionByName(ends(low)).unionByName(ends(high)).withColumns({"_before": so_far, "_all": F.sum("_kind").over(group)}).where("_kind = 0")
+    # spans that are equal in all columns are counted together and share the result
+    sides = counted.groupBy("_span").agg(F.min(F.when(~F.col("_end"), F.col("_before"))).alias("_a"), F.min(F.when(F.col("_end"), F.col("_before"))).alias("_b"), F.first("_all").alias("_n"), F.count("*").alias("_k"))
+    n = F.greatest(F.col("_b") - F.col("_a"), F.lit(0))
+    found = sides.select("_span", n.alias("n_inside"), (F.col("_n") - n).alias("n_outside"), F.explode(F.sequence(F.lit(1), (F.col("_k") / 2).cast("int"))).alias("_copy"))
+    return found.select("_span.*", "n_inside", "n_outside")
+
+
 ROUTE = r"^[:*]"
 
 

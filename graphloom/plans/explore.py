@@ -99,8 +99,8 @@ def dead(tables: Tables, kind: str | None = None, limit: int = 40) -> DataFrame:
 
 
 def refresh(spark: SparkSession, root: str, snapshot: str, roots: tuple[str, ...] = (".",)) -> Tables:
-    """Build a tree's graph and save it; notes at the snapshot stay."""
-    tables = ontology.scan_project(spark, root, roots)
+    """Build a tree's graph and save it; notes at the snapshot stay. Facts stay with it: only files that have changed are read for them again."""
+    tables = ontology.scan_project(spark, root, roots, stored=f"{snapshot}/source_facts")
     report.save(tables, snapshot)
     return report.load(spark, snapshot)
 

@@ -87,16 +87,16 @@ def next_routes(files: DataFrame) -> DataFrame:
 
 def build(
     sources: DataFrame, declared: DataFrame | None = None, aliases: dict[str, str] | None = None, go_module: str = "", dart_package: str = "",
-    project: str = "project", paths: DataFrame | None = None, entries: DataFrame | None = None,
+    project: str = "project", paths: DataFrame | None = None, entries: DataFrame | None = None, facts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Object tables, `edges` (in both directions), `cycles`, `unmatched`, `orphans`, `dead`, `unused_exports`, `failed` and `counts`.
 
     sources: read_sources(); declared: read_manifests(); paths: all paths of the tree where they tell a framework; entries:
-    html_entries(). `scan_project` finds all of these.
+    html_entries(); facts: facts.update() of the sources, where they are stored. `scan_project` finds all of these.
     """
     spark = sources.sparkSession
     # one pass over all texts; everything else reads narrow rows of this table by their kind
-    facts = cut(X.collect(sources).sortWithinPartitions("kind"))
+    facts = cut(X.collect(sources).sortWithinPartitions("kind")) if facts is None else facts
     raw = X.files(facts)
     code = cut_all(
         functions=X.functions(facts), kinds=X.types(facts), imports=X.imports(facts), names=X.name_counts(facts), members=X.members(facts), vue_members=X.vue_members(facts), tags=X.tags(facts),
@@ -363,14 +363,19 @@ def whole_imports(imports: DataFrame, resolved: DataFrame, bound: DataFrame) ->
     return direct.unionByName(bound.where("name = '*'").select(F.col("there").alias("path"))).distinct()
 
 
-def scan_project(spark: SparkSession, root: str, roots: tuple[str, ...] = (".",), name: str | None = None) -> dict[str, DataFrame]:
-    """build() over a tree with all that it says about itself: manifests, path aliases, the main Go module, the Dart package, pages' entry scripts."""
+def scan_project(spark: SparkSession, root: str, roots: tuple[str, ...] = (".",), name: str | None = None, stored: str | None = None) -> dict[str, DataFrame]:
+    """build() over a tree with all that it says about itself: manifests, path aliases, the main Go module, the Dart package, pages' entry scripts.
+
+    stored: a folder in which facts stay, so that the next time only changed files are read for facts.
+    """
     found = {r.prefix: r.target for r in P.aliases(spark, root).collect()}  # a line for each alias that configurations name
     go = P.go_modules(spark, root).where("main").select("module").first()
     paths = everything(spark, root).select("path")
     dart = everything(spark, root, "pubspec.yaml").where("path = 'pubspec.yaml'").select(F.regexp_extract("content", r"(?m)^name:\s*(\w+)", 1).alias("name")).first()
     own = name or root.rstrip("/").rsplit("/", 1)[-1]
-    return build(read_sources(spark, root, roots), read_manifests(spark, root), found or None, go.module if go else "", dart.name if dart else "", own, paths, P.html_entries(spark, root))
+    sources = read_sources(spark, root, roots)
+    facts = X.update(sources, stored) if stored else None
+    return build(sources, read_manifests(spark, root), found or None, go.module if go else "", dart.name if dart else "", own, paths, P.html_entries(spark, root), facts)
 
 
 def vue_file_routes(files: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ a table of one sort of facts; a file that nothing is found in gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,13 +17,15 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import resolve as R
 from graphloom.operators.forest import composed
 from graphloom.operators.graph import ancestors
+from graphloom.operators.lineage import cut
 from graphloom.sources.scanner import LANGUAGES, blank, noise, pairs
 
 SCRIPT = ("ts", "tsx", "js", "jsx", "vue")
@@ -47,7 +50,7 @@ class Pattern:
 _TARGET = r"""['"`](/[^'"`\n]*|https?://[^'"`\n]*)['"`]"""
 _WORDS = r"(?:public |private |protected |static |async |override |get |set |@override\s+|[\w<>?,]+ )"
 _MEMBER, _GIVEN = r"([A-Za-z_]\w*)[ \t]*(?:<[^>\n]*>)?", r"\([^\n]*\)[ \t]*"
-_START = r"(?m)^[ \t]*(?!(?:return|await|throw|new|yield|else|case)\b)"
+_START = r"(?m)(?:^|(?<=[{};]))[ \t]*(?!(?:return|await|throw|new|yield|else|case)\b)"
 _CLASSES = ("ts", "tsx", "js", "jsx", "dart")
 #: Kind of fact: where and what.
 PATTERNS = {
@@ -186,10 +189,14 @@ class Text:
             yield name, value, rest
 
 
+def _digest(content: str) -> str:
+    return hashlib.sha256(content.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _facts_of(path: str, ext: str, content: str) -> list[tuple]:
     """(kind, ord, pos, end, inside, groups) of everything found in a text."""
     text = Text(path, ext, content)
-    out = [("file", 0, 0, len(content), 0, [None, str(text.script).lower()])]
+    out = [("file", 0, 0, len(content), 0, [None, str(text.script).lower(), _digest(content)])]
     named = text.code if ext in ("vue", "dart") else text.bare
     out += [("name", i, 0, 0, n, [name]) for i, (name, n) in enumerate(sorted(Counter(_NAME.findall(named)).items()))]
     if text.script:
@@ -209,7 +216,7 @@ def _facts_of(path: str, ext: str, content: str) -> list[tuple]:
         out += [("object", i, int(a), int(b) + 1, 0, [None]) for i, (a, b, _) in enumerate(text.brackets[0])]
     if ext in MARKUP:
         for i, match in enumerate(_TAG.finditer(text.code)):
-            end = text.end_of("tag", match.end())
+            end = match.end() if match.group(1) is None else text.end_of("tag", match.end())
             closed = match.group(1) is None or text.bare[: end - 1].endswith("/")
             out.append(("markup", i, match.start(), end, 0, [match.group(1) or match.group(2), "close" if match.group(1) is None else "single" if closed else "open"]))
             if match.group(1):
@@ -233,7 +240,7 @@ def collect(sources: DataFrame) -> DataFrame:
                 try:
                     rows += _facts_of(path, ext, content.as_py() or "")
                 except Exception as failure:  # whatever is wrong with this file, the others' facts stay
-                    rows.append((path, ext, "file", 0, 0, 0, 1, 1, 0, 0, [str(failure) or type(failure).__name__, "false"]))
+                    rows.append((path, ext, "file", 0, 0, 0, 1, 1, 0, 0, [str(failure) or type(failure).__name__, "false", _digest(content.as_py() or "")]))
                 if len(rows) > 50_000:
                     yield _batch(rows, names)
                     rows = []
@@ -242,6 +249,46 @@ def collect(sources: DataFrame) -> DataFrame:
     return sources.where("content is not null").select("path", "ext", "content").mapInArrow(run, FACTS)
 
 
+#: Parts in which stored facts are replaced.
+BUCKETS = 64
+
+
+def update(sources: DataFrame, folder: str) -> DataFrame:
+    """The facts of sources, stored in a folder: only files whose text has changed since the last time are read for facts again.
+
+    Files are told by the SHA-256 of their text. The table is cut into BUCKETS by path, and only the buckets of files that were
+    changed, added or removed are written anew. A run that is lost half-way leaves buckets that the next run finds and mends.
+    """
+    spark, path = sources.sparkSession, F.col("path")
+    bucket = F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int").alias("bucket")
+    schema = f"{FACTS}, bucket int"
+    if not _exists(spark, folder):
+        collect(sources).select("*", bucket).sortWithinPartitions("bucket", "kind").write.partitionBy("bucket").parquet(folder)
+        return spark.read.schema(schema).parquet(folder).drop("bucket")
+    stored = spark.read.schema(schema).parquet(folder)
+    now = sources.where("content is not null").select("path", F.sha2("content", 256).alias("now"))
+    before = stored.where("kind = 'file'").select("path", F.get("groups", F.lit(2)).alias("before"))
+    changed = cut(now.join(before, "path", "full_outer").where(~F.col("now").eqNullSafe(F.col("before"))).select("path", F.col("now").isNull().alias("gone"), bucket))
+    if not changed.isEmpty():
+        touched = changed.select("bucket").distinct()
+        kept = stored.join(touched, "bucket", "left_semi").join(changed.select("path"), "path", "left_anti").where("kind <> 'bucket'").select(*stored.columns)
+        fresh = collect(sources.join(changed.where("not gone").select("path"), "path", "left_semi")).select("*", bucket)
+        # a bucket whose files are all gone is written too: by a row that is no fact
+        empty = touched.select(*(F.lit("bucket" if c == "kind" else None).cast(stored.schema[c].dataType).alias(c) for c in stored.columns if c != "bucket"), "bucket")
+        rows = cut(kept.unionByName(fresh).unionByName(empty))
+        rows.sortWithinPartitions("bucket", "kind").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+    return spark.read.schema(schema).parquet(folder).where("kind <> 'bucket'").drop("bucket")
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    try:
+        return bool(spark.read.parquet(folder).columns)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = [pa.string()] * 3 + [pa.int32()] * 7 + [pa.list_(pa.string())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)

@@ -21,16 +21,16 @@ _LINE = r"(?P<line>//[^\n]*)"
 _BLOCK = r"(?P<block>/\*(?s:.*?)(?:\*/|\Z))"
 _NEST = r"(?P<nest>/\*)"
 _RUNE = r"(?P<rune>'(?:\\(?:u\{[0-9a-fA-F]*\}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|.)|[^'\\\n])')"
-#: A quote that isn't closed on its line begins no string: it is an apostrophe in markup.
-_ONE_LINE = r"""(?P<plain>"(?:[^"\\\n]++|\\(?s:.))*+"|'(?:[^'\\\n]++|\\(?s:.))*+')"""
+#: A quote that isn't closed on its line, or stands in a word, begins no string: it is an apostrophe in markup.
+_ONE_LINE = r"""(?P<plain>"(?:[^"\\\n]++|\\(?s:.))*+"|(?:(?<!\w)|(?<=\bfrom)|(?<=\bimport)|(?<=\breturn)|(?<=\bcase))'(?:[^'\\\n]++|\\(?s:.))*+')"""
 _REGEX = r"(?P<regex>(?<![\w)\]}\"'`$.<])(?<![\w)\]}\"'`$] )/(?![/*>])(?:[^/\\\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*)"
 #: What may begin in code. Where a string holds code again, only its beginning is matched.
 _BEGINS = {
     "script": re.compile("|".join((r"(?P<line>(?<!:)//[^\n]*)", _BLOCK, _ONE_LINE, r"(?P<open>`)", _REGEX))),
     "vue": re.compile("|".join((r"(?P<markup><!--(?s:.*?)(?:-->|\Z))", r"(?P<line>(?<!:)//[^\n]*)", _BLOCK, _ONE_LINE, r"(?P<open>`)", _REGEX))),
-    "go": re.compile("|".join((_LINE, _BLOCK, r'(?P<plain>"(?:[^"\\]++|\\(?s:.))*+(?:"|\Z)|`[^`]*+(?:`|\Z))', _RUNE))),
+    "go": re.compile("|".join((_LINE, _BLOCK, r'(?P<plain>"(?:[^"\\]++|\\(?s:.)?+)*+(?:"|\Z)|`[^`]*+(?:`|\Z))', _RUNE))),
     "dart": re.compile("|".join((_LINE, _NEST, r"""(?P<plain>\br(?:'''(?s:.*?)(?:'''|\Z)|\"\"\"(?s:.*?)(?:\"\"\"|\Z)|'[^'\n]*'|"[^"\n]*"))""", r"""(?P<open>'''|\"\"\"|'|")"""))),
-    "rust": re.compile("|".join((_LINE, _NEST, r"""(?P<plain>\bb?r(?P<marks>#*)"(?s:.*?)(?:"(?P=marks)|\Z)|\bb?"(?:[^"\\]++|\\(?s:.))*+(?:"|\Z)|"(?:[^"\\]++|\\(?s:.))*+(?:"|\Z))""", _RUNE))),
+    "rust": re.compile("|".join((_LINE, _NEST, r"""(?P<plain>\bb?r(?P<marks>#*)"(?s:.*?)(?:"(?P=marks)|\Z)|\bb?"(?:[^"\\]++|\\(?s:.)?+)*+(?:"|\Z)|"(?:[^"\\]++|\\(?s:.)?+)*+(?:"|\Z))""", _RUNE))),
 }
 _COMMENTS = ("line", "block", "nest", "markup")
 _NESTED = re.compile(r"/\*|\*/")
