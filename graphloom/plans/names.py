@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.functions.text import url_path
 from graphloom.operators.resolve import glob_match, glob_regex, normal_route
 from graphloom.plans.registry import Catalogue, read
 from graphloom.sources.markup import page_links, page_tags
@@ -108,13 +109,20 @@ def version_compare(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", (T.version_parts(version) > T.version_parts(F.lit("25.3.1"))).alias("newer"))
 
 
-SEGMENTS = ("(group)", "@slot", "[id]", "[...rest]", "[[...rest]]", "plain")
-_NEXT = {"(group)": "", "@slot": "", "[id]": ":id", "[...rest]": ":rest*", "[[...rest]]": ":rest?", "plain": "plain"}
+_MARKED = "(SELECT page_id, unnest(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) AS s FROM pages)"
 
 
-@C.add("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _NEXT.items()) + ") t(segment, route)")
+@C.add(f"""SELECT DISTINCT segment, CASE kind WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN ':' || s WHEN 3 THEN ':' || s || '*' WHEN 4 THEN ':' || s || '?' ELSE s END AS route FROM (SELECT s, page_id % 6 AS kind,
+CASE page_id % 6 WHEN 0 THEN '(' || s || ')' WHEN 1 THEN '@' || s WHEN 2 THEN '[' || s || ']' WHEN 3 THEN '[...' || s || ']' WHEN 4 THEN '[[...' || s || ']]' ELSE s END AS segment FROM {_MARKED})""")
 def next_segments(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SEGMENTS], "segment string").select("segment", T.next_segment(F.col("segment")).alias("route"))
+    """Segments of all urls as a file convention spells groups, slots, parameters and plain ones, and the routes that these mean."""
+    s = F.col("s")
+    rows = read(spark, d, "pages").select("page_id", F.explode(F.filter(F.split(url_path(F.col("url")), "/"), lambda x: x != "")).alias("s"))
+    marks = [("(", ")"), ("@", ""), ("[", "]"), ("[...", "]"), ("[[...", "]]")]
+    segment = s
+    for i, (before, after) in enumerate(marks):
+        segment = F.when(F.col("page_id") % 6 == i, F.concat(F.lit(before), s, F.lit(after))).otherwise(segment)
+    return rows.select(segment.alias("segment")).distinct().select("segment", T.next_segment(F.col("segment")).alias("route"))
 
 
 QUERIES, ORACLE_SQL = C.queries, C.sql

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import annotations as N
 from graphloom.operators import links as L
 from graphloom.operators.where import query, where
+from graphloom.plans.explore import by_keyword
 from graphloom.plans.registry import Catalogue, read
 
 C = Catalogue()
@@ -72,8 +73,7 @@ def query_total(spark: SparkSession, d: str) -> DataFrame:
 @C.add("""SELECT p_partkey, p_name, p_type FROM part WHERE len(list_filter([p_name, p_brand, p_type, CAST(p_partkey AS VARCHAR)], lambda x: contains(lower(x), 'econ'))) > 0
 ORDER BY p_partkey LIMIT 20""")
 def query_keyword(spark: SparkSession, d: str) -> DataFrame:
-    texts = F.array("p_name", "p_brand", "p_type", F.col("p_partkey").cast("string"))
-    return read(spark, d, "part").where(F.exists(texts, lambda x: F.contains(F.lower(x), F.lit("econ")))).orderBy("p_partkey").limit(20).select("p_partkey", "p_name", "p_type")
+    return by_keyword(read(spark, d, "part"), "econ", ("p_name", "p_brand", "p_type", "p_partkey"), "p_partkey").select("p_partkey", "p_name", "p_type")
 
 
 @C.add(" UNION ALL ".join(f"SELECT '{t}' AS type, count(*) AS n FROM {t}" for t in TABLES))
