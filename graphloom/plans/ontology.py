@@ -99,10 +99,10 @@ def build(
     facts = cut(X.collect(sources).sortWithinPartitions("kind")) if facts is None else facts
     raw = X.files(facts)
     code = cut_all(
-        functions=X.functions(facts), kinds=X.types(facts), imports=X.imports(facts), names=X.name_counts(facts), members=X.members(facts), vue_members=X.vue_members(facts), tags=X.tags(facts),
-        stores=X.stores(facts), services=X.services(facts), calls=X.http_calls(facts), navigations=X.navigations(facts), props=X.prop_sites(facts), bodies=K.bodies(facts),
-        written=lambda: X.router_routes(facts), served=lambda: X.go_routes(facts), chains=lambda: command_chains(*X.commands(facts)), titles=X.titles(facts),
-        meta=X.script_meta(facts), api=X.script_api_calls(facts), spans=U.spans(facts), lines=U.lines(facts), globbed=X.globbed(facts), failed=raw.where("error is not null").select("path", "error"),
+        functions=lambda: X.functions(facts), kinds=lambda: X.types(facts), imports=lambda: X.imports(facts), names=lambda: X.name_counts(facts), members=lambda: X.members(facts), vue_members=lambda: X.vue_members(facts), tags=lambda: X.tags(facts),
+        stores=lambda: X.stores(facts), services=lambda: X.services(facts), calls=lambda: X.http_calls(facts), navigations=lambda: X.navigations(facts), props=lambda: X.prop_sites(facts), bodies=lambda: K.bodies(facts),
+        written=lambda: X.router_routes(facts), served=lambda: X.go_routes(facts), chains=lambda: command_chains(*X.commands(facts)), titles=lambda: X.titles(facts),
+        meta=lambda: X.script_meta(facts), api=lambda: X.script_api_calls(facts), spans=lambda: U.spans(facts), lines=lambda: U.lines(facts), globbed=lambda: X.globbed(facts), failed=raw.where("error is not null").select("path", "error"),
     )
     functions, kinds, imports, names, meta, api, spans = (code[k] for k in ("functions", "kinds", "imports", "names", "meta", "api", "spans"))
 
@@ -115,9 +115,9 @@ def build(
     entities = L.unique_ids(kinds.withColumn("base", F.concat(F.when(F.col("entity") == "interface", "iface:").otherwise("class:"), "path", F.lit("#"), "name")), "base", "low").drop("base", "ord")
     first_wave = cut_all(
         units=units.withColumn("kind", T.kind_of(F.col("name"))).drop("base").withColumnRenamed("low", "ord"),
-        hooks=named(functions.where(F.col("exported") & F.col("name").rlike("^use[A-Z]")), "hook:", "low").select("id", "name", "path"),
-        stores=named(code["stores"], "store:", "ord").select("id", "name", "path", "provider"), services=named(code["services"], "svc:", "ord").select("id", "name", "path", "pattern"), entities=entities,
-        resolved=resolve_imports(imports, raw, aliases or {"@/": "src/"}, go_module, dart_package), events=U.events(code["lines"], spans), sites=K.sites(facts, code["bodies"]),
+        hooks=lambda: named(functions.where(F.col("exported") & F.col("name").rlike("^use[A-Z]")), "hook:", "low").select("id", "name", "path"),
+        stores=lambda: named(code["stores"], "store:", "ord").select("id", "name", "path", "provider"), services=lambda: named(code["services"], "svc:", "ord").select("id", "name", "path", "pattern"), entities=entities,
+        resolved=lambda: resolve_imports(imports, raw, aliases or {"@/": "src/"}, go_module, dart_package), events=lambda: U.events(code["lines"], spans), sites=lambda: K.sites(facts, code["bodies"]),
     )
     entities, resolved, events, hooks, stores, services = (first_wave[k] for k in ("entities", "resolved", "events", "hooks", "stores", "services"))
     places, components = first_wave["units"], first_wave["units"].drop("high")
@@ -133,7 +133,7 @@ def build(
     layer = file_layer(F.col("path"), script=F.col("is_script"), test=F.col("is_test"), entry=F.col("is_entry"), components=F.col("n_components"), stores=F.col("n_stores"), hooks=F.col("n_hooks"))
     files = files.select(F.concat(F.lit("file:"), "path").alias("id"), T.base_name(F.col("path")).alias("name"), "*", layer.alias("layer"), T.dir_name(F.col("path")).alias("folder"))
     exported = reduce(DataFrame.unionByName, (df.select("path", "name") for df in (functions.where("exported"), entities.where("exported"), stores, components))).distinct()
-    scripts = cut_all(files=files, bound=lambda: follow_bindings(X.bindings(imports), resolved, exported), injected=U.injections(events, U.anchors(code["lines"])), net=U.endpoints(events, meta), script_edges=U.call_edges(events, spans))
+    scripts = cut_all(files=files, bound=lambda: follow_bindings(X.bindings(imports), resolved, exported), injected=lambda: U.injections(events, U.anchors(code["lines"])), net=lambda: U.endpoints(events, meta), script_edges=lambda: U.call_edges(events, spans))
     files, bound, injected, net, script_edges = (scripts[k] for k in ("files", "bound", "injected", "net", "script_edges"))
     above = files.select("path", "layer", F.explode(G.ancestors(F.col("folder"))).alias("module"))
     modules = A.dominant(above, "module", "layer").select(F.concat(F.lit("mod:"), "module").alias("id"), F.col("module").alias("path"), F.col("dominant").alias("layer"), F.col("total").alias("n_files"))
@@ -141,78 +141,88 @@ def build(
 
     # imports and packages
     file_id = lambda c: F.concat(F.lit("file:"), c)
-    edges = [L.edges(resolved.where("target is not null and target <> path"), "imports", file_id("path"), file_id("target"), F.lit(0))]
+    imported = L.edges(resolved.where("target is not null and target <> path"), "imports", file_id("path"), file_id("target"), F.lit(0))
+    # what edges are made of; they are put together at the end, beside other tables
+    edges: list[tuple] = []
     used = resolved.where("package is not null").groupBy(F.col("package").alias("name")).agg(F.countDistinct("path").alias("import_count"))
     declared = declared if declared is not None else spark.createDataFrame([], "name string, version string, scope string, source string")
     packages = used.join(declared, "name", "full_outer").select(
         F.concat(F.lit("dep:"), "name").alias("id"), "name", "version", "scope", F.coalesce("source", F.lit("undeclared")).alias("source"), F.coalesce("import_count", F.lit(0)).alias("import_count"), F.col("import_count").isNotNull().alias("used")
     )
-    edges.append(L.edges(resolved.where("package is not null"), "imports", file_id("path"), F.concat(F.lit("dep:"), "package"), F.lit(1)))
+    edges.append((resolved.where("package is not null"), "imports", file_id("path"), F.concat(F.lit("dep:"), "package"), F.lit(1)))
 
-    # types and what they inherit: the file's own name first, then the one that a named import leads to, one of an imported file, one that only one file has
-    alone = F.count("*").over(Window.partitionBy("name")) == 1
-    targets = entities.select(F.col("id").alias("dst_id"), F.col("name").alias("told"), F.col("path").alias("there"), F.col("entity").alias("dst_entity"), alone.alias("alone"))
-    listed = entities.select("id", "path", F.explode(F.concat(F.transform("extends", lambda x: F.struct(F.lit("extends").alias("link"), x.alias("wanted"))), F.transform("implements", lambda x: F.struct(F.lit("implements").alias("link"), x.alias("wanted"))))).alias("x")).select("id", "path", "x.*")
     through = resolved.where("target is not null").select("path", F.col("target").alias("there"), F.lit(1).alias("imported")).distinct()
-    by_name = listed.withColumn("told", F.col("wanted")).join(targets, "told").join(through, ["path", "there"], "left")
-    rank = F.when(F.col("path") == F.col("there"), 0).when(F.col("imported") == 1, 2).when(F.col("alone"), 3)
-    by_name = by_name.withColumn("rank", rank).where("rank is not null").select("id", "link", "wanted", "dst_id", "dst_entity", "rank")
-    by_import = listed.join(bound.select("path", F.col("local").alias("wanted"), "there", F.col("name").alias("told")), ["path", "wanted"]).join(targets, ["there", "told"]).select("id", "link", "wanted", "dst_id", "dst_entity", F.lit(1).alias("rank"))
-    inherits = by_name.unionByName(by_import).where("id <> dst_id").groupBy("id", "link", "wanted").agg(F.min_by(F.struct("dst_id", "dst_entity"), F.struct("rank", "dst_id")).alias("x")).select("id", "link", "x.dst_id")
 
-    # methods
-    owned = code["members"].unionByName(functions.where("owner is not null").select("path", "owner", F.col("low").alias("ord"), "name"))
-    method_id = F.concat(F.lit("method:"), "path", F.lit("#"), "owner", F.lit("#"), "name")
-    methods = L.unique_ids(owned.withColumn("base", method_id), "base", "ord").select("id", "name", "path", F.col("owner"), F.lit("class").alias("owner_kind"), F.col("name").rlike("^[A-Z]").alias("exported"))
-    loose = functions.where("owner is null").select(F.concat(F.lit("method:"), "path", F.lit("#"), "name").alias("id"), "name", "path", F.lit(None).cast("string").alias("owner"), F.lit("module").alias("owner_kind"), "exported")
-    methods = methods.unionByName(loose).dropDuplicates(["id"])
-    # a Go method may stand in another file of its type's folder
-    folder = T.dir_name(F.col("path")).alias("folder")
-    own = entities.select(F.col("id").alias("owner_id"), F.col("path").alias("there"), F.col("name").alias("owner"), folder, F.when(F.col("entity") == "interface", "interface").otherwise("class").alias("owner_is"))
-    near = methods.where("owner is not null").select("id", "path", "owner", folder).join(own, ["folder", "owner"]).where((F.col("path") == F.col("there")) | F.endswith("path", F.lit(".go")))
-    near = near.groupBy("id").agg(F.min_by(F.struct("owner_id", "owner_is"), F.struct(F.col("path") != F.col("there"), "owner_id")).alias("x")).select("id", "x.owner_id", "x.owner_is")
-    methods = methods.join(near, "id", "left").withColumn("owner_kind", F.coalesce("owner_is", "owner_kind")).drop("owner_is")
-    # a single-file component is a class too, with its methods
+    # types and what they inherit: the file's own name first, then the one that a named import leads to, one of an imported file, one that only one file has
+    def inherited() -> DataFrame:
+        alone = F.count("*").over(Window.partitionBy("name")) == 1
+        targets = entities.select(F.col("id").alias("dst_id"), F.col("name").alias("told"), F.col("path").alias("there"), F.col("entity").alias("dst_entity"), alone.alias("alone"))
+        listed = entities.select("id", "path", F.explode(F.concat(F.transform("extends", lambda x: F.struct(F.lit("extends").alias("link"), x.alias("wanted"))), F.transform("implements", lambda x: F.struct(F.lit("implements").alias("link"), x.alias("wanted"))))).alias("x")).select("id", "path", "x.*")
+        by_name = listed.withColumn("told", F.col("wanted")).join(targets, "told").join(through, ["path", "there"], "left")
+        rank = F.when(F.col("path") == F.col("there"), 0).when(F.col("imported") == 1, 2).when(F.col("alone"), 3)
+        by_name = by_name.withColumn("rank", rank).where("rank is not null").select("id", "link", "wanted", "dst_id", "dst_entity", "rank")
+        by_import = listed.join(bound.select("path", F.col("local").alias("wanted"), "there", F.col("name").alias("told")), ["path", "wanted"]).join(targets, ["there", "told"]).select("id", "link", "wanted", "dst_id", "dst_entity", F.lit(1).alias("rank"))
+        inherits = by_name.unionByName(by_import).where("id <> dst_id").groupBy("id", "link", "wanted").agg(F.min_by(F.struct("dst_id", "dst_entity"), F.struct("rank", "dst_id")).alias("x")).select("id", "link", "x.dst_id")
+        return inherits
+
+    # a single-file component is a class too, with methods
     shaped = F.regexp_replace("id", "^comp:", "vclass:").alias("id")
     none = F.array().cast("array<string>")
     vue_classes = components.where(F.endswith("path", F.lit(".vue"))).select(shaped, "path", F.lit("vue").alias("ext"), "name", F.lit("class").alias("entity"), F.lit("component").alias("kind"), F.lit(True).alias("exported"), none.alias("extends"), none.alias("implements"))
-    of_class = code["vue_members"].withColumnRenamed("name", "member").join(vue_classes.select(F.col("id").alias("owner_id"), "path", "name"), "path")
-    bare = F.regexp_replace("owner_id", "^vclass:", "")
-    vue_methods = of_class.select(F.concat(F.lit("vmethod:"), bare, F.lit("."), "member").alias("id"), F.col("member").alias("name"), "path", F.col("name").alias("owner"), F.lit("class").alias("owner_kind"), F.lit(True).alias("exported"), "owner_id")
-    methods = methods.where(~F.endswith("path", F.lit(".vue"))).unionByName(vue_methods)
+
+    # methods
+    def owned_methods() -> DataFrame:
+        owned = code["members"].unionByName(functions.where("owner is not null").select("path", "owner", F.col("low").alias("ord"), "name"))
+        method_id = F.concat(F.lit("method:"), "path", F.lit("#"), "owner", F.lit("#"), "name")
+        methods = L.unique_ids(owned.withColumn("base", method_id), "base", "ord").select("id", "name", "path", F.col("owner"), F.lit("class").alias("owner_kind"), F.col("name").rlike("^[A-Z]").alias("exported"))
+        loose = functions.where("owner is null").select(F.concat(F.lit("method:"), "path", F.lit("#"), "name").alias("id"), "name", "path", F.lit(None).cast("string").alias("owner"), F.lit("module").alias("owner_kind"), "exported")
+        methods = methods.unionByName(loose).dropDuplicates(["id"])
+        # a Go method may stand in another file of its type's folder
+        folder = T.dir_name(F.col("path")).alias("folder")
+        own = entities.select(F.col("id").alias("owner_id"), F.col("path").alias("there"), F.col("name").alias("owner"), folder, F.when(F.col("entity") == "interface", "interface").otherwise("class").alias("owner_is"))
+        near = methods.where("owner is not null").select("id", "path", "owner", folder).join(own, ["folder", "owner"]).where((F.col("path") == F.col("there")) | F.endswith("path", F.lit(".go")))
+        near = near.groupBy("id").agg(F.min_by(F.struct("owner_id", "owner_is"), F.struct(F.col("path") != F.col("there"), "owner_id")).alias("x")).select("id", "x.owner_id", "x.owner_is")
+        methods = methods.join(near, "id", "left").withColumn("owner_kind", F.coalesce("owner_is", "owner_kind")).drop("owner_is")
+        of_class = code["vue_members"].withColumnRenamed("name", "member").join(vue_classes.select(F.col("id").alias("owner_id"), "path", "name"), "path")
+        bare = F.regexp_replace("owner_id", "^vclass:", "")
+        vue_methods = of_class.select(F.concat(F.lit("vmethod:"), bare, F.lit("."), "member").alias("id"), F.col("member").alias("name"), "path", F.col("name").alias("owner"), F.lit("class").alias("owner_kind"), F.lit(True).alias("exported"), "owner_id")
+        methods = methods.where(~F.endswith("path", F.lit(".vue"))).unionByName(vue_methods)
+        return methods
 
     # routes as they are written, with the words of their pages
     no_text, no_list = F.lit(None).cast("string"), none
-    route = lambda df, base, route, kind, method, handler, ord_, parents: df.select(F.concat(*base).alias("base"), route.alias("route"), kind.alias("kind"), "path", method.alias("method"), handler.alias("handler"), ord_.alias("ord"), parents.alias("parents"))
-    word = F.lit("route:")
-    served, written = code["served"], code["written"]
-    vue_pages = vue_file_routes(raw).join(written.select("path").distinct(), "path", "left_anti")
-    routes = reduce(DataFrame.unionByName, (
-        route(next_routes(raw), (word, "route"), F.col("route"), F.col("kind"), no_text, no_text, F.lit(0), no_list),
-        route(served, (word, "method", F.lit(" "), "route"), F.col("route"), F.lit("http"), F.col("method"), F.col("handler"), F.col("ord"), F.col("middlewares")),
-        route(written, (word, "route"), F.col("route"), F.col("kind"), no_text, F.col("component"), F.col("ord"), F.col("parents")),
-        route(code["chains"], (F.lit("route:go-cli:"), "chain"), F.col("chain"), F.lit("command"), no_text, F.col("command"), F.lit(0), no_list),
-        route(vue_pages, (word, "route"), F.col("route"), F.lit("vue-file"), no_text, no_text, F.lit(0), no_list),
-    ))
-    routes = L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", F.struct("path", "ord", "route"))
+
+    def spelled_routes() -> DataFrame:
+        route = lambda df, base, route, kind, method, handler, ord_, parents: df.select(F.concat(*base).alias("base"), route.alias("route"), kind.alias("kind"), "path", method.alias("method"), handler.alias("handler"), ord_.alias("ord"), parents.alias("parents"))
+        word = F.lit("route:")
+        served, written = code["served"], code["written"]
+        vue_pages = vue_file_routes(raw).join(written.select("path").distinct(), "path", "left_anti")
+        routes = reduce(DataFrame.unionByName, (
+            route(next_routes(raw), (word, "route"), F.col("route"), F.col("kind"), no_text, no_text, F.lit(0), no_list),
+            route(served, (word, "method", F.lit(" "), "route"), F.col("route"), F.lit("http"), F.col("method"), F.col("handler"), F.col("ord"), F.col("middlewares")),
+            route(written, (word, "route"), F.col("route"), F.col("kind"), no_text, F.col("component"), F.col("ord"), F.col("parents")),
+            route(code["chains"], (F.lit("route:go-cli:"), "chain"), F.col("chain"), F.lit("command"), no_text, F.col("command"), F.lit(0), no_list),
+            route(vue_pages, (word, "route"), F.col("route"), F.lit("vue-file"), no_text, no_text, F.lit(0), no_list),
+        ))
+        routes = L.unique_ids(routes, "base", "path", "ord").drop("base").withColumn("ord", F.struct("path", "ord", "route"))
+        return routes
 
     second = cut_all(
-        modules=modules, packages=packages, inherits=inherits, methods=methods, routes=routes, between=edges[0].select("src_id", "dst_id").distinct(),
-        functions_of=U.script_functions(spans, events, script_edges, names), risks=U.risks(events, api, injected, net, meta),
-        owners=owners(code["tags"].select("path", "pos").unionByName(code["props"].select("path", "pos")).distinct(), places),
+        modules=modules, packages=packages, inherits=inherited, methods=owned_methods, routes=spelled_routes, between=imported.select("src_id", "dst_id").distinct(),
+        functions_of=lambda: U.script_functions(spans, events, script_edges, names), risks=lambda: U.risks(events, api, injected, net, meta),
+        owners=lambda: owners(code["tags"].select("path", "pos").unionByName(code["props"].select("path", "pos")).distinct(), places),
     )
     modules, packages, inherits, methods, routes, between, functions_of, risks = (second[k] for k in ("modules", "packages", "inherits", "methods", "routes", "between", "functions_of", "risks"))
-    edges.append(L.edges(inherits.where("link = 'extends'"), "extends", "id", "dst_id", F.lit(0)))
-    edges.append(L.edges(inherits.where("link = 'implements'"), "implements", "id", "dst_id", F.lit(0)))
-    edges.append(L.edges(vue_classes, "contains", file_id("path"), "id", F.lit(6)))
-    edges.append(L.edges(methods.where("owner_id is not null"), "contains", "owner_id", "id", F.lit(0)))
+    edges.append((inherits.where("link = 'extends'"), "extends", "id", "dst_id", F.lit(0)))
+    edges.append((inherits.where("link = 'implements'"), "implements", "id", "dst_id", F.lit(0)))
+    edges.append((vue_classes, "contains", file_id("path"), "id", F.lit(6)))
+    edges.append((methods.where("owner_id is not null"), "contains", "owner_id", "id", F.lit(0)))
     member_of = methods.where("owner_id is not null").select("id", "name", "owner_id")
     parents = member_of.select(F.col("id").alias("dst_id"), "name", F.col("owner_id").alias("parent"))
     overriding = member_of.join(inherits.select(F.col("id").alias("owner_id"), F.col("dst_id").alias("parent")), "owner_id").join(parents, ["parent", "name"])
-    edges.append(L.edges(overriding, "overrides", "id", "dst_id", F.lit(0)))
+    edges.append((overriding, "overrides", "id", "dst_id", F.lit(0)))
     last = F.regexp_extract("spec", r"([^/]+?)(?:/v[0-9]+)?$", 1).alias("name")
     spoken = resolved.select("path", "target", "package_folder", last)
-    called = K.resolve(first_wave["sites"], methods, spoken, components)
 
     # what renders what, by the component around a tag; a name means what the file declares or a named import leads to, else a component of an imported file
     owner = second["owners"]
@@ -221,33 +231,35 @@ def build(
     meant = component_names(told, reach, bound)
     tagged = code["tags"].withColumn("local", T.pascal_case(F.col("tag"))).join(owner, ["path", "pos"])
     rendered = tagged.join(meant, ["path", "local"]).where("src_id <> dst_id").select("src_id", "dst_id").distinct()
-    described = code["titles"].groupBy("path").agg(F.min_by("title", "ord").alias("description"))
-    served_by = K.handlers(routes.where("kind = 'http'").select("id", "path", "handler"), methods, spoken, components)
-    around = raw.where(F.col("path").rlike(r"(^|/)app/(.*/)?layout\.[jt]sx?$")).select(T.dir_name(F.col("path")).alias("folder"), F.col("path").alias("layout"))
-    routes = routes.withColumn("domain", T.route_domain(F.col("route"))).join(described, "path", "left").join(served_by, "id", "left")
-    routes = R.layout_chain(routes, around)
-    # nested routes have the components around them as layouts, served ones their middlewares
-    routes = routes.withColumn("layouts", F.when(F.col("kind").isin("jsx", "record"), F.col("parents")).otherwise(F.col("chain"))).withColumn("middlewares", F.when(F.col("kind") == "http", F.col("parents")).otherwise(none)).drop("parents", "chain")
+    def placed_routes() -> DataFrame:
+        described = code["titles"].groupBy("path").agg(F.min_by("title", "ord").alias("description"))
+        served_by = K.handlers(routes.where("kind = 'http'").select("id", "path", "handler"), methods, spoken, components)
+        around = raw.where(F.col("path").rlike(r"(^|/)app/(.*/)?layout\.[jt]sx?$")).select(T.dir_name(F.col("path")).alias("folder"), F.col("path").alias("layout"))
+        rows = routes.withColumn("domain", T.route_domain(F.col("route"))).join(described, "path", "left").join(served_by, "id", "left")
+        rows = R.layout_chain(rows, around)
+        # nested routes have the components around them as layouts, served ones their middlewares
+        return rows.withColumn("layouts", F.when(F.col("kind").isin("jsx", "record"), F.col("parents")).otherwise(F.col("chain"))).withColumn("middlewares", F.when(F.col("kind") == "http", F.col("parents")).otherwise(none)).drop("parents", "chain")
+
     sites = code["props"].withColumn("local", F.col("tag")).join(owner, ["path", "pos"])
     given = sites.join(meant, ["path", "local"]).where("src_id <> dst_id")
-    third = cut_all(called=called, rendered=rendered, routes=routes, props=A.priority_merge(given, ["src_id", "dst_id", "name"], "source", X.PROP_RANKS, "ord"))
+    third = cut_all(called=lambda: K.resolve(first_wave["sites"], methods, spoken, components), rendered=rendered, routes=placed_routes, props=lambda: A.priority_merge(given, ["src_id", "dst_id", "name"], "source", X.PROP_RANKS, "ord"))
     called, rendered, routes, props = (third[k] for k in ("called", "rendered", "routes", "props"))
-    edges.append(L.edges(called, "calls", "src_id", "dst_id", F.lit(0)))
-    edges.append(L.edges(rendered, "renders", "src_id", "dst_id", F.lit(0)))
-    edges.append(L.edges(props, "passesProps", "src_id", "dst_id", F.lit(0)).distinct())
+    edges.append((called, "calls", "src_id", "dst_id", F.lit(0)))
+    edges.append((rendered, "renders", "src_id", "dst_id", F.lit(0)))
+    edges.append((props, "passesProps", "src_id", "dst_id", F.lit(0)))
     calls = code["calls"].select("path", "method", F.regexp_replace(F.col("url"), r"^https?://[^/]+", "").alias("url"), "ord").where("url <> ''")
     served_routes, seen = routes.where("kind in ('api', 'http')"), routes.where("kind not in ('api', 'http', 'command')")
     wanted = routes.select("id", "path", F.col("handler").alias("local")).where("local is not null").join(meant, ["path", "local"]).select("id", "path", "dst_id").distinct()
     shows = seen.select(F.col("id").alias("src_id"), "path").unionByName(wanted.join(told.select("dst_id", F.col("there").alias("shown")), "dst_id").select(F.col("id").alias("src_id"), F.col("shown").alias("path"))).distinct()
-    edges.append(L.edges(routes, "registers", "id", file_id("path"), F.lit(1)))
-    edges.append(L.edges(wanted, "registers", "id", "dst_id", F.lit(0)))
+    edges.append((routes, "registers", "id", file_id("path"), F.lit(1)))
+    edges.append((wanted, "registers", "id", "dst_id", F.lit(0)))
 
     # what files use of stores and hooks they import, and with them the file's components
     reads = resolved.where("target is not null").select("path", F.col("target").alias("there")).distinct()
     for link, df in (("usesStore", stores), ("usesHook", hooks)):
         held = reads.join(df.select(F.col("id").alias("dst_id"), F.col("path").alias("there")), "there")
-        edges.append(L.edges(held, link, file_id("path"), "dst_id", F.lit(0)))
-        edges.append(L.edges(held.join(components.select("id", "path"), "path"), link, "id", "dst_id", F.lit(0)))
+        edges.append((held, link, file_id("path"), "dst_id", F.lit(0)))
+        edges.append((held.join(components.select("id", "path"), "path"), link, "id", "dst_id", F.lit(0)))
 
     # user scripts: what they call, inject and reach, and their own functions
     us = F.concat(F.lit("us:"), "path")
@@ -264,37 +276,37 @@ def build(
     user_scripts, domain_names, shows, matched, led = (fourth[k] for k in ("user_scripts", "domain_names", "shows", "matched", "led"))
     asked = matched.where("pattern is not null").join(served_routes.select(F.col("route").alias("pattern"), F.col("id").alias("route_id")), "pattern").select("path", "method", "url", "route_id").distinct()
     led = led.join(seen.select(F.col("route").alias("pattern"), F.col("id").alias("dst_id")), "pattern").join(shows, "path").where("src_id <> dst_id")
-    edges.append(L.edges(led, "navigatesTo", "src_id", "dst_id", F.lit(0)).distinct())
+    edges.append((led, "navigatesTo", "src_id", "dst_id", F.lit(0)))
     for n, (link, df) in enumerate((("", functions_of), ("usesGmApi", gm), ("injectsInto", injected), ("requestsTo", net))):
         if link:
-            edges.append(L.edges(df, link, us, "id", F.lit(0)))
-        edges.append(L.edges(df, "contains", us, "id", F.lit(n)))
+            edges.append((df, link, us, "id", F.lit(0)))
+        edges.append((df, "contains", us, "id", F.lit(n)))
     fn_id = lambda c: F.concat(F.lit("fn:"), "path", F.lit("#"), c)
-    edges.append(L.edges(script_edges.where("src is not null"), "calls", fn_id("src"), fn_id("dst"), F.lit(0)))
+    edges.append((script_edges.where("src is not null"), "calls", fn_id("src"), fn_id("dst"), F.lit(0)))
 
     # domains
     kinds_of = {"component": components, "store": stores, "hook": hooks, "service": services, "script": user_scripts}
     units = reduce(DataFrame.unionByName, (df.select("id", "path", F.lit(k).alias("kind")) for k, df in kinds_of.items()))
     members = cut(S.memberships(domain_names, routes.where("kind <> 'command'").select("id", "domain"), modules.select("id", "path"), files.select("id", "path"), shows.select(F.col("src_id").alias("id"), "path"), units))
-    edges.append(L.edges(members.where("kind <> 'file'"), "belongsTo", "id", "domain_id", F.lit(0)))
-    edges.append(L.edges(members.where("kind = 'script'").join(functions_of.select(us.alias("id"), F.col("id").alias("fn")), "id"), "belongsTo", "fn", "domain_id", F.lit(0)))
+    edges.append((members.where("kind <> 'file'"), "belongsTo", "id", "domain_id", F.lit(0)))
+    edges.append((members.where("kind = 'script'").join(functions_of.select(us.alias("id"), F.col("id").alias("fn")), "id"), "belongsTo", "fn", "domain_id", F.lit(0)))
 
     # containment, in the order: domains and modules, files, units
     proj = F.lit(f"proj:{project}")
-    edges.append(L.edges(domain_names.select(F.concat(F.lit("dom:"), "name").alias("id")), "contains", proj, "id", F.lit(0)))
-    edges.append(L.edges(modules.where("parent_id is null"), "contains", proj, "id", F.lit(1)))
-    edges.append(L.edges(modules.where("parent_id is not null"), "contains", "parent_id", "id", F.lit(0)))
-    edges.append(L.edges(files.where("folder <> ''"), "contains", F.concat(F.lit("mod:"), "folder"), "id", F.lit(1)))
+    edges.append((domain_names.select(F.concat(F.lit("dom:"), "name").alias("id")), "contains", proj, "id", F.lit(0)))
+    edges.append((modules.where("parent_id is null"), "contains", proj, "id", F.lit(1)))
+    edges.append((modules.where("parent_id is not null"), "contains", "parent_id", "id", F.lit(0)))
+    edges.append((files.where("folder <> ''"), "contains", F.concat(F.lit("mod:"), "folder"), "id", F.lit(1)))
     for n, df in enumerate((components, hooks, stores, services, entities, methods, user_scripts), 2):
-        edges.append(L.edges(df, "contains", file_id("path"), "id", F.lit(n)))
+        edges.append((df, "contains", file_id("path"), "id", F.lit(n)))
     inside = between.where(F.startswith("dst_id", F.lit("file:")))
     whole = whole_imports(imports, resolved, bound)
-    dead_there = dead_types(entities, functions, methods, names, whole, files).unionByName(K.dead_go(entities.select("id", "name", "path", "exported").unionByName(methods.where("owner_kind <> 'interface'").select("id", "name", "path", "exported")), names))
+    dead_there = lambda: dead_types(entities, functions, methods, names, whole, files).unionByName(K.dead_go(entities.select("id", "name", "path", "exported").unionByName(methods.where("owner_kind <> 'interface'").select("id", "name", "path", "exported")), names))
     given_or_taken = L.degrees(props).select("id", F.col("n_out").alias("n_props_out"), F.col("n_in").alias("n_props_in"))
     fifth = cut_all(
-        edges=L.with_inverse(reduce(DataFrame.unionByName, edges).distinct()), domains=S.domains(domain_names, members, files, routes), profiles=S.module_profiles(modules, files, units, routes, inside),
-        components=components.join(given_or_taken, "id", "left").na.fill(0, ["n_props_out", "n_props_in"]), cycles=lambda: G.strong_components(inside), orphans=orphans(files, inside, routes, code["globbed"]),
-        dead=dead_there.dropDuplicates(["id"]).unionByName(functions_of.where("dead").select("id", F.lit("nothing calls it").alias("reason"))), unused=unused_exports(functions, entities, bound, whole, files, inside, names), asked=asked,
+        edges=lambda: L.with_inverse(reduce(DataFrame.unionByName, (L.edges(*e) for e in edges), imported).distinct()), domains=lambda: S.domains(domain_names, members, files, routes), profiles=lambda: S.module_profiles(modules, files, units, routes, inside),
+        components=components.join(given_or_taken, "id", "left").na.fill(0, ["n_props_out", "n_props_in"]), cycles=lambda: G.strong_components(inside), orphans=lambda: orphans(files, inside, routes, code["globbed"]),
+        dead=lambda: dead_there().dropDuplicates(["id"]).unionByName(functions_of.where("dead").select("id", F.lit("nothing calls it").alias("reason"))), unused=lambda: unused_exports(functions, entities, bound, whole, files, inside, names), asked=asked,
     )
     out = {
         "SourceFile": files, "Module": fifth["profiles"], "Domain": fifth["domains"], "Dependency": packages, "Component": fifth["components"], "Hook": hooks, "Store": stores, "Service": services,
@@ -306,9 +318,12 @@ def build(
     }
     out["cycles"] = fifth["cycles"].groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"))
     kind = P.framework(paths if paths is not None else raw.select("path"), declared)
-    out["Project"] = cut(S.project(project, kind, out))
-    counted = [v.agg(F.count("*").alias("n")).select(F.lit(k).alias("type"), "n") for k, v in out.items() if k[0].isupper()]
-    out["counts"] = cut(reduce(DataFrame.unionAll, counted))
+    sized = {k: v for k, v in out.items() if k[0].isupper()}
+    # all counts are one table, a row for each; the project's row is made of them
+    found = cut(reduce(DataFrame.unionAll, (v.agg(F.count("*").alias("n")).select(F.lit(k).alias("type"), "n") for k, v in (sized | S.health(out)).items())))
+    sizes = {r.type: r.n for r in found.collect()}
+    out["Project"] = cut(S.project(project, kind, sizes))
+    out["counts"] = found.where(F.col("type").isin(*sized)).unionAll(spark.createDataFrame([("Project", 1)], "type string, n bigint"))
     return out
 
 

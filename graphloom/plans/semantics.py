@@ -101,16 +101,21 @@ def module_profiles(modules: DataFrame, files: DataFrame, units: DataFrame, rout
     return rows.withColumn("summary", summary(counts, F.col("layer")))
 
 
-def project(name: str, kind: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """One row: framework, variants, counts of objects, health and style. kind: projects.framework()."""
-    size = lambda df, c: df.agg(F.count("*").alias(c)).withColumn("one", F.lit(1))
-    health = {
+def health(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is wrong with a project, a table for each sort."""
+    return {
         "cycles": tables["cycles"], "orphans": tables["orphans"], "dead": tables["dead"], "unmatched": tables["unmatched"], "unused_exports": tables["unused_exports"],
         "undeclared": tables["Dependency"].where("source = 'undeclared'"), "high_risk_scripts": tables["UserScript"].where("risk_level = 'high'"), "failed_files": tables["failed"],
     }
-    row = kind.withColumn("one", F.lit(1))
-    for k, df in (*health.items(), ("files", tables["SourceFile"]), ("modules", tables["Module"]), ("domains", tables["Domain"]), ("routes", tables["Route"]), ("components", tables["Component"])):
-        row = row.join(size(df, f"n_{k}"), "one")
-    style = F.when(F.col("framework") == "userscript", "script-collection").when(F.col("n_routes") > 0, "layered-spa").otherwise("component-app")
-    wrong = summary({k.replace("_", " ").rstrip("s"): F.col(f"n_{k}") for k in health})
-    return row.drop("one").select(F.lit(f"proj:{name}").alias("id"), F.lit(name).alias("name"), "*", style.alias("style"), wrong.alias("health"))
+
+
+HEALTH = ("cycles", "orphans", "dead", "unmatched", "unused_exports", "undeclared", "high_risk_scripts", "failed_files")
+SIZES = {"files": "SourceFile", "modules": "Module", "domains": "Domain", "routes": "Route", "components": "Component"}
+
+
+def project(name: str, kind: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """One row: framework, variants, counts of objects, health and style. kind: projects.framework(); sizes: of health() and all types of objects."""
+    counts = {f"n_{k}": F.lit(sizes[k]).cast("long") for k in HEALTH} | {f"n_{k}": F.lit(sizes[v]).cast("long") for k, v in SIZES.items()}
+    style = F.when(F.col("framework") == "userscript", "script-collection").when(counts["n_routes"] > 0, "layered-spa").otherwise("component-app")
+    wrong = summary({k.replace("_", " ").rstrip("s"): counts[f"n_{k}"] for k in HEALTH})
+    return kind.select(F.lit(f"proj:{name}").alias("id"), F.lit(name).alias("name"), "*", *(v.alias(k) for k, v in counts.items()), style.alias("style"), wrong.alias("health"))
