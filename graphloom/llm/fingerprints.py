@@ -8,7 +8,8 @@ soft lane less the count is a sum of random signs, so the soft lanes of two fing
 shingle multisets, which is the likeness (negative estimates count as 0; equal fingerprints have 1).
 
 Defined results: null text is empty, which is one empty paragraph; a paragraph with fewer words than a shingle is one shingle;
-repeated rows get the same fingerprint; an empty table gives no rows.
+repeated rows get the same fingerprint; a very long text is one row, whose paragraphs' shingles are counted in rows of their own; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ languages votes, and the margins break ties.
 
 Defined results: null texts and texts without a letter get `und` with score 0; rows whose language is null teach nothing;
 rows whose document id is null teach nothing and count as held out; with nothing to learn from every text gets `und`;
-repeated rows get the same prediction; an empty table gives no rows; other columns are ignored.
+repeated rows get the same prediction; of more than SAMPLE / 2 languages the commonest ones are learnt; a very long text is one
+histogram; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ Of each component the first line (by document id, then line number) stays.
 
 Defined results: null texts are empty; lines that are empty after stripping always stay and are never compared; lines shorter
 than a shingle are one shingle; rows that repeat a document id and text count as one document; null document ids
-come last; an empty table gives no rows; other columns are ignored. Two different lines, or two texts of one id, with
+come last; very long texts and lines are hashed by themselves; an empty table gives no rows; other columns are kept. Two different lines, or two texts of one id, with
 the same 64-bit hash share their fate.
 """
 

@@ -11,7 +11,7 @@ only documents of a range meet.
 Defined results: null texts have no tokens and are taken with their epoch; null levels are a value of their own; ties of the
 order (repeated ids) are taken or left together; a leaf without tokens takes one epoch; an empty table gives no rows;
 columns of the input are kept whatever their names, but for `budget` and `copies`, which are made anew; a source whose number
-isn't an int has the domain `reference`.
+isn't an int has the domain `reference`; the length of a text only adds to its tokens.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ by its rank among the pieces of its length: its number in its partition plus the
 never move; only (partition, length) counts and one narrow row for each piece are shuffled.
 
 Defined results: null text is empty (one piece with the end id); repeated rows are packed once each; an empty table gives no
-rows; null document ids are kept; columns beside the named ones are ignored.
+rows; null document ids are kept; a very long text becomes windows one after the other; columns beside the named ones
+are ignored.
 """
 
 from __future__ import annotations

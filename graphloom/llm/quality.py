@@ -11,7 +11,8 @@ other strata would bound nothing for its documents.
 
 Defined results: null text has no words and fails the base rules; null language is the stratum `und`; a document labelled
 twice counts as bad if any label says so; labels without a document or with null quality are ignored; with no labels only the
-base rules reject; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+base rules reject; repeated rows are judged alike; a very long text is one row, which holds its words
+and windows as arrays; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

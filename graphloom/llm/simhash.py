@@ -16,8 +16,8 @@ star steps then join the links into components.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint zero and are linked like any other;
 fewer words than a shingle are one shingle; repeated rows share fingerprint and component; a row whose document id is null
-links nothing and gets the component of the documents with its fingerprint, or null; an empty table gives no rows; other
-columns are ignored.
+links nothing and gets the component of the documents with its fingerprint, or null; an empty table gives no rows; very long
+texts are hashed by themselves; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ and compared with the document's own (by SHA-256 of either): a span whose words
 
 Defined results: null text has no words; rows that repeat a document id are judged each by its own text and only against
 smaller ids (rows of one id with the same 32-bit hash of their text count as one); a row whose document id is null neither
-removes nor loses words; texts under a window keep all words; an empty table gives no rows; other columns are ignored.
+removes nor loses words; texts under a window keep all words; an empty table gives no rows; a very
+long text is hashed by itself, in memory that grows with it; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Level 0 has the lowest 8 bits of every id; a number whose bit is set goes on in
 All numbers are little-endian.
 
 Defined results: null text is empty and gives the end id alone; null document ids come first; rows that repeat a document id
-stay, ordered by text; an empty table gives files without rows; other columns are ignored.
+stay, ordered by text; a very long text is encoded in memory that grows with it and fills a segment of its own; an empty
+table gives files without rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ decided url, so the models grow with the table.
 
 Defined results: null urls and urls without `://` have an empty host and path, no rule, and score 0; repeated rows are judged
 alike (and count as often as they occur); with no rule that allows or none that blocks in the table every other url is
-allowed; an empty table gives no rows; other columns are ignored.
+allowed; a very long url gives a row for each position; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
