@@ -22,7 +22,7 @@ from graphloom.plans import semantics as S
 from graphloom.sources import facts as X
 from graphloom.sources import projects as P
 from graphloom.sources import scripts as U
-from graphloom.sources.scan import everything, read_manifests, read_sources
+from graphloom.sources.scan import everything, read_manifests, read_sources, source_roots
 
 # Endings that an import may leave out, in the order they are tried.
 PROBES = ("", ".ts", ".tsx", ".js", ".jsx", ".vue", ".dart", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.vue", "/index.dart")
@@ -378,17 +378,18 @@ def whole_imports(imports: DataFrame, resolved: DataFrame, bound: DataFrame) ->
     return direct.unionByName(bound.where("name = '*'").select(F.col("there").alias("path"))).distinct()
 
 
-def scan_project(spark: SparkSession, root: str, roots: tuple[str, ...] = (".",), name: str | None = None, stored: str | None = None) -> dict[str, DataFrame]:
+def scan_project(spark: SparkSession, root: str, roots: tuple[str, ...] | None = (".",), name: str | None = None, stored: str | None = None) -> dict[str, DataFrame]:
     """build() over a tree with all that it says about itself: manifests, path aliases, the main Go module, the Dart package, pages' entry scripts.
 
-    stored: a folder in which facts stay, so that the next time only changed files are read for facts.
+    roots: folders to read; None for those that source_roots() finds. stored: a folder in which facts stay, so that the next time
+    only changed files are read for facts.
     """
     found = {r.prefix: r.target for r in P.aliases(spark, root).collect()}  # a line for each alias that configurations name
     go = P.go_modules(spark, root).where("main").select("module").first()
     paths = everything(spark, root).select("path")
     dart = everything(spark, root, "pubspec.yaml").where("path = 'pubspec.yaml'").select(F.regexp_extract("content", r"(?m)^name:\s*(\w+)", 1).alias("name")).first()
     own = name or root.rstrip("/").rsplit("/", 1)[-1]
-    sources = read_sources(spark, root, roots)
+    sources = read_sources(spark, root, source_roots(paths) if roots is None else roots)
     facts = X.update(sources, stored) if stored else None
     return build(sources, read_manifests(spark, root), found or None, go.module if go else "", dart.name if dart else "", own, paths, P.html_entries(spark, root), facts)
 

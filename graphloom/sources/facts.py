@@ -47,7 +47,7 @@ class Pattern:
     scripts: bool = False
 
 
-_TARGET = r"""['"`](/[^'"`\n]*|https?://[^'"`\n]*)['"`]"""
+_TARGET = r"""['"`](?:\$\{[^}`\n]*\}(?=/))?(/[^'"`\n]*|https?://[^'"`\n]*)['"`]"""
 _WORDS = r"(?:public |private |protected |static |async |override |get |set |@override\s+|[\w<>?,]+ )"
 _MEMBER, _GIVEN = r"([A-Za-z_]\w*)[ \t]*(?:<[^>\n]*>)?", r"\([^\n]*\)[ \t]*"
 _START = r"(?m)(?:^|(?<=[{};]))[ \t]*(?!(?:return|await|throw|new|yield|else|case)\b)"
@@ -576,11 +576,14 @@ def prop_sites(facts: DataFrame) -> DataFrame:
     props = found(facts, "attribute", tag=1, name=2, value=3, rest=4).where("name is not null or rest is not null").select("path", "pos", "ord", "tag", "name", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("rest", F.lit("")).alias("rest"))
     bare = F.trim(F.regexp_replace("value", r"^\{|\}$", ""))
     props = props.withColumn("bare", bare).withColumn("root", F.regexp_extract("bare", r"^([A-Za-z_$][\w$]*)", 1))
-    states = found(facts, "state", root=1).select("path", "root", F.lit(True).alias("state")).distinct()
-    held = found(facts, "held", root=1).select("path", "root", F.lit(True).alias("store")).distinct()
-    given = found(facts, "given", list=1).select("path", F.explode(F.split("list", r"\s*,\s*")).alias("root")).select("path", F.regexp_extract("root", r"(\w+)", 1).alias("root"), F.lit(True).alias("given")).distinct()
-    for df in (states, held, given):
-        props = props.join(df, ["path", "root"], "left")
+    # a name means what its own component declares, not what another one in the file calls so
+    scopes = functions(facts).where(F.col("name").rlike("^[A-Z]")).select("path", F.col("low").alias("scope"), "low", "high")
+    scoped = lambda df: R.innermost(df, scopes, "path", name="scope").withColumn("scope", F.coalesce("scope", F.lit(-1)))
+    marked = lambda df, mark: scoped(df).select("path", "scope", "root", F.lit(True).alias(mark)).distinct()
+    given = found(facts, "given", list=1).select("path", "pos", F.explode(F.split("list", r"\s*,\s*")).alias("root")).select("path", "pos", F.regexp_extract("root", r"(\w+)", 1).alias("root"))
+    props = scoped(props)
+    for df in (marked(found(facts, "state", root=1).select("path", "pos", "root"), "state"), marked(found(facts, "held", root=1).select("path", "pos", "root"), "store"), marked(given, "given")):
+        props = props.join(df, ["path", "scope", "root"], "left")
     plain = F.col("value").rlike("^[\"']") | F.col("bare").rlike(r"^(true|false|null|-?[0-9.]+|'[^']*+'|\"[^\"]*+\"|`[^`$]*+`)$") | (F.col("value") == "")
     source = (
         F.when(F.col("rest") != "", "spread").when(plain, "literal").when(F.col("name").rlike("^on[A-Z]") | F.contains("bare", F.lit("=>")), "handler")

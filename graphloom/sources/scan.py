@@ -37,6 +37,27 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
 
 
+def source_roots(paths: DataFrame, given: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """The folders in which a tree's sources lie, by its paths (column path): those given that are there, else lib/ of a Dart package, else src/, else all.
+
+    Folders of clients that build tools agree on come with them: src-tauri/src beside its configuration, electron/ with scripts
+    in it, lib/ of a Dart package.
+    """
+    any_ = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    at = F.col("path")
+    has = {
+        "pubspec": at == "pubspec.yaml", "lib": F.startswith(at, F.lit("lib/")), "src": F.startswith(at, F.lit("src/")), "tauri": at == "src-tauri/tauri.conf.json", "tauri_src": F.startswith(at, F.lit("src-tauri/src/")),
+        "electron": at.rlike(r"^electron/([^/]+/){0,3}[^/]+\.[jt]sx?$"), "dart": at.rlike(r"^lib/([^/]+/){0,3}[^/]+\.dart$"), **{f"given{i}": F.startswith(at, F.lit(f"{r}/")) for i, r in enumerate(given)},
+    }
+    found = paths.agg(*(any_(test).alias(k) for k, test in has.items())).first()
+    if given:
+        roots = [r for i, r in enumerate(given) if r == "." or found[f"given{i}"]]
+    else:
+        roots = ["lib"] if found.pubspec and found.lib else ["src"] if found.src else ["."]
+    extra = (("src-tauri/src", found.tauri and found.tauri_src), ("electron", found.electron), ("lib", found.pubspec and found.dart))
+    return tuple(dict.fromkeys([*roots, *(r for r, there in extra if there and "." not in roots)]))
+
+
 def read_sources(spark: SparkSession, root: str, roots: tuple[str, ...] = (".",)) -> DataFrame:
     """path, ext, size, content of the source files under the roots (folders below `root`)."""
     rows = everything(spark, root, "*.{" + ",".join(EXTENSIONS) + "}").withColumn("ext", extension(F.col("path")))

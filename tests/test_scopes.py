@@ -188,6 +188,18 @@ def test_graph_of_odd_code(spark, code):
     assert {r.target for r in X.navigations(X.collect(code)).collect()} == {"/users"}
 
 
+def test_props_mean_what_their_own_component_declares(spark):
+    text = "export function One() {\n  const [a, setA] = useState(0);\n  return <Box v={a} />;\n}\nexport function Two({ a }) {\n  return <Box v={a} w={b} />;\n}\nexport const Three = () => { const b = useThingStore(); return <Box v={a} w={b} />; };\n"
+    got = [(r.name, r.source) for r in X.prop_sites(spark.createDataFrame([("src/a.tsx", "tsx", text)], "path string, ext string, content string")).orderBy("pos", "ord").collect()]
+    assert got == [("v", "state"), ("v", "forward"), ("w", "computed"), ("v", "computed"), ("w", "store")]
+
+
+def test_interpolated_calls(spark):
+    text = "fetch(`${BASE}/users/${id}`);\napi.get('/plain');\nclient.post(`/x/${a.b}/y`);\n"
+    got = {(r.method, r.url) for r in X.http_calls(spark.createDataFrame([("src/a.ts", "ts", text)], "path string, ext string, content string")).collect()}
+    assert got == {("GET", "/users/${id}"), ("GET", "/plain"), ("POST", "/x/${a.b}/y")}
+
+
 def test_dead_code_by_file(spark):
     files = {
         "src/index.ts": "export const top = 1;\n", "src/a/index.ts": "export function used() {}\nexport function alone() { return alone(); }\nfunction inner() { inner(); }\n",
@@ -242,6 +254,14 @@ def test_refresh_reads_changed_files_alone(spark, tmp_path):
     assert "src/parts/two.ts" in files and "src/parts/one.ts" not in files
 
 
+def test_source_roots(spark):
+    roots = lambda paths, given=(): scan.source_roots(spark.createDataFrame([(p,) for p in paths], "path string"), given)
+    assert roots(["src/a.ts", "server/b.ts"]) == ("src",) and roots(["a.ts"]) == (".",) and roots(["pubspec.yaml", "lib/a.dart", "src/x.ts"]) == ("lib",)
+    assert roots(["src/a.ts", "src-tauri/tauri.conf.json", "src-tauri/src/main.rs", "electron/main.ts", "electron/readme.md"]) == ("src", "src-tauri/src", "electron")
+    assert roots(["src/a.ts", "web/b.ts", "electron/main.js"], ("web", "none")) == ("web", "electron") and roots(["src/a.ts", "electron/main.js"], (".",)) == (".",)
+    assert roots(["src/a.ts", "src-tauri/src/main.rs", "lib/a.dart"]) == ("src",)
+
+
 def test_aliases_are_read_where_they_are(spark, tmp_path):
     (tmp_path / "tsconfig.json").write_text('{"compilerOptions": {"paths": {"~/*": ["lib/*"]}}}')
     assert {r.prefix: r.target for r in projects.aliases(spark, str(tmp_path)).collect()} == {"~/": "lib/"}
