@@ -7,7 +7,7 @@ scaled to one for equal words. So a gap or an inserted character lowers a value
 
 The machine is linear in the kernel values to LANDMARKS words (half of them those that toxic sentences have beyond clean ones,
 the others frequent in clean ones), whitened by the landmarks' own kernel matrix. Sentences inherit the label of their document.
-The machine is fitted to words that stand out in toxic sentences (and to these with an unknown character put in) against all
+The machine is fitted to words that stand out in toxic sentences (and to the first of these with an unknown character put in) against all
 words of clean sentences, then again to the words that witness for each toxic sentence. Its value for a word is a sum of fixed weights over the word's
 subsequences, so tasks look weights up (one table of 12 MB, whatever the corpus) and compare with no landmark. A document's highest
 values and counts become its score by logistic regression on labelled documents.
@@ -269,8 +269,9 @@ class Machine:
         x = x @ whiten
         rare = np.sqrt(bad)  # rare words of clean sentences are many, and should be heard beside the frequent ones
         certain = np.where(gain > CERTAIN, np.sqrt(good), 0) if (gain > CERTAIN).any() else good.astype(float)
-        # the same words with a character put in count as much again
-        put_in = [(w[:i] + PUT_IN + w[i:], certain[k] / (len(w) - 1)) for k, w in enumerate(words) if gain[k] > CERTAIN and 4 < len(w) < LONGEST for i in range(1, len(w))]
+        # those that stand out most count half as much again with a character put in
+        most = max(CERTAIN, gain.max() / 2)
+        put_in = [(w[:i] + PUT_IN + w[i:], 0.5 * certain[k] / (len(w) - 1)) for k, w in enumerate(words) if gain[k] > most and 4 < len(w) < LONGEST for i in range(1, len(w))]
         x = np.vstack([x, kernel.values([w for w, _ in put_in]) @ whiten])
         extra, none = np.array([v for _, v in put_in]), np.zeros(len(put_in))
         w = fit_machine(x, np.append(certain, extra), np.append(rare, none))
