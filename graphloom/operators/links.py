@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +66,12 @@ def unique_ids(df: DataFrame, base: str, *order: str) -> DataFrame:
     return df.withColumn("id", F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("@"), n.cast("string"))))
 
 
+def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each row of one with each of the other. Both are dealt out, and a task pairs one part with one part, of which it holds the right one."""
+    n = math.ceil(math.sqrt(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return left.repartition(n).hint("shuffle_replicate_nl").crossJoin(right.repartition(n))
+
+
 def neighbours(links: DataFrame, id_: str, most: int = 20) -> DataFrame:
     """link_type, other of all links from an object; of each type that reads links backwards the first `most`. For a page on one object."""
     found = links.where(F.col("src_id") == id_).select("link_type", F.col("dst_id").alias("other"), "ord").distinct()

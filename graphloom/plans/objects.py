@@ -129,10 +129,15 @@ def link_imported_by(spark: SparkSession, d: str) -> DataFrame:
 @C.add("""SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE c.c_nationkey = 4 AND c.c_mktsegment = 'MACHINERY'
 UNION SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_custkey = s_suppkey WHERE c_nationkey = 4""")
 def link_registers_or(spark: SparkSession, d: str) -> DataFrame:
-    """Either of two keys links; as a union of equal-key joins, not a join on OR."""
-    customers, suppliers = read(spark, d, "customer").where("c_nationkey = 4"), read(spark, d, "supplier")
-    near = customers.where("c_mktsegment = 'MACHINERY'").join(suppliers, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey")
-    return near.union(customers.join(suppliers, F.col("c_custkey") == F.col("s_suppkey")).select("c_custkey", "s_suppkey")).distinct()
+    """Either of two keys links; as a union of equal-key joins, not a join on OR.
+
+    Keys are made distinct before they are paired, and what both joins would give is left to the first: no task remembers pairs.
+    """
+    customers = read(spark, d, "customer").where("c_nationkey = 4").groupBy("c_custkey").agg(F.max(F.expr("c_mktsegment <=> 'MACHINERY'")).alias("c_near"))
+    suppliers = read(spark, d, "supplier").groupBy("s_suppkey").agg(F.max(F.expr("s_nationkey <=> 4")).alias("s_near"))
+    near = L.all_pairs(customers.where("c_near").select("c_custkey"), suppliers.where("s_near").select("s_suppkey"))
+    same = customers.join(suppliers, F.col("c_custkey") == F.col("s_suppkey")).where("not (c_near and s_near)")
+    return near.unionAll(same.select("c_custkey", "s_suppkey"))
 
 
 @C.add("""SELECT DISTINCT o_custkey AS file_id, p_brand AS store FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderstatus = 'P' AND p_size > 45""")
